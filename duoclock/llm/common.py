@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from functools import cache
@@ -101,3 +102,9 @@ def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(words * p[:n], out=total[1:])
     return mix((total[k:] - total[:-k]) * q[: n - k + 1])
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of what nothing refers to any more; else they stay until memory runs short."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
