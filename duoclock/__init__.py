@@ -1,0 +1 @@
+"""Analytics of records with two clocks, an incident and a later receipt, on Spark DataFrames."""
