@@ -65,7 +65,8 @@ def z_series(cum: DataFrame, pooled: DataFrame, cfg: DelayConfig, by: tuple[str,
 def alarm_levels(z: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """(keys, cutoff, level_<arm>): the lower of this month's z and the last one's; an alarm at any threshold under it."""
     order = Window.partitionBy(*by).orderBy("cutoff")
-    return z.select(*by, "cutoff", *[F.when(F.lag(f"z_{a}").over(order).isNotNull(), F.least(F.col(f"z_{a}"), F.lag(f"z_{a}").over(order))).alias(f"level_{a}") for a in ARMS])
+    last = lambda a: F.lag(f"z_{a}").over(order)
+    return z.select(*by, "cutoff", *[F.when(last(a).isNotNull() & F.col(f"z_{a}").isNotNull(), F.least(F.col(f"z_{a}"), last(a))).alias(f"level_{a}") for a in ARMS])
 
 
 def first_alarms(z: DataFrame, cfg: DelayConfig, by: tuple[str, ...], thresholds: dict[str, float] | None = None) -> DataFrame:
