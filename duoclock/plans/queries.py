@@ -13,6 +13,7 @@ from ..config import ORDERS as C
 from ..functions.months import month_label, parse_month_label
 from ..operators import backtest, bootstrap, chainladder, descriptive, hazard, ingest, intervals, surveillance, variants
 from ..operators.triangle import as_known_at, cumulative, dense, triangle, with_streams
+from ..shipping import ship
 from ..sources import tsv
 from ..streaming import replay as stream
 from . import oracles as o
@@ -37,6 +38,7 @@ class Query:
 
     def spark(self, session: SparkSession, sf_dir: str) -> DataFrame:
         kinds = {"i": lambda c: c.cast("bigint"), "f": lambda c: F.round(c.cast("double"), 6) + 0.0, "s": lambda c: c.cast("string"), "d": lambda c: c.cast("date"), "b": lambda c: c.cast("boolean")}
+        ship(session)
         return self.run(session, sf_dir).select(*[kinds[k](F.col(c)).alias(c) for c, k in self._columns()])
 
     def oracle(self) -> str | None:
