@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duoclock.llm import langid, lines, minhash, packing, substring
 from duoclock.llm.common import crc_remainder, staged
 from duoclock.llm.queries import TOKENIZER
+from duoclock.shipping import ship
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document whose best cosine with a learned language is under this is in none of them.
-LEAST_SCORE = 0.3
+#: A document whose best cosine with a learned language is under this is in none of them; the shortest clean texts have about 0.1.
+LEAST_SCORE = 0.05
 
 
 def _documents(kept: DataFrame, text: str) -> DataFrame:
@@ -50,12 +54,23 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, TOKENIZER)
 
 
+def _shipped(stage: Callable) -> Callable:
+    """The stage, with the package on its workers."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language ID", identify_language),
-    ("line dedup", drop_common_lines),
-    ("MinHash near-dedup", drop_near_duplicates),
-    ("substring dedup", drop_repeats),
-    ("packing", pack),
+    ("language ID", _shipped(identify_language)),
+    ("line dedup", _shipped(drop_common_lines)),
+    ("MinHash near-dedup", _shipped(drop_near_duplicates)),
+    ("substring dedup", _shipped(drop_repeats)),
+    ("packing", _shipped(pack)),
 ]
 
 #: SQL can't express the learned first stage and the packing.
