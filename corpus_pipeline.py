@@ -14,8 +14,6 @@ from duoclock.llm.queries import TOKENIZER
 from duoclock.shipping import ship
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document whose best cosine with a learned language is under this is in none of them; the shortest clean texts have about 0.1.
-LEAST_SCORE = 0.05
 
 
 def _documents(kept: DataFrame, text: str) -> DataFrame:
@@ -24,11 +22,11 @@ def _documents(kept: DataFrame, text: str) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or like no learned language, go."""
+    """Documents without a letter go; the shortest clean texts are like no language, so a low score is no reason."""
     docs = docs.select(*DOCUMENTS)
     prototypes = langid.learn(docs, crc_remainder("doc_id", 4) != 2)
     found = langid.predict(docs, prototypes)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*DOCUMENTS)
+    return found.where(F.col("lang_pred") != "und").select(*DOCUMENTS)
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
