@@ -87,3 +87,14 @@ def test_query(spark, name):
 def test_coverage_query(spark):
     rows = QUERIES["coverage"].spark(spark, SF).collect()
     assert len(rows) == 7 and all(0 <= r["cov90"] <= 1 for r in rows)
+
+
+def test_views(spark):
+    from duoclock.config import ORDERS
+    from duoclock.plans.adapter import records
+    from duoclock.plans.views import register
+
+    names = register(records(spark, SF), ORDERS, "v_")
+    assert "v_maturity" in names
+    top = spark.sql("SELECT m.stream, c.c / m.F AS n_hat FROM v_maturity m JOIN v_cumulative_triangle c ON c.stream = m.stream AND c.d = m.d AND c.t = m.cutoff - m.d WHERE m.cutoff = 24019 AND m.stream = 'all'")
+    assert top.count() == ORDERS.max_delay + 1
