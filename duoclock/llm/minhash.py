@@ -7,9 +7,14 @@ with a chance of about 5e-6.
 
 Documents with equal sets are one class, and only its least id goes on. Members of a bucket are compared with one
 pivot of the bucket, the one that shares most keys with others, by their full sets; what it links becomes one
-component. Buckets whose members are in several components then get other pivots, and at last, what no pivot has
-settled is compared across the components. So a group of n copies costs about n comparisons, and no link that a
-key has shown is lost.
+component. While the members left outside would make many pairs, a bucket gets further pivots out of those.
+
+What then shares a bucket across components is settled exactly without comparing texts for each pair. With each
+member stands what its set and the pivot's don't share, D, as its size and a bitmap of hashed elements. For two
+members x and y, |x ^ y| = |Dx ^ Dy|, and the bitmaps bound that from below: elements of Dx on bits that Dy lacks
+aren't in Dy. Only pairs that the bound leaves possible are compared. In a group of n copies of one text this bound
+refutes nearly all that isn't a link, as copies differ from the pivot each in its own way. So about n comparisons
+are made for a group, and no link that a key has shown is lost.
 
 A-Z count as a-z; words are runs of other characters than ASCII white space; fewer than k words make one shingle;
 no words (or null text) an empty set, which links with nothing. A null id links with nothing; its component is
@@ -26,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, run_hashes, staged, word_bounds, word_hashes
+from .common import mix, release, run_hashes, staged, word_bounds, word_hashes
 from .components import connected_components
 
 WORDS, PER_CENT, BANDS, ROWS, SEED = 5, 80, 40, 6, 11
-#: Pivots that a bucket gets before its rest is compared across components.
-PIVOTS = 4
+#: Pivots that a bucket gets at most, and bits of a bitmap.
+PIVOTS, BITS = 3, 512
 
 
 def shingles(text: str, k: int) -> np.ndarray:
@@ -88,7 +93,7 @@ def _sign(k: int, bands: int, rows: int, seed: int):
 
 
 def _compare(k: int, per_cent: int):
-    """Whether the two texts of a row are similar enough, by their full sets."""
+    """For the two texts of a row: whether their full sets are similar enough, and what they don't share (size, bitmap)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: OrderedDict[str, np.ndarray] = OrderedDict()
@@ -105,58 +110,84 @@ def _compare(k: int, per_cent: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                linked = []
-                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                linked, sizes = [], []
+                bits = np.zeros((part.num_rows, BITS // 64), np.uint64)
+                for i, (x, y) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
                     p, q = of(x or ""), of(y or "")
-                    if len(p) > len(q):
-                        p, q = q, p
-                    place = np.searchsorted(q, p)
-                    common = int((q[np.minimum(place, len(q) - 1)] == p).sum()) if len(p) else 0
+                    apart = np.setxor1d(p, q, assume_unique=True)
+                    common = (len(p) + len(q) - len(apart)) // 2
                     linked.append(common > 0 and 100 * common >= per_cent * (len(p) + len(q) - common))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+                    sizes.append(len(apart))
+                    place = apart % np.uint64(BITS)
+                    np.bitwise_or.at(bits[i], (place >> np.uint64(6)).astype(int), np.uint64(1) << (place & np.uint64(63)))
+                lists = pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * (BITS // 64), bits.ravel().view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int64()), lists], names=["a", "b", "linked", "apart", "bits"])
 
     return run
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, per_cent: int) -> DataFrame:
-    """(a, b, linked) for distinct pairs of ids."""
+    """(a, b, linked, apart, bits) for distinct pairs of ids."""
     first = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
     second = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
     rows = pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y")
-    out = rows.mapInArrow(_compare(k, per_cent), "a bigint, b bigint, linked boolean")
-    return staged(out.groupBy("a", "b").agg(F.max("linked").alias("linked")), "verified")
+    return staged(rows.mapInArrow(_compare(k, per_cent), "a bigint, b bigint, linked boolean, apart bigint, bits array<bigint>"), "verified")
 
 
 def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with their component c, of the buckets that have several components."""
-    c = members.join(labels, members["id"] == labels["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    c = members.join(labels, members["id"] == labels["node"], "left").select(*members.columns, F.coalesce("component", "id").alias("c"))
     several = c.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    return staged(c.join(several, "key"), "open")
+    return staged(c.join(staged(several, "several"), "key"), "open")
 
 
-def _similar_sizes(per_cent: int) -> str:
-    return f"100 * least(n, m) >= {per_cent} * greatest(n, m)"
+def _pivots(members: DataFrame) -> DataFrame:
+    """(key, pivot): each bucket's member that shares most keys with others, ties to the least id."""
+    shared = staged(members.groupBy("key").count(), "sizes").join(members, "key").groupBy("id").agg(F.sum("count").alias("weight"))
+    best = members.join(staged(shared, "weights"), "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("neg"))).alias("p"))
+    return staged(best.select("key", (-F.col("p.neg")).alias("pivot")), "pivots")
 
 
-def _pivot_pairs(members: DataFrame, turn: int, per_cent: int) -> DataFrame:
-    """Each bucket's members with one of them, if its component is another."""
-    if turn == 0:
-        shared = members.groupBy("key").count().join(members, "key").groupBy("id").agg(F.sum("count").alias("weight"))
-    else:
-        shared = members.select("id").distinct().withColumn("weight", F.xxhash64(F.lit(turn), "id"))
-    best = members.join(shared, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("neg"), F.col("n").alias("m"), "c")).alias("p"))
-    best = best.select("key", (-F.col("p.neg")).alias("pivot"), F.col("p.m").alias("m"), F.col("p.c").alias("pc"))
-    pairs = members.join(best, "key").where("id <> pivot and c <> pc and " + _similar_sizes(per_cent))
+def _pivot_pairs(members: DataFrame, pivots: DataFrame) -> DataFrame:
+    pairs = members.join(pivots, "key").where("id <> pivot")
     return pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
 
-def _cross_pairs(members: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs that share a bucket and are of different components."""
-    other = members.select("key", F.col("id").alias("id2"), F.col("n").alias("m"), F.col("c").alias("c2"))
-    pairs = members.join(other, "key").where("id < id2 and c <> c2 and " + _similar_sizes(per_cent))
+def _cross_pairs(members: DataFrame, pivots: DataFrame, verified: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs that share a bucket, are of different components, and may be similar enough by their distance from its pivot."""
+    zero = F.array(*[F.lit(0).cast("bigint")] * (BITS // 64))
+    at = members.join(pivots, "key").withColumn("a", F.least("id", "pivot")).withColumn("b", F.greatest("id", "pivot"))
+    placed = staged(at.join(verified, ["a", "b"], "left").select("key", "id", "n", "c", F.coalesce("apart", F.lit(0)).alias("d"), F.coalesce("bits", zero).alias("bits")), "placed")
+    other = placed.select("key", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "c", "d", "bits")])
+    own = lambda x, y: " + ".join(f"bit_count({x}[{i}] & ~{y}[{i}])" for i in range(BITS // 64))
+    least = f"d + d2 - 2 * least(d - ({own('bits', 'bits2')}), d2 - ({own('bits2', 'bits')}))"
+    possible = f"100 * least(n, n2) >= {per_cent} * greatest(n, n2) AND {100 + per_cent} * ({least}) <= {100 - per_cent} * (n + n2)"
+    pairs = placed.join(other, "key").where(f"id < id2 AND c <> c2 AND {possible}")
     return pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
 
 
+def _links(members: DataFrame, texts: DataFrame, k: int, per_cent: int) -> DataFrame:
+    """(a, b): links that join all documents of each component, out of those that share a bucket."""
+    pivots = _pivots(members)
+    first = _verified(staged(_pivot_pairs(members, pivots), "pairs"), texts, k, per_cent)
+    tested = first.select("a", "b", "linked")
+    labels = connected_components(tested.where("linked"))
+    everyone = members.count()
+    left = _open_members(members, labels)
+    for _ in range(1, PIVOTS):
+        main = left.join(pivots, (left["key"] == pivots["key"]) & (left["id"] == pivots["pivot"])).select(left["key"], F.col("c").alias("main"))
+        rest = staged(left.join(staged(main, "main"), "key").where("c <> main").select("key", "id", "n"), "rest")
+        pairs = rest.groupBy("key").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0
+        if pairs <= everyone:
+            break
+        more = staged(_pivot_pairs(rest, _pivots(rest)).join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = staged(tested.union(_verified(more, texts, k, per_cent).select("a", "b", "linked")), "tested")
+        labels = connected_components(tested.where("linked"))
+        left = _open_members(members, labels)
+    cross = staged(_cross_pairs(left, pivots, first, per_cent).join(tested, ["a", "b"], "left_anti"), "pairs")
+    return tested.union(_verified(cross, texts, k, per_cent).select("a", "b", "linked")).where("linked").select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, k: int = WORDS, per_cent: int = PER_CENT, bands: int = BANDS, rows: int = ROWS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, n_shingles, component_id (the least id that links lead to), kept (it is that one)."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -165,23 +196,12 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, per_cent: int = PER_CENT, b
     classes = staged(real.groupBy("f1", "f2").agg(F.min("id").alias("rep")), "classes")
     reps = real.join(classes, (real["f1"] == classes["f1"]) & (real["f2"] == classes["f2"]) & (real["id"] == classes["rep"])).select("id", "n", "keys")
     listed = reps.select("id", "n", F.explode("keys").alias("key"))
-    shared = listed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    shared = staged(listed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "shared")
     members = staged(listed.join(shared, "key"), "members")
+    release(docs.sparkSession)
 
-    labels = members.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
-    tested = None
-    for turn in range(PIVOTS + 1):
-        left = _open_members(members, labels)
-        pairs = _pivot_pairs(left, turn, per_cent) if turn < PIVOTS else _cross_pairs(left, per_cent)
-        pairs = staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty() and turn:
-            if turn < PIVOTS:
-                continue
-            break
-        found = _verified(pairs, texts, k, per_cent)
-        tested = found if tested is None else staged(tested.union(found), "tested")
-        labels = connected_components(tested.where("linked"))
-
+    labels = connected_components(_links(members, texts, k, per_cent))
+    release(docs.sparkSession)
     by_set = classes.join(labels, classes["rep"] == labels["node"], "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     out = signed.where("n > 0").join(by_set, ["f1", "f2"], "left").select("id", "n", "component").union(signed.where("n = 0").select("id", "n", F.col("id")))
     out = out.select("id", "n", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
