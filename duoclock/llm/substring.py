@@ -122,16 +122,18 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed_words: int = SEED_WORDS,
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.select("id", F.xxhash64("text").alias("tag"), "text")
     found = staged(texts.mapInArrow(_find_blocks(length, seed_words), "id bigint, tag bigint, anchor bigint, block bigint, first int, count int"), "blocks")
+    # what a join is with stands in a table of its own, so that Spark can split the partition of a hot key
     shared = found.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), (F.min("block") < F.max("block")).alias("differs")).where("lo < hi")
-    seeds = staged(found.join(shared.select("anchor", "differs"), "anchor").drop("anchor"), "seeds")
-    holders = seeds.groupBy("block").agg(F.min("id").alias("holder"))
+    shared = staged(shared.select("anchor", "differs"), "shared")
+    seeds = staged(found.join(shared, "anchor").drop("anchor"), "seeds")
+    holders = staged(seeds.groupBy("block").agg(F.min("id").alias("holder")), "holders")
     held = staged(seeds.join(holders, "block").where("id > holder or differs").select("id", "tag", "first", "count", (F.col("id") > F.col("holder")).alias("gone")), "held")
     release(spark)
     by_doc = held.where("not gone").groupBy("id", "tag").agg(F.collect_list(F.struct("first", "count")).alias("spans"))
     open_windows = texts.join(by_doc, ["id", "tag"]).select("id", "tag", "text", "spans")
     windows = staged(open_windows.mapInArrow(_windows(length), "id bigint, tag bigint, at int, window bigint"), "windows")
     release(spark)
-    firsts = windows.groupBy("window").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("window", "lo")
+    firsts = staged(windows.groupBy("window").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("window", "lo"), "firsts")
     late = windows.join(firsts, "window").where("id > lo").select("id", "tag", F.col("at").alias("first"), F.lit(1).alias("count"))
     spans = held.where("gone").select("id", "tag", "first", "count").union(late)
     out = staged(spans.distinct().groupBy("id", "tag").agg(F.collect_list(F.struct("first", "count")).alias("spans")), "repeats")
