@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import new_folder, staged
 
-MIN_REVISIT, ROLL_BYTES, READ_BYTES, READ_GAP, DATE = 100, 64 << 20, 8 << 20, 64 << 10, "2024-01-01T00:00:00Z"
+MIN_REVISIT, ROLL_BYTES, READ_BYTES, READ_GAP, DATE = 100, 64 << 20, 4 << 20, 64 << 10, "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id bigint, archive string, offset bigint, length bigint, url string, payload_digest string, record_type string"
 RECORDS = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
@@ -169,5 +169,7 @@ def _read(read_bytes: int, gap: int, with_payload: bool):
 
 def read_records(index: DataFrame, with_payload: bool = True, read_bytes: int = READ_BYTES, gap: int = READ_GAP) -> DataFrame:
     """The records of the index rows given. A revisit's payload is null; its bytes and digest are those of the full payload."""
-    sorted_rows = index.select("archive", "offset", "length").repartition("archive", (F.col("offset") / F.lit(4 * read_bytes)).cast("bigint")).sortWithinPartitions("archive", "offset")
+    # the index is small beside what it stands for, so the number of tasks follows the bytes to read
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // (4 * read_bytes)))
+    sorted_rows = index.select("archive", "offset", "length").repartition(tasks, "archive", (F.col("offset") / F.lit(4 * read_bytes)).cast("bigint")).sortWithinPartitions("archive", "offset")
     return sorted_rows.mapInArrow(_read(read_bytes, gap, with_payload), RECORDS)
