@@ -3,9 +3,9 @@
 Vectors get one more component that brings all candidates to one length (queries: zero), so the largest inner product is the
 nearest vector. M Gaussian (2-stable) projections keep distances in proportion: the square of a projected distance
 over that of the true one is chi-square with M degrees of freedom. Each block of candidates has a kd-tree of its
-projections, and a query takes the leaves in order of projected distance, verifies their vectors by true inner products, and
-stops once a vector as near as its k-th best so far would, with probability P, have been projected nearer than
-all that is left.
+projections. A query takes the leaves in order of projected distance, some at a time. A vector as near as the k-th best
+so far is projected within a certain reach with probability P: vectors within that reach are verified by their true
+inner products, those beyond are passed over (the reach only shrinks), and the query stops at the first leaf beyond it.
 
 Every vector is indexed; scores are inner products of the original vectors in double precision. Zero vectors take no part.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import staged
 from .vectors import clean, dimension, packed, search, top_of
 
-K, M, P, LEAF, BLOCK_ROWS, SEED = 20, 8, 0.97, 256, 16384, 5
+K, M, P, LEAF, LEAVES, BLOCK_ROWS, SEED = 20, 16, 0.95, 32, 16, 16384, 5
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -73,14 +73,15 @@ def _kernel(longest: float, dim: int, k: int, m: int, p: float, leaf: int, seed:
             visit = np.argsort(far, kind="stable")
             base = q[i] @ q[i] + longest**2
             best, who = np.empty(0), np.empty(0, np.int64)
-            for step in range(0, len(visit), 4):
-                if len(best) >= k and far[visit[step]] > limit * max(0.0, base - 2 * best[-1]):
+            for step in range(0, len(visit), LEAVES):
+                reach = limit * max(0.0, base - 2 * best[-1]) if len(best) >= k else np.inf
+                if far[visit[step]] > reach:
                     break
-                rows = np.concatenate([np.arange(starts[x], ends[x]) for x in visit[step : step + 4]])
+                rows = np.concatenate([np.arange(starts[x], ends[x]) for x in visit[step : step + LEAVES]])
+                gap = points[rows] - at[i]
+                rows = rows[(np.einsum("ij,ij->i", gap, gap) <= reach) & (ids[rows] != own[i])]
                 product = c[rows] @ q[i]
-                keep = ids[rows] != own[i]
-                if len(best) >= k:
-                    keep &= product >= best[-1]
+                keep = product >= best[-1] if len(best) >= k else np.ones(len(rows), bool)
                 if keep.any():
                     product, names = np.concatenate((best, product[keep])), np.concatenate((who, ids[rows][keep]))
                     pick = np.lexsort((names, -product))[:k]
