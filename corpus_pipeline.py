@@ -14,6 +14,10 @@ from duoclock.llm.queries import TOKENIZER
 from duoclock.shipping import ship
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A text of so many different trigrams is in no learned language if its best cosine is under three standard deviations of a random text's.
+LEAST_TRIGRAMS, LEAST_SCORE = 64, 3 / langid.DIM**0.5
+#: A language is well taught by so many different texts of so many characters; with fewer, its own texts can score as low.
+LEAST_TEXTS, LEAST_CHARS = 20, 200
 
 
 def _documents(kept: DataFrame, text: str) -> DataFrame:
@@ -21,12 +25,26 @@ def _documents(kept: DataFrame, text: str) -> DataFrame:
     return kept.select("doc_id", F.col(text).alias("text"), "lang", "source", F.when(F.col(text).isNotNull(), F.length(text)).cast("bigint").alias("n_chars"))
 
 
+def _well_taught(docs: DataFrame) -> list[str]:
+    """Languages whose prototype can tell its own texts from others."""
+    long = docs.where(F.col("lang").isNotNull() & (F.length("text") >= LEAST_CHARS))
+    counts = long.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.approx_count_distinct(F.xxhash64("text")).alias("n"))
+    return [r["lang"] for r in counts.where(F.col("n") >= LEAST_TEXTS).collect()]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go; the shortest clean texts are like no language, so a low score is no reason."""
+    """Documents without a letter go, and those with enough trigrams to tell that are like no learned language.
+
+    Short texts stay, as the shortest clean ones are like no language. Nothing is told without a well taught
+    language, nor of documents labelled with one that is not.
+    """
     docs = docs.select(*DOCUMENTS)
-    prototypes = langid.learn(docs, crc_remainder("doc_id", 4) != 2)
-    found = langid.predict(docs, prototypes)
-    return found.where(F.col("lang_pred") != "und").select(*DOCUMENTS)
+    taught = crc_remainder("doc_id", 4) != 2
+    prototypes, good = langid.learn(docs, taught), _well_taught(docs.where(taught))
+    poor = [k for k in prototypes if k not in good]
+    found = langid.predict(docs, prototypes, grams_col="n_trigrams")
+    strange = (F.col("n_trigrams") >= LEAST_TRIGRAMS) & (F.col("score") < LEAST_SCORE) & F.lit(bool(good)) & ~F.coalesce(F.col("lang").cast("string").isin(poor), F.lit(False))
+    return found.where((F.col("lang_pred") != "und") & ~strange).select(*DOCUMENTS)
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,9 +75,9 @@ class Vectors:
             out *= table[index]
         return out.astype(np.float32)
 
-    def bundle(self, texts: list[str]) -> np.ndarray:
-        """A row for each text. Sums of whole numbers, exact in double precision."""
-        counted = [ngrams(t, self.n) for t in texts]
+    def bundle(self, texts: list[str], counted: list[tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
+        """A row for each text. Sums of whole numbers, exact in double precision. counted: the texts' n-grams, if known."""
+        counted = [ngrams(t, self.n) for t in texts] if counted is None else counted
         out = np.zeros((len(texts), self.dim))
         if not sum(len(k) for k, _ in counted):
             return out
@@ -140,7 +140,7 @@ def learn(docs: DataFrame, taught: Column, text_col: str = "text", lang_col: str
     return found
 
 
-def _predict(prototypes: dict[str, np.ndarray], text_at: int, dim: int, n: int, seed: int):
+def _predict(prototypes: dict[str, np.ndarray], text_at: int, dim: int, n: int, seed: int, grams_col: str | None):
     names = sorted(prototypes)
     unit = np.array([prototypes[k] / np.linalg.norm(prototypes[k]) for k in names]).reshape(len(names), dim)
 
@@ -148,7 +148,8 @@ def _predict(prototypes: dict[str, np.ndarray], text_at: int, dim: int, n: int,
         for batch in batches:
             texts = batch.column(0).field(text_at).to_pylist()
             for lo, hi in _slices(texts):
-                found = vectors(dim, n, seed).bundle([t or "" for t in texts[lo:hi]])
+                counted = [ngrams(t or "", n) for t in texts[lo:hi]]
+                found = vectors(dim, n, seed).bundle(texts[lo:hi], counted)
                 size = np.linalg.norm(found, axis=1)
                 if names:
                     cosines = np.round((found @ unit.T) / np.maximum(size, 1e-9)[:, None], 12)
@@ -159,15 +160,23 @@ def _predict(prototypes: dict[str, np.ndarray], text_at: int, dim: int, n: int,
                     score = np.where(has, score, 0.0)
                 else:
                     lang, score = ["und"] * (hi - lo), np.zeros(hi - lo)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["row", "lang_pred", "score"])
+                columns = {"row": batch.column(0).slice(lo, hi - lo), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())}
+                if grams_col:
+                    columns[grams_col] = pa.array([len(k) for k, _ in counted], pa.int64())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", dim: int = DIM, n: int = N, seed: int = SEED) -> DataFrame:
-    """All columns of docs, and lang_pred and score, which replace columns of these names."""
-    docs = docs.drop("lang_pred", "score")
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", dim: int = DIM, n: int = N, seed: int = SEED, grams_col: str | None = None) -> DataFrame:
+    """All columns of docs, and lang_pred and score, which replace columns of these names.
+
+    grams_col: one more column of this name, the number of different n-grams; up to n = 3, 0 only without a letter.
+    """
+    added = ["lang_pred", "score", *([grams_col] if grams_col else [])]
+    docs = docs.drop(*added)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs.select(row.alias("row")).mapInArrow(_predict(prototypes, docs.columns.index(text_col), dim, n, seed), f"row struct<{fields}>, lang_pred string, score double")
-    return out.select("row.*", "lang_pred", "score")
+    counts = f", `{grams_col}` bigint" if grams_col else ""
+    out = docs.select(row.alias("row")).mapInArrow(_predict(prototypes, docs.columns.index(text_col), dim, n, seed, grams_col), f"row struct<{fields}>, lang_pred string, score double{counts}")
+    return out.select("row.*", *[F.col(f"`{c}`") for c in added])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+import random
+
 import corpus_pipeline
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +36,24 @@ def test_stages_keep_odd_rows(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_language_stage_tells_strange_texts(spark):
+    """Long texts of no learned language go, short clean texts stay."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*DOCUMENTS).where("text rlike '[A-Za-z]'")
+    rng = random.Random(3)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(3000))
+    russian = "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства."
+    odd = [letters, base64.b64encode(rng.randbytes(2000)).decode(), russian]
+    rows = [(1_000_000 + i, text, lang, "odd", len(text)) for i, (text, lang) in enumerate([*((t, None) for t in odd), (letters[::-1], "en"), ("A.", "en"), ("Des enberge die enver.", "de"), ("ж", None)])]
+    kept = corpus_pipeline.STAGES[0][1](spark, docs.union(spark.createDataFrame(rows, docs.schema)), SF)
+    assert sorted(r["text"] for r in kept.where("source = 'odd'").collect()) == sorted(["A.", "Des enberge die enver.", "ж"])
+    assert kept.where("source <> 'odd'").count() == docs.where("source <> 'odd'").count()
+
+
+def test_language_stage_judges_by_well_taught_languages_only(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*DOCUMENTS).where("lang = 'es' AND text rlike '[A-Za-z]'")
+    thin = [(3, "Zwölf Boxkämpfer jagen Viktor quer über den großen Sylter Deich", "de", "thin", 63), (5, "Falsches Üben von Xylophonmusik quält jeden größeren Zwerg, sagt der müde Nachbar im Hof", "de", "thin", 88)]
+    few = spark.createDataFrame(thin, docs.schema)
+    assert corpus_pipeline.STAGES[0][1](spark, docs.limit(3).union(few), SF).count() == 5
+    assert corpus_pipeline.STAGES[0][1](spark, docs.union(few), SF).where("source = 'thin'").count() == 2
