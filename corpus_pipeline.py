@@ -36,7 +36,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without a letter go, and those with enough trigrams to tell that are like no learned language.
 
     Short texts stay, as the shortest clean ones are like no language. Nothing is told without a well taught
-    language, nor of documents labelled with one that is not.
+    language, nor of documents labelled with one that is not: if no language could be learned, only the letters count.
     """
     docs = docs.select(*DOCUMENTS)
     taught = crc_remainder("doc_id", 4) != 2
@@ -44,7 +44,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     poor = [k for k in prototypes if k not in good]
     found = langid.predict(docs, prototypes, grams_col="n_trigrams")
     strange = (F.col("n_trigrams") >= LEAST_TRIGRAMS) & (F.col("score") < LEAST_SCORE) & F.lit(bool(good)) & ~F.coalesce(F.col("lang").cast("string").isin(poor), F.lit(False))
-    return found.where((F.col("lang_pred") != "und") & ~strange).select(*DOCUMENTS)
+    return found.where((F.col("n_trigrams") > 0) & ~strange).select(*DOCUMENTS)
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

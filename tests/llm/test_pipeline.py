@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import random
+import zlib
 
 import corpus_pipeline
 
@@ -57,3 +58,14 @@ def test_language_stage_judges_by_well_taught_languages_only(spark):
     few = spark.createDataFrame(thin, docs.schema)
     assert corpus_pipeline.STAGES[0][1](spark, docs.limit(3).union(few), SF).count() == 5
     assert corpus_pipeline.STAGES[0][1](spark, docs.union(few), SF).where("source = 'thin'").count() == 2
+
+
+def test_language_stage_without_a_learned_language(spark):
+    """An unlabelled corpus, and one whose labelled rows are all held out, lose only what has no letter."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    texts = ["plain words stay here", "другие слова " * 40, "A.", "1234", "", None]
+    unlabelled = spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in enumerate(texts)], schema)
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2]
+    held_out = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in zip(held, texts, strict=False)], schema)
+    for docs in (unlabelled, held_out):
+        assert sorted(r["text"] for r in corpus_pipeline.STAGES[0][1](spark, docs, SF).collect()) == sorted(texts[:3])
