@@ -52,11 +52,23 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return _documents(lines.dedup_lines(docs.select(*DOCUMENTS)), "kept_text")
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each id and text, in the order of ids; null without an id."""
+    pairs = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("tag")).distinct()
+    ordered = staged(pairs, "pairs").repartitionByRange("doc_id", "tag").sortWithinPartitions("doc_id", "tag")
+    numbers = staged(ordered.withColumn("number", F.monotonically_increasing_id()), "numbers")
+    return docs.withColumn("tag", F.xxhash64("text")).join(numbers, ["doc_id", "tag"], "left")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the least id."""
+    """One document of each group of near-duplicates stays, the one with the least id. Texts that share an id are told apart."""
     docs = docs.select(*DOCUMENTS)
-    going = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(going, "doc_id", "left_anti").select(*DOCUMENTS)
+    tags = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi"))
+    key = "doc_id"
+    if not tags.where("lo < hi").isEmpty():
+        docs, key = staged(_numbered(docs), "numbered"), "number"
+    going = minhash.near_duplicates(docs, id_col=key).where(~F.col("kept")).select(key).distinct()
+    return docs.join(going, key, "left_anti").select(*DOCUMENTS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

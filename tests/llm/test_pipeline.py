@@ -69,3 +69,13 @@ def test_language_stage_without_a_learned_language(spark):
     held_out = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in zip(held, texts, strict=False)], schema)
     for docs in (unlabelled, held_out):
         assert sorted(r["text"] for r in corpus_pipeline.STAGES[0][1](spark, docs, SF).collect()) == sorted(texts[:3])
+
+
+def test_near_dedup_tells_texts_of_one_id_apart(spark):
+    words = [f"w{i}" for i in range(200)]
+    first, near, other = " ".join(words), " ".join([*words[:-2], "x", "y"]), " ".join(f"v{i}" for i in range(200))
+    rows = [(1, first), (5, near), (5, other), (5, first), (9, other), (None, first), (7, None), (7, "1"), (8, other), (8, other), (3, " ".join(f"u{i}" for i in range(50)))]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], schema).repartition(3)
+    kept = corpus_pipeline.STAGES[2][1](spark, docs, SF).collect()
+    assert sorted(str((r["doc_id"], r["text"])) for r in kept) == sorted(str(rows[i]) for i in (0, 2, 5, 6, 7, 10))
