@@ -5,8 +5,9 @@ so queries are sent once for each block of candidates, not once for each candida
 few blocks. A search gives the best of a pair of blocks, and the best of those are kept for each query.
 
 A vector takes part if it has an id, is not null and has no null or non-finite component; shorter vectors count as
-ending in zeros. Rows that share an id are never each other's results; equal query rows count as one query. Fewer
-candidates than asked for: all of them. No queries or no candidates: no rows.
+ending in zeros. Rows that share an id are never each other's results; equal query rows count as one query. Different
+vectors of one query id are all searched, and what they find is ranked together. Fewer candidates than asked for:
+all of them. No queries or no candidates: no rows.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def search(queries: DataFrame, candidates: DataFrame, dim: int, kernel: Callable
                 number, found, score = kernel(own, q, ids, c)
                 yield pa.RecordBatch.from_arrays([pa.array(own[number]), pa.array(found, pa.int64()), pa.array(score, arrow_type)], names=["query_id", "vec_id", "score"])
 
-    asked = queries.dropDuplicates(["id"]).repartition(max(1, -(-queries.count() // query_rows)), "id")
+    asked = queries.dropDuplicates(["id", "vec"]).repartition(max(1, -(-queries.count() // query_rows)), "id", "vec")
     sent = packed(asked, dim, query_rows).select(F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
     pairs = sent.join(candidates, "block").select("q_ids", "q_vecs", "ids", "vecs")
     best = pairs.mapInArrow(run, f"query_id bigint, vec_id bigint, score {score_type}")

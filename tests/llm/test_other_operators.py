@@ -143,3 +143,12 @@ def test_quality(spark):
     assert quality.learn(docs, marked.limit(0), F.lit(True)) is None
     assert {r["score"] for r in quality.score(docs, None).collect()} == {0.5}
     assert quality.score(docs.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize("search", [topk.top_products, ann.nearest])
+def test_all_vectors_of_a_query_id_are_searched(spark, search):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 2.0]), (3, [-1.0, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    found = search(df, df.where("vec_id = 0"), k=3).orderBy("rank").collect()
+    unit = 64 * 64 if search is topk.top_products else 1
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found] == [(0, 1, 1, 3 * unit), (0, 2, 2, 2 * unit), (0, 3, 1, 0)]
