@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,30 +124,35 @@ def _hazard_fit(s: SparkSession, d: str) -> DataFrame:
     return hazard.fit_hazard(cells, {"dbin": "0", "severity": "0", "era": f"{C.eras[-1][0]}-{C.eras[-1][1]}", "channel": top["channel"], "family": top["family"]})
 
 
-def _spread(s: SparkSession, d: str) -> DataFrame:
+def _spread(s: SparkSession, d: str, method: str = "multinomial") -> DataFrame:
     cum = _cum(s, d)
-    draws = bootstrap.prediction_draws(cum, chainladder.fit(cum, C), C)
+    draws = bootstrap.prediction_draws(cum, chainladder.fit(cum, C), C, method)
     return intervals.with_spread(backtest.replay(cum, C), draws)
 
 
-def _scales(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _scales(s: SparkSession, d: str, method: str = "multinomial") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows with sigma, drift scales and the net dispersion."""
-    rows = _spread(s, d).persist()
+    rows = _spread(s, d, method).persist()
     kappa = intervals.drift_scale(rows, intervals.phi_centred(rows))
     with_sigma = intervals.with_sigma(rows, kappa)
     return with_sigma, kappa, intervals.phi_net(with_sigma)
 
 
-def _intervals(s: SparkSession, d: str) -> DataFrame:
-    rows, _, phi = _scales(s, d)
+def _intervals(s: SparkSession, d: str, method: str = "multinomial") -> DataFrame:
+    rows, _, phi = _scales(s, d, method)
     return intervals.with_coverage(intervals.simulate(rows, phi, C))
 
 
-def _interval_scale(s: SparkSession, d: str) -> DataFrame:
-    rows, kappa, phi = _scales(s, d)
+def _interval_scale(s: SparkSession, d: str, method: str = "multinomial") -> DataFrame:
+    rows, kappa, phi = _scales(s, d, method)
     return kappa.join(phi.withColumnRenamed("phi", "phi_net"), "stream").join(intervals.phi_uncentred(rows), "stream").join(intervals.phi_centred(rows).withColumnRenamed("phi", "phi_centred"), "stream")
 
 
+def _by_method(plan: Callable[[SparkSession, str, str], DataFrame]) -> Run:
+    """The plan's rows under each bootstrap method."""
+    return lambda s, d: reduce(DataFrame.unionByName, [plan(s, d, m).withColumn("method", F.lit(m)) for m in bootstrap.METHODS])
+
+
 def _live(s: SparkSession, d: str) -> DataFrame:
     """Intervals of the cohorts that still develop at the cutoff, with scales from the replay."""
     _, kappa, phi = _scales(s, d)
@@ -160,11 +166,11 @@ def _live(s: SparkSession, d: str) -> DataFrame:
 
 
 def _bands(s: SparkSession, d: str) -> DataFrame:
-    """5 and 95 % points of the resampled nowcasts, by both methods."""
+    """5 and 95 % points of the resampled nowcasts, by both methods, at every origin of the replay and the current cutoff."""
     cum, out = _cum(s, d), None
     curves = chainladder.fit(cum, C)
     for method in bootstrap.METHODS:
-        draws = bootstrap.prediction_draws(cum, curves, C, method, F.col("cutoff").isin(C.last_origin, C.cutoff)).withColumn("method", F.lit(method))
+        draws = bootstrap.prediction_draws(cum, curves, C, method, F.col("cutoff").between(C.first_origin, C.last_origin) | (F.col("cutoff") == C.cutoff)).withColumn("method", F.lit(method))
         out = draws if out is None else out.unionByName(draws)
     each = out.select("method", "stream", "cutoff", "t", "h", "c_obs", F.explode("draws").alias("x"))
     return each.groupBy("method", "stream", "cutoff", "t", "h", "c_obs").agg(F.percentile("x", F.lit(0.05)).alias("lo"), F.percentile("x", F.lit(0.95)).alias("hi"))
@@ -351,6 +357,9 @@ SELECT arm, target, CASE WHEN target = 0 THEN {C.z_threshold} ELSE (SELECT max(i
     "interval_scale": Query(_interval_scale, "stream:s h:i kappa:f phi:f phi_centred:f phi_net:f"),
     "replayed_intervals": Query(_intervals, "stream:s cutoff:i t:i h:i c_obs:i n_hat:f realized:i lo90:f lo50:f sim_median:f hi50:f hi90:f cov90:b cov50:b train:b"),
     "coverage": Query(lambda s, d: backtest.coverage(_intervals(s, d)), "stream:s n:i cov90:f cov50:f"),
+    "interval_scale_by_method": Query(_by_method(_interval_scale), "method:s stream:s h:i kappa:f phi:f phi_centred:f phi_net:f"),
+    "replayed_intervals_by_method": Query(_by_method(_intervals), "method:s stream:s cutoff:i t:i h:i c_obs:i n_hat:f realized:i lo90:f lo50:f sim_median:f hi50:f hi90:f cov90:b cov50:b train:b"),
+    "coverage_by_method": Query(_by_method(lambda s, d, m: backtest.coverage(_intervals(s, d, m))), "method:s stream:s n:i cov90:f cov50:f"),
     "coverage_gate": Query(lambda s, d: backtest.coverage_gate(backtest.coverage(_intervals(s, d))), "passed:b least:f most:f"),
     "coverage_matrix": Query(lambda s, d: reports.coverage_matrix(_intervals(s, d)), "stream:s h:i gap90:f gap50:f"),
     "live_intervals": Query(_live, "stream:s cutoff:i t:i h:i c_obs:i n_hat:f lo90:f lo50:f sim_median:f hi50:f hi90:f degenerate:b"),
