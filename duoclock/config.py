@@ -25,7 +25,7 @@ class DelayConfig:
     top_families: int = 8
     min_group: int = 100
     draws: int = 500
-    seed: int = 20260723
+    seed: int = 41
     base_years: int = 5
     z_threshold: float = 3.0
     min_stream_rows: int = 60

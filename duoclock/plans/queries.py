@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -14,6 +13,7 @@ from ..config import ORDERS as C
 from ..functions.months import month_label, parse_month_label
 from ..operators import backtest, bootstrap, chainladder, descriptive, hazard, ingest, intervals, surveillance, variants
 from ..operators.triangle import as_known_at, cumulative, dense, triangle, with_streams
+from ..shared import new_folder
 from ..shipping import ship
 from ..sources import tsv
 from ..streaming import replay as stream
@@ -192,13 +192,13 @@ def _recent_replay(s: SparkSession, d: str) -> DataFrame:
         F.when(F.col("l_quantity") >= 50, 3).when(F.col("l_returnflag") == "R", 2).when(F.col("l_returnflag") == "A", 1).otherwise(0).alias("severity"),
     )
     cells = stream.streaming_triangle(with_delays(typed, C, FLOOR_YEAR).where("consumer"), C)
-    name = "cells_" + next(tempfile._get_candidate_names())
-    folder = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    stream.run_available(cells, name, f"{folder}/{name}").awaitTermination()
+    folder = new_folder(s, "cells")
+    name = "cells_" + folder[-32:]
+    stream.run_available(cells, name, folder).awaitTermination()
     return s.table(name)
 
 
-_TSV_LINE = {1: "cast(l_orderkey AS string)", 3: "concat(' ', lower(p_brand), ' ')", 5: "''", 6: "CASE WHEN l_returnflag = 'A' THEN ' y ' ELSE 'N' END", 7: "date_format(o_orderdate, 'yyyyMMdd')", 8: "'N'", 9: "CASE WHEN l_returnflag = 'R' THEN '2' ELSE 'x' END", 10: "CASE WHEN l_quantity >= 50 THEN '1' ELSE '' END", 11: "concat(lower(p_type), ':part:', cast(l_linenumber AS string))", 16: "date_format(l_shipdate, 'yyyyMMdd')", 20: "lower(o_orderpriority)"}
+_TSV_LINE = {1: "cast(l_orderkey AS string)", 3: "concat(' ', lower(p_brand), ' ')", 5: "''", 6: "CASE WHEN l_returnflag = 'A' THEN ' y ' ELSE 'N' END", 7: "date_format(o_orderdate, 'yyyyMMdd')", 8: "'N'", 9: "CASE WHEN l_returnflag = 'R' THEN '2' WHEN l_linenumber = 6 THEN 'NaN' WHEN l_linenumber = 5 THEN '99999999999999999999' ELSE 'x' END", 10: "CASE WHEN l_quantity >= 50 THEN '1' ELSE '' END", 11: "concat(lower(p_type), ':part:', cast(l_linenumber AS string))", 16: "concat(date_format(l_shipdate, 'yyyyMMdd'), CASE WHEN l_linenumber = 4 THEN '123' WHEN l_linenumber = 3 THEN '123456789123' ELSE '' END)", 20: "lower(o_orderpriority)"}
 
 
 def _tsv(s: SparkSession, d: str) -> DataFrame:
@@ -207,7 +207,7 @@ def _tsv(s: SparkSession, d: str) -> DataFrame:
     rows = read("lineitem").join(read("orders"), F.expr("l_orderkey = o_orderkey")).join(read("part"), F.expr("l_partkey = p_partkey"))
     fields = [F.expr(_TSV_LINE.get(i, "'-'")) for i in range(tsv.N_FIELDS)]
     line = F.when(F.col("l_linenumber") == 7, F.concat_ws("\t", *fields[:-1])).otherwise(F.concat_ws("\t", *fields))
-    folder = (s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()) + "/tsv-" + next(tempfile._get_candidate_names())
+    folder = new_folder(s, "tsv")
     rows.select(line.alias("value")).write.text(folder)
     return tsv.typed_rows(tsv.scan_lines(s, folder))
 
@@ -271,7 +271,7 @@ QUERIES: dict[str, Query] = {
         "WITH " + o.FLG + "\nSELECT severity, count(*) AS n, avg(beyond_cap::INT) AS beyond_cap_share FROM flg WHERE consumer AND mature GROUP BY GROUPING SETS ((severity), ())"),
     "tsv_round_trip": Query(
         _tsv, "odino:i receipt:d incident:d ldate_i:i make:s channel:s family:s severity:i crash:b fire:b injured:i deaths:i",
-        "WITH " + o.REC + ", z AS (SELECT *, l_returnflag, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_linenumber <> 7)\nSELECT l_orderkey AS odino, l_shipdate::DATE AS receipt, o_orderdate::DATE AS incident, strftime(l_shipdate, '%Y%m%d')::INT AS ldate_i, upper(p_brand) AS make, upper(o_orderpriority) AS channel, upper(p_type) AS family, CASE WHEN l_quantity >= 50 THEN 3 WHEN l_returnflag = 'R' THEN 2 WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS severity, l_returnflag = 'A' AS crash, false AS fire, CASE WHEN l_returnflag = 'R' THEN 2 ELSE 0 END AS injured, CASE WHEN l_quantity >= 50 THEN 1 ELSE 0 END AS deaths FROM z"),
+        "WITH " + o.REC + ", z AS (SELECT *, l_returnflag, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_linenumber <> 7)\nSELECT l_orderkey AS odino, CASE WHEN l_linenumber NOT IN (3, 4) THEN l_shipdate::DATE END AS receipt, o_orderdate::DATE AS incident, CASE WHEN l_linenumber <> 3 THEN (strftime(l_shipdate, '%Y%m%d') || CASE WHEN l_linenumber = 4 THEN '123' ELSE '' END)::BIGINT END AS ldate_i, upper(p_brand) AS make, upper(o_orderpriority) AS channel, upper(p_type) AS family, CASE WHEN l_quantity >= 50 THEN 3 WHEN l_returnflag = 'R' THEN 2 WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS severity, l_returnflag = 'A' AS crash, false AS fire, CASE WHEN l_returnflag = 'R' THEN 2 ELSE 0 END AS injured, CASE WHEN l_quantity >= 50 THEN 1 ELSE 0 END AS deaths FROM z"),
     "month_labels": Query(
         lambda s, d: records(s, d).select("cohort_p").distinct().withColumn("label", month_label(F.col("cohort_p"))).withColumn("back", parse_month_label(F.col("label"))), "cohort_p:i label:s back:i",
         "WITH " + o.FLG + "\nSELECT DISTINCT cohort_p, strftime(date_trunc('month', incident), '%Y-%m') AS label, cohort_p AS back FROM flg"),

@@ -34,11 +34,13 @@ def parse_audit(lines: DataFrame) -> DataFrame:
 def typed_rows(lines: DataFrame, ordinals: dict[str, int] = ORDINALS) -> DataFrame:
     """One typed row for each good line; what can't be read is null, counts and texts that are missing are 0 and empty."""
     raw = lines.where(~F.col("bad")).select("file", "ord", *[F.get("fields", F.lit(i)).alias(k) for k, i in ordinals.items()])
-    count = lambda c: F.coalesce(F.expr(f"try_cast(trim({c}) AS double)"), F.lit(0.0)).cast("int")
+    # a number that no bigint holds is as missing as one that can't be read
+    count = lambda c: F.coalesce(F.expr(f"try_cast(try_cast(trim({c}) AS double) AS bigint)"), F.lit(0).cast("bigint"))
+    date = lambda c: F.expr(f"try_cast({c} AS bigint)")
     typed = raw.select(
         "file", "ord",
         F.expr("try_cast(odino AS bigint)").alias("odino"),
-        F.expr("try_cast(ldate AS bigint)").cast("int").alias("ldate_i"), F.expr("try_cast(faildate AS bigint)").cast("int").alias("faildate_i"),
+        date("ldate").alias("ldate_i"), date("faildate").alias("faildate_i"),
         F.expr("CASE WHEN ldate RLIKE '^[0-9]{8}$' THEN cast(try_to_timestamp(ldate, 'yyyyMMdd') AS date) END").alias("receipt"),
         F.expr("CASE WHEN faildate RLIKE '^[0-9]{8}$' THEN cast(try_to_timestamp(faildate, 'yyyyMMdd') AS date) END").alias("incident"),
         yes_flag(F.col("crash")).alias("crash"), yes_flag(F.col("fire")).alias("fire"), count("injured").alias("injured"), count("deaths").alias("deaths"),

@@ -59,6 +59,19 @@ def test_scan_and_collapse(spark, folder):
     assert (counts["rows_kept"], counts["unique_ids"], counts["incident_missing"]) == (4006, 4, 3)
 
 
+def test_dirty_fields_are_missing(spark, tmp_path):
+    """Numbers too large for their type, NaN, signs and texts never stop a job."""
+    odd = ["20200101123", "99999999999999999999", "NaN", "inf", "-1", "1e3", " 2 ", "x", ""]
+    rows = [line(**FULL | {"odino": str(i), "ldate": v, "faildate": v, "injured": v, "deaths": v}) for i, v in enumerate(odd)]
+    rows.append(line(**FULL | {"odino": "99999999999999999999"}))
+    (tmp_path / "dirty.txt").write_text("\n".join(rows))
+    got = sorted(tsv.typed_rows(tsv.scan_lines(spark, f"{tmp_path}/dirty.txt")).collect(), key=lambda r: (r["odino"] is None, r["odino"]))
+    assert [r["ldate_i"] for r in got] == [20200101123, None, None, None, -1, None, 2, None, None, 20200301]
+    assert [r["injured"] for r in got] == [20200101123, 0, 0, 0, -1, 1000, 2, 0, 0, 0]
+    assert [r["severity"] for r in got] == [3, 0, 0, 0, 0, 3, 3, 0, 0, 0]
+    assert all(r["receipt"] is None for r in got[:-1]) and got[-1]["odino"] is None
+
+
 def test_collapse_ignores_partitions(spark, folder):
     rows = tsv.typed_rows(tsv.scan_lines(spark, f"{folder}/R_*.txt")).withColumnRenamed("odino", "id").cache()
     assert sorted(map(str, ingest.collapse(rows).collect())) == sorted(map(str, ingest.collapse(rows.repartition(7)).collect()))
