@@ -1,31 +1,15 @@
-"""Pieces the operators share: staged tables, salted splits and hashed words."""
+"""Pieces the operators share: staged tables and 128-bit fingerprints of words and runs of words."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
-from functools import cache
+import hashlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ASCII_SPACE = " \t\n\x0b\f\r"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
+from ..shared import new_folder
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage is cut and a lost executor costs nothing."""
@@ -40,25 +24,6 @@ def crc_remainder(key: str, modulus: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % modulus
 
 
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    base = 0x9E3779B97F4A7C15
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        p = np.full(n, b, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(12, n.bit_length())
-    p, q = _powers(size) if size <= 1 << 20 else _powers.__wrapped__(size)
-    return p[:n], q[:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser."""
     h = h ^ (h >> np.uint64(30))
@@ -82,26 +47,60 @@ def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(turn == -1), np.flatnonzero(turn == 1)
 
 
+#: Odd multipliers, one for each half of a fingerprint, and words of more bytes than this are hashed one by one.
+_FACTORS, _LONG = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)), 32
+_KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+
+
 def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit fingerprint of each word, the same on every machine."""
+    """A 128-bit fingerprint of each word, as two rows of 64 bits; the same on every machine.
+
+    Eight bytes at a time go through a mixer that is one-to-one in them, so words of up to eight bytes never
+    collide; words of more than 32 bytes have a cryptographic hash.
+    """
+    sizes = ends - starts
+    out = np.empty((2, len(starts)), np.uint64)
     if not len(starts):
-        return np.empty(0, np.uint64)
-    raw = np.frombuffer(data, np.uint8)
-    p, q = powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * p[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * q[starts] + (ends - starts).astype(np.uint64))
+        return out
+    eights = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), 0, (1,))
+    for half, factor in zip(out, _FACTORS, strict=True):
+        half[:] = mix(sizes.astype(np.uint64) * factor)
+    here = np.flatnonzero(sizes <= _LONG)
+    for at in range(0, _LONG, 8):
+        here = here[sizes[here] > at] if at else here
+        if not len(here):
+            break
+        part = eights[starts[here] + at] & _KEEP[np.minimum(sizes[here] - at, 8)]
+        for half, factor in zip(out, _FACTORS, strict=True):
+            half[here] = mix((half[here] ^ part) * factor)
+    for i in np.flatnonzero(sizes > _LONG).tolist():
+        out[:, i] = np.frombuffer(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=16).digest(), "<u8")
+    return out
+
+
+def joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Fingerprints of what stands one after another, from those of its two parts."""
+    return np.stack([mix(a * factor + b) for a, b, factor in zip(first, second, _FACTORS, strict=True)])
 
 
 def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """A fingerprint of each run of k words, by its first word's position."""
-    n = len(words)
+    """A fingerprint of each run of k words, by its first word's position; two rows, as the words' own.
+
+    Runs of 1, 2, 4 and so on words are joined two and two, and k is put together from those.
+    """
+    n = words.shape[1]
     if n < k:
-        return np.empty(0, np.uint64)
-    p, q = powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * p[:n], out=total[1:])
-    return mix((total[k:] - total[:-k]) * q[: n - k + 1])
+        return np.empty((2, 0), np.uint64)
+    power, size, done, covered = words, 1, None, 0
+    while True:
+        if k & size:
+            part = power[:, covered : covered + n - k + 1]
+            done = part if done is None else joined(done, part)
+            covered += size
+        if covered == k:
+            return done
+        power = joined(power[:, :-size], power[:, size:])
+        size *= 2
 
 
 def release(spark: SparkSession) -> None:

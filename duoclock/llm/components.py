@@ -9,6 +9,7 @@ from .common import staged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
+    """Each node's greater neighbours go to the least of its neighbours and itself."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     # stored, so that the partition of a node with very many neighbours can be split in the join
     least = staged(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
@@ -16,24 +17,31 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
+    """Each node and its smaller neighbours go to the least of those."""
     least = staged(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     rest = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _is_settled(edges: DataFrame) -> bool:
-    """Each node has one parent, and no parent has one."""
-    return edges.groupBy("u").count().where("count > 1").union(edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi").select("u", F.lit(0).cast("bigint"))).isEmpty()
+def _summary(edges: DataFrame) -> tuple:
+    """Number and checksums of the edges, from a scan."""
+    key = F.xxhash64("u", "v")
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(key), F.sum(key.bitwiseAND(F.lit((1 << 32) - 1)))).first())
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for each node of the undirected edges that isn't its component's least node.
 
-    Null ends, loops and repeated edges are ignored.
+    Null ends, loops and repeated edges are ignored. Steps go on until one changes nothing.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} <> {b}").distinct()
     now = staged(pairs, "edges")
-    while not _is_settled(now):
+    before = _summary(now)
+    while before[0]:
         # a large step keeps the ties of what is joined already, as each node holds on to its group's least node
-        now = staged(_small_star(_large_star(now)), "edges")
+        now = staged(_small_star(staged(_large_star(now), "edges")), "edges")
+        after = _summary(now)
+        if after == before:
+            break
+        before = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -1,20 +1,19 @@
 """Near-duplicates by min-max hashing.
 
-A document's set is that of its distinct k-word shingles, as 64-bit fingerprints. Under each of `perms`
+A document's set is that of its distinct k-word shingles, as 128-bit fingerprints. Under each of `perms`
 permutations both the least and the greatest value are kept, which gives two nearly independent samples for one
 evaluation; runs of `rows` of them make the band keys. With 40 bands of 6, a pair at similarity 0.8 shares no key
 with a chance of about 5e-6.
 
-Documents with equal sets are one class, and only its least id goes on. Members of a bucket are compared with one
-pivot of the bucket, the one that shares most keys with others, by their full sets; what it links becomes one
-component. While the members left outside would make many pairs, a bucket gets further pivots out of those.
+Documents with equal sets are one class, and only its least id goes on. Each bucket of documents that share a key
+has a pivot, the member that shares most keys with others; members are compared with their pivots by full sets, and
+what is linked becomes one component. Where that leaves many members outside, their groups get a further pivot.
 
-What then shares a bucket across components is settled exactly without comparing texts for each pair. With each
-member stands what its set and the pivot's don't share, D, as its size and a bitmap of hashed elements. For two
-members x and y, |x ^ y| = |Dx ^ Dy|, and the bitmaps bound that from below: elements of Dx on bits that Dy lacks
-aren't in Dy. Only pairs that the bound leaves possible are compared. In a group of n copies of one text this bound
-refutes nearly all that isn't a link, as copies differ from the pivot each in its own way. So about n comparisons
-are made for a group, and no link that a key has shown is lost.
+What then shares a pivot across components is found exactly by an inverted index, not pair by pair. Let D be what a
+member's set and the pivot's don't share. For two members x and y, |x ^ y| = |Dx ^ Dy|, so x and y can be similar
+enough only if Dx and Dy have so many elements in common, and then two prefixes of them, rarest elements first, share
+one. Members are joined on those, and pairs that sizes, places in the prefixes and bitmaps of D leave possible are
+compared by full sets. No link that a key has shown is lost.
 
 A-Z count as a-z; words are runs of other characters than ASCII white space; fewer than k words make one shingle;
 no words (or null text) an empty set, which links with nothing. A null id links with nothing; its component is
@@ -23,6 +22,7 @@ null. Rows with one id and different texts are looked at each for itself, under
 
 from __future__ import annotations
 
+import hashlib
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -35,15 +35,36 @@ from .common import mix, release, run_hashes, staged, word_bounds, word_hashes
 from .components import connected_components
 
 WORDS, PER_CENT, BANDS, ROWS, SEED = 5, 80, 40, 6, 11
-#: Pivots that a bucket gets at most, and bits of a bitmap.
-PIVOTS, BITS = 3, 512
+#: Further pivots that a group gets at most, and bits of a bitmap.
+MORE_PIVOTS, BITS = 2, 512
 
 
 def shingles(text: str, k: int) -> np.ndarray:
-    """Sorted distinct fingerprints of the text's k-word shingles."""
+    """Distinct fingerprints of the text's k-word shingles, as two rows, sorted by the first and then the second."""
     data = text.encode("utf-8", "surrogatepass").lower()
     words = word_hashes(data, *word_bounds(data))
-    return np.unique(run_hashes(words, min(k, len(words)))) if len(words) else words
+    found = run_hashes(words, min(k, words.shape[1])) if words.shape[1] else words
+    found = found[:, np.argsort(found[0], kind="stable")]
+    again = np.flatnonzero(found[0, 1:] == found[0, :-1])
+    if len(again) and (found[1, again] != found[1, again + 1]).any():
+        found = found[:, np.lexsort((found[1], found[0]))]
+    new = np.ones(found.shape[1], bool)
+    new[1:] = (found[:, 1:] != found[:, :-1]).any(axis=0)
+    return found[:, new]
+
+
+def apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """First halves of the fingerprints that are in one set only."""
+    both = np.concatenate((p, q), axis=1)
+    both = both[:, np.argsort(both[0], kind="stable")]
+    same = both[0, 1:] == both[0, :-1]
+    if (both[1, 1:] != both[1, :-1])[same].any():  # halves collide: whole fingerprints in order
+        both = both[:, np.lexsort((both[1], both[0]))]
+        same = (both[:, 1:] == both[:, :-1]).all(axis=0)
+    alone = np.ones(both.shape[1], bool)
+    alone[1:] &= ~same
+    alone[:-1] &= ~same
+    return both[0, alone]
 
 
 class MinMax:
@@ -78,22 +99,29 @@ def _sign(k: int, bands: int, rows: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minmax = MinMax(bands, rows, seed)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 sizes, prints, keys = [], [], []
                 for text in part.column(1).to_pylist():
                     found = shingles(text or "", k)
-                    sizes.append(len(found))
-                    with np.errstate(over="ignore"):
-                        prints.append((int(np.add.reduce(mix(found)).view(np.int64)), int(np.bitwise_xor.reduce(mix(found ^ np.uint64(0xA5A5A5A5A5A5A5A5))).view(np.int64))) if len(found) else (0, 0))
-                    keys.append(minmax.keys(found) if len(found) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array([p for p, _ in prints], pa.int64()), pa.array([p for _, p in prints], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "f1", "f2", "keys"])
+                    sizes.append(found.shape[1])
+                    prints.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                    keys.append(minmax.keys(found[0]) if found.shape[1] else None)
+                halves = np.frombuffer(b"".join(prints), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "f1", "f2", "keys"])
 
     return run
 
 
-def _compare(k: int, per_cent: int):
-    """For the two texts of a row: whether their full sets are similar enough, and what they don't share (size, bitmap)."""
+def _bits(items: np.ndarray) -> np.ndarray:
+    out = np.zeros(BITS // 64, np.uint64)
+    place = items % np.uint64(BITS)
+    np.bitwise_or.at(out, (place >> np.uint64(6)).astype(int), np.uint64(1) << (place & np.uint64(63)))
+    return out.view(np.int64)
+
+
+def _compare(k: int, per_cent: int, with_items: bool):
+    """For two texts, x and y: sizes of their sets, whether they are similar enough, and what only one of them has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: OrderedDict[str, np.ndarray] = OrderedDict()
@@ -108,84 +136,101 @@ def _compare(k: int, per_cent: int):
             return found
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                linked, sizes = [], []
-                bits = np.zeros((part.num_rows, BITS // 64), np.uint64)
-                for i, (x, y) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sizes_x, sizes_y, linked, counts, bits, items = [], [], [], [], [], []
+                for x, y in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     p, q = of(x or ""), of(y or "")
-                    apart = np.setxor1d(p, q, assume_unique=True)
-                    common = (len(p) + len(q) - len(apart)) // 2
-                    linked.append(common > 0 and 100 * common >= per_cent * (len(p) + len(q) - common))
-                    sizes.append(len(apart))
-                    place = apart % np.uint64(BITS)
-                    np.bitwise_or.at(bits[i], (place >> np.uint64(6)).astype(int), np.uint64(1) << (place & np.uint64(63)))
-                lists = pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * (BITS // 64), bits.ravel().view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int64()), lists], names=["a", "b", "linked", "apart", "bits"])
+                    alone = apart(p, q)
+                    n, m = p.shape[1], q.shape[1]
+                    common = (n + m - len(alone)) // 2
+                    sizes_x.append(n)
+                    sizes_y.append(m)
+                    linked.append(common > 0 and 100 * common >= per_cent * (n + m - common))
+                    counts.append(len(alone))
+                    bits.append(_bits(alone))
+                    items.append(alone.view(np.int64) if with_items else None)
+                columns = [part.column(0), *(pa.array(c, pa.int64()) for c in (sizes_x, sizes_y)), pa.array(linked, pa.bool_()), pa.array(counts, pa.int64()), pa.array(bits, pa.list_(pa.int64()))]
+                names = ["row", "n", "m", "linked", "apart", "bits"]
+                if with_items:
+                    columns.append(pa.array(items, pa.list_(pa.int64())))
+                    names.append("items")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, per_cent: int) -> DataFrame:
-    """(a, b, linked, apart, bits) for distinct pairs of ids."""
-    first = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
-    second = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    rows = pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y")
-    return staged(rows.mapInArrow(_compare(k, per_cent), "a bigint, b bigint, linked boolean, apart bigint, bits array<bigint>"), "verified")
-
-
-def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, with their component c, of the buckets that have several components."""
-    c = members.join(labels, members["id"] == labels["node"], "left").select(*members.columns, F.coalesce("component", "id").alias("c"))
-    several = c.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    return staged(c.join(staged(several, "several"), "key"), "open")
-
-
-def _pivots(members: DataFrame) -> DataFrame:
-    """(key, pivot): each bucket's member that shares most keys with others, ties to the least id."""
-    shared = staged(members.groupBy("key").count(), "sizes").join(members, "key").groupBy("id").agg(F.sum("count").alias("weight"))
-    best = members.join(staged(shared, "weights"), "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("neg"))).alias("p"))
-    return staged(best.select("key", (-F.col("p.neg")).alias("pivot")), "pivots")
-
-
-def _pivot_pairs(members: DataFrame, pivots: DataFrame) -> DataFrame:
-    pairs = members.join(pivots, "key").where("id <> pivot")
-    return pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-
-
-def _cross_pairs(members: DataFrame, pivots: DataFrame, verified: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs that share a bucket, are of different components, and may be similar enough by their distance from its pivot."""
-    zero = F.array(*[F.lit(0).cast("bigint")] * (BITS // 64))
-    at = members.join(pivots, "key").withColumn("a", F.least("id", "pivot")).withColumn("b", F.greatest("id", "pivot"))
-    placed = staged(at.join(verified, ["a", "b"], "left").select("key", "id", "n", "c", F.coalesce("apart", F.lit(0)).alias("d"), F.coalesce("bits", zero).alias("bits")), "placed")
-    other = placed.select("key", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "c", "d", "bits")])
-    own = lambda x, y: " + ".join(f"bit_count({x}[{i}] & ~{y}[{i}])" for i in range(BITS // 64))
-    least = f"d + d2 - 2 * least(d - ({own('bits', 'bits2')}), d2 - ({own('bits2', 'bits')}))"
-    possible = f"100 * least(n, n2) >= {per_cent} * greatest(n, n2) AND {100 + per_cent} * ({least}) <= {100 - per_cent} * (n + n2)"
-    pairs = placed.join(other, "key").where(f"id < id2 AND c <> c2 AND {possible}")
-    return pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-
-
-def _links(members: DataFrame, texts: DataFrame, k: int, per_cent: int) -> DataFrame:
-    """(a, b): links that join all documents of each component, out of those that share a bucket."""
-    pivots = _pivots(members)
-    first = _verified(staged(_pivot_pairs(members, pivots), "pairs"), texts, k, per_cent)
-    tested = first.select("a", "b", "linked")
-    labels = connected_components(tested.where("linked"))
-    everyone = members.count()
-    left = _open_members(members, labels)
-    for _ in range(1, PIVOTS):
-        main = left.join(pivots, (left["key"] == pivots["key"]) & (left["id"] == pivots["pivot"])).select(left["key"], F.col("c").alias("main"))
-        rest = staged(left.join(staged(main, "main"), "key").where("c <> main").select("key", "id", "n"), "rest")
-        pairs = rest.groupBy("key").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0
-        if pairs <= everyone:
+def _compared(pairs: DataFrame, texts: DataFrame, k: int, per_cent: int, with_items: bool = False) -> DataFrame:
+    """The pairs (x, y and other columns) with n, m, linked, apart, bits and, if wanted, items."""
+    first = texts.select(F.col("id").alias("x"), F.col("text").alias("_x"))
+    second = texts.select(F.col("id").alias("y"), F.col("text").alias("_y"))
+    rows = pairs.join(first, "x").join(second, "y").select(F.struct(*pairs.columns).alias("row"), "_x", "_y")
+    fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in pairs.schema)
+    out = rows.mapInArrow(_compare(k, per_cent, with_items), f"row struct<{fields}>, n bigint, m bigint, linked boolean, apart bigint, bits array<bigint>" + (", items array<bigint>" if with_items else ""))
+    return staged(out.select("row.*", *out.columns[1:]), "compared")
+
+
+def _pivot_pairs(reps: DataFrame) -> DataFrame:
+    """(x, weight, y): documents and the pivots of their buckets. weight: how often the document's keys occur."""
+    listed = reps.select("id", "n", F.explode("keys").alias("key"))
+    # what a join is with stands in a table of its own, so that Spark can split the partition of a hot key
+    sizes = staged(listed.groupBy("key").count().where("count > 1"), "sizes")
+    members = staged(listed.join(sizes, "key").groupBy("id", "n").agg(F.sum("count").alias("weight"), F.collect_list("key").alias("keys")), "members")
+    each = members.select(F.col("id").alias("x"), "weight", F.explode("keys").alias("key"))
+    pivots = staged(each.groupBy("key").agg(F.max(F.struct("weight", (-F.col("x")).alias("neg"))).alias("p")).select("key", (-F.col("p.neg")).alias("y")), "pivots")
+    return staged(each.join(pivots, "key").where("x <> y").select("x", "weight", "y").distinct(), "pairs")
+
+
+def _with_components(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs with the components cx and cy of their ends."""
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    found = pairs.join(of("x"), "x", "left").join(of("y"), "y", "left")
+    return found.withColumns({"cx": F.coalesce("cx", "x"), "cy": F.coalesce("cy", "y")})
+
+
+def _further_links(compared: DataFrame, labels: DataFrame, texts: DataFrame, k: int, per_cent: int) -> DataFrame | None:
+    """Links across components among documents that have a pivot in common; None: there can be none."""
+    tested, links, round_ = compared.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), None, 0
+    while True:
+        placed = staged(_with_components(compared, labels), "placed")
+        rest = placed.where("cx <> cy")
+        count = rest.groupBy("y").count().agg(F.sum("count"), F.sum(F.col("count") * (F.col("count") - 1))).first()
+        if not count[0]:
+            return links
+        if round_ == MORE_PIVOTS or count[1] <= 8 * count[0]:
             break
-        more = staged(_pivot_pairs(rest, _pivots(rest)).join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = staged(tested.union(_verified(more, texts, k, per_cent).select("a", "b", "linked")), "tested")
-        labels = connected_components(tested.where("linked"))
-        left = _open_members(members, labels)
-    cross = staged(_cross_pairs(left, pivots, first, per_cent).join(tested, ["a", "b"], "left_anti"), "pairs")
-    return tested.union(_verified(cross, texts, k, per_cent).select("a", "b", "linked")).where("linked").select("a", "b")
+        round_ += 1
+        best = staged(rest.groupBy("y").agg(F.max(F.struct("weight", (-F.col("x")).alias("neg"))).alias("p")).select("y", (-F.col("p.neg")).alias("next")), "pivots")
+        more = rest.join(best, "y").where("x <> next").select(F.least("x", "next").alias("x"), F.greatest("x", "next").alias("y")).distinct()
+        found = _compared(staged(more.join(tested, ["x", "y"], "left_anti"), "pairs"), texts, k, per_cent).select("x", "y", "linked")
+        tested = tested.union(found.select("x", "y"))
+        new = found.where("linked").select("x", "y")
+        links = new if links is None else links.union(new)
+        labels = connected_components(labels.select(F.col("node").alias("x"), F.col("component").alias("y")).union(new), "x", "y")
+    pairs = _index_pairs(placed, texts, k, per_cent).join(tested, ["x", "y"], "left_anti")
+    new = _compared(staged(pairs, "pairs"), texts, k, per_cent).where("linked").select("x", "y")
+    return new if links is None else links.union(new)
+
+
+def _index_pairs(placed: DataFrame, texts: DataFrame, k: int, per_cent: int) -> DataFrame:
+    """(x, y): pairs of one pivot and different components that may be similar enough, by an index of rare differences."""
+    open_ = staged(placed.where("cx <> cy").select("y").distinct(), "open")
+    rows = _compared(placed.join(open_, "y").select("x", "y", "cx"), texts, k, per_cent, with_items=True)
+    rows = rows.withColumn("tag", F.xxhash64("items"))
+    # the least that D has in common with that of a similar document of another component; partners of what is linked to the pivot are not
+    side = F.when(F.col("linked"), F.col("n") - F.col("m")).otherwise(F.col("n") + F.col("m"))
+    need = F.greatest(F.lit(1), F.ceil(((100 + per_cent) * F.col("apart") - (100 - per_cent) * side) / F.lit(2 * (100 + per_cent)) - 1e-9)).cast("int")
+    wanted = rows.withColumn("upto", F.greatest(F.lit(0), F.col("apart").cast("int") - need + 1)).drop("m", "linked")
+    listed = wanted.select("y", "x", "tag", F.explode("items").alias("item"))
+    often = staged(listed.groupBy("y", "item").count(), "often")
+    order = listed.join(often, ["y", "item"]).groupBy("y", "x", "tag").agg(F.sort_array(F.collect_set(F.struct("count", "item"))).alias("order"))
+    ranked = wanted.drop("items").join(order, ["y", "x", "tag"]).select("y", "x", "cx", "n", "apart", "bits", F.posexplode(F.slice("order", F.lit(1), F.col("upto"))).alias("at", "e"))
+    index = staged(ranked.where("e.count > 1").select("y", "x", "cx", "n", "apart", "bits", "at", F.col("e.item").alias("item")), "index")
+    other = index.select("y", "item", *[F.col(c).alias(f"{c}2") for c in ("x", "cx", "n", "apart", "bits", "at")])
+    own = lambda a, b: " + ".join(f"bit_count({a}[{i}] & ~{b}[{i}])" for i in range(BITS // 64))
+    shared = f"least(apart - at, apart2 - at2, apart - ({own('bits', 'bits2')}), apart2 - ({own('bits2', 'bits')}))"
+    possible = f"100 * least(n, n2) >= {per_cent} * greatest(n, n2) AND {100 + per_cent} * (apart + apart2 - 2 * {shared}) <= {100 - per_cent} * (n + n2)"
+    return index.join(other, ["y", "item"]).where(f"x < x2 AND cx <> cx2 AND {possible}").select("x", F.col("x2").alias("y")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, per_cent: int = PER_CENT, bands: int = BANDS, rows: int = ROWS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,16 +238,19 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, per_cent: int = PER_CENT, b
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = staged(texts.mapInArrow(_sign(k, bands, rows, seed), "id bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>"), "signatures")
     real = signed.where("n > 0 and id is not null")
-    classes = staged(real.groupBy("f1", "f2").agg(F.min("id").alias("rep")), "classes")
-    reps = real.join(classes, (real["f1"] == classes["f1"]) & (real["f2"] == classes["f2"]) & (real["id"] == classes["rep"])).select("id", "n", "keys")
-    listed = reps.select("id", "n", F.explode("keys").alias("key"))
-    shared = staged(listed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "shared")
-    members = staged(listed.join(shared, "key"), "members")
+    classes = staged(real.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("id").alias("last")), "classes")
+    reps = staged(real.join(classes.select("f1", "f2", F.col("rep").alias("id")), ["f1", "f2", "id"], "left_semi").select("id", "n", "keys"), "reps")
+    compared = _compared(_pivot_pairs(reps), texts, k, per_cent)
     release(docs.sparkSession)
 
-    labels = connected_components(_links(members, texts, k, per_cent))
+    labels = connected_components(compared.where("linked"), "x", "y")
+    if not compared.where("not linked").isEmpty():
+        more = _further_links(compared, labels, texts, k, per_cent)
+        if more is not None:
+            labels = connected_components(labels.select(F.col("node").alias("x"), F.col("component").alias("y")).union(more), "x", "y")
     release(docs.sparkSession)
-    by_set = classes.join(labels, classes["rep"] == labels["node"], "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
-    out = signed.where("n > 0").join(by_set, ["f1", "f2"], "left").select("id", "n", "component").union(signed.where("n = 0").select("id", "n", F.col("id")))
-    out = out.select("id", "n", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+
+    several = classes.where("rep < last").select("f1", "f2", "rep")
+    out = signed.select("id", "n", "f1", "f2").join(several, ["f1", "f2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+    out = out.join(labels, F.col("rep") == F.col("node"), "left").select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
