@@ -79,8 +79,8 @@ def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 
 def joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Fingerprints of what stands one after another, from those of its two parts."""
-    return np.stack([mix(a * factor + b) for a, b, factor in zip(first, second, _FACTORS, strict=True)])
+    """Fingerprints of what stands one after another, from those of its two parts; one row or both."""
+    return np.stack([mix(a * factor + b) for a, b, factor in zip(first, second, _FACTORS[: len(first)], strict=True)])
 
 
 def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -90,7 +90,7 @@ def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """
     n = words.shape[1]
     if n < k:
-        return np.empty((2, 0), np.uint64)
+        return words[:, :0]
     power, size, done, covered = words, 1, None, 0
     while True:
         if k & size:

@@ -1,18 +1,22 @@
 """Substring dedup by seed and extend.
 
 Every window of `length` words has an anchor: the least of the fingerprints of the runs of `seed_words` words in it
-(winnowing), so equal windows have equal anchors at equal places, and one run in eighteen or so is an anchor.
-Documents are joined on anchors. A match is extended both ways from its anchor: first over the whole block of
-windows that share the anchor, by one fingerprint of all its words, which settles all but the ends of repeats; then,
-for one holder of each different block of an anchor, window by window. The windows found, put together, are the
-maximal repeats of at least `length` words, and words in them go from every document but the one with the least id.
+(winnowing), so equal windows have equal anchors at equal places, and one run in eighteen or so is an anchor. The
+windows of a document that have one anchor are a block. Documents are joined on anchors:
 
-All steps group by fingerprints with pre-aggregation, so a passage in a third of all documents costs a row a task,
-and no pairs of documents are made. Fingerprints have 64 bits.
+* Equal blocks are one, and the document with the least id holds it; in the others it is repeated as a whole.
+* Where an anchor has different blocks, each holder's block is laid on that of the least id at the anchor, and the
+  match is extended word by word to the left and to the right. Windows inside the match are repeats.
+* Windows outside it can still be repeats of a third document; those are compared by their fingerprints.
+
+Repeated windows that touch, put together, are the maximal repeats of at least `length` words, and words in them go
+from every document but the one with the least id. Every anchor has one block that others are laid on, and grouping
+is pre-aggregated, so a passage in a third of all documents costs a row a task, and no pairs of documents are made.
+Blocks and windows have fingerprints of 128 bits.
 
 Words are runs of other characters than ASCII white space; null text has none. Only a smaller id takes words away:
 rows that share an id take none from each other. A row with a null id loses nothing and takes nothing. A text of
-under `length` words stays. No rows: no rows.
+under `length` words stays. Very long texts are worked on whole, in memory in proportion to the text. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -24,21 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, powers, release, run_hashes, staged, word_bounds, word_hashes
+from .common import joined, mix, release, run_hashes, staged, word_bounds, word_hashes
 
 LENGTH, SEED_WORDS = 50, 16
+SPANS = "id bigint, tag bigint, first int, count int, w1 bigint, w2 bigint"
 
 
-def words_of(text: str) -> np.ndarray:
-    data = text.encode("utf-8", "surrogatepass")
+def words_of(data: bytes) -> np.ndarray:
     return word_hashes(data, *word_bounds(data))
 
 
 def anchors(words: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The fingerprints of runs of k words, and for each window of `length` words the place of its anchor's first word."""
-    runs = run_hashes(words, k)
+    runs = run_hashes(words[:1], k)[0]
     span = length - k + 1
-    out = np.empty(len(words) - length + 1, np.int64)
+    out = np.empty(words.shape[1] - length + 1, np.int64)
     view = np.lib.stride_tricks.sliding_window_view(runs, span)
     for at in range(0, len(out), 4096):
         part = view[at : at + 4096]
@@ -47,48 +51,99 @@ def anchors(words: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndar
 
 
 def blocks(words: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: the anchor's fingerprint, that of all words, first window, number of windows."""
-    if len(words) < length:
-        empty = np.empty(0, np.int64)
-        return empty, empty, empty, empty
+    """Anchor's fingerprint, both halves of the block's, first window, number of windows, words before the anchor."""
+    if words.shape[1] < length:
+        return (np.empty(0, np.int64),) * 6
     runs, place = anchors(words, length, k)
     first = np.flatnonzero(np.diff(place, prepend=-1))
-    count = np.diff(first, append=len(place))
-    p, q = powers(len(words) + 1)
-    total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * p[: len(words)], out=total[1:])
-    whole = (total[first + count + length - 1] - total[first]) * q[first]
-    whole = mix(whole + mix((place[first] - first).astype(np.uint64) * np.uint64(1 << 32) + count.astype(np.uint64)))
-    return runs[place[first]].view(np.int64), whole.view(np.int64), first, count
+    count, lead = np.diff(first, append=len(place)), place[first] - first
+    # a block has fewer windows than a window has words: its first and last window hold all its words
+    windows = run_hashes(words, length)
+    whole = joined(windows[:, first], windows[:, first + count - 1]) ^ mix(lead.astype(np.uint64) * np.uint64(1 << 32) + count.astype(np.uint64))
+    return runs[place[first]].view(np.int64), whole[0].view(np.int64), whole[1].view(np.int64), first, count, lead
 
 
 def _find_blocks(length: int, k: int):
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = [blocks(words_of(t or ""), length, k) for t in part.column(2).to_pylist()]
-                row = np.repeat(np.arange(part.num_rows), [len(x[0]) for x in found])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [blocks(words_of((t or "").encode("utf-8", "surrogatepass")), length, k) for t in part.column(2).to_pylist()]
+                row = pa.array(np.repeat(np.arange(part.num_rows), [len(x[0]) for x in found]))
                 columns = [np.concatenate(x) for x in zip(*found, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True))], names=["id", "tag", "anchor", "block", "first", "count"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["id", "tag", "anchor", "b1", "b2", "first", "count", "lead"])
 
     return run
 
 
-def _windows(length: int):
-    """The windows of the blocks given, with their fingerprints."""
+def _cut_out(length: int):
+    """The words of the blocks given, joined by one space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                places, prints = [], []
-                for text, spans in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    wanted = np.unique(np.concatenate([np.arange(s["first"], s["first"] + s["count"]) for s in spans]))
-                    places.append(wanted)
-                    prints.append(run_hashes(words_of(text), length)[wanted])
-                row = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in places]))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(prints).view(np.int64))], names=["id", "tag", "at", "window"])
+                rows, spans, parts = [], [], []
+                for i, (text, wanted) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
+                    words = text.encode("utf-8", "surrogatepass").split()
+                    rows += [i] * len(wanted)
+                    spans += wanted
+                    parts += [b" ".join(words[s["first"] : s["first"] + s["count"] + length - 1]) for s in wanted]
+                row = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(row), part.column(1).take(row), pa.array([s["anchor"] for s in spans], pa.int64()), *(pa.array([s[c] for s in spans], pa.int32()) for c in ("first", "count", "lead")), pa.array(parts, pa.binary())],
+                    names=["id", "tag", "anchor", "first", "count", "lead", "words"],
+                )
+
+    return run
+
+
+def match(x: list[bytes], at_x: int, y: list[bytes], at_y: int, k: int) -> tuple[int, int]:
+    """How many words before and after the seeds at these places are equal; (-1, -1) if the seeds aren't."""
+    if x[at_x : at_x + k] != y[at_y : at_y + k]:
+        return -1, -1
+    left = right = 0
+    while left < min(at_x, at_y) and x[at_x - left - 1] == y[at_y - left - 1]:
+        left += 1
+    at_x, at_y = at_x + k, at_y + k
+    while at_x + right < len(x) and at_y + right < len(y) and x[at_x + right] == y[at_y + right]:
+        right += 1
+    return left, right
+
+
+def _extend(length: int, k: int):
+    """From blocks laid on one other: the windows that are repeats, as runs, and those left open, with fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                rows, starts, counts, prints = [], [], [], []
+                columns = [part.column(c).to_pylist() for c in ("id", "first", "count", "lead", "words", "id2", "lead2", "words2")]
+                for i, (id_, first, count, lead, words, id2, lead2, words2) in enumerate(zip(*columns, strict=True)):
+                    left, right = match(words.split(b" "), lead, words2.split(b" "), lead2, k)
+                    lo, hi = max(0, lead - left), min(count, lead + k + right - length + 1)  # the windows inside the match
+                    if left < 0 or hi <= lo:
+                        lo = hi = 0
+                    elif id_ > id2:
+                        rows.append(i)
+                        starts.append(first + lo)
+                        counts.append(hi - lo)
+                        prints.append((None, None))
+                    if hi - lo < count:
+                        w = run_hashes(words_of(words), length)[:, :count].view(np.int64).T.tolist()
+                        for j in (*range(lo), *range(hi, count)):
+                            rows.append(i)
+                            starts.append(first + j)
+                            counts.append(1)
+                            prints.append(w[j])
+                row = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id").take(row), part.column("tag").take(row), pa.array(starts, pa.int32()), pa.array(counts, pa.int32()), pa.array([p for p, _ in prints], pa.int64()), pa.array([p for _, p in prints], pa.int64())],
+                    names=["id", "tag", "first", "count", "w1", "w2"],
+                )
 
     return run
 
@@ -96,8 +151,8 @@ def _windows(length: int):
 def _remove(length: int, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 counts, removed, kept = [], [], []
                 for text, spans in zip(part.column(0).field(text_at).to_pylist(), part.column(1).to_pylist(), strict=True):
                     words = (text or "").encode("utf-8", "surrogatepass").split()
@@ -121,21 +176,25 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed_words: int = SEED_WORDS,
     spark = docs.sparkSession
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.select("id", F.xxhash64("text").alias("tag"), "text")
-    found = staged(texts.mapInArrow(_find_blocks(length, seed_words), "id bigint, tag bigint, anchor bigint, block bigint, first int, count int"), "blocks")
+    found = staged(texts.mapInArrow(_find_blocks(length, seed_words), "id bigint, tag bigint, anchor bigint, b1 bigint, b2 bigint, first int, count int, lead int"), "blocks")
     # what a join is with stands in a table of its own, so that Spark can split the partition of a hot key
-    shared = found.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), (F.min("block") < F.max("block")).alias("differs")).where("lo < hi")
-    shared = staged(shared.select("anchor", "differs"), "shared")
-    seeds = staged(found.join(shared, "anchor").drop("anchor"), "seeds")
-    holders = staged(seeds.groupBy("block").agg(F.min("id").alias("holder")), "holders")
-    held = staged(seeds.join(holders, "block").where("id > holder or differs").select("id", "tag", "first", "count", (F.col("id") > F.col("holder")).alias("gone")), "held")
+    differs = (F.min("b1") < F.max("b1")) | (F.min("b2") < F.max("b2"))
+    shared = staged(found.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), differs.alias("differs")).where("lo < hi").select("anchor", "differs"), "shared")
+    seeds = staged(found.join(shared, "anchor"), "seeds")
+    holders = staged(seeds.groupBy("b1", "b2").agg(F.min("id").alias("holder")), "holders")
+    held = staged(seeds.join(holders, ["b1", "b2"]).where("id > holder or differs").select("id", "tag", "anchor", "first", "count", "lead", (F.col("id") > F.col("holder")).alias("gone")), "held")
     release(spark)
-    by_doc = held.where("not gone").groupBy("id", "tag").agg(F.collect_list(F.struct("first", "count")).alias("spans"))
-    open_windows = texts.join(by_doc, ["id", "tag"]).select("id", "tag", "text", "spans")
-    windows = staged(open_windows.mapInArrow(_windows(length), "id bigint, tag bigint, at int, window bigint"), "windows")
+    by_doc = held.where("not gone").groupBy("id", "tag").agg(F.collect_list(F.struct("anchor", "first", "count", "lead")).alias("spans"))
+    laid = texts.join(by_doc, ["id", "tag"]).select("id", "tag", "text", "spans")
+    cut = staged(laid.mapInArrow(_cut_out(length), "id bigint, tag bigint, anchor bigint, first int, count int, lead int, words binary"), "cut")
+    base = staged(cut.groupBy("anchor").agg(F.min(F.struct("id", "first", "lead", "words")).alias("b")).select("anchor", F.col("b.id").alias("id2"), F.col("b.lead").alias("lead2"), F.col("b.words").alias("words2")), "base")
+    extended = staged(cut.join(base, "anchor").drop("anchor").mapInArrow(_extend(length, seed_words), SPANS), "extended")
     release(spark)
-    firsts = staged(windows.groupBy("window").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("window", "lo"), "firsts")
-    late = windows.join(firsts, "window").where("id > lo").select("id", "tag", F.col("at").alias("first"), F.lit(1).alias("count"))
-    spans = held.where("gone").select("id", "tag", "first", "count").union(late)
+    windows = extended.where("w1 is not null")
+    firsts = staged(windows.groupBy("w1", "w2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("w1", "w2", "lo"), "firsts")
+    late = windows.join(firsts, ["w1", "w2"]).where("id > lo")
+    parts = [held.where("gone"), extended.where("w1 is null"), late]
+    spans = parts[0].select("id", "tag", "first", "count").union(parts[1].select("id", "tag", "first", "count")).union(parts[2].select("id", "tag", "first", "count"))
     out = staged(spans.distinct().groupBy("id", "tag").agg(F.collect_list(F.struct("first", "count")).alias("spans")), "repeats")
     release(spark)
     return out
@@ -148,6 +207,6 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, seed_words: int = SE
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema)
     marked = docs.select(row.alias("_row"), F.col(id_col).cast("bigint").alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_tag"))
-    joined = marked.join(gone, (F.col("_id") == F.col("_gone_id")) & (F.col("_tag") == F.col("_gone_tag")), "left").select("_row", "spans")
-    out = joined.mapInArrow(_remove(length, docs.columns.index(text_col)), f"row struct<{fields}>, n_words bigint, n_removed bigint, kept_text string")
+    joined_rows = marked.join(gone, (F.col("_id") == F.col("_gone_id")) & (F.col("_tag") == F.col("_gone_tag")), "left").select("_row", "spans")
+    out = joined_rows.mapInArrow(_remove(length, docs.columns.index(text_col)), f"row struct<{fields}>, n_words bigint, n_removed bigint, kept_text string")
     return out.select("row.*", "n_words", "n_removed", "kept_text")

@@ -118,6 +118,40 @@ def test_near_duplicates_of_a_hidden_centre(spark):
     assert len({r["component_id"] for r in got}) == 1
 
 
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two different words of n letters on which hashes that are sums of powers of an odd base modulo 2**64 agree."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_sums_of_powers_confuse(spark):
+    one, other = thue_morse(2048)
+    near = spark.createDataFrame([(1, f"{one} tail"), (2, f"{other} tail")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(near, k=2).collect()} == {1: 1, 2: 2}
+    before, after = " ".join(f"b{i}" for i in range(30)), " ".join(f"a{i}" for i in range(30))
+    rows = [(1, f"{before} {one} {after}"), (2, f"{before} {other} {after}"), (3, f"{before} {other} {after}")]
+    got = {r["doc_id"]: r["n_removed"] for r in substring.dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 61}
+
+
+def test_near_duplicates_across_pivots(spark):
+    """Groups with a common core: links between documents that no pivot is linked to, and none where there is none."""
+    rng = random.Random(21)
+    core, rows = prose(rng, 100), []
+    for family in range(6):  # families are under 0.8 to each other and share many keys
+        own = core + prose(rng, 28)
+        for member in range(5):
+            copy = list(own)
+            for _ in range(rng.randrange(0, 9)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            rows.append((100 * family + member, " ".join(copy)))
+    rows += [(1000 + i, " ".join(core + prose(rng, 26 + i % 3))) for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for k in (1, 2):
+        got = minhash.near_duplicates(frame, k=k).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows, k, 80)
+
+
 def test_near_duplicates_of_nothing(empty):
     assert minhash.near_duplicates(empty).count() == 0
 
