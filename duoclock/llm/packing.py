@@ -6,7 +6,9 @@ the first sequence with room, which a tournament tree of the sequences' free roo
 Then sequences that stay open are taken apart, the emptiest first, and their pieces cut to fill the others, so
 that a group ends with one open sequence at most.
 
-Groups are drawn by a hash of id and text, so no key can make one large; each is packed alone, in bounded memory.
+Groups are drawn by a hash of id, text and the row's place, so neither a key nor repeated rows can make one large;
+each is packed alone, in bounded memory. The draw changes the sequences only, so it may differ between runs whose
+files are split otherwise.
 Null text is an empty document, of one separator. Equal rows are packed each for itself. No rows: no pieces.
 A null id keeps its pieces, with a null id. Sequence ids are the group's number times 2**32 plus a count.
 """
@@ -113,7 +115,7 @@ def byte_encoder(path: str) -> TextEncoder:
         ids = ids_of(word)
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    return TextEncoder(entry, b"".join, specials, lambda token: struct.pack("<I", token))
+    return TextEncoder(entry, b"".join, specials, lambda token: struct.pack("<I", token), lambda words: [*map(entry, words)])
 
 
 def _cut_documents(path: str, capacity: int, separator: int):
@@ -124,11 +126,13 @@ def _cut_documents(path: str, capacity: int, separator: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 counts, blocks, tails = [], [], []
-                for text in part.column(2).to_pylist():
-                    data = b"".join(encoder.encode(text)) + end
+                texts = part.column(2).to_pylist()
+                encoder.prepare(texts)
+                for text in texts:
+                    data = encoder.encode(text) + end
                     full = len(data) // step * step
                     counts.append(len(data) // 4)
                     blocks.append([zlib.crc32(data[i : i + step]) for i in range(0, full, step)])
@@ -168,6 +172,6 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: int =
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     groups = max(1, -(-docs.select("doc_id").count() // group_docs))
-    drawn = source.select(F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(groups)).alias("grp"), "doc_id", "text")
+    drawn = source.select(F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.monotonically_increasing_id(), "text"), F.lit(groups)).alias("grp"), "doc_id", "text")
     cut = drawn.mapInArrow(_cut_documents(path, capacity, separator), "grp bigint, doc_id bigint, doc_tokens bigint, blocks array<bigint>, tail binary")
     return cut.groupBy("grp").applyInArrow(_pack_group(capacity), PIECES)

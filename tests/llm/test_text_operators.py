@@ -252,6 +252,37 @@ def test_bpe(spark, docs, texts, empty):
     assert bpe.round_trip(empty, TOKENIZER).count() == 0
 
 
+def test_equal_rows_are_dealt_evenly(spark):
+    """10,000 rows of one id and text don't make one group."""
+    same = spark.range(10_000).selectExpr("7L AS doc_id", "'one and the same text' AS text")
+    pieces = packing.pack(same, TOKENIZER, group_docs=1000)
+    groups = [r["n"] for r in pieces.where("start = 0").groupBy((pieces["sequence_id"] / (1 << 32)).cast("bigint").alias("g")).count().withColumnRenamed("count", "n").collect()]
+    assert len(groups) == 10 and sum(groups) == 10_000 and max(groups) < 1200
+
+
+def test_bpe_of_a_long_text_without_spaces(spark):
+    rng = random.Random(6)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=1_000_000)) + "日本語" * 50_000
+    machine = Tokenizer.from_file(TOKENIZER)
+    ids = machine.encode(text, add_special_tokens=False).ids
+    row = bpe.round_trip(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), TOKENIZER).first()
+    assert (row["n_tokens"], row["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+    assert row["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    encoder = bpe.text_encoder(TOKENIZER)
+    encoder.encode(text)
+    assert encoder.chunks.held <= encoder.chunks.limit + 10_000 and max(map(len, encoder.chunks), default=0) <= bpe.LONGEST_KEPT
+
+
+def test_transitions_start_anew():
+    """The table stays within its limit and keeps giving what the gadgets say."""
+    machine = bpe.Automaton.from_file(TOKENIZER)
+    machine.table.limit = 1 << 16
+    rng = random.Random(8)
+    words = list({"".join(rng.choices("aeioustrnlé日", k=rng.randrange(2, 14))) for _ in range(6000)})
+    assert machine.encode_words(words) == [machine.encode_word(w) for w in words]
+    assert len(machine.table.keys) <= 1 << 18
+
+
 def test_small_automaton():
     """All strings over a small alphabet, against merging by rank."""
     merges = [("a", "b"), ("a", "a"), ("ab", "a"), ("aa", "b"), ("b", "b"), ("aba", "ab"), ("bb", "a"), ("aa", "aa")]
@@ -272,6 +303,7 @@ def test_small_automaton():
     for n in range(1, 11):
         for bits in range(1 << n):
             s = "".join("ab"[bits >> i & 1] for i in range(n))
+            assert machine.encode_words([s]) == [machine.encode_word(s)]
             assert [machine.labels[t].decode() for t in machine.encode_word(s)] == merged(s), s
 
 
