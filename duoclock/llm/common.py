@@ -11,14 +11,22 @@ from pyspark.sql import functions as F
 
 from ..shared import new_folder
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage is cut and a lost executor costs nothing."""
+def staged(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: the lineage is cut and a lost executor costs nothing.
+
+    tasks: write with so many at most; for tables evenly dealt by an aggregation, whose rows need no more.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    (df if tasks is None else df.coalesce(tasks)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tasks_for(rows: int, each: int) -> int:
+    """Tasks for so many rows, `each` to a task; a dozen at least. Beyond the number of shuffle partitions it has no effect."""
+    return max(12, -(-rows // each))
+
+
 def crc_remainder(key: str, modulus: int) -> Column:
     """crc32 of the key as text, modulo; null for a null key."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % modulus

@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, release, run_hashes, staged, word_bounds, word_hashes
+from .common import mix, release, run_hashes, staged, tasks_for, word_bounds, word_hashes
 from .components import connected_components
 
 WORDS, PER_CENT, BANDS, ROWS, SEED = 5, 80, 40, 6, 11
-#: Further pivots that a group gets at most, and bits of a bitmap.
-MORE_PIVOTS, BITS = 2, 512
+#: Further pivots that a group gets at most, bits of a bitmap, and documents to a task for tables of about a row a document.
+MORE_PIVOTS, BITS, EACH = 2, 512, 20_000
 
 
 def shingles(text: str, k: int) -> np.ndarray:
@@ -170,15 +170,15 @@ def _compared(pairs: DataFrame, texts: DataFrame, k: int, per_cent: int, with_it
     return staged(out.select("row.*", *out.columns[1:]), "compared")
 
 
-def _pivot_pairs(reps: DataFrame) -> DataFrame:
+def _pivot_pairs(reps: DataFrame, tasks: int) -> DataFrame:
     """(x, weight, y): documents and the pivots of their buckets. weight: how often the document's keys occur."""
     listed = reps.select("id", "n", F.explode("keys").alias("key"))
     # what a join is with stands in a table of its own, so that Spark can split the partition of a hot key
-    sizes = staged(listed.groupBy("key").count().where("count > 1"), "sizes")
-    members = staged(listed.join(sizes, "key").groupBy("id", "n").agg(F.sum("count").alias("weight"), F.collect_list("key").alias("keys")), "members")
+    sizes = staged(listed.groupBy("key").count().where("count > 1"), "sizes", tasks)
+    members = staged(listed.join(sizes, "key").groupBy("id", "n").agg(F.sum("count").alias("weight"), F.collect_list("key").alias("keys")), "members", tasks)
     each = members.select(F.col("id").alias("x"), "weight", F.explode("keys").alias("key"))
-    pivots = staged(each.groupBy("key").agg(F.max(F.struct("weight", (-F.col("x")).alias("neg"))).alias("p")).select("key", (-F.col("p.neg")).alias("y")), "pivots")
-    return staged(each.join(pivots, "key").where("x <> y").select("x", "weight", "y").distinct(), "pairs")
+    pivots = staged(each.groupBy("key").agg(F.max(F.struct("weight", (-F.col("x")).alias("neg"))).alias("p")).select("key", (-F.col("p.neg")).alias("y")), "pivots", tasks)
+    return staged(each.join(pivots, "key").where("x <> y").select("x", "weight", "y").distinct(), "pairs", tasks)
 
 
 def _with_components(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def _with_components(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return found.withColumns({"cx": F.coalesce("cx", "x"), "cy": F.coalesce("cy", "y")})
 
 
-def _further_links(compared: DataFrame, labels: DataFrame, texts: DataFrame, k: int, per_cent: int) -> DataFrame | None:
+def _further_links(compared: DataFrame, labels: DataFrame, texts: DataFrame, k: int, per_cent: int, tasks: int) -> DataFrame | None:
     """Links across components among documents that have a pivot in common; None: there can be none."""
     tested, links, round_ = compared.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), None, 0
     while True:
@@ -200,21 +200,21 @@ def _further_links(compared: DataFrame, labels: DataFrame, texts: DataFrame, k:
         if round_ == MORE_PIVOTS or count[1] <= 8 * count[0]:
             break
         round_ += 1
-        best = staged(rest.groupBy("y").agg(F.max(F.struct("weight", (-F.col("x")).alias("neg"))).alias("p")).select("y", (-F.col("p.neg")).alias("next")), "pivots")
+        best = staged(rest.groupBy("y").agg(F.max(F.struct("weight", (-F.col("x")).alias("neg"))).alias("p")).select("y", (-F.col("p.neg")).alias("next")), "pivots", tasks)
         more = rest.join(best, "y").where("x <> next").select(F.least("x", "next").alias("x"), F.greatest("x", "next").alias("y")).distinct()
-        found = _compared(staged(more.join(tested, ["x", "y"], "left_anti"), "pairs"), texts, k, per_cent).select("x", "y", "linked")
+        found = _compared(staged(more.join(tested, ["x", "y"], "left_anti"), "pairs", tasks), texts, k, per_cent).select("x", "y", "linked")
         tested = tested.union(found.select("x", "y"))
         new = found.where("linked").select("x", "y")
         links = new if links is None else links.union(new)
-        labels = connected_components(labels.select(F.col("node").alias("x"), F.col("component").alias("y")).union(new), "x", "y")
-    pairs = _index_pairs(placed, texts, k, per_cent).join(tested, ["x", "y"], "left_anti")
-    new = _compared(staged(pairs, "pairs"), texts, k, per_cent).where("linked").select("x", "y")
+        labels = connected_components(labels.select(F.col("node").alias("x"), F.col("component").alias("y")).union(new), "x", "y", tasks)
+    pairs = _index_pairs(placed, texts, k, per_cent, tasks).join(tested, ["x", "y"], "left_anti")
+    new = _compared(staged(pairs, "pairs", tasks), texts, k, per_cent).where("linked").select("x", "y")
     return new if links is None else links.union(new)
 
 
-def _index_pairs(placed: DataFrame, texts: DataFrame, k: int, per_cent: int) -> DataFrame:
+def _index_pairs(placed: DataFrame, texts: DataFrame, k: int, per_cent: int, tasks: int) -> DataFrame:
     """(x, y): pairs of one pivot and different components that may be similar enough, by an index of rare differences."""
-    open_ = staged(placed.where("cx <> cy").select("y").distinct(), "open")
+    open_ = staged(placed.where("cx <> cy").select("y").distinct(), "open", tasks)
     rows = _compared(placed.join(open_, "y").select("x", "y", "cx"), texts, k, per_cent, with_items=True)
     rows = rows.withColumn("tag", F.xxhash64("items"))
     # the least that D has in common with that of a similar document of another component; partners of what is linked to the pivot are not
@@ -238,16 +238,17 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, per_cent: int = PER_CENT, b
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = staged(texts.mapInArrow(_sign(k, bands, rows, seed), "id bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>"), "signatures")
     real = signed.where("n > 0 and id is not null")
-    classes = staged(real.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("id").alias("last")), "classes")
-    reps = staged(real.join(classes.select("f1", "f2", F.col("rep").alias("id")), ["f1", "f2", "id"], "left_semi").select("id", "n", "keys"), "reps")
-    compared = _compared(_pivot_pairs(reps), texts, k, per_cent)
+    tasks = tasks_for(signed.count(), EACH)
+    classes = staged(real.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("id").alias("last")), "classes", tasks)
+    reps = staged(real.join(classes.select("f1", "f2", F.col("rep").alias("id")), ["f1", "f2", "id"], "left_semi").select("id", "n", "keys"), "reps", tasks)
+    compared = _compared(_pivot_pairs(reps, tasks), texts, k, per_cent)
     release(docs.sparkSession)
 
-    labels = connected_components(compared.where("linked"), "x", "y")
+    labels = connected_components(compared.where("linked"), "x", "y", tasks)
     if not compared.where("not linked").isEmpty():
-        more = _further_links(compared, labels, texts, k, per_cent)
+        more = _further_links(compared, labels, texts, k, per_cent, tasks)
         if more is not None:
-            labels = connected_components(labels.select(F.col("node").alias("x"), F.col("component").alias("y")).union(more), "x", "y")
+            labels = connected_components(labels.select(F.col("node").alias("x"), F.col("component").alias("y")).union(more), "x", "y", tasks)
     release(docs.sparkSession)
 
     several = classes.where("rep < last").select("f1", "f2", "rep")

@@ -28,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, mix, release, run_hashes, staged, word_bounds, word_hashes
+from .common import joined, mix, release, run_hashes, staged, tasks_for, word_bounds, word_hashes
 
 LENGTH, SEED_WORDS = 50, 16
+#: Rows to a task for tables of a row an anchor.
+EACH = 100_000
 SPANS = "id bigint, tag bigint, first int, count int, w1 bigint, w2 bigint"
 
 
@@ -177,25 +179,26 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed_words: int = SEED_WORDS,
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.select("id", F.xxhash64("text").alias("tag"), "text")
     found = staged(texts.mapInArrow(_find_blocks(length, seed_words), "id bigint, tag bigint, anchor bigint, b1 bigint, b2 bigint, first int, count int, lead int"), "blocks")
+    tasks = tasks_for(found.count(), EACH)
     # what a join is with stands in a table of its own, so that Spark can split the partition of a hot key
     differs = (F.min("b1") < F.max("b1")) | (F.min("b2") < F.max("b2"))
-    shared = staged(found.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), differs.alias("differs")).where("lo < hi").select("anchor", "differs"), "shared")
+    shared = staged(found.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), differs.alias("differs")).where("lo < hi").select("anchor", "differs"), "shared", tasks)
     seeds = staged(found.join(shared, "anchor"), "seeds")
-    holders = staged(seeds.groupBy("b1", "b2").agg(F.min("id").alias("holder")), "holders")
+    holders = staged(seeds.groupBy("b1", "b2").agg(F.min("id").alias("holder")), "holders", tasks)
     held = staged(seeds.join(holders, ["b1", "b2"]).where("id > holder or differs").select("id", "tag", "anchor", "first", "count", "lead", (F.col("id") > F.col("holder")).alias("gone")), "held")
     release(spark)
     by_doc = held.where("not gone").groupBy("id", "tag").agg(F.collect_list(F.struct("anchor", "first", "count", "lead")).alias("spans"))
     laid = texts.join(by_doc, ["id", "tag"]).select("id", "tag", "text", "spans")
     cut = staged(laid.mapInArrow(_cut_out(length), "id bigint, tag bigint, anchor bigint, first int, count int, lead int, words binary"), "cut")
-    base = staged(cut.groupBy("anchor").agg(F.min(F.struct("id", "first", "lead", "words")).alias("b")).select("anchor", F.col("b.id").alias("id2"), F.col("b.lead").alias("lead2"), F.col("b.words").alias("words2")), "base")
+    base = staged(cut.groupBy("anchor").agg(F.min(F.struct("id", "first", "lead", "words")).alias("b")).select("anchor", F.col("b.id").alias("id2"), F.col("b.lead").alias("lead2"), F.col("b.words").alias("words2")), "base", tasks)
     extended = staged(cut.join(base, "anchor").drop("anchor").mapInArrow(_extend(length, seed_words), SPANS), "extended")
     release(spark)
     windows = extended.where("w1 is not null")
-    firsts = staged(windows.groupBy("w1", "w2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("w1", "w2", "lo"), "firsts")
+    firsts = staged(windows.groupBy("w1", "w2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("w1", "w2", "lo"), "firsts", tasks)
     late = windows.join(firsts, ["w1", "w2"]).where("id > lo")
     parts = [held.where("gone"), extended.where("w1 is null"), late]
     spans = parts[0].select("id", "tag", "first", "count").union(parts[1].select("id", "tag", "first", "count")).union(parts[2].select("id", "tag", "first", "count"))
-    out = staged(spans.distinct().groupBy("id", "tag").agg(F.collect_list(F.struct("first", "count")).alias("spans")), "repeats")
+    out = staged(spans.distinct().groupBy("id", "tag").agg(F.collect_list(F.struct("first", "count")).alias("spans")), "repeats", tasks)
     release(spark)
     return out
 
