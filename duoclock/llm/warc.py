@@ -100,8 +100,8 @@ def _write(folder: str, roll_bytes: int, date: str, level: int):
         task, count, archive = TaskContext.get(), 0, None
         try:
             for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
+                for at in range(0, batch.num_rows, 128):
+                    part = batch.slice(at, 128)
                     places = []
                     for page_id, url, payload, digest, kind, refers_to in zip(*(c.to_pylist() for c in part.columns), strict=True):
                         if archive is None or archive.at >= roll_bytes:
@@ -124,10 +124,12 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_revisit: int
     folder = folder or new_folder(pages.sparkSession, "warc")
     p = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumn("digest", F.sha2("payload", 256))
-    long = F.octet_length("payload") >= min_revisit
-    first = p.where(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & long
-    marked = p.join(first, "digest", "left").select("page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
+    # payloads move once, by page and digest; only keys meet on digests, and Spark can split a hot one, as what they meet is stored
+    keys = p.where(F.octet_length("payload") >= min_revisit).select("page_id", "digest")
+    first = staged(keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("digest", "first"), "firsts")
+    again = keys.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).distinct().select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), F.col("first").alias("refers_to"))
+    found = p.join(again, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
+    marked = found.select("page_id", "url", "payload", "digest", F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response").alias("record_type"), "refers_to")
     return staged(marked.mapInArrow(_write(folder, roll_bytes, date, level), INDEX), "warc-index")
 
 
