@@ -6,7 +6,9 @@ but the one with the largest id. Null or empty text is one empty line. Documents
 one id count as one document, and each of them loses that document's dropped keys. A null id counts as a document
 that is smaller than all others. No rows: no rows.
 
-Lines travel as 128-bit hashes; counts are pre-aggregated, so a line in a third of all documents is one row a task.
+Lines travel as 128-bit hashes; counts are pre-aggregated, so a line in a third of all documents is one row a task in
+the count, and the rows of its documents meet it in a join whose hot partition Spark splits. Very long texts are split
+whole; equal hashes of different lines need about 2**64 lines.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 MIN_CHARS, MIN_DOCS = 20, 3
 _EDGE = " \t\n\x0b\f\r"
 
@@ -31,8 +35,8 @@ def line_hash(line: str, min_chars: int) -> bytes | None:
 def _hash_lines(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 ids, keys = [], []
                 for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     found = {h for line in text.split("\n") if (h := line_hash(line, min_chars))}
@@ -46,8 +50,8 @@ def _hash_lines(min_chars: int):
 def _drop_lines(min_chars: int, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 counts, dropped, kept = [], [], []
                 for text, keys in zip(part.column(0).field(text_at).to_pylist(), part.column(1).to_pylist(), strict=True):
                     text = text or ""
@@ -66,8 +70,9 @@ def dropped_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     """(id, keys): the hashes of the lines that each document loses."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     lines = texts.mapInArrow(_hash_lines(min_chars), "id bigint, key binary")
-    held = lines.distinct()
-    common = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
+    # stored, so that lines are hashed once and Spark can split the partition of a hot key
+    held = staged(lines.distinct(), "lines")
+    common = staged(held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).select("key", "keeper"), "common")
     lost = held.join(common, "key").where(~F.col("id").eqNullSafe(F.col("keeper")))
     return lost.groupBy("id").agg(F.collect_list("key").alias("keys"))
 
