@@ -145,6 +145,35 @@ def test_quality(spark):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def test_quality_risk_is_least():
+    """No weights of a fine grid have less risk than those found, where the second part of the risk binds and where not."""
+    rng = np.random.default_rng(5)
+    for prior, gap in ((0.7, 1.0), (0.85, 3.0), (0.3, 1.5)):
+        side = rng.random(800) < prior
+        u = np.column_stack((rng.standard_normal(800) + gap * np.where(side, 1, -1), np.ones(800)))
+        p = np.column_stack((rng.standard_normal(300) + gap, np.ones(300)))
+        loss = lambda z: math.log1p(math.exp(-z))
+
+        def plain(w: tuple[float, float], p=p, u=u, prior=prior) -> float:
+            z = [w[0] * a + w[1] for a, _ in p], [w[0] * a + w[1] for a, _ in u]
+            mean = lambda values: sum(values) / len(values)
+            rest = mean([loss(-v) for v in z[1]]) - prior * mean([loss(-v) for v in z[0]])
+            return prior * mean([loss(v) for v in z[0]]) + max(0.0, rest)
+
+        found = quality.minimise(p, u, prior, steps=1500, decay=0.0)
+        assert quality.risk(p, u, found, prior) == pytest.approx(plain(tuple(found)), abs=1e-9)
+        grid = [(a, b) for a in np.linspace(0, 6, 25) for b in np.linspace(-4, 6, 21)]
+        assert quality.risk(p, u, found, prior) <= min(map(plain, grid)) + 0.01
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.85])
+def test_quality_prior_is_estimated(prior):
+    rng = np.random.default_rng(9)
+    side = rng.random(3000) < prior
+    rows = lambda n, up: np.column_stack((rng.standard_normal((n, 3)) + np.where(up, 2.0, -2.0)[:, None], np.ones(n)))
+    assert quality.class_prior(rows(1500, np.ones(1500, bool)), rows(3000, side)) == pytest.approx(prior, abs=0.05)
+
+
 @pytest.mark.parametrize("search", [topk.top_products, ann.nearest])
 def test_all_vectors_of_a_query_id_are_searched(spark, search):
     rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 2.0]), (3, [-1.0, -1.0])]
