@@ -2,26 +2,33 @@
 
 Vectors get one more component that brings all candidates to one length (queries: zero), so the largest inner product is the
 nearest vector. M Gaussian (2-stable) projections keep distances in proportion: the square of a projected distance
-over that of the true one is chi-square with M degrees of freedom. Each block of candidates has a kd-tree of its
-projections. A query takes the leaves in order of projected distance, some at a time. A vector as near as the k-th best
-so far is projected within a certain reach with probability P: vectors within that reach are verified by their true
-inner products, those beyond are passed over (the reach only shrinks), and the query stops at the first leaf beyond it.
+over that of the true one is chi-square with M degrees of freedom.
 
-Every vector is indexed; scores are inner products of the original vectors in double precision. Zero vectors take no part.
+The projected vectors are indexed by a kd-tree, built and stored once. Its upper splits, which cut space into cells, come
+from at most `SAMPLE` vectors, those of the least hashes; every vector is indexed. Below, each block of a cell has leaves
+with their boxes. A query takes the leaves of a block in order of projected distance. A vector as near as the
+k-th best so far is projected within a certain reach with probability P: vectors within that reach are verified by their
+true inner products, those beyond are passed over (the reach only shrinks), and the query stops at the first leaf beyond
+it. It begins in its own cell and takes its k-th best score to the cells that its reach touches. Queries that are at one
+leaf are worked on together.
+
+Scores are inner products of the original vectors in double precision. Zero vectors take no part.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-from .vectors import clean, dimension, packed, search, top_of
+from .vectors import CELLS, LOWEST, clean, extent, matrix, packed, search, top_of
 
-K, M, P, LEAF, LEAVES, BLOCK_ROWS, SEED = 20, 16, 0.95, 32, 16, 16384, 5
+K, M, P, LEAF, BLOCK_ROWS, SAMPLE, SEED = 20, 16, 0.95, 256, 4096, 16_384, 5
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -51,45 +58,151 @@ def kd_leaves(points: np.ndarray, size: int) -> list[np.ndarray]:
     return [r for r in leaves if len(r)]
 
 
-def _kernel(longest: float, dim: int, k: int, m: int, p: float, leaf: int, seed: int):
-    plane = np.random.default_rng(seed).standard_normal((dim + 1, m))
-    limit = chi_square_quantile(p, m)
-
-    def run(own: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray):
-        lift = np.sqrt(np.maximum(longest**2 - (c * c).sum(axis=1), 0))
-        points = c @ plane[:dim] + lift[:, None] * plane[dim]
+class Splits:
+    """The upper part of the kd-tree: each split halves the sample of a cell at its widest side."""
+
+    def __init__(self, points: np.ndarray, cells: int):
+        self.axis, self.value, self.child = [], [], []  # child: a node, or ~cell
+        self.cells = 0
+        self._split(points, cells)
+
+    def _split(self, points: np.ndarray, cells: int) -> int:
+        spread = np.ptp(points, axis=0) if len(points) else np.zeros(1)
+        if cells <= 1 or not spread.any():
+            self.cells += 1
+            return ~(self.cells - 1)
+        node, side = len(self.axis), int(spread.argmax())
+        middle = float(np.median(points[:, side]))
+        left = points[:, side] < middle
+        if not left.any():  # half of the sample or more stands at its least
+            left = points[:, side] <= middle
+            middle = float(np.nextafter(middle, np.inf))
+        self.axis.append(side)
+        self.value.append(middle)
+        self.child.append([0, 0])
+        self.child[node] = [self._split(points[left], cells // 2), self._split(points[~left], cells - cells // 2)]
+        return node
+
+    def cell(self, points: np.ndarray) -> np.ndarray:
+        if not self.axis:
+            return np.zeros(len(points), np.int64)
+        axis, value, child = np.array(self.axis), np.array(self.value), np.array(self.child)
+        at, open_ = np.zeros(len(points), np.int64), np.arange(len(points))
+        while len(open_):
+            node = at[open_]
+            at[open_] = child[node, (points[open_, axis[node]] >= value[node]).astype(int)]
+            open_ = open_[at[open_] >= 0]
+        return ~at
+
+
+class Projection:
+    def __init__(self, dim: int, longest: float, m: int, p: float, seed: int):
+        self.plane = np.random.default_rng(seed).standard_normal((dim + 1, m))
+        self.dim, self.longest, self.m, self.limit = dim, longest, m, chi_square_quantile(p, m)
+
+    def candidates(self, c: np.ndarray) -> np.ndarray:
+        lift = np.sqrt(np.maximum(self.longest**2 - (c * c).sum(axis=1), 0))
+        return c @ self.plane[: self.dim] + lift[:, None] * self.plane[self.dim]
+
+    def queries(self, q: np.ndarray) -> np.ndarray:
+        return q @ self.plane[: self.dim]
+
+    def reach(self, q: np.ndarray, floors: np.ndarray) -> np.ndarray:
+        """The squared projected distance within which better scores are looked for."""
+        base = (q * q).sum(axis=1) + self.longest**2
+        return np.where(floors > LOWEST, self.limit * np.maximum(0.0, base - 2 * floors), np.inf)
+
+
+def _distance(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distances of points from boxes, side by side to keep memory small."""
+    out = np.zeros((len(points), len(low)))
+    for a in range(points.shape[1]):
+        x = points[:, a, None]
+        far = np.maximum(0, np.maximum(low[None, :, a] - x, x - high[None, :, a]))
+        out += far * far
+    return out
+
+
+def _finish(projection: Projection, leaf: int):
+    """A block's leaves: the order of its vectors, their projections, where leaves start and their boxes."""
+
+    def run(ids: np.ndarray, vecs: np.ndarray) -> dict[str, np.ndarray]:
+        points = projection.candidates(vecs)
         leaves = kd_leaves(points, leaf)
         order = np.concatenate(leaves)
-        ids, c, points = ids[order], np.ascontiguousarray(c[order]), points[order]
-        ends = np.cumsum([len(x) for x in leaves])
-        starts = np.concatenate(([0], ends[:-1]))
-        low = np.array([points[a:b].min(axis=0) for a, b in zip(starts, ends, strict=True)])
-        high = np.array([points[a:b].max(axis=0) for a, b in zip(starts, ends, strict=True)])
-        at = q @ plane[:dim]
-        numbers, found, scores = [], [], []
-        for i in range(len(q)):
-            far = np.maximum(0, np.maximum(low - at[i], at[i] - high))
-            far = (far * far).sum(axis=1)
-            visit = np.argsort(far, kind="stable")
-            base = q[i] @ q[i] + longest**2
-            best, who = np.empty(0), np.empty(0, np.int64)
-            for step in range(0, len(visit), LEAVES):
-                reach = limit * max(0.0, base - 2 * best[-1]) if len(best) >= k else np.inf
-                if far[visit[step]] > reach:
-                    break
-                rows = np.concatenate([np.arange(starts[x], ends[x]) for x in visit[step : step + LEAVES]])
-                gap = points[rows] - at[i]
-                rows = rows[(np.einsum("ij,ij->i", gap, gap) <= reach) & (ids[rows] != own[i])]
-                product = c[rows] @ q[i]
-                keep = product >= best[-1] if len(best) >= k else np.ones(len(rows), bool)
-                if keep.any():
-                    product, names = np.concatenate((best, product[keep])), np.concatenate((who, ids[rows][keep]))
-                    pick = np.lexsort((names, -product))[:k]
-                    best, who = product[pick], names[pick]
-            numbers.append(np.full(len(best), i))
-            found.append(who)
-            scores.append(best)
-        return np.concatenate(numbers), np.concatenate(found), np.concatenate(scores)
+        starts = np.cumsum([0, *map(len, leaves)])
+        points = points[order]
+        boxes = np.array([[points[a:b].min(axis=0), points[a:b].max(axis=0)] for a, b in zip(starts, starts[1:], strict=False)])
+        return {"ids": ids[order], "floors": np.empty(0), "vecs": vecs[order], "points": points, "starts": starts.astype(np.int64), "boxes": boxes}
+
+    return run
+
+
+def _kernel(projection: Projection, k: int):
+    m = projection.m
+
+    def run(own: np.ndarray, q: np.ndarray, floors: np.ndarray, ids: np.ndarray, c: np.ndarray, points: np.ndarray, starts: np.ndarray, boxes: np.ndarray):
+        points, starts, boxes = points.reshape(-1, m), starts.view(np.int64), boxes.reshape(-1, 2, m)
+        at = projection.queries(q)
+        far = _distance(at, boxes[:, 0], boxes[:, 1])
+        visit = np.argsort(far, axis=1, kind="stable")
+        slack = 1e-12 * (1 + projection.longest * np.linalg.norm(q, axis=1).max(initial=0))
+        size_at, size_points = (at * at).sum(axis=1), (points * points).sum(axis=1)
+        floors = floors.copy()
+        best, who = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+        going = np.arange(len(q))
+        for step in range(len(boxes)):
+            leaf = visit[going, step]
+            on = far[going, leaf] <= projection.reach(q[going], floors[going])
+            going, leaf = going[on], leaf[on]
+            if not len(going):
+                break
+            by_leaf = np.argsort(leaf, kind="stable")
+            edges = np.flatnonzero(np.diff(leaf[by_leaf], prepend=-1, append=-1))
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                who_asks, l = going[by_leaf[lo:hi]], leaf[by_leaf[lo]]  # noqa: E741
+                rows = slice(starts[l], starts[l + 1])
+                gap = size_at[who_asks, None] + size_points[rows] - 2 * (at[who_asks] @ points[rows].T)
+                product = q[who_asks] @ c[rows].T
+                good = (gap <= projection.reach(q[who_asks], floors[who_asks])[:, None] * (1 + 1e-9)) & (product >= (floors[who_asks] - slack)[:, None]) & (ids[rows] != own[who_asks, None])
+                i, j = np.nonzero(good)
+                if not len(i):
+                    continue
+                # the same sum for the same vectors, wherever they stand
+                exact = np.einsum("ij,ij->i", q[who_asks[i]], c[rows][j])
+                asks, place = np.unique(i, return_inverse=True)
+                turn = np.arange(len(i)) - np.searchsorted(i, i, side="left")
+                width = int(turn.max()) + 1
+                scores, names = np.full((len(asks), width), -np.inf), np.full((len(asks), width), np.iinfo(np.int64).max)
+                scores[place, turn], names[place, turn] = exact, ids[rows][j]
+                asks = who_asks[asks]
+                scores, names = top_of(np.concatenate((best[asks], scores), axis=1), np.concatenate((who[asks], names), axis=1), k)
+                best[asks], who[asks] = scores, names
+                floors[asks] = np.maximum(floors[asks], np.where(np.isfinite(scores[:, -1]), scores[:, -1], LOWEST))
+        number, place = np.nonzero(np.isfinite(best))
+        return number, who[number, place], best[number, place]
+
+    return run
+
+
+def _assign(dim: int, cell_of):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                yield pa.RecordBatch.from_arrays([pa.array(cell_of(matrix(part.column(1), dim)), pa.int64()), *part.columns], names=["cell", "id", "vec"])
+
+    return run
+
+
+def _boxes(m: int):
+    """Each block's own box, a row for each side of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell, boxes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                b = np.frombuffer(boxes).reshape(-1, 2, m)
+                yield pa.RecordBatch.from_arrays([pa.array([cell] * m, pa.int64()), pa.array(range(m), pa.int64()), pa.array(b[:, 0].min(axis=0)), pa.array(b[:, 1].max(axis=0))], names=["cell", "side", "low", "high"])
 
     return run
 
@@ -97,10 +210,39 @@ def _kernel(longest: float, dim: int, k: int, m: int, p: float, leaf: int, seed:
 def nearest(df: DataFrame, queries: DataFrame, k: int = K, m: int = M, p: float = P, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = SEED) -> DataFrame:
     """(query_id, rank, vec_id, score) of about k largest inner products of each query, among df's other ids."""
     used = lambda d: clean(d, id_col, vec_col).where(F.exists("vec", lambda x: x != 0))
-    vectors = used(df).withColumn("size", F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-    dim, n = dimension(vectors)
-    dim = max(1, dim)
-    longest = math.sqrt(vectors.agg(F.max("size")).first()[0] or 0.0)
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    candidates = staged(packed(vectors.repartition(blocks, F.xxhash64("id", "vec")), dim, BLOCK_ROWS * 2), "candidates")
-    return search(used(queries), candidates, dim, _kernel(longest, dim, k, m, p, LEAF, seed), k, "double", blocks)
+    vectors = used(df)
+    dim, n, longest = extent(vectors)
+    projection = Projection(dim, longest, m, p, seed)
+    cells = min(CELLS, max(1, -(-n // BLOCK_ROWS)))
+    some = vectors.orderBy(F.xxhash64("id"), "id", "vec").limit(SAMPLE).select("vec").toArrow().column("vec").combine_chunks() if cells > 1 else None
+    splits = Splits(projection.candidates(matrix(some, dim)) if some is not None else np.empty((0, m)), cells)
+
+    placed = vectors.mapInArrow(_assign(dim, lambda v: splits.cell(projection.candidates(v))), "cell bigint, id bigint, vec array<double>")
+    together = placed.repartitionByRange(max(1, -(-n // (4 * BLOCK_ROWS))), "cell", "id").sortWithinPartitions("cell", "id")
+    more = ("points", "starts", "boxes")
+    index = staged(packed(together, dim, BLOCK_ROWS, _finish(projection, LEAF), more), "index")
+
+    sides = index.select("cell", "boxes").mapInArrow(_boxes(m), "cell bigint, side bigint, low double, high double").groupBy("cell", "side").agg(F.min("low"), F.max("high")).collect()
+    names = np.array(sorted({r[0] for r in sides}), np.int64)
+    low, high = np.empty((len(names), m)), np.empty((len(names), m))
+    for cell, side, lo, hi in sides:
+        at = np.searchsorted(names, cell)
+        low[at, side], high[at, side] = lo, hi
+
+    def home(asked: DataFrame) -> DataFrame:
+        if not len(names):
+            return asked.select(F.lit(0).cast("bigint").alias("cell"), "id", "vec").limit(0)
+        return asked.mapInArrow(_assign(dim, lambda v: names[_distance(projection.queries(v), low, high).argmin(axis=1)]), "cell bigint, id bigint, vec array<double>")
+
+    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                q, own, floors = matrix(part.column("vec"), dim), part.column("cell").to_numpy(), part.column("floor").to_numpy()
+                near = (_distance(projection.queries(q), low, high) <= projection.reach(q, floors)[:, None]) & (names[None, :] != own[:, None])
+                row, cell = np.nonzero(near)
+                row_index = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(names[cell]), part.column("id").take(row_index), part.column("vec").take(row_index), part.column("floor").take(row_index)], names=["cell", "id", "vec", "floor"])
+
+    others = lambda known: known.select("cell", "id", "vec", "floor").mapInArrow(touched, "cell bigint, id bigint, vec array<double>, floor double")
+    return search(used(queries), index, dim, _kernel(projection, k), k, "double", home, others, more)

@@ -1,10 +1,11 @@
 """Exact top-k inner products over whole-number vectors.
 
-Candidates are dealt to blocks by descending length, and each block keeps that order. Vectors are turned by the
-principal axes of all candidates (the right singular vectors), so that the first axes carry most of an inner product. A
-product is bounded by its part over those axes and, by Cauchy-Schwarz, the lengths of what remains; a query leaves a
-block once its length times that of the next candidate falls under its k-th score, and only candidates whose bound
-reaches that score are multiplied in full. The longest candidates of all give every query a k-th score to begin with.
+Candidates are dealt to cells by descending length, and the blocks of a cell keep that order. Vectors are turned by
+the principal axes of all candidates (the right singular vectors), so that the first axes carry most of an inner
+product. A product is bounded by its partial sum over those axes and, by Cauchy-Schwarz, the lengths of what remains;
+the bound is looked at after half and after three quarters of the axes, and only products whose bound reaches the
+query's k-th score are worked out in full. Every query begins with the longest vectors, takes its k-th score from
+there to the other cells, and leaves out all cells and blocks whose longest vector times its own length is under it.
 
 Products are exact: whole numbers under 2**53 in double precision; larger ones are an error. Ties go to smaller ids.
 """
@@ -19,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-from .vectors import clean, dimension, matrix, packed, search, top_of
+from .vectors import CELLS, LOWEST, clean, extent, matrix, packed, search, squares, top_of
 
-SCALE, K, BLOCK_ROWS, CHUNK, LONGEST = 64, 20, 8192, 1024, 512
+SCALE, K, BLOCK_ROWS, CHUNK = 64, 20, 8192, 1024
+#: Shares of the axes after which a product's bound is looked at.
+PARTS = (0.5, 0.75)
 
 
 def _moments(dim: int):
@@ -46,44 +49,63 @@ def principal_axes(vectors: DataFrame, dim: int) -> np.ndarray:
     return np.linalg.eigh(total.reshape(dim, dim))[1][:, ::-1]
 
 
-def _kernel(axes: np.ndarray, head: int, k: int, first_ids: np.ndarray, first: np.ndarray):
-    lowest = -(2.0**62)
+def _finish(axes: np.ndarray, heads: list[int]):
+    """A block's turned vectors, and the lengths of what remains of them after each part of the axes."""
 
-    def run(own: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray):
-        size_q, size_c = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
+    def run(ids: np.ndarray, vecs: np.ndarray) -> dict[str, np.ndarray]:
+        turned = vecs @ axes
+        rests = np.array([np.linalg.norm(turned[:, h:], axis=1) for h in heads])
+        return {"ids": ids, "floors": np.empty(0), "vecs": vecs, "turned": turned[:, : heads[-1]], "rests": rests, "lengths": np.linalg.norm(vecs, axis=1)}
+
+    return run
+
+
+def _longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.frombuffer(x).max() for x in batch.column(1).to_pylist()], pa.float64())], names=["cell", "length"])
+
+
+def _kernel(axes: np.ndarray, heads: list[int], k: int):
+    def run(own: np.ndarray, q: np.ndarray, floors: np.ndarray, ids: np.ndarray, c: np.ndarray, turned_c: np.ndarray, rests_c: np.ndarray, size_c: np.ndarray):
+        size_q = np.linalg.norm(q, axis=1)
         if len(q) and len(c) and size_q.max() * size_c.max() >= 2.0**53:
             raise ArithmeticError("inner products of 2**53 and more are not exact")
         slack = 1e-9 * (1 + size_q.max(initial=0) * size_c.max(initial=0))
-        turned_q, turned_c = q @ axes, c @ axes
-        rest_q, rest_c = np.linalg.norm(turned_q[:, head:], axis=1), np.linalg.norm(turned_c[:, head:], axis=1)
-        known = np.where(first_ids[None, :] == own[:, None], lowest, q @ first.T)
-        floor = np.partition(known, -k, axis=1)[:, -k] if known.shape[1] >= k else np.full(len(q), lowest)
-        scores, found = np.full((len(q), k), lowest), np.full((len(q), k), np.iinfo(np.int64).max)
+        turned_q, turned_c, rests_c = q @ axes, turned_c.reshape(len(c), heads[-1]), rests_c.reshape(len(heads), len(c))
+        rests_q = [np.linalg.norm(turned_q[:, h:], axis=1) for h in heads]
+        floors = floors.copy()
+        scores, found = np.full((len(q), k), LOWEST), np.full((len(q), k), np.iinfo(np.int64).max)
         for at in range(0, len(c), CHUNK):
             part = slice(at, at + CHUNK)
-            live = np.flatnonzero(size_q * size_c[at] + slack >= floor)  # candidates only get shorter
+            live = np.flatnonzero(size_q * size_c[at] + slack >= floors)  # candidates only get shorter
             if not len(live):
                 break
-            bound = turned_q[live, :head] @ turned_c[part, :head].T + rest_q[live, None] * rest_c[None, part] + slack
-            hopeful = bound >= floor[live, None]
-            columns = np.flatnonzero(hopeful.any(axis=0))
-            rows = np.flatnonzero(hopeful.any(axis=1))
-            if not len(rows):
+            partial, columns, before, hopeful = 0.0, np.arange(at, min(len(c), at + CHUNK)), 0, None
+            for h, rest_q, rest_c in zip(heads, rests_q, rests_c, strict=True):
+                partial = partial + turned_q[live, before:h] @ turned_c[columns, before:h].T
+                hopeful = partial + rest_q[live, None] * rest_c[None, columns] + slack >= floors[live, None]
+                rows, cols = np.flatnonzero(hopeful.any(axis=1)), np.flatnonzero(hopeful.any(axis=0))
+                if len(rows) < len(live) or len(cols) < len(columns):
+                    live, columns = live[rows], columns[cols]
+                    partial, hopeful = partial[np.ix_(rows, cols)], hopeful[np.ix_(rows, cols)]
+                before = h
+                if not len(live):
+                    break
+            if not len(live):
                 continue
-            live, hopeful = live[rows], hopeful[np.ix_(rows, columns)]
-            if hopeful.mean() > 0.1:
-                product = q[live] @ c[part][columns].T
+            if hopeful.mean() > 0.25:  # a product of matrices is quicker than that many single ones
+                product = np.where(hopeful, q[live] @ c[columns].T, LOWEST)
             else:
-                product = np.full(hopeful.shape, lowest)
+                product = np.full(hopeful.shape, LOWEST)
                 i, j = np.nonzero(hopeful)
-                product[i, j] = np.einsum("ij,ij->i", q[live[i]], c[part][columns[j]])
-            names = ids[part][columns]
-            product[names[None, :] == own[live, None]] = lowest
+                product[i, j] = np.einsum("ij,ij->i", q[live[i]], c[columns[j]])
+            names = ids[columns]
+            product[names[None, :] == own[live, None]] = LOWEST
             best, who = top_of(product, names, k)
             best, who = top_of(np.concatenate((scores[live], best), axis=1), np.concatenate((found[live], who), axis=1), k)
             scores[live], found[live] = best[:, :k], who[:, :k]
-            floor[live] = np.maximum(floor[live], scores[live, -1])
-        number, place = np.nonzero(scores > lowest)
+            floors[live] = np.maximum(floors[live], scores[live, -1])
+        number, place = np.nonzero(scores > LOWEST)
         return number, found[number, place], scores[number, place].astype(np.int64)
 
     return run
@@ -92,16 +114,24 @@ def _kernel(axes: np.ndarray, head: int, k: int, first_ids: np.ndarray, first: n
 def top_products(df: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k largest inner products of floor(scale * x), among df's other ids."""
     whole = lambda d: clean(d, id_col, vec_col).select("id", F.transform("vec", lambda x: F.floor(x * scale).cast("double")).alias("vec"))
-    vectors = whole(df).withColumn("size", F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-    dim, n = dimension(vectors)
-    dim = max(1, dim)
-    blocks = max(1, -(-n // BLOCK_ROWS))
+    vectors = whole(df).withColumn("size", squares("vec"))
+    dim, n, _ = extent(vectors)
+    heads = sorted({max(1, int(dim * x)) for x in PARTS})
     axes = principal_axes(vectors, dim)
-    longest = vectors.orderBy(F.col("size").desc(), "id").limit(LONGEST).select("id", "vec").collect()
-    first = np.zeros((len(longest), dim))
-    for i, r in enumerate(longest):
-        first[i, : len(r["vec"])] = r["vec"]
-    ordered = vectors.repartitionByRange(blocks, F.col("size").desc(), "id").sortWithinPartitions(F.col("size").desc(), "id")
-    candidates = staged(packed(ordered, dim, BLOCK_ROWS * 2), "candidates")
-    kernel = _kernel(axes, max(1, dim // 2), k, np.array([r["id"] for r in longest], np.int64), first)
-    return search(whole(queries), candidates, dim, kernel, k, "bigint", blocks)
+    cells = min(CELLS, max(1, -(-n // BLOCK_ROWS)))
+    ordered = vectors.repartitionByRange(cells, F.col("size").desc(), "id").sortWithinPartitions(F.col("size").desc(), "id")
+    more = ("turned", "rests", "lengths")
+    index = staged(packed(ordered.select(F.spark_partition_id().cast("bigint").alias("cell"), "id", "vec"), dim, BLOCK_ROWS, _finish(axes, heads), more), "index")
+    longest = dict(map(tuple, index.select("cell", "lengths").mapInArrow(_longest, "cell bigint, length double").groupBy("cell").agg(F.max("length")).collect()))
+    names = sorted(longest)
+    start = names[0] if names else 0
+
+    def others(known: DataFrame) -> DataFrame:
+        """The further cells whose longest vector can reach the floor; cells are in descending length."""
+        if len(names) < 2:
+            return known.limit(0).select("cell", "id", "vec", "floor")
+        reachable = F.filter(F.array(*[F.struct(F.lit(c).cast("bigint").alias("cell"), F.lit(float(longest[c])).alias("length")) for c in names[1:]]), lambda x: x["length"] * F.col("length") * (1 + 1e-9) + 1e-6 >= F.col("floor"))
+        return known.withColumn("length", F.sqrt(squares("vec"))).select(F.explode(reachable).alias("to"), "id", "vec", "floor").select("to.cell", "id", "vec", "floor")
+
+    home = lambda asked: asked.select(F.lit(start).cast("bigint").alias("cell"), "id", "vec")
+    return search(whole(queries), index, dim, _kernel(axes, heads, k), k, "bigint", home, others, more)

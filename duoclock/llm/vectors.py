@@ -1,8 +1,10 @@
 """Searches of a query set against all vectors, in blocks.
 
-Vectors are packed into blocks of some thousands; each block of queries meets each block of candidates in one row,
-so queries are sent once for each block of candidates, not once for each candidate, and no task holds more than a
-few blocks. A search gives the best of a pair of blocks, and the best of those are kept for each query.
+Candidates lie in cells, of which there are at most `CELLS`, so what is known of cells is small; a cell holds any
+number of blocks of some thousands of vectors, each one row of a stored table. A search has two rounds. In the first
+each query meets the blocks of one cell, where its best candidates are likely, and so gets a k-th best score. In the
+second it takes that score to the other cells that can still hold better ones, and to no others. Queries travel in
+batches by cell, and no task holds more than a batch and a block of each of a few rows.
 
 A vector takes part if it has an id, is not null and has no null or non-finite component; shorter vectors count as
 ending in zeros. Rows that share an id are never each other's results; equal query rows count as one query. Different
@@ -19,6 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
+CELLS, BATCH_ROWS, LOWEST = 1024, 1024, -(2.0**62)
 
 
 def clean(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -27,6 +32,10 @@ def clean(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.where(F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
 
 
+def squares(vec: str):
+    return F.aggregate(vec, F.lit(0.0), lambda a, x: a + x * x)
+
+
 def matrix(lists: pa.Array, dim: int) -> np.ndarray:
     """One row for each list, with zeros at the end of short ones."""
     offsets = lists.offsets.to_numpy()
@@ -40,47 +49,85 @@ def matrix(lists: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def _pack(dim: int, rows: int):
+def _pack(dim: int, rows: int, finish: Callable | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        cell, count = None, 0
+
+        def block() -> pa.RecordBatch:
+            ids, floors, vecs = (np.concatenate(x) for x in zip(*held, strict=True))
+            parts = {"ids": ids, "floors": floors, "vecs": vecs}
+            if finish is not None:
+                parts |= finish(ids, vecs)
+            return pa.RecordBatch.from_arrays([pa.array([cell], pa.int64()), *(pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in parts.values())], names=["cell", *parts])
+
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                ids = part.column(1).to_numpy()
-                vecs = matrix(part.column(2), dim)
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(0, 1), pa.array([ids.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(vecs, np.float64).tobytes()], pa.binary())], names=["block", "ids", "vecs"])
+                cells, ids, floors = (part.column(c).to_numpy() for c in ("cell", "id", "floor"))
+                vecs = matrix(part.column("vec"), dim)
+                edges = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)]
+                for lo, hi in zip(edges, edges[1:], strict=False):
+                    if held and (cells[lo] != cell or count + hi - lo > rows):
+                        yield block()
+                        held, count = [], 0
+                    cell = int(cells[lo])
+                    held.append((ids[lo:hi], floors[lo:hi], vecs[lo:hi]))
+                    count += hi - lo
+        if held:
+            yield block()
 
     return run
 
 
-def packed(vectors: DataFrame, dim: int, rows: int) -> DataFrame:
-    """(block, ids, vecs): a partition's vectors in its order, under the partition's number."""
-    numbered = vectors.select(F.spark_partition_id().cast("bigint").alias("block"), "id", "vec")
-    return numbered.mapInArrow(_pack(dim, rows), "block bigint, ids binary, vecs binary")
+def packed(vectors: DataFrame, dim: int, rows: int, finish: Callable | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """(cell, ids, floors, vecs, more...): runs of at most `rows` vectors of one cell, in their order; finish gives what is called `more`."""
+    floor = F.col("floor") if "floor" in vectors.columns else F.lit(LOWEST)
+    return vectors.select("cell", "id", floor.alias("floor"), "vec").mapInArrow(_pack(dim, rows, finish), "cell bigint, ids binary, floors binary, vecs binary" + "".join(f", {c} binary" for c in more))
 
 
-def search(queries: DataFrame, candidates: DataFrame, dim: int, kernel: Callable, k: int, score_type: str, blocks: int, query_rows: int = 1024) -> DataFrame:
-    """(query_id, rank, vec_id, score).
+def _by_cell(vectors: DataFrame, rows: int) -> DataFrame:
+    """Cells together, in partitions of about `rows`; a hot cell spans several."""
+    return vectors.repartitionByRange(max(1, -(-vectors.count() // (8 * rows))), "cell", "id").sortWithinPartitions("cell", "id")
 
-    candidates: packed, in `blocks` blocks; kernel(query ids, queries, candidate ids, candidates) gives arrays of
-    query numbers, candidate ids and scores, at most about k a query.
-    """
-    arrow_type = pa.int64() if score_type == "bigint" else pa.float64()
+
+def _meet(asked: DataFrame, index: DataFrame, dim: int, kernel: Callable, more: tuple[str, ...], score_type: str, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the best that each query (cell, id, vec, floor) finds in the blocks of its cell."""
+    names = ["ids", "vecs", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q_ids, q_vecs, c_ids, c_vecs in zip(*(batch.column(i) for i in range(4)), strict=True):
-                own, ids = np.frombuffer(q_ids.as_py(), np.int64), np.frombuffer(c_ids.as_py(), np.int64)
-                q = np.frombuffer(q_vecs.as_py()).reshape(len(own), dim)
-                c = np.frombuffer(c_vecs.as_py()).reshape(len(ids), dim)
-                number, found, score = kernel(own, q, ids, c)
-                yield pa.RecordBatch.from_arrays([pa.array(own[number]), pa.array(found, pa.int64()), pa.array(score, arrow_type)], names=["query_id", "vec_id", "score"])
-
-    asked = queries.dropDuplicates(["id", "vec"]).repartition(max(1, -(-queries.count() // query_rows)), "id", "vec")
-    sent = packed(asked, dim, query_rows).select(F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
-    pairs = sent.join(candidates, "block").select("q_ids", "q_vecs", "ids", "vecs")
-    best = pairs.mapInArrow(run, f"query_id bigint, vec_id bigint, score {score_type}")
+            for i in range(batch.num_rows):
+                q_ids, q_floors, q_vecs, c_ids, c_vecs, *rest = (np.frombuffer(batch.column(c)[i].as_py()) for c in range(batch.num_columns))
+                own, ids = q_ids.view(np.int64), c_ids.view(np.int64)
+                number, found, score = kernel(own, q_vecs.reshape(len(own), dim), q_floors, ids, c_vecs.reshape(len(ids), dim), *rest)
+                arrow_type = pa.int64() if score_type == "bigint" else pa.float64()
+                yield pa.RecordBatch.from_arrays([pa.array(own[number]), pa.array(found, pa.int64()), pa.array(score).cast(arrow_type)], names=["query_id", "vec_id", "score"])
+
+    batches = packed(asked, dim, BATCH_ROWS).select("cell", *[F.col(c).alias(f"q_{c}") for c in ("ids", "floors", "vecs")])
+    pairs = batches.join(index, "cell").select("q_ids", "q_floors", "q_vecs", *names)
+    return _best(pairs.mapInArrow(run, f"query_id bigint, vec_id bigint, score {score_type}"), k)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def search(queries: DataFrame, index: DataFrame, dim: int, kernel: Callable, k: int, score_type: str, home: Callable, others: Callable, more: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, rank, vec_id, score).
+
+    index: stored, packed. home(queries) adds the column cell; others(queries with home and floor) gives
+    (cell, id, vec, floor) for the further cells. kernel(query ids, queries, floors, candidate ids, candidates, more...) gives
+    arrays of query numbers, candidate ids and scores: the k best of each query, or more, but for those under its floor.
+    """
+    asked = staged(home(queries.dropDuplicates(["id", "vec"])), "asked")
+    first = staged(_meet(_by_cell(asked, BATCH_ROWS), index, dim, kernel, more, score_type, k), "first").select("query_id", "vec_id", "score")
+    floors = staged(first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").cast("double").alias("worst")), "floors")
+    known = asked.join(floors, F.col("id") == F.col("query_id"), "left").withColumn("floor", F.when(F.col("n") >= k, F.col("worst")).otherwise(F.lit(LOWEST)))
+    routed = staged(others(known), "routed")
+    second = _meet(_by_cell(routed, BATCH_ROWS), index, dim, kernel, more, score_type, k).select("query_id", "vec_id", "score")
+    return _best(first.union(second), k).select("query_id", "rank", "vec_id", "score")
 
 
 def top_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,9 +150,7 @@ def top_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def dimension(vectors: DataFrame) -> tuple[int, int]:
-    """The longest vector's length, and how many there are."""
-    d, n = vectors.agg(F.max(F.size("vec")), F.count(F.lit(1))).first()
-    return d or 0, n
-
-
+def extent(vectors: DataFrame) -> tuple[int, int, float]:
+    """The longest list's size (1 at least), the number of vectors, the greatest length."""
+    d, n, s = vectors.agg(F.max(F.size("vec")), F.count(F.lit(1)), F.max(squares("vec"))).first()
+    return max(1, d or 0), n, (s or 0.0) ** 0.5
