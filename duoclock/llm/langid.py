@@ -6,7 +6,8 @@ prototype bundles those of its documents. The language whose prototype has the l
 
 Texts are lower-cased; runs of other characters than letters become one blank. The score is that cosine, 0 at
 least. Null texts, and those without a letter, are `und` with score 0, and so is everything if nothing could be
-learned. Equal cosines: the language that sorts first. Rows with null id or language teach nothing.
+learned. Equal cosines: the language that sorts first. Rows with null id or language teach nothing. Repeated rows
+teach and are predicted each for itself; very long texts are profiled whole. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -99,6 +100,13 @@ def vectors(dim: int, n: int, seed: int) -> Vectors:
     return Vectors(dim, n, seed)
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that only those are Python strings."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _slices(texts: list, chars: int = 400_000, rows: int = 256) -> Iterator[tuple[int, int]]:
     at, size = 0, 0
     for i, t in enumerate(texts):
@@ -115,8 +123,8 @@ def _learn(dim: int, n: int, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            langs, texts = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_pylist()
+        for part in _parts(batches):
+            langs, texts = np.array(part.column(0).to_pylist(), object), part.column(1).to_pylist()
             for lo, hi in _slices(texts):
                 found = vectors(dim, n, seed).bundle(texts[lo:hi])
                 for lang in set(langs[lo:hi]):
@@ -145,8 +153,8 @@ def _predict(prototypes: dict[str, np.ndarray], text_at: int, dim: int, n: int,
     unit = np.array([prototypes[k] / np.linalg.norm(prototypes[k]) for k in names]).reshape(len(names), dim)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0).field(text_at).to_pylist()
+        for part in _parts(batches):
+            texts = part.column(0).field(text_at).to_pylist()
             for lo, hi in _slices(texts):
                 counted = [ngrams(t or "", n) for t in texts[lo:hi]]
                 found = vectors(dim, n, seed).bundle(texts[lo:hi], counted)
@@ -160,7 +168,7 @@ def _predict(prototypes: dict[str, np.ndarray], text_at: int, dim: int, n: int,
                     score = np.where(has, score, 0.0)
                 else:
                     lang, score = ["und"] * (hi - lo), np.zeros(hi - lo)
-                columns = {"row": batch.column(0).slice(lo, hi - lo), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())}
+                columns = {"row": part.column(0).slice(lo, hi - lo), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())}
                 if grams_col:
                     columns[grams_col] = pa.array([len(k) for k, _ in counted], pa.int64())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
