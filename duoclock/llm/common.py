@@ -35,9 +35,9 @@ def crc_remainder(key: str, modulus: int) -> Column:
 def mix(h: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser."""
     h = h ^ (h >> np.uint64(30))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(27)
-    h = h * np.uint64(0x94D049BB133111EB)
+    h *= np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(31)
     return h
 
@@ -72,7 +72,7 @@ def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         return out
     eights = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), 0, (1,))
     for half, factor in zip(out, _FACTORS, strict=True):
-        half[:] = mix(sizes.astype(np.uint64) * factor)
+        half[:] = sizes.astype(np.uint64) * factor
     here = np.flatnonzero(sizes <= _LONG)
     for at in range(0, _LONG, 8):
         here = here[sizes[here] > at] if at else here
@@ -86,29 +86,55 @@ def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return out
 
 
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, list[int]]:
+    """The words' fingerprints of all texts, and where each text's begin; the last entry is where they end."""
+    data = b"\n".join(texts)
+    starts, ends = word_bounds(data)
+    begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return word_hashes(data, starts, ends), np.searchsorted(starts, begin).tolist()
+
+
 def joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """Fingerprints of what stands one after another, from those of its two parts; one row or both."""
     return np.stack([mix(a * factor + b) for a, b, factor in zip(first, second, _FACTORS[: len(first)], strict=True)])
 
 
-def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """A fingerprint of each run of k words, by its first word's position; two rows, as the words' own.
+class Runs:
+    """Fingerprints of runs of k words, by their first words' positions, as rows of 64 bits like the words' own.
 
-    Runs of 1, 2, 4 and so on words are joined two and two, and k is put together from those.
+    Runs of 1, 2, 4 and so on words are joined two and two, and k is put together from those. Up to `WIDEST` words
+    they are kept for all positions; longer ones are worked out where they are asked for.
     """
-    n = words.shape[1]
-    if n < k:
-        return words[:, :0]
-    power, size, done, covered = words, 1, None, 0
-    while True:
-        if k & size:
-            part = power[:, covered : covered + n - k + 1]
-            done = part if done is None else joined(done, part)
-            covered += size
-        if covered == k:
-            return done
-        power = joined(power[:, :-size], power[:, size:])
-        size *= 2
+
+    WIDEST = 16
+
+    def __init__(self, words: np.ndarray):
+        self.powers, self.n = [words], words.shape[1]
+
+    def _power(self, i: int) -> np.ndarray:
+        while len(self.powers) <= i:
+            size = 1 << (len(self.powers) - 1)
+            before = self.powers[-1]
+            self.powers.append(joined(before[:, :-size], before[:, size:]) if before.shape[1] > size else before[:, :0])
+        return self.powers[i]
+
+    def _at(self, i: int, places: np.ndarray) -> np.ndarray:
+        if 1 << i <= self.WIDEST:
+            return self._power(i)[:, places]
+        return joined(self._at(i - 1, places), self._at(i - 1, places + (1 << (i - 1))))
+
+    def at(self, k: int, places: np.ndarray) -> np.ndarray:
+        done, covered = None, 0
+        for i in range(k.bit_length()):
+            if k >> i & 1:
+                part = self._at(i, places + covered)
+                done = part if done is None else joined(done, part)
+                covered += 1 << i
+        return done
+
+    def all(self, k: int) -> np.ndarray:
+        """For every position from which k words follow."""
+        return self.at(k, np.arange(max(0, self.n - k + 1)))
 
 
 def release(spark: SparkSession) -> None:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, mix, release, run_hashes, staged, tasks_for, word_bounds, word_hashes
+from .common import Runs, joined, mix, release, staged, tasks_for, words_of
 
 LENGTH, SEED_WORDS = 50, 16
 #: Rows to a task for tables of a row an anchor.
@@ -36,33 +36,39 @@ EACH = 100_000
 SPANS = "id bigint, tag bigint, first int, count int, w1 bigint, w2 bigint"
 
 
-def words_of(data: bytes) -> np.ndarray:
-    return word_hashes(data, *word_bounds(data))
-
-
-def anchors(words: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The fingerprints of runs of k words, and for each window of `length` words the place of its anchor's first word."""
-    runs = run_hashes(words[:1], k)[0]
-    span = length - k + 1
-    out = np.empty(words.shape[1] - length + 1, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(runs, span)
-    for at in range(0, len(out), 4096):
-        part = view[at : at + 4096]
-        out[at : at + len(part)] = part.argmin(axis=1)
-    return runs, out + np.arange(len(out))
-
-
-def blocks(words: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """Anchor's fingerprint, both halves of the block's, first window, number of windows, words before the anchor."""
-    if words.shape[1] < length:
-        return (np.empty(0, np.int64),) * 6
-    runs, place = anchors(words, length, k)
-    first = np.flatnonzero(np.diff(place, prepend=-1))
-    count, lead = np.diff(first, append=len(place)), place[first] - first
+def least_places(values: np.ndarray, span: int) -> np.ndarray:
+    """For each window of `span` values the place of the least, the first of equal ones; values count by all but their last bits."""
+    n = len(values) - span + 1
+    bits = np.uint64(max(1, len(values).bit_length()))
+    low = (values >> bits << bits) | np.arange(len(values), dtype=np.uint64)
+    size = 1
+    while 2 * size <= span:
+        low = np.minimum(low[:-size], low[size:])
+        size *= 2
+    return (np.minimum(low[:n], low[span - size : span - size + n]) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+
+def blocks(words: np.ndarray, begin: list[int], length: int, k: int) -> tuple[np.ndarray, ...]:
+    """Of texts one after another: number of the text, anchor's fingerprint, both halves of the block's, first window, number of windows, words before the anchor.
+
+    Anchors are chosen by the first 32 bits of fingerprints, so that it doesn't matter what stands in other texts.
+    """
+    n = words.shape[1]
+    sizes = np.diff(begin)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    inside = np.flatnonzero(np.arange(n) <= np.repeat(begin[1:], sizes) - length)  # where a window begins
+    if not len(inside):
+        return (np.empty(0, np.int64),) * 7
+    runs = Runs(words)
+    seeds = runs.all(k)[0]
+    place = least_places(seeds >> np.uint64(32) << np.uint64(32), length - k + 1)[inside]
+    turn = np.flatnonzero(np.diff(place, prepend=-1))
+    first, count = inside[turn], np.diff(turn, append=len(inside))
+    lead = place[turn] - first
     # a block has fewer windows than a window has words: its first and last window hold all its words
-    windows = run_hashes(words, length)
-    whole = joined(windows[:, first], windows[:, first + count - 1]) ^ mix(lead.astype(np.uint64) * np.uint64(1 << 32) + count.astype(np.uint64))
-    return runs[place[first]].view(np.int64), whole[0].view(np.int64), whole[1].view(np.int64), first, count, lead
+    whole = joined(runs.at(length, first), runs.at(length, first + count - 1)) ^ mix(lead.astype(np.uint64) * np.uint64(1 << 32) + count.astype(np.uint64))
+    text = text[first]
+    return text, seeds[place[turn]].view(np.int64), whole[0].view(np.int64), whole[1].view(np.int64), first - np.array(begin)[text], count, lead
 
 
 def _find_blocks(length: int, k: int):
@@ -72,9 +78,9 @@ def _find_blocks(length: int, k: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [blocks(words_of((t or "").encode("utf-8", "surrogatepass")), length, k) for t in part.column(2).to_pylist()]
-                row = pa.array(np.repeat(np.arange(part.num_rows), [len(x[0]) for x in found]))
-                columns = [np.concatenate(x) for x in zip(*found, strict=True)]
+                words, begin = words_of([(t or "").encode("utf-8", "surrogatepass") for t in part.column(2).to_pylist()])
+                row, *columns = blocks(words, begin, length, k)
+                row = pa.array(row)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["id", "tag", "anchor", "b1", "b2", "first", "count", "lead"])
 
     return run
@@ -135,7 +141,7 @@ def _extend(length: int, k: int):
                         counts.append(hi - lo)
                         prints.append((None, None))
                     if hi - lo < count:
-                        w = run_hashes(words_of(words), length)[:, :count].view(np.int64).T.tolist()
+                        w = Runs(words_of([words])[0]).all(length)[:, :count].T.copy().view(np.int64).tolist()
                         for j in (*range(lo), *range(hi, count)):
                             rows.append(i)
                             starts.append(first + j)
