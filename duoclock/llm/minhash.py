@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, release, run_hashes, staged, tasks_for, word_bounds, word_hashes
+from .common import Runs, mix, release, staged, tasks_for, words_of
 from .components import connected_components
 
 WORDS, PER_CENT, BANDS, ROWS, SEED = 5, 80, 40, 6, 11
@@ -39,24 +39,25 @@ WORDS, PER_CENT, BANDS, ROWS, SEED = 5, 80, 40, 6, 11
 MORE_PIVOTS, BITS, EACH = 2, 512, 20_000
 
 
-def shingles(text: str, k: int) -> np.ndarray:
-    """Distinct fingerprints of the text's k-word shingles, as two rows, sorted by the first and then the second."""
-    data = text.encode("utf-8", "surrogatepass").lower()
-    words = word_hashes(data, *word_bounds(data))
-    found = run_hashes(words, min(k, words.shape[1])) if words.shape[1] else words
-    found = found[:, np.argsort(found[0], kind="stable")]
-    again = np.flatnonzero(found[0, 1:] == found[0, :-1])
-    if len(again) and (found[1, again] != found[1, again + 1]).any():
-        found = found[:, np.lexsort((found[1], found[0]))]
-    new = np.ones(found.shape[1], bool)
-    new[1:] = (found[:, 1:] != found[:, :-1]).any(axis=0)
-    return found[:, new]
+def shingles(texts: list[str], k: int) -> Iterator[np.ndarray]:
+    """For each text the distinct fingerprints of its k-word shingles, as two rows, sorted by the first and then the second."""
+    words, begin = words_of([t.encode("utf-8", "surrogatepass").lower() for t in texts])
+    runs = Runs(words).all(k)
+    for lo, hi in zip(begin, begin[1:], strict=False):
+        found = runs[:, lo : hi - k + 1] if hi - lo >= k else Runs(words[:, lo:hi]).all(hi - lo) if hi > lo else words[:, :0]
+        found = found[:, np.argsort(found[0])]
+        again = found[0, 1:] == found[0, :-1]
+        if (found[1, 1:] != found[1, :-1])[again].any():  # halves collide: whole fingerprints in order
+            found = found[:, np.lexsort((found[1], found[0]))]
+        new = np.ones(found.shape[1], bool)
+        new[1:] = (found[:, 1:] != found[:, :-1]).any(axis=0)
+        yield found[:, new]
 
 
 def apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """First halves of the fingerprints that are in one set only."""
     both = np.concatenate((p, q), axis=1)
-    both = both[:, np.argsort(both[0], kind="stable")]
+    both = both[:, np.argsort(both[0])]
     same = both[0, 1:] == both[0, :-1]
     if (both[1, 1:] != both[1, :-1])[same].any():  # halves collide: whole fingerprints in order
         both = both[:, np.lexsort((both[1], both[0]))]
@@ -102,8 +103,7 @@ def _sign(k: int, bands: int, rows: int, seed: int):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sizes, prints, keys = [], [], []
-                for text in part.column(1).to_pylist():
-                    found = shingles(text or "", k)
+                for found in shingles([t or "" for t in part.column(1).to_pylist()], k):
                     sizes.append(found.shape[1])
                     prints.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                     keys.append(minmax.keys(found[0]) if found.shape[1] else None)
@@ -130,7 +130,7 @@ def _compare(k: int, per_cent: int, with_items: bool):
             if text in known:
                 known.move_to_end(text)
                 return known[text]
-            known[text] = found = shingles(text, k)
+            known[text] = found = next(shingles([text], k))
             if len(known) > 64:
                 known.popitem(last=False)
             return found
@@ -207,6 +207,7 @@ def _further_links(compared: DataFrame, labels: DataFrame, texts: DataFrame, k:
         new = found.where("linked").select("x", "y")
         links = new if links is None else links.union(new)
         labels = connected_components(labels.select(F.col("node").alias("x"), F.col("component").alias("y")).union(new), "x", "y", tasks)
+        release(placed.sparkSession)
     pairs = _index_pairs(placed, texts, k, per_cent, tasks).join(tested, ["x", "y"], "left_anti")
     new = _compared(staged(pairs, "pairs", tasks), texts, k, per_cent).where("linked").select("x", "y")
     return new if links is None else links.union(new)
@@ -241,7 +242,12 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, per_cent: int = PER_CENT, b
     tasks = tasks_for(signed.count(), EACH)
     classes = staged(real.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("id").alias("last")), "classes", tasks)
     reps = staged(real.join(classes.select("f1", "f2", F.col("rep").alias("id")), ["f1", "f2", "id"], "left_semi").select("id", "n", "keys"), "reps", tasks)
-    compared = _compared(_pivot_pairs(reps, tasks), texts, k, per_cent)
+    pairs = _pivot_pairs(reps, tasks)
+    # all texts move once; from here on only those that share a key with another
+    sharing = staged(pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct(), "sharing", tasks)
+    texts = staged(texts.join(sharing, "id", "left_semi"), "texts")
+    release(docs.sparkSession)
+    compared = _compared(pairs, texts, k, per_cent)
     release(docs.sparkSession)
 
     labels = connected_components(compared.where("linked"), "x", "y", tasks)
