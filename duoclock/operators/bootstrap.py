@@ -47,8 +47,15 @@ def multinomial_bootstrap(c: np.ndarray, age: np.ndarray, point: np.ndarray, win
         return np.repeat(point[None, :], draws, axis=0)
     law = np.maximum(np.diff(point, prepend=0.0), 0)
     num, den = np.zeros((draws, top)), np.zeros((draws, top))
-    for i in pool:
-        h = min(int(age[i]), top)
+    full = pool[age[pool] >= top]
+    if len(full):  # cohorts of one law together
+        p = law / law.sum() if law.sum() > 0 else np.eye(1, top + 1)[0]
+        dealt = np.cumsum(rng.multinomial(c[full, top].astype(int), p, size=(draws, len(full))), axis=2)
+        shown = np.stack([_shown(len(full), age[full], d, window) for d in range(top)], axis=1)
+        num += np.einsum("bkd,kd->bd", dealt[:, :, 1:], shown)
+        den += np.einsum("bkd,kd->bd", dealt[:, :, :-1], shown)
+    for i in pool[age[pool] < top]:
+        h = int(age[i])
         p = law[: h + 1]
         p = p / p.sum() if p.sum() > 0 else np.eye(1, h + 1)[0]
         dealt = np.cumsum(rng.multinomial(int(c[i, h]), p, size=draws), axis=1).astype(float)

@@ -1,4 +1,7 @@
-"""Prediction intervals: resampled nowcasts, drift of the curve, and over-dispersed arrival noise."""
+"""Prediction intervals: resampled nowcasts, drift of the curve, and over-dispersed arrival noise.
+
+Scales have a row for each stream, or each age of one; they are joined without hints, so Spark broadcasts them while they are small.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DelayConfig
+from ..shared import stored
+from .backtest import replay
+from .bootstrap import prediction_draws
+from .chainladder import fit
 
 POISSON = 1e6
 QUANTILES = ("lo90", "lo50", "sim_median", "hi50", "hi90")
@@ -38,7 +45,7 @@ def phi_centred(rows: DataFrame) -> DataFrame:
     """(stream, phi) as above after taking out each age's mean relative error."""
     train = rows.where("train AND n_hat > 1e-9").withColumn("u", F.greatest("u", F.lit(0.0)))
     bias = train.groupBy("stream", "h").agg(F.avg(F.col("e") / F.col("n_hat")).alias("b"))
-    centred = train.join(F.broadcast(bias), ["stream", "h"]).withColumn("ec", F.col("e") - F.col("b") * F.col("n_hat")).where("u > 1e-9")
+    centred = train.join(bias, ["stream", "h"]).withColumn("ec", F.col("e") - F.col("b") * F.col("n_hat")).where("u > 1e-9")
     used = centred.groupBy("stream").agg(F.sum(F.col("u") ** 2).alias("a"), F.sum(F.col("ec") ** 2 - F.col("u") - F.col("s2")).alias("b"))
     return used.select("stream", _moment(F.col("a"), F.col("b")).alias("phi"))
 
@@ -47,7 +54,7 @@ def drift_scale(rows: DataFrame, phi: DataFrame, least_rows: int = 8) -> DataFra
     """(stream, h, kappa): relative error beyond noise for each unit of staleness; 0 for too few rows or no staleness."""
     u = F.greatest("u", F.lit(0.0))
     n2 = F.col("n_hat") ** 2
-    train = rows.where("train AND n_hat > 1e-9").join(F.broadcast(phi), "stream")
+    train = rows.where("train AND n_hat > 1e-9").join(phi, "stream")
     per = train.groupBy("stream", "h").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("e") ** 2 / n2).alias("total"), F.avg((u + u * u / F.col("phi")) / n2).alias("noise"), F.avg(F.col("s2") / n2).alias("fit"), F.avg(F.col("stale") ** 2).alias("m2"))
     kappa = F.when((F.col("n") < least_rows) | (F.col("m2") <= 1e-12), 0.0).otherwise(F.sqrt(F.greatest(F.col("total") - F.col("noise") - F.col("fit"), F.lit(0.0)) / F.col("m2")))
     return per.select("stream", "h", kappa.alias("kappa"))
@@ -57,7 +64,7 @@ def with_sigma(rows: DataFrame, kappa: DataFrame | None) -> DataFrame:
     """sigma: the drift's standard deviation; 0 without drift scales."""
     if kappa is None:
         return rows.withColumn("sigma", F.lit(0.0))
-    return rows.join(F.broadcast(kappa), ["stream", "h"], "left").withColumn("sigma", F.coalesce("kappa", F.lit(0.0)) * F.abs("stale")).drop("kappa")
+    return rows.join(kappa, ["stream", "h"], "left").withColumn("sigma", F.coalesce("kappa", F.lit(0.0)) * F.abs("stale")).drop("kappa")
 
 
 def phi_net(rows: DataFrame) -> DataFrame:
@@ -82,19 +89,43 @@ def simulate(rows: DataFrame, phi: DataFrame, cfg: DelayConfig) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = []
+            came = []
             for r in pdf.itertuples():
                 rng = np.random.default_rng([seed, 1, zlib.crc32(r.stream.encode()), int(r.cutoff), int(r.t)])
                 n = np.asarray(r.draws, float)
                 if r.sigma > 0:
                     n = n * np.exp(r.sigma * rng.standard_normal(len(n)) - r.sigma**2 / 2)
-                found.append(np.percentile(r.c_obs + negative_binomial(np.maximum(n - r.c_obs, 0), r.phi, rng), [5, 25, 50, 75, 95]))
-            yield pdf[["stream", "cutoff", "t"]].assign(**dict(zip(QUANTILES, np.array(found).reshape(-1, 5).T, strict=True)))
+                came.append(r.c_obs + negative_binomial(np.maximum(n - r.c_obs, 0), r.phi, rng))
+            found = np.percentile(np.array(came), [5, 25, 50, 75, 95], axis=1) if came else np.empty((5, 0))
+            yield pdf[["stream", "cutoff", "t"]].assign(**dict(zip(QUANTILES, found, strict=True)))
 
-    ready = rows.join(F.broadcast(phi), "stream").select("stream", "cutoff", "t", "c_obs", "sigma", "phi", "draws")
+    ready = rows.join(phi, "stream").select("stream", "cutoff", "t", "c_obs", "sigma", "phi", "draws")
     bands = ready.mapInPandas(run, "stream string, cutoff int, t int, " + ", ".join(f"{q} double" for q in QUANTILES))
     return rows.drop("draws").join(bands, ["stream", "cutoff", "t"])
 
 
 def with_coverage(intervals: DataFrame) -> DataFrame:
     return intervals.withColumn("cov90", F.col("realized").between(F.col("lo90"), F.col("hi90"))).withColumn("cov50", F.col("realized").between(F.col("lo50"), F.col("hi50")))
+
+
+def replayed_scales(cum: DataFrame, cfg: DelayConfig, method: str = "multinomial") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Replayed predictions with draws and sigma (draws stored, so that they are made once), drift scales and the net dispersion."""
+    rows = stored(with_spread(replay(cum, cfg), prediction_draws(cum, fit(cum, cfg), cfg, method)), "draws")
+    kappa = drift_scale(rows, phi_centred(rows))
+    ready = with_sigma(rows, kappa)
+    return ready, kappa, phi_net(ready)
+
+
+def replayed_intervals(cum: DataFrame, cfg: DelayConfig, method: str = "multinomial") -> DataFrame:
+    rows, _, phi = replayed_scales(cum, cfg, method)
+    return with_coverage(simulate(rows, phi, cfg))
+
+
+def training_moments(points: DataFrame) -> DataFrame:
+    """(stream, h, n, bias, total, pending, m2): what the scales take from training predictions themselves, without draws."""
+    e, u = F.col("realized") - F.col("n_hat"), F.greatest(F.col("n_hat") - F.col("c_obs"), F.lit(0.0))
+    train = points.where("train AND n_hat > 1e-9")
+    return train.groupBy("stream", "h").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(e / F.col("n_hat")).alias("bias"), F.avg(e * e / F.col("n_hat") ** 2).alias("total"),
+        F.avg(u / F.col("n_hat") ** 2).alias("pending"), F.avg(F.col("stale") ** 2).alias("m2"),
+    )

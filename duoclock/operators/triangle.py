@@ -17,11 +17,11 @@ def with_streams(records: DataFrame, extra: dict[str, Column] | None = None) ->
     return records.withColumn("stream", F.explode(F.array_compact(F.array(*labels))))
 
 
-def triangle(records: DataFrame, cfg: DelayConfig, by: tuple[str, ...] = STREAM) -> DataFrame:
-    """Counts of admitted records by keys, cohort and delay: one pre-aggregated shuffle."""
+def triangle(records: DataFrame, cfg: DelayConfig, by: tuple[str, ...] = STREAM, weight: str | None = None) -> DataFrame:
+    """Counts of admitted records by keys, cohort and delay: one pre-aggregated shuffle. weight: a column of how many records a row stands for."""
     t, d = F.col("cohort_p"), F.col("delay_m")
     admitted = records.where(F.col("valid_delay") & t.between(cfg.t0, cfg.cutoff) & d.between(0, cfg.max_delay) & (F.col("report_p") <= cfg.cutoff))
-    return admitted.groupBy(*by, t.alias("t"), d.alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    return admitted.groupBy(*by, t.alias("t"), d.alias("d")).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
 
 
 def as_known_at(tri: DataFrame, cutoff: int | Column) -> DataFrame:

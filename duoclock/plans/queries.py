@@ -6,14 +6,14 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import ORDERS as C
 from ..functions.months import month_label, parse_month_label
 from ..operators import backtest, bootstrap, chainladder, descriptive, hazard, ingest, intervals, surveillance, variants
 from ..operators.triangle import as_known_at, cumulative, dense, triangle, with_streams
-from ..shared import new_folder
+from ..shared import new_folder, stored
 from ..shipping import ship
 from ..sources import tsv
 from ..streaming import replay as stream
@@ -23,6 +23,8 @@ from .adapter import FLOOR_YEAR, order_rows, records
 
 PAIR = ("make", "family")
 SHORT_DELAY = 8
+#: Draws of the reduced replays of variants.
+VARIANT_DRAWS = 60
 Run = Callable[[SparkSession, str], DataFrame]
 
 
@@ -119,28 +121,17 @@ def _hazard_cells(s: SparkSession, d: str) -> DataFrame:
 
 
 def _hazard_fit(s: SparkSession, d: str) -> DataFrame:
-    cells = _hazard_cells(s, d).cache()
+    cells = stored(_hazard_cells(s, d), "hazard-cells")
     top = hazard.reference_levels(cells).first()
     return hazard.fit_hazard(cells, {"dbin": "0", "severity": "0", "era": f"{C.eras[-1][0]}-{C.eras[-1][1]}", "channel": top["channel"], "family": top["family"]})
 
 
-def _spread(s: SparkSession, d: str, method: str = "multinomial") -> DataFrame:
-    cum = _cum(s, d)
-    draws = bootstrap.prediction_draws(cum, chainladder.fit(cum, C), C, method)
-    return intervals.with_spread(backtest.replay(cum, C), draws)
-
-
 def _scales(s: SparkSession, d: str, method: str = "multinomial") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows with sigma, drift scales and the net dispersion."""
-    rows = _spread(s, d, method).persist()
-    kappa = intervals.drift_scale(rows, intervals.phi_centred(rows))
-    with_sigma = intervals.with_sigma(rows, kappa)
-    return with_sigma, kappa, intervals.phi_net(with_sigma)
+    return intervals.replayed_scales(_cum(s, d), C, method)
 
 
 def _intervals(s: SparkSession, d: str, method: str = "multinomial") -> DataFrame:
-    rows, _, phi = _scales(s, d, method)
-    return intervals.with_coverage(intervals.simulate(rows, phi, C))
+    return intervals.replayed_intervals(_cum(s, d), C, method)
 
 
 def _interval_scale(s: SparkSession, d: str, method: str = "multinomial") -> DataFrame:
@@ -148,6 +139,12 @@ def _interval_scale(s: SparkSession, d: str, method: str = "multinomial") -> Dat
     return kappa.join(phi.withColumnRenamed("phi", "phi_net"), "stream").join(intervals.phi_uncentred(rows), "stream").join(intervals.phi_centred(rows).withColumnRenamed("phi", "phi_centred"), "stream")
 
 
+def _variant_bias(s: SparkSession, d: str) -> DataFrame:
+    found = variants.variant_bias(records(s, d), C, SHORT_DELAY, FLOOR_YEAR)
+    base = F.max(F.when(F.col("variant") == "base", F.col("rel_bias"))).over(Window.partitionBy("stream", "h"))
+    return found.withColumn("delta_vs_base", F.col("rel_bias") - base)
+
+
 def _by_method(plan: Callable[[SparkSession, str, str], DataFrame]) -> Run:
     """The plan's rows under each bootstrap method."""
     return lambda s, d: reduce(DataFrame.unionByName, [plan(s, d, m).withColumn("method", F.lit(m)) for m in bootstrap.METHODS])
@@ -346,6 +343,25 @@ SELECT arm, target, CASE WHEN target = 0 THEN {C.z_threshold} ELSE (SELECT max(i
     "robustness_table": Query(
         lambda s, d: (lambda x: reports.robustness(x, variants.largest_deltas(x)))(variants.variant_deltas(_variants(s, d), C.horizons)), "variant:s value:f delta_vs_base:f max_delta:f n:i",
         _VARIANTS + ", mx AS (SELECT variant, max(abs(delta_vs_base)) AS max_delta, count(*) AS n FROM vdel GROUP BY variant)\nSELECT variant, value, delta_vs_base, max_delta, n FROM vdel JOIN mx USING (variant) WHERE stream = 'all' AND h = 1"),
+    "variant_records": Query(
+        lambda s, d: variants.variant_records(records(s, d), C, FLOOR_YEAR), "variant:s n:i delta_vs_base:i",
+        _VARIANTS + """, cnt AS (
+  SELECT variant, count(*) AS n FROM every WHERE valid_delay GROUP BY variant UNION ALL SELECT unnest(['short_window', 'all_history', 'short_delay']), count(*) FROM every WHERE valid_delay AND variant = 'base')
+SELECT variant, n, n - max(n) FILTER (WHERE variant = 'base') OVER () AS delta_vs_base FROM cnt"""),
+    "variant_bias": Query(
+        _variant_bias, "variant:s stream:s h:i n:i rel_bias:f delta_vs_base:f",
+        _VARIANTS + ", vb AS (" + " UNION ALL ".join(
+            f"SELECT {name} AS variant, l.stream, u.d AS h, count(*) AS n, avg((u.c / l.F - r.c) / r.c) AS rel_bias FROM {p}cur l JOIN {cum} u USING ({keys}, d) JOIN {cum} r USING ({keys}, t) "
+            f"WHERE l.cutoff BETWEEN {C.last_training_origin + 1} AND {C.last_origin} AND u.d = least(l.cutoff - u.t, {top}) AND u.t BETWEEN l.cutoff - {C.max_lag} AND l.cutoff AND r.d = {top} AND r.c > 0 AND u.d IN {C.horizons} GROUP BY ALL"
+            for name, p, cum, keys, top in (("l.variant", "", "cum", "variant, stream", C.max_delay), ("'short_window'", "sw", "bcum", "stream", C.max_delay), ("'all_history'", "ah", "bcum", "stream", C.max_delay), ("'short_delay'", "sd", "sdcum", "stream", SHORT_DELAY))
+        ) + ")\nSELECT *, rel_bias - max(rel_bias) FILTER (WHERE variant = 'base') OVER (PARTITION BY stream, h) AS delta_vs_base FROM vb"),
+    "variant_coverage": Query(lambda s, d: variants.variant_coverage(records(s, d), replace(C, draws=VARIANT_DRAWS), SHORT_DELAY, FLOOR_YEAR), "variant:s stream:s n:i cov90:f"),
+    "worst_variant": Query(
+        lambda s, d: variants.worst_variant(variants.variant_deltas(_variants(s, d), C.horizons)), "variant:s stream:s h:i delta_vs_base:f",
+        _VARIANTS + "\nSELECT variant, stream, h, delta_vs_base FROM vdel WHERE variant <> 'base' ORDER BY abs(delta_vs_base) DESC, variant, stream, h LIMIT 1"),
+    "training_moments": Query(
+        lambda s, d: intervals.training_moments(_points(s, d)), "stream:s h:i n:i bias:f total:f pending:f m2:f",
+        "WITH " + o.REPLAY + "\nSELECT stream, h, count(*) AS n, avg((realized - n_hat) / n_hat) AS bias, avg(((realized - n_hat) / n_hat) ** 2) AS total, avg(greatest(n_hat - c_obs, 0) / n_hat ** 2) AS pending, avg(stale ** 2) AS m2 FROM pts WHERE train AND n_hat > 1e-9 GROUP BY stream, h"),
     "person_periods": Query(_periods, "severity:i era:s channel:s family:s d:i events:i at_risk:i", "WITH " + o.HAZ + "\nSELECT * FROM per"),
     "hazard_cells": Query(_hazard_cells, "dbin:s severity:i era:s channel:s family:s events:i at_risk:i", "WITH " + o.HC + "\nSELECT * FROM hz"),
     "reference_levels": Query(
