@@ -110,7 +110,7 @@ class Projection:
     def reach(self, q: np.ndarray, floors: np.ndarray) -> np.ndarray:
         """The squared projected distance within which better scores are looked for."""
         base = (q * q).sum(axis=1) + self.longest**2
-        return np.where(floors > LOWEST, self.limit * np.maximum(0.0, base - 2 * floors), np.inf)
+        return self.limit * np.maximum(0.0, base - 2 * floors)
 
 
 def _distance(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -149,7 +149,7 @@ def _kernel(projection: Projection, k: int):
         slack = 1e-12 * (1 + projection.longest * np.linalg.norm(q, axis=1).max(initial=0))
         size_at, size_points = (at * at).sum(axis=1), (points * points).sum(axis=1)
         floors = floors.copy()
-        best, who = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+        best, who = np.full((len(q), k), LOWEST), np.full((len(q), k), np.iinfo(np.int64).max)
         going = np.arange(len(q))
         for step in range(len(boxes)):
             leaf = visit[going, step]
@@ -173,14 +173,13 @@ def _kernel(projection: Projection, k: int):
                 asks, place = np.unique(i, return_inverse=True)
                 turn = np.arange(len(i)) - np.searchsorted(i, i, side="left")
                 width = int(turn.max()) + 1
-                scores, names = np.full((len(asks), width), -np.inf), np.full((len(asks), width), np.iinfo(np.int64).max)
+                scores, names = np.full((len(asks), width), LOWEST), np.full((len(asks), width), np.iinfo(np.int64).max)
                 scores[place, turn], names[place, turn] = exact, ids[rows][j]
                 asks = who_asks[asks]
                 scores, names = top_of(np.concatenate((best[asks], scores), axis=1), np.concatenate((who[asks], names), axis=1), k)
                 best[asks], who[asks] = scores, names
-                floors[asks] = np.maximum(floors[asks], np.where(np.isfinite(scores[:, -1]), scores[:, -1], LOWEST))
-        number, place = np.nonzero(np.isfinite(best))
-        return number, who[number, place], best[number, place]
+                floors[asks] = np.maximum(floors[asks], scores[:, -1])
+        return best, who
 
     return run
 

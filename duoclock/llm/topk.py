@@ -100,13 +100,12 @@ def _kernel(axes: np.ndarray, heads: list[int], k: int):
                 i, j = np.nonzero(hopeful)
                 product[i, j] = np.einsum("ij,ij->i", q[live[i]], c[columns[j]])
             names = ids[columns]
-            product[names[None, :] == own[live, None]] = LOWEST
+            product[(names[None, :] == own[live, None]) | (product < floors[live, None])] = LOWEST
             best, who = top_of(product, names, k)
             best, who = top_of(np.concatenate((scores[live], best), axis=1), np.concatenate((found[live], who), axis=1), k)
             scores[live], found[live] = best[:, :k], who[:, :k]
             floors[live] = np.maximum(floors[live], scores[live, -1])
-        number, place = np.nonzero(scores > LOWEST)
-        return number, found[number, place], scores[number, place].astype(np.int64)
+        return scores, found
 
     return run
 

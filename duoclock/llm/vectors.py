@@ -14,6 +14,8 @@ all of them. No queries or no candidates: no rows.
 
 from __future__ import annotations
 
+import hashlib
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-CELLS, BATCH_ROWS, LOWEST = 1024, 1024, -(2.0**62)
+CELLS, BATCH_ROWS, HELD, LOWEST = 1024, 1024, 64, -np.inf
 
 
 def clean(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -94,15 +96,30 @@ def _by_cell(vectors: DataFrame, rows: int) -> DataFrame:
 def _meet(asked: DataFrame, index: DataFrame, dim: int, kernel: Callable, more: tuple[str, ...], score_type: str, k: int) -> DataFrame:
     """(query_id, vec_id, score): the best that each query (cell, id, vec, floor) finds in the blocks of its cell."""
     names = ["ids", "vecs", *more]
+    arrow_type = pa.int64() if score_type == "bigint" else pa.float64()
+
+    def found(own: np.ndarray, _, __, scores: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        number, place = np.nonzero(scores > LOWEST)
+        return pa.RecordBatch.from_arrays([pa.array(own[number]), pa.array(ids[number, place], pa.int64()), pa.array(scores[number, place]).cast(arrow_type)], names=["query_id", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a batch takes what it has found, and the k-th score, from block to block of its task
+        held: OrderedDict[bytes, list] = OrderedDict()
         for batch in batches:
             for i in range(batch.num_rows):
-                q_ids, q_floors, q_vecs, c_ids, c_vecs, *rest = (np.frombuffer(batch.column(c)[i].as_py()) for c in range(batch.num_columns))
-                own, ids = q_ids.view(np.int64), c_ids.view(np.int64)
-                number, found, score = kernel(own, q_vecs.reshape(len(own), dim), q_floors, ids, c_vecs.reshape(len(ids), dim), *rest)
-                arrow_type = pa.int64() if score_type == "bigint" else pa.float64()
-                yield pa.RecordBatch.from_arrays([pa.array(own[number]), pa.array(found, pa.int64()), pa.array(score).cast(arrow_type)], names=["query_id", "vec_id", "score"])
+                q_ids, q_floors, q_vecs, c_ids, c_vecs, *rest = (batch.column(c)[i].as_py() for c in range(batch.num_columns))
+                key = hashlib.blake2b(q_ids + q_vecs, digest_size=16).digest()
+                if key not in held:
+                    own = np.frombuffer(q_ids, np.int64)
+                    held[key] = [own, np.frombuffer(q_vecs).reshape(len(own), dim), np.frombuffer(q_floors), np.full((len(own), k), LOWEST), np.full((len(own), k), np.iinfo(np.int64).max)]
+                    if len(held) > HELD:
+                        yield found(*held.popitem(last=False)[1])
+                own, q, floors, scores, ids = held[key]
+                new, names_of = kernel(own, q, floors, np.frombuffer(c_ids, np.int64), np.frombuffer(c_vecs).reshape(-1, dim), *map(np.frombuffer, rest))
+                scores, ids = top_of(np.concatenate((scores, new), axis=1), np.concatenate((ids, names_of), axis=1), k)
+                held[key][2:] = np.maximum(floors, scores[:, -1]), scores, ids
+        for batch_found in held.values():
+            yield found(*batch_found)
 
     batches = packed(asked, dim, BATCH_ROWS).select("cell", *[F.col(c).alias(f"q_{c}") for c in ("ids", "floors", "vecs")])
     pairs = batches.join(index, "cell").select("q_ids", "q_floors", "q_vecs", *names)
@@ -119,7 +136,7 @@ def search(queries: DataFrame, index: DataFrame, dim: int, kernel: Callable, k:
 
     index: stored, packed. home(queries) adds the column cell; others(queries with home and floor) gives
     (cell, id, vec, floor) for the further cells. kernel(query ids, queries, floors, candidate ids, candidates, more...) gives
-    arrays of query numbers, candidate ids and scores: the k best of each query, or more, but for those under its floor.
+    the k best scores of each query that aren't under its floor, and their ids, as matrices filled up with LOWEST.
     """
     asked = staged(home(queries.dropDuplicates(["id", "vec"])), "asked")
     first = staged(_meet(_by_cell(asked, BATCH_ROWS), index, dim, kernel, more, score_type, k), "first").select("query_id", "vec_id", "score")
