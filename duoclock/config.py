@@ -40,9 +40,10 @@ class DelayConfig:
         return self.cutoff - self.max_delay
 
 
-#: Fits the driver's order tables, which hold 80 cohorts.
+#: Fits the driver's order tables, which hold 80 cohorts and few records a stream: at the bars above no stream would be judged.
 ORDERS = DelayConfig(
     t0=1995 * 12, cutoff=2001 * 12 + 7, max_delay=12, window=24, short_window=12, max_lag=12,
     channels=("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"), eras=((1995, 1996), (1997, 1998), (1999, 2000)), horizons=(1, 3, 6, 12),
     first_origin=1998 * 12, last_origin=2000 * 12 + 7, last_training_origin=1999 * 12 + 5, draws=200, burst_count=8, burst_ratio=3.0,
+    z_threshold=1.5, min_stream_rows=30, min_stream_peak=10,
 )

@@ -44,6 +44,13 @@ def metrics(points: DataFrame, by: tuple[str, ...] = STREAM) -> DataFrame:
     )
 
 
+def with_interval_coverage(scores: DataFrame, intervals: DataFrame, by: tuple[str, ...] = STREAM) -> DataFrame:
+    """The errors' table with the nowcast's cov50 and cov90 by keys, age and set of origins; null for the other methods."""
+    share = lambda c: F.avg(F.col(c).cast("double")).alias(c)
+    found = intervals.where("realized > 0").groupBy(*by, "h", F.when(F.col("train"), "training").otherwise("evaluation").alias("origin_set")).agg(share("cov50"), share("cov90"))
+    return scores.join(found.withColumn("method", F.lit("nowcast")), [*by, "h", "origin_set", "method"], "left")
+
+
 def scoreboard(scores: DataFrame, horizons: tuple[int, ...], by: tuple[str, ...] = STREAM) -> DataFrame:
     """Relative bias of evaluation origins, a column for each age, and whether the nowcast beats both others at each age."""
     rows = scores.where((F.col("origin_set") == "evaluation") & F.col("h").isin(*horizons))

@@ -83,6 +83,21 @@ def negative_binomial(mean: np.ndarray, phi: float, rng: np.random.Generator) ->
     return out
 
 
+def negative_binomial_quantile(q: np.ndarray, mean: np.ndarray, phi: np.ndarray) -> np.ndarray:
+    """The least count whose distribution function is q or more, for counts as drawn above; by summing probabilities up."""
+    p = phi / (phi + np.maximum(mean, 1e-12))
+    term = np.exp(phi * np.log(p))
+    total, count, out = term.copy(), np.zeros(len(mean)), np.zeros(len(mean))
+    todo = np.flatnonzero((mean > 1e-12) & (total < q))
+    while len(todo):
+        count[todo] += 1
+        term[todo] *= (count[todo] - 1 + phi[todo]) / count[todo] * (1 - p[todo])
+        total[todo] += term[todo]
+        out[todo] = count[todo]
+        todo = todo[(total[todo] < q[todo]) & (term[todo] > 1e-300)]
+    return out
+
+
 def simulate(rows: DataFrame, phi: DataFrame, cfg: DelayConfig) -> DataFrame:
     """Rows (with draws, sigma, c_obs) and the 5, 25, 50, 75 and 95 % points of what will have come in, one generator for each row."""
     seed = cfg.seed

@@ -6,6 +6,9 @@ month, `nowcast` compares both after dividing by the pooled maturity.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,17 +65,22 @@ def z_series(cum: DataFrame, pooled: DataFrame, cfg: DelayConfig, by: tuple[str,
     return rows.select(*by, "cutoff", "obs", F.col("now").alias("nowcast"), *[f"{x}_{arm}" for arm in ARMS for x in ("mu", "sd", "z")])
 
 
-def alarm_levels(z: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """(keys, cutoff, level_<arm>): the lower of this month's z and the last one's; an alarm at any threshold under it."""
+def alarm_levels(z: DataFrame, by: tuple[str, ...], in_a_row: int = 2) -> DataFrame:
+    """(keys, cutoff, level_<arm>): the lowest z of the last `in_a_row` months, where all are known; an alarm at any threshold under it."""
     order = Window.partitionBy(*by).orderBy("cutoff")
-    last = lambda a: F.lag(f"z_{a}").over(order)
-    return z.select(*by, "cutoff", *[F.when(last(a).isNotNull() & F.col(f"z_{a}").isNotNull(), F.least(F.col(f"z_{a}"), last(a))).alias(f"level_{a}") for a in ARMS])
 
+    def level(arm: str) -> Column:
+        values = [F.col(f"z_{arm}"), *(F.lag(f"z_{arm}", k).over(order) for k in range(1, in_a_row))]
+        known = reduce(lambda a, b: a & b, [v.isNotNull() for v in values])
+        return F.when(known, F.array_min(F.array(*values)))
+
+    return z.select(*by, "cutoff", *[level(a).alias(f"level_{a}") for a in ARMS])
 
-def first_alarms(z: DataFrame, cfg: DelayConfig, by: tuple[str, ...], thresholds: dict[str, float] | None = None) -> DataFrame:
-    """(keys, tau_<arm>): the second of the first two months in a row over the threshold; null without an alarm."""
+
+def first_alarms(z: DataFrame, cfg: DelayConfig, by: tuple[str, ...], thresholds: dict[str, float] | None = None, in_a_row: int = 2) -> DataFrame:
+    """(keys, tau_<arm>): the last of the first months in a row over the threshold; null without an alarm."""
     bar = {a: cfg.z_threshold for a in ARMS} | (thresholds or {})
-    return alarm_levels(z, by).groupBy(*by).agg(*[F.min(F.when(F.col(f"level_{a}") > bar[a], F.col("cutoff"))).alias(f"tau_{a}") for a in ARMS])
+    return alarm_levels(z, by, in_a_row).groupBy(*by).agg(*[F.min(F.when(F.col(f"level_{a}") > bar[a], F.col("cutoff"))).alias(f"tau_{a}") for a in ARMS])
 
 
 def matched_thresholds(levels: DataFrame, cfg: DelayConfig, by: tuple[str, ...], tolerance: float = 1e-3) -> DataFrame:
@@ -95,6 +103,47 @@ def matched_thresholds(levels: DataFrame, cfg: DelayConfig, by: tuple[str, ...],
     return best.select("arm", "target", F.when(F.col("target") == 0, cfg.z_threshold).otherwise(F.coalesce(F.col("point") * width, F.lit(0.0))).alias("threshold"))
 
 
+@dataclass(frozen=True)
+class Case:
+    """A named stream: records of these makes and families (None: all), judged over the months first..last."""
+
+    name: str
+    makes: tuple[str, ...] | None = None
+    families: tuple[str, ...] | None = None
+    first: int | None = None
+    last: int | None = None
+
+    def holds(self) -> Column:
+        listed = [F.col(c).isin(*values) for c, values in (("make", self.makes), ("family", self.families)) if values is not None]
+        return reduce(lambda a, b: a & b, listed, F.lit(True))
+
+
+def with_cases(records: DataFrame, cases: tuple[Case, ...]) -> DataFrame:
+    """A row for each case that a record is in."""
+    return records.withColumn("case", F.explode(F.array_compact(F.array(*[F.when(c.holds(), c.name) for c in cases]))))
+
+
+def case_window(rows: DataFrame, cases: tuple[Case, ...], month: str) -> DataFrame:
+    """Only the months of each case's window."""
+    inside = F.lit(False)
+    for c in cases:
+        bounds = [F.col("case") == c.name, *([F.col(month) >= c.first] if c.first is not None else []), *([F.col(month) <= c.last] if c.last is not None else [])]
+        inside = inside | reduce(lambda a, b: a & b, bounds)
+    return rows.where(inside)
+
+
+def case_records(cum: DataFrame, z: DataFrame, cases: tuple[Case, ...], cfg: DelayConfig, min_surge: int = 5) -> DataFrame:
+    """(case, peak, total, status, tau_<arm>, max_z_<arm>, outcome) over each case's window; a thin case is dropped, without alarms."""
+    done = case_window(cum.where(F.col("d") == cfg.max_delay), cases, "t").groupBy("case").agg(F.max("c").alias("peak"), F.sum("c").alias("total"))
+    inside = case_window(z, cases, "cutoff")
+    found = inside.groupBy("case").agg(*[F.max(f"z_{a}").alias(f"max_z_{a}") for a in ARMS]).join(first_alarms(inside, cfg, ("case",)), "case")
+    now, naive = F.col("tau_nowcast").isNotNull(), F.col("tau_naive").isNotNull()
+    outcome = F.when(now & naive, "both").when(now, "nowcast only").when(naive, "comparator only").otherwise("neither alarms")
+    thick = F.col("peak") >= min_surge
+    rows = done.join(found, "case", "left")
+    return rows.select("case", "peak", "total", F.when(thick, "evaluated").otherwise("dropped").alias("status"), *[F.when(thick, F.col(c)).alias(c) for c in found.columns[1:]], F.when(thick, outcome).alias("outcome"))
+
+
 def gains(alarms: DataFrame) -> DataFrame:
     """Months by which the nowcast arm is earlier; null unless both alarm."""
     return alarms.withColumns({f"delta_vs_{a}": F.col(f"tau_{a}") - F.col("tau_nowcast") for a in ("naive", "naive_matched")})

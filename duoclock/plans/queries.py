@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -10,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import ORDERS as C
+from ..functions import tables
 from ..functions.months import month_label, parse_month_label
+from ..functions.records import with_delays
 from ..operators import backtest, bootstrap, chainladder, descriptive, hazard, ingest, intervals, surveillance, variants
 from ..operators.triangle import as_known_at, cumulative, dense, triangle, with_streams
 from ..shared import new_folder, stored
 from ..shipping import ship
-from ..sources import tsv
+from ..sources import sinks, tsv
 from ..streaming import replay as stream
 from . import oracles as o
 from . import reports
@@ -182,17 +185,79 @@ def _recent_replay(s: SparkSession, d: str) -> DataFrame:
     source = s.readStream.schema(s.read.parquet(f"{d}/lineitem.parquet").schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/lineitem*.parquet")
     orders, parts = s.read.parquet(f"{d}/orders.parquet"), s.read.parquet(f"{d}/part.parquet")
     rows = source.join(orders, source["l_orderkey"] == orders["o_orderkey"]).join(parts, source["l_partkey"] == parts["p_partkey"])
-    from ..functions.records import with_delays
-
     typed = rows.select(
         F.col("o_orderdate").cast("date").alias("incident"), F.col("l_shipdate").cast("date").alias("receipt"), F.col("o_orderpriority").alias("channel"),
         F.when(F.col("l_quantity") >= 50, 3).when(F.col("l_returnflag") == "R", 2).when(F.col("l_returnflag") == "A", 1).otherwise(0).alias("severity"),
     )
     cells = stream.streaming_triangle(with_delays(typed, C, FLOOR_YEAR).where("consumer"), C)
-    folder = new_folder(s, "cells")
-    name = "cells_" + folder[-32:]
-    stream.run_available(cells, name, folder).awaitTermination()
-    return s.table(name)
+    return stream.latest(s, cells, ("stream", "t", "d"), new_folder(s, "cells"))
+
+
+def _order_stream(s: SparkSession, d: str) -> DataFrame:
+    """Flagged records from a stream of the driver's order lines."""
+    source = s.readStream.schema(s.read.parquet(f"{d}/lineitem.parquet").schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/lineitem*.parquet")
+    orders = s.read.parquet(f"{d}/orders.parquet")
+    rows = source.join(orders, source["l_orderkey"] == orders["o_orderkey"])
+    typed = rows.select(F.col("o_orderdate").cast("date").alias("incident"), F.col("l_shipdate").cast("date").alias("receipt"), F.col("o_orderpriority").alias("channel"), F.lit(0).alias("severity"))
+    return with_delays(typed, C, FLOOR_YEAR)
+
+
+def _streamed(s: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    folder = new_folder(s, name)
+    stream.run_available(rows, folder).awaitTermination()
+    return s.read.schema(rows.schema).parquet(f"{folder}/rows")
+
+
+def _alarm_runs(s: SparkSession, d: str) -> DataFrame:
+    """The alarm as a stateful operator over a stream of scores."""
+    folder = new_folder(s, "scores")
+    scores = _z(s, d).select(F.concat_ws("|", *PAIR).alias("stream"), F.col("cutoff").cast("int").alias("cutoff"), F.col("z_nowcast").alias("z"))
+    scores.coalesce(1).write.parquet(folder)
+    return _streamed(s, stream.alarm_runs(s.readStream.schema(scores.schema).parquet(folder), C.z_threshold), "alarm-runs")
+
+
+CASES = (
+    surveillance.Case("one make", makes=("Brand#4",)), surveillance.Case("two families", families=("PROMO", "LARGE"), first=C.t0 + 60),
+    surveillance.Case("both named", ("Brand#17", "Brand#7"), ("STANDARD",)), surveillance.Case("every stream", last=C.cutoff - 6),
+)
+
+
+def _case_cum(s: SparkSession, d: str) -> DataFrame:
+    rows = surveillance.with_cases(_consumer(s, d).where("severity >= 1"), CASES)
+    return cumulative(triangle(rows, C, ("case",)), C, ("case",))
+
+
+def _case_z(s: SparkSession, d: str) -> DataFrame:
+    severe = triangle(_consumer(s, d).where("severity >= 1").withColumn("stream", F.lit("severe")), C)
+    return surveillance.z_series(_case_cum(s, d), chainladder.fit(cumulative(severe, C), C).select("cutoff", "d", "F"), C, ("case",))
+
+
+def _matched_gains(s: SparkSession, d: str) -> DataFrame:
+    """Gains where the naive arms alarm as often as the nowcast arm."""
+    z = stored(_z(s, d), "z")
+    bars = {r["arm"]: r["threshold"] for r in surveillance.matched_thresholds(surveillance.alarm_levels(z, PAIR), C, PAIR).collect()}
+    return surveillance.gains(surveillance.first_alarms(z, C, PAIR, bars))
+
+
+def _udtf_nowcast(s: SparkSession, d: str) -> DataFrame:
+    tables.register(s)
+    _now(s, d, C.max_delay).select("stream", "cutoff", "t", "h", "c_obs", "F").createOrReplaceTempView("to_nowcast")
+    return s.sql("SELECT * FROM nowcast(TABLE(to_nowcast))")
+
+
+def _gate_log(s: SparkSession, d: str) -> DataFrame:
+    """Gates appended to the log and read back."""
+    folder = new_folder(s, "gates")
+    bias = backtest.bias_gate(_metrics(s, d), ("all", "severe"))
+    sinks.append_gates(sinks.gate(bias, "replay", "bias", "passed", "concat(n, ' streams and ages')"), folder)
+    sinks.append_gates(sinks.gate(ingest.row_audit(order_rows(s, d)), "ingest", "rows", "rows_kept > 0", "concat(rows_kept, ' rows')"), folder)
+    return sinks.read_gates(s, folder)
+
+
+def _narrative(s: SparkSession, d: str) -> DataFrame:
+    curves = _fit(s, d).where(F.col("cutoff") == C.cutoff)
+    worst = variants.worst_variant(variants.variant_deltas(_variants(s, d), C.horizons))
+    return reports.narrative(ingest.row_audit(order_rows(s, d)), curves, worst, backtest.scoreboard(_metrics(s, d), C.horizons))
 
 
 _TSV_LINE = {1: "cast(l_orderkey AS string)", 3: "concat(' ', lower(p_brand), ' ')", 5: "''", 6: "CASE WHEN l_returnflag = 'A' THEN ' y ' ELSE 'N' END", 7: "date_format(o_orderdate, 'yyyyMMdd')", 8: "'N'", 9: "CASE WHEN l_returnflag = 'R' THEN '2' WHEN l_linenumber = 6 THEN 'NaN' WHEN l_linenumber = 5 THEN '99999999999999999999' ELSE 'x' END", 10: "CASE WHEN l_quantity >= 50 THEN '1' ELSE '' END", 11: "concat(lower(p_type), ':part:', cast(l_linenumber AS string))", 16: "concat(date_format(l_shipdate, 'yyyyMMdd'), CASE WHEN l_linenumber = 4 THEN '123' WHEN l_linenumber = 3 THEN '123456789123' ELSE '' END)", 20: "lower(o_orderpriority)"}
@@ -226,7 +291,8 @@ FROM (SELECT level, sum(k) AS n FROM cnt GROUP BY level) CROSS JOIN range(0, {C.
 _GAIN = "count(*) AS n, avg(delta) AS mean, median(delta) AS median, quantile_cont(delta, 0.25) AS p25, quantile_cont(delta, 0.75) AS p75, min(delta) AS min, max(delta) AS max, avg((delta >= 1)::INT) AS share_gain, avg((delta = 0)::INT) AS share_zero, avg((delta < 0)::INT) AS share_negative"
 _GAIN_ROWS = "SELECT 'naive' AS arm, delta_vs_naive AS delta FROM gns UNION ALL SELECT 'naive_matched', delta_vs_naive_matched FROM gns"
 _GAIN_SHAPE = "arm:s n:i mean:f median:f p25:f p75:f min:i max:i share_gain:f share_zero:f share_negative:f"
-_STEP = C.z_threshold / 4096
+_GRID = 1 << math.ceil(math.log2(C.z_threshold / 1e-3))
+_STEP = C.z_threshold / _GRID
 
 _VARIANTS = "WITH " + o.FLG + f""",
 cons AS (SELECT * FROM flg WHERE consumer)""" + o.BURST + f""",
@@ -245,6 +311,24 @@ vcur AS (
 ), vdel AS (SELECT variant, stream, d AS h, F AS value, F - max(F) FILTER (WHERE variant = 'base') OVER (PARTITION BY stream, d) AS delta_vs_base FROM vcur WHERE d IN {C.horizons})"""
 _H = f"d IN {C.horizons}"
 
+
+def _case_sql() -> str:
+    """Scores of the named cases: those of pairs, with the case in place of the make and without a test of size."""
+    listed = lambda values: "(" + ", ".join(f"'{v}'" for v in values) + ")"
+    holds = lambda c: " AND ".join([f"{k} IN {listed(v)}" for k, v in (("make", c.makes), ("family", c.families)) if v] or ["true"])
+    rows = " UNION ALL ".join(f"SELECT * REPLACE ('{c.name}' AS make, '-' AS family) FROM flg WHERE consumer AND severity >= 1 AND {holds(c)}" for c in CASES)
+    text = o.ALARMS.replace("sev AS (SELECT * FROM flg WHERE consumer AND severity >= 1)", f"sev AS ({rows})")
+    inside = lambda month: " OR ".join(f"(make = '{c.name}'" + (f" AND {month} >= {c.first}" if c.first is not None else "") + (f" AND {month} <= {c.last}" if c.last is not None else "") + ")" for c in CASES)
+    head, tail = text.split(" HAVING sum(c)", 1)
+    text = head + tail[tail.index("\n)") :]
+    text = text.replace("FROM zs WINDOW", f"FROM (SELECT * FROM zs WHERE {inside('cutoff')}) WINDOW")
+    return "WITH " + text + f""",
+dn AS (SELECT make, max(c) AS peak, sum(c) AS total FROM mcum WHERE d = {C.max_delay} AND ({inside('t')}) GROUP BY make),
+mz AS (SELECT make, max(z_naive) AS max_z_naive, max(z_naive_matched) AS max_z_naive_matched, max(z_nowcast) AS max_z_nowcast FROM zs WHERE {inside('cutoff')} GROUP BY make)"""
+
+
+_RUN3 = ", ".join(f"CASE WHEN lag(z_{a}, 2) OVER w IS NOT NULL THEN least(z_{a}, lag(z_{a}) OVER w, lag(z_{a}, 2) OVER w) END AS level_{a}" for a in ("naive", "naive_matched", "nowcast"))
+
 QUERIES: dict[str, Query] = {
     "nowcast_current": Query(
         lambda s, d: _now(s, d, C.max_delay).withColumn("cohort", month_label(F.col("t"))), "stream:s cutoff:i t:i cohort:s h:i c_obs:i F:f n_hat:f degenerate:b",
@@ -330,7 +414,57 @@ QUERIES: dict[str, Query] = {
 pk AS (SELECT make, family, max(level_naive) AS naive, max(level_naive_matched) AS naive_matched, max(level_nowcast) AS nowcast FROM lev GROUP BY ALL),
 tg AS (SELECT count(*) FILTER (WHERE nowcast > {C.z_threshold}) AS target FROM pk),
 ar AS (SELECT 'naive' AS arm, naive AS peak FROM pk UNION ALL SELECT 'naive_matched', naive_matched FROM pk)
-SELECT arm, target, CASE WHEN target = 0 THEN {C.z_threshold} ELSE (SELECT max(i) FROM range(0, 4097) g(i) WHERE i = 0 OR (SELECT count(*) FROM ar b WHERE b.arm = a.arm AND b.peak > i * {_STEP}) >= target) * {_STEP} END AS threshold FROM (SELECT DISTINCT arm, target FROM ar, tg) a"""),
+SELECT arm, target, CASE WHEN target = 0 THEN {C.z_threshold} ELSE (SELECT max(i) FROM range(0, {_GRID + 1}) g(i) WHERE i = 0 OR (SELECT count(*) FROM ar b WHERE b.arm = a.arm AND b.peak > i * {_STEP}) >= target) * {_STEP} END AS threshold FROM (SELECT DISTINCT arm, target FROM ar, tg) a"""),
+    "matched_gain_summary": Query(
+        lambda s, d: surveillance.gain_summary(_matched_gains(s, d)), _GAIN_SHAPE,
+        "WITH " + o.ALARMS + f""",
+pk AS (SELECT make, family, max(level_naive) AS naive, max(level_naive_matched) AS naive_matched, max(level_nowcast) AS nowcast FROM lev GROUP BY ALL),
+tg AS (SELECT count(*) FILTER (WHERE nowcast > {C.z_threshold}) AS target FROM pk),
+ar AS (SELECT 'naive' AS arm, naive AS peak FROM pk UNION ALL SELECT 'naive_matched', naive_matched FROM pk),
+th AS (SELECT arm, CASE WHEN target = 0 THEN {C.z_threshold} ELSE (SELECT max(i) FROM range(0, {_GRID + 1}) g(i) WHERE i = 0 OR (SELECT count(*) FROM ar b WHERE b.arm = a.arm AND b.peak > i * {_STEP}) >= target) * {_STEP} END AS bar FROM (SELECT DISTINCT arm, target FROM ar, tg) a),
+ma AS (SELECT make, family, min(cutoff) FILTER (WHERE level_naive > (SELECT bar FROM th WHERE arm = 'naive')) AS n1, min(cutoff) FILTER (WHERE level_naive_matched > (SELECT bar FROM th WHERE arm = 'naive_matched')) AS n2, min(cutoff) FILTER (WHERE level_nowcast > {C.z_threshold}) AS n0 FROM lev GROUP BY ALL)
+SELECT arm, {_GAIN} FROM (SELECT 'naive' AS arm, n1 - n0 AS delta FROM ma UNION ALL SELECT 'naive_matched', n2 - n0 FROM ma) WHERE delta IS NOT NULL GROUP BY arm"""),
+    "first_alarms_in_three": Query(
+        lambda s, d: surveillance.first_alarms(_z(s, d), C, PAIR, in_a_row=3), f"make:s family:s {_TAUS}",
+        "WITH " + o.ALARMS + f""", l3 AS (SELECT make, family, cutoff, {_RUN3} FROM zs WINDOW w AS (PARTITION BY make, family ORDER BY cutoff))
+SELECT make, family, {", ".join(f"min(cutoff) FILTER (WHERE level_{a} > {C.z_threshold}) AS tau_{a}" for a in ("naive", "naive_matched", "nowcast"))} FROM l3 GROUP BY make, family"""),
+    "alarm_runs": Query(
+        _alarm_runs, "stream:s cutoff:i run:i",
+        "WITH " + o.ALARMS + f""", ov AS (SELECT make || '|' || family AS stream, cutoff, cutoff - row_number() OVER (PARTITION BY make, family ORDER BY cutoff) AS island FROM zs WHERE z_nowcast > {C.z_threshold}),
+rn AS (SELECT stream, cutoff, row_number() OVER (PARTITION BY stream, island ORDER BY cutoff) AS run FROM ov)
+SELECT stream, cutoff, run FROM rn WHERE run >= 2"""),
+    "detection_trace": Query(
+        lambda s, d: (lambda z: reports.detection_trace(z, surveillance.first_alarms(z, C, PAIR), PAIR))(_z(s, d)), f"make:s family:s cutoff:i obs:i z_naive:f z_naive_matched:f z_nowcast:f {_TAUS}",
+        "WITH " + o.ALARMS + "\nSELECT * FROM zs JOIN alm USING (make, family)"),
+    "case_traces": Query(
+        lambda s, d: surveillance.case_window(_case_z(s, d), CASES, "cutoff"), "case:s cutoff:i obs:i nowcast:f z_naive:f z_naive_matched:f z_nowcast:f",
+        _case_sql() + "\nSELECT make AS \"case\", cutoff, obs, nowcast, z_naive, z_naive_matched, z_nowcast FROM zs WHERE make IN (SELECT make FROM dn) AND (make, cutoff) IN (SELECT make, cutoff FROM lev)"),
+    "named_cases": Query(
+        lambda s, d: surveillance.case_records(_case_cum(s, d), _case_z(s, d), CASES, C), f"case:s peak:i total:i status:s {_TAUS} max_z_naive:f max_z_naive_matched:f max_z_nowcast:f outcome:s",
+        _case_sql() + """
+SELECT make AS "case", peak, total, CASE WHEN peak < 5 THEN 'dropped' ELSE 'evaluated' END AS status,
+  CASE WHEN peak >= 5 THEN tau_naive END AS tau_naive, CASE WHEN peak >= 5 THEN tau_naive_matched END AS tau_naive_matched, CASE WHEN peak >= 5 THEN tau_nowcast END AS tau_nowcast,
+  CASE WHEN peak >= 5 THEN max_z_naive END AS max_z_naive, CASE WHEN peak >= 5 THEN max_z_naive_matched END AS max_z_naive_matched, CASE WHEN peak >= 5 THEN max_z_nowcast END AS max_z_nowcast,
+  CASE WHEN peak < 5 THEN NULL WHEN tau_nowcast IS NOT NULL AND tau_naive IS NOT NULL THEN 'both' WHEN tau_nowcast IS NOT NULL THEN 'nowcast only' WHEN tau_naive IS NOT NULL THEN 'comparator only' ELSE 'neither alarms' END AS outcome
+FROM dn LEFT JOIN alm USING (make) LEFT JOIN mz USING (make)"""),
+    "late_records": Query(
+        lambda s, d: stream.late_records(records(s, d), C).groupBy("cohort_p").agg(F.count(F.lit(1)).alias("n")), "cohort_p:i n:i",
+        "WITH " + o.FLG + "\nSELECT cohort_p, count(*) AS n FROM flg WHERE beyond_cap GROUP BY cohort_p"),
+    "finished_cohorts": Query(
+        lambda s, d: _streamed(s, stream.finished_cohorts(_order_stream(s, d), C), "finished").select(F.date_format("month", "yyyy-MM").alias("cohort"), "n"), "cohort:s n:i",
+        "WITH " + o.FLG + f", mo AS (SELECT make_timestamp(cohort_p // 12, cohort_p % 12 + 1, 1, 0, 0, 0) AS m, count(*) AS n FROM flg WHERE valid_delay GROUP BY ALL)\nSELECT strftime(m, '%Y-%m') AS cohort, n FROM mo WHERE m <= (SELECT max(m) FROM mo) - INTERVAL {31 * (C.max_delay + 1)} DAY"),
+    "udtf_nowcast": Query(
+        _udtf_nowcast, "stream:s cutoff:i t:i h:i n_hat:f missing:f",
+        "WITH " + o.FIT + f"\nSELECT stream, cutoff, u.t, d AS h, u.c / F AS n_hat, u.c / F - u.c AS missing FROM cur JOIN cum u USING (stream, d) WHERE cutoff = {C.cutoff} AND u.t = cutoff - d"),
+    "gate_log": Query(_gate_log, "step:s gate:s passed:b detail:s"),
+    "narrative": Query(_narrative, "place:i line:s"),
+    "hazard_forest": Query(lambda s, d: reports.hazard_forest(_hazard_fit(s, d)), "term:s hr:f hr_lo95:f hr_hi95:f"),
+    "backtest_metrics": Query(
+        lambda s, d: backtest.with_interval_coverage(_metrics(s, d), _intervals(s, d)), "stream:s h:i method:s origin_set:s n:i rel_bias:f median_rel_bias:f mape:f rmse:f mean_realized:f cov50:f cov90:f"),
+    "atlas_glyphs": Query(
+        lambda s, d: reports.atlas_glyphs(reports.atlas(_mature(s, d, day_level=True), descriptive.ecdf(_mature(s, d), "severity", C), C.horizons)), "level:s x_p25:f x_p50:f x_p75:f x_p90:f",
+        "WITH " + o.FLG + o.mature(day=True) + "\nSELECT level, " + ", ".join(f"least(1, log10(1 + greatest({c}, 0)) / log10(1201)) AS x_{c}" for c in ("p25", "p50", "p75", "p90"))
+        + " FROM (SELECT severity::VARCHAR AS level, quantile_cont(delay_days, 0.25) AS p25, quantile_cont(delay_days, 0.5) AS p50, quantile_cont(delay_days, 0.75) AS p75, quantile_cont(delay_days, 0.9) AS p90 FROM mat GROUP BY severity)"),
     "case_status": Query(
         lambda s, d: surveillance.case_status(_pair_cum(s, d), surveillance.first_alarms(_z(s, d), C, PAIR), C, PAIR), "make:s family:s peak:i total:i status:s outcome:s",
         "WITH " + o.ALARMS + f"\nSELECT make, family, max(c) AS peak, sum(c) AS total, CASE WHEN max(c) < 5 THEN 'dropped' ELSE 'evaluated' END AS status, CASE WHEN any_value(tau_nowcast) IS NOT NULL AND any_value(tau_naive) IS NOT NULL THEN 'both' WHEN any_value(tau_nowcast) IS NOT NULL THEN 'nowcast only' WHEN any_value(tau_naive) IS NOT NULL THEN 'comparator only' ELSE 'neither alarms' END AS outcome FROM mcum LEFT JOIN alm USING (make, family) WHERE d = {C.max_delay} GROUP BY make, family"),
@@ -408,6 +542,4 @@ SELECT variant, n, n - max(n) FILTER (WHERE variant = 'base') OVER () AS delta_v
 
 
 def _collapsed(s: SparkSession, d: str) -> DataFrame:
-    from ..functions.records import with_delays
-
     return with_delays(ingest.collapse(order_rows(s, d)), C, FLOOR_YEAR)

@@ -55,6 +55,24 @@ def atlas(mature: DataFrame, curve: DataFrame, horizons: tuple[int, ...]) -> Dat
     return share.join(at_horizons(curve, horizons), "level")
 
 
+def atlas_glyphs(table: DataFrame, most_days: float = 1200.0) -> DataFrame:
+    """Where each severity's delay quantiles stand on one axis from 0 to 1, in logs of days and one day."""
+    at = lambda c: F.least(F.lit(1.0), F.log10(1 + F.greatest(F.col(c), F.lit(0.0))) / F.log10(F.lit(1 + most_days))).alias(f"x_{c}")
+    return table.select("level", *[at(c) for c in ("p25", "p50", "p75", "p90")])
+
+
+def narrative(audit: DataFrame, curves: DataFrame, deltas: DataFrame, board: DataFrame) -> DataFrame:
+    """(place, line): what was found, in sentences; each from a table of one or a few rows."""
+    share = F.round(100.0 * F.col("both_dates") / F.col("rows_kept"), 1)
+    first = audit.select(F.lit(1).alias("place"), F.concat_ws("", F.lit("Of "), F.col("rows_kept"), F.lit(" rows of "), F.col("unique_ids"), F.lit(" records, "), share, F.lit(" % have both dates.")).alias("line"))
+    known = curves.where("stream = 'all'").groupBy().agg(F.min(F.when(F.col("F") >= 0.5, F.col("d"))).alias("half"), F.min(F.when(F.col("F") >= 0.9, F.col("d"))).alias("most"))
+    second = known.select(F.lit(2), F.concat_ws("", F.lit("Half of a cohort has come in after "), F.col("half"), F.lit(" months, and 90 % after "), F.col("most"), F.lit(".")))
+    third = deltas.select(F.lit(3), F.concat_ws("", F.lit("Of the other specifications, "), F.col("variant"), F.lit(" moves maturity most: stream "), F.col("stream"), F.lit(" after "), F.col("h"), F.lit(" months.")))
+    wins = board.agg(F.count_if("nowcast_wins").alias("won"), F.count(F.lit(1)).alias("n"))
+    fourth = wins.select(F.lit(4), F.concat_ws("", F.lit("The nowcast is nearest in "), F.col("won"), F.lit(" of "), F.col("n"), F.lit(" streams and ages.")))
+    return first.union(second).union(third).union(fourth)
+
+
 def pooled_ecdf(curve: DataFrame) -> DataFrame:
     """All levels' curves as one, weighted by their records."""
     return curve.groupBy("d").agg((F.sum(F.col("F") * F.col("n")) / F.sum("n")).alias("F"))

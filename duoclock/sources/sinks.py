@@ -44,6 +44,37 @@ def to_document(df: DataFrame, key: str | None = None) -> str:
     return json.dumps(_plain({r.pop(key): r for r in rows} if key else rows), indent=2, ensure_ascii=False)
 
 
+def read_document(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """The rows of a JSON document that is a list of rows."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def append_gates(gates: DataFrame, path: str) -> None:
+    """Add rows to the gate log; what is there stays. Each append is numbered by its time."""
+    gates.select("step", "gate", "passed", "detail", F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(path)
+
+
+def read_gates(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(GATES + ", at timestamp").parquet(path).orderBy("at", "step", "gate")
+
+
+# Characters that LaTeX reads as commands.
+_LATEX = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "_": r"\_", "#": r"\#", "$": r"\$", "{": r"\{", "}": r"\}"}
+
+
+def latex_table(df: DataFrame, caption: str, digits: int = 3) -> str:
+    """A small table as a LaTeX tabular; numbers to so many places, null as a dash."""
+
+    def cell(x) -> str:
+        if x is None or (isinstance(x, float) and not math.isfinite(x)):
+            return "--"
+        return f"{x:.{digits}f}" if isinstance(x, float) else "".join(_LATEX.get(c, c) for c in str(x))
+
+    lines = [" & ".join(map(cell, row)) + r" \\" for row in (df.columns, *df.collect())]
+    align = "".join("l" if t == "string" else "r" for _, t in df.dtypes)
+    return "\n".join([r"\begin{table}", rf"\caption{{{cell(caption)}}}", rf"\begin{{tabular}}{{{align}}}", r"\hline", lines[0], r"\hline", *lines[1:], r"\hline", r"\end{tabular}", r"\end{table}"]) + "\n"
+
+
 def gates_markdown(gates: DataFrame) -> str:
     """The gates (step, gate, passed, detail) as a Markdown table."""
     rows = [f"| {r['step']} | {r['gate']} | {'PASS' if r['passed'] else 'FAIL'} | {r['detail']} |" for r in gates.select("step", "gate", "passed", "detail").collect()]

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..config import DelayConfig
 from ..operators.triangle import STREAM, triangle, with_streams
@@ -22,10 +23,33 @@ def late_records(records: DataFrame, cfg: DelayConfig) -> DataFrame:
     return records.where(F.col("beyond_cap"))
 
 
-def run_available(cells: DataFrame, name: str, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Process what is there and stop. each: gets every batch's full triangle; without it the result is the in-memory table `name`."""
-    writer = cells.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    return (writer.foreachBatch(each) if each else writer.format("memory").queryName(name)).start()
+def finished_cohorts(records: DataFrame, cfg: DelayConfig) -> DataFrame:
+    """(month, n): a cohort's records once no more are waited for.
+
+    The incident month is the event time, and the delay cap the lateness that is allowed: a record of a month that the
+    watermark has passed is late and is left out, and a month is given out, once, when the watermark passes it.
+    """
+    month = F.make_timestamp((F.col("cohort_p") / 12).cast("int"), F.col("cohort_p") % 12 + 1, F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    timed = records.where("valid_delay").withColumn("month", month).withWatermark("month", f"{31 * (cfg.max_delay + 1)} days")
+    return timed.groupBy("month").agg(F.count(F.lit(1)).alias("n"))
+
+
+def run_available(rows: DataFrame, folder: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Process what is there and stop. each: gets every batch's rows; without it they are appended to Parquet files in folder/rows."""
+    writer = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    return (writer.foreachBatch(each) if each else writer.format("parquet").option("path", f"{folder}/rows")).start()
+
+
+def latest(spark: SparkSession, cells: DataFrame, keys: tuple[str, ...], folder: str) -> DataFrame:
+    """A changing table's last state: each batch writes the rows that changed, and the last change of each key counts."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/part={number}")
+
+    run_available(cells, folder, "update", keep).awaitTermination()
+    changes = spark.read.schema(StructType([*cells.schema, StructField("batch", LongType())])).option("recursiveFileLookup", True).parquet(f"{folder}/rows")
+    values = [c for c in cells.columns if c not in keys]
+    return changes.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in values])
 
 
 def alarm_runs(scores: DataFrame, threshold: float, consecutive: int = 2) -> DataFrame:
@@ -36,7 +60,8 @@ def alarm_runs(scores: DataFrame, threshold: float, consecutive: int = 2) -> Dat
         run, last = state.get if state.exists else (0, -1)
         found = []
         for row in pd.concat(list(frames)).sort_values("cutoff").itertuples():
-            run = run + 1 if row.z > threshold else 0
+            # a missing month ends a run
+            run = (run + 1 if row.cutoff == last + 1 else 1) if row.z > threshold else 0
             last = row.cutoff
             if run >= consecutive:
                 found.append((key[0], row.cutoff, run))

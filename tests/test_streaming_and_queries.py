@@ -34,7 +34,7 @@ def test_stream_follows_the_batch(spark, tmp_path):
         low = {5: -1, 10: 5, 20: 10}[month]
         frame.where(f"report_p > {low} AND report_p <= {month}").coalesce(1).write.parquet(f"{tmp_path}/in/{month}")
         seen = {}
-        query = replay.run_available(replay.streaming_triangle(source, cfg), "cells", f"{tmp_path}/ck", lambda df, _: seen.update({(r["stream"], r["t"], r["d"]): r["n"] for r in df.collect()}))  # noqa: B023
+        query = replay.run_available(replay.streaming_triangle(source, cfg), str(tmp_path), "complete", lambda df, _: seen.update({(r["stream"], r["t"], r["d"]): r["n"] for r in df.collect()}))  # noqa: B023
         query.awaitTermination()
         assert seen == {(r["stream"], r["t"], r["d"]): r["n"] for r in as_known_at(whole, month).collect()}
 
