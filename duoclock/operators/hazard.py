@@ -56,11 +56,12 @@ def fit_hazard(cells: DataFrame, reference: dict[str, str]) -> DataFrame:
     reference: the level of each of dbin, severity, era, channel and family that has no term. Levels are few.
     """
     spark, columns, names = cells.sparkSession, [], []
+    levels = cells.agg(*[F.array_sort(F.collect_set(F.col(key).cast("string"))).alias(key) for key in reference]).first()
     for key, base in reference.items():
-        for r in cells.select(F.col(key).cast("string").alias("v")).distinct().orderBy("v").collect():
-            if r["v"] != base:
-                names.append(f"{key}_{r['v']}")
-                columns.append(F.when(F.col(key).cast("string") == r["v"], 1.0).otherwise(0.0).alias(f"x{len(names)}"))
+        for level in levels[key]:
+            if level != base:
+                names.append(f"{key}_{level}")
+                columns.append(F.when(F.col(key).cast("string") == level, 1.0).otherwise(0.0).alias(f"x{len(names)}"))
     rows = cells.select((F.col("events") / F.col("at_risk")).alias("label"), F.col("at_risk").cast("double").alias("weight"), *columns)
     ready = VectorAssembler(inputCols=[f"x{i + 1}" for i in range(len(names))], outputCol="features").transform(rows)
     model = GeneralizedLinearRegression(family="binomial", link="cloglog", weightCol="weight", maxIter=50).fit(ready)

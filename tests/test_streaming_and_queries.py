@@ -17,7 +17,7 @@ from duoclock.streaming import replay
 
 SF = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parent.parent
-SLOW = {"hazard_fit", "bootstrap_bands", "interval_scale", "replayed_intervals", "coverage", "coverage_gate", "coverage_matrix", "live_intervals"}
+SLOW = {"interval_scale_by_method", "replayed_intervals_by_method", "coverage_by_method", "variant_coverage", "backtest_metrics", "hazard_fit", "bootstrap_bands", "interval_scale", "replayed_intervals", "coverage", "coverage_gate", "coverage_matrix", "live_intervals"}
 
 
 def test_stream_follows_the_batch(spark, tmp_path):
