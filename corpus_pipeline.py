@@ -1,4 +1,8 @@
-"""A corpus pipeline: language ID, line dedup, near-dedup, substring dedup and packing, each on what the last one kept."""
+"""A corpus pipeline: language ID, line dedup, near-dedup, substring dedup and packing, each on what the last one kept.
+
+Of a stage's input only the columns of documents count: others, whatever their names, are left out. Texts are worked on
+whole, however long. An empty table gives an empty one. What nulls, ties and repeated rows mean is said with each stage.
+"""
 
 from __future__ import annotations
 
@@ -37,6 +41,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Short texts stay, as the shortest clean ones are like no language. Nothing is told without a well taught
     language, nor of documents labelled with one that is not: if no language could be learned, only the letters count.
+    Null and empty texts have no letter and go. Repeated rows are judged each for itself; ties between languages don't
+    matter, as only the best score does. A null id teaches nothing and is judged like others.
     """
     docs = docs.select(*DOCUMENTS)
     taught = crc_remainder("doc_id", 4) != 2
@@ -48,7 +54,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the lines that many documents hold."""
+    """Texts lose the lines that many documents hold, in all but the document with the largest id.
+
+    Null text becomes an empty one; a null id counts as the smallest. Rows of one id are one document: each keeps or
+    loses the line. No row goes.
+    """
     return _documents(lines.dedup_lines(docs.select(*DOCUMENTS)), "kept_text")
 
 
@@ -61,7 +71,11 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the least id. Texts that share an id are told apart."""
+    """One document of each group of near-duplicates stays, the one with the least id.
+
+    Texts that share an id are told apart, by their hashes. Repeated rows, alike in id and text, are one document and
+    stay or go together. Null and empty texts and null ids are like nothing and stay.
+    """
     docs = docs.select(*DOCUMENTS)
     tags = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi"))
     key = "doc_id"
@@ -72,13 +86,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the passages that documents with smaller ids hold too; the others stay as they are."""
+    """Texts lose the passages that documents with smaller ids hold too; the others stay as they are.
+
+    Rows that share an id take nothing from each other. Null text and a null id lose nothing. A text that loses all its
+    words stays, empty. No row goes.
+    """
     found = substring.dedup_substrings(docs.select(*DOCUMENTS))
     return _documents(found.withColumn("left", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))), "left")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences. Null text counts as empty; each row, repeated or without an id, is packed for itself."""
     return packing.pack(docs, TOKENIZER)
 
 

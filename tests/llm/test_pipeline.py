@@ -79,3 +79,22 @@ def test_near_dedup_tells_texts_of_one_id_apart(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], schema).repartition(3)
     kept = corpus_pipeline.STAGES[2][1](spark, docs, SF).collect()
     assert sorted(str((r["doc_id"], r["text"])) for r in kept) == sorted(str(rows[i]) for i in (0, 2, 5, 6, 7, 10))
+
+
+def test_stages_with_long_texts_ties_and_clashing_columns(spark):
+    """Columns that stages make themselves, a text of a megabyte, and equal texts under different ids."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 9)))
+    long = " ".join(word() for _ in range(150_000))
+    tie = "The same text stands under two ids. " + " ".join(word() for _ in range(80))
+    rows = [(1, long, 0.5, "x", True, 7), (2, tie, 0.1, "y", False, 8), (3, tie, 0.2, "z", True, 9), (3, tie, 0.2, "z", True, 9)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), *more) for i, t, *more in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, kept_text string, kept boolean, n_words int")
+    ids = {"language ID": [1, 2, 3, 3], "line dedup": [1, 2, 3, 3], "MinHash near-dedup": [1, 2], "substring dedup": [1, 2, 3, 3]}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == DOCUMENTS, name
+        rows_out = out.collect()
+        assert sorted(r["doc_id"] for r in rows_out) == ids[name]
+        assert next(r["text"] for r in rows_out if r["doc_id"] == 1) == long
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert pieces.where("doc_id = 1").agg({"length": "sum"}).first()[0] == pieces.where("doc_id = 1").first()["doc_tokens"]
