@@ -94,11 +94,11 @@ def prediction_draws(cum: DataFrame, curves: DataFrame, cfg: DelayConfig, method
     return groups.groupBy("stream", "cutoff").applyInPandas(run, DRAWS)
 
 
-def median_difference(df: DataFrame, value: str, first, second, draws: int = 1000, seed: int = 1) -> DataFrame:
+def median_difference(df: DataFrame, value: str, first, second, draws: int = 1000, seed: int = 1, most_values: int = 100_000) -> DataFrame:
     """(diff, lo95, hi95): difference of two groups' medians with a bootstrap interval.
 
     The groups' counts of distinct values, not their rows, go to one task: a resample of n rows is a multinomial over
-    the values, so this holds for values on a small domain such as days.
+    the values. This is for values on a small domain such as days: over `most_values` distinct ones are an error.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count_if(first).alias("a"), F.count_if(second).alias("b"))
 
@@ -109,6 +109,8 @@ def median_difference(df: DataFrame, value: str, first, second, draws: int = 100
         return (values[(after <= low).sum(axis=-1)] + values[(after <= high).sum(axis=-1)]) / 2
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > most_values:
+            raise ValueError(f"over {most_values} distinct values: round them first")
         pdf = pdf.sort_values("v")
         values, rng, sides = pdf["v"].to_numpy(), np.random.default_rng(seed), []
         for name in ("a", "b"):
@@ -120,4 +122,4 @@ def median_difference(df: DataFrame, value: str, first, second, draws: int = 100
         lo, hi = np.percentile(da - db, [2.5, 97.5])
         return pd.DataFrame({"diff": [float(ma - mb)], "lo95": [lo], "hi95": [hi]})
 
-    return counts.groupBy(F.lit(1).alias("one")).applyInPandas(run, "diff double, lo95 double, hi95 double")
+    return counts.limit(most_values + 1).groupBy(F.lit(1).alias("one")).applyInPandas(run, "diff double, lo95 double, hi95 double")

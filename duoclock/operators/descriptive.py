@@ -9,6 +9,7 @@ from ..config import DelayConfig
 from ..functions.months import month_year
 
 PERCENTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
+QUARTILES = {k: PERCENTILES[k] for k in ("p25", "p50", "p75")}
 
 
 def era(year: Column, cfg: DelayConfig) -> Column:
@@ -26,15 +27,21 @@ def mature_set(records: DataFrame, cfg: DelayConfig, consumer_only: bool = True,
     return rows.withColumn("cohort_year", month_year(F.col("cohort_p"))).withColumn("era", era(F.col("cohort_year"), cfg))
 
 
-def _percentiles(column: str, names=PERCENTILES) -> list[Column]:
-    return [F.percentile(column, F.lit(q)).alias(k) for k, q in names.items()]
+def quantiles(column: str, names: dict[str, float] = PERCENTILES) -> Column:
+    """All exact quantiles as one array, from one map of values."""
+    return F.percentile(column, F.array(*map(F.lit, names.values()))).alias("quantiles")
+
+
+def named(names: dict[str, float] = PERCENTILES) -> dict[str, Column]:
+    """A column for each place of that array."""
+    return {k: F.col("quantiles")[i] for i, k in enumerate(names)}
 
 
 def quantile_table(mature: DataFrame, cfg: DelayConfig, column: str = "delay_days") -> DataFrame:
     """Exact quantiles overall and by severity, channel and era; channels and eras of at least min_group rows. One expanded pass."""
     sets = [[], [F.col("severity")], [F.col("channel")], [F.col("era")]]
     rows = mature.select(F.col("severity").cast("string").alias("severity"), "channel", "era", column)
-    out = rows.groupingSets(sets, "severity", "channel", "era").agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), *_percentiles(column), F.avg(column).alias("mean"))
+    out = rows.groupingSets(sets, "severity", "channel", "era").agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), quantiles(column), F.avg(column).alias("mean")).withColumns(named())
     kind = F.when(F.col("g") == 7, "overall").when(F.col("g") == 3, "severity").when(F.col("g") == 5, "channel").otherwise("era")
     out = out.withColumn("group", kind).withColumn("level", F.coalesce("severity", "channel", "era", F.lit("all")))
     return out.where((F.col("n") >= cfg.min_group) | F.col("group").isin("overall", "severity")).select("group", "level", "n", *PERCENTILES, "mean")
@@ -56,7 +63,7 @@ def at_horizons(curve: DataFrame, horizons: tuple[int, ...], by: str = "level",
 
 def drift(mature: DataFrame, column: str = "delay_days", min_rows: int = 1) -> DataFrame:
     """Quantiles by cohort year for each severity and pooled (severity -1)."""
-    out = mature.groupingSets([[F.col("cohort_year"), F.col("severity")], [F.col("cohort_year")]], "cohort_year", "severity").agg(F.count(F.lit(1)).alias("n"), *_percentiles(column, {k: PERCENTILES[k] for k in ("p25", "p50", "p75")}))
+    out = mature.groupingSets([[F.col("cohort_year"), F.col("severity")], [F.col("cohort_year")]], "cohort_year", "severity").agg(F.count(F.lit(1)).alias("n"), quantiles(column, QUARTILES)).withColumns(named(QUARTILES)).drop("quantiles")
     return out.withColumn("severity", F.coalesce("severity", F.lit(-1))).where(F.col("n") >= min_rows)
 
 

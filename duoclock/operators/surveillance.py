@@ -13,9 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DelayConfig
+from .descriptive import named, quantiles
 
 ARMS = ("naive", "naive_matched", "nowcast")
 
+_QUARTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75}
+
 
 def eligible_streams(cum: DataFrame, cfg: DelayConfig, by: tuple[str, ...]) -> DataFrame:
     """(keys, rows, peak): streams with enough records, and enough in some run of months by their completed counts (hindsight)."""
@@ -156,10 +159,9 @@ def gain_summary(gained: DataFrame, within: int | None = None) -> DataFrame:
     share = lambda c: F.avg(c.cast("double"))
     d = F.col("delta")
     return rows.groupBy("arm").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("delta").alias("mean"), F.percentile("delta", F.lit(0.5)).alias("median"), F.percentile("delta", F.lit(0.25)).alias("p25"),
-        F.percentile("delta", F.lit(0.75)).alias("p75"), F.min("delta").alias("min"), F.max("delta").alias("max"),
+        F.count(F.lit(1)).alias("n"), F.avg("delta").alias("mean"), quantiles("delta", _QUARTILES), F.min("delta").alias("min"), F.max("delta").alias("max"),
         share(d >= 1).alias("share_gain"), share(d == 0).alias("share_zero"), share(d < 0).alias("share_negative"),
-    )
+    ).withColumns(named(_QUARTILES)).drop("quantiles")
 
 
 def alarm_rates(alarms: DataFrame) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DelayConfig
-from ..operators.descriptive import at_horizons
+from ..operators.descriptive import at_horizons, named, quantiles
 from ..operators.triangle import STREAM
 
+ATLAS = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
+
 
 def milestones(curves: DataFrame, by: tuple[str, ...] = STREAM, marks: tuple[float, ...] = (0.5, 0.75, 0.9, 0.95)) -> DataFrame:
     """The first delay by which each share has come in."""
@@ -50,7 +52,7 @@ def coverage_matrix(intervals: DataFrame) -> DataFrame:
 
 def atlas(mature: DataFrame, curve: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     """For each severity: records, their share, delay quantiles in days, and the share received by each horizon."""
-    per = mature.groupBy(F.col("severity").cast("string").alias("level")).agg(F.count(F.lit(1)).alias("n"), *[F.percentile("delay_days", F.lit(q)).alias(f"p{round(q * 100)}") for q in (0.25, 0.5, 0.75, 0.9)])
+    per = mature.groupBy(F.col("severity").cast("string").alias("level")).agg(F.count(F.lit(1)).alias("n"), quantiles("delay_days", ATLAS)).withColumns(named(ATLAS)).drop("quantiles")
     share = per.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
     return share.join(at_horizons(curve, horizons), "level")
 
