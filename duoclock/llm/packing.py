@@ -18,9 +18,10 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import tiktoken
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import SPLIT, TextEncoder, byte_of_char
+from .bpe import SPLIT, byte_of_char
 
 CAPACITY, SEPARATOR, GROUP_DOCS = 2048, 1, 2048
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -90,11 +91,10 @@ def fill_up(bins: list[list[tuple[int, int, int]]], capacity: int) -> list[list[
 
 
 @cache
-def byte_encoder(path: str) -> TextEncoder:
-    """Entries are token ids as little-endian unsigned 32-bit numbers, as the tokenizers library gives them.
+def byte_encoder(path: str) -> Callable[[str], bytes]:
+    """A text's token ids as little-endian unsigned 32-bit numbers, as the tokenizers library gives them.
 
-    Where ids follow the order of merges, a word's ids come from tiktoken's core, which merges by the same ranks
-    and is quicker for single words.
+    Where ids follow the order of merges, they come from tiktoken's core, which merges by the same ranks and is quicker.
     """
     machine = Tokenizer.from_file(path)
     machine.no_truncation()
@@ -103,19 +103,20 @@ def byte_encoder(path: str) -> TextEncoder:
     with open(path, encoding="utf-8") as f:
         model = json.load(f)["model"]
     merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
-    if merged == sorted(merged) and (not merged or merged[0] == 256):
-        alphabet = byte_of_char()
-        ranks = {bytes(alphabet[c] for c in s): i for s, i in model["vocab"].items() if s not in specials}
-        core = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})._core_bpe
-        ids_of = lambda word: core.encode_single_piece(word.encode())
-    else:
-        ids_of = lambda word: machine.encode(word, add_special_tokens=False).ids
+    plain = lambda text: np.array(machine.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    if merged != sorted(merged) or (merged and merged[0] != 256):
+        return plain
+    alphabet = byte_of_char()
+    ranks = {bytes(alphabet[c] for c in s): i for s, i in model["vocab"].items() if s not in specials}
+    core = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=specials)
 
-    def entry(word: str) -> bytes:
-        ids = ids_of(word)
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def encode(text: str) -> bytes:
+        try:
+            return core.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+        except ValueError:  # its pattern gives up on very long runs of white space
+            return plain(text)
 
-    return TextEncoder(entry, b"".join, specials, lambda token: struct.pack("<I", token), lambda words: [*map(entry, words)])
+    return encode
 
 
 def _cut_documents(path: str, capacity: int, separator: int):
@@ -124,15 +125,13 @@ def _cut_documents(path: str, capacity: int, separator: int):
     schema = pa.schema([("grp", pa.int64()), ("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("blocks", pa.list_(pa.int64())), ("tail", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = byte_encoder(path)
+        encode = byte_encoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 counts, blocks, tails = [], [], []
-                texts = part.column(2).to_pylist()
-                encoder.prepare(texts)
-                for text in texts:
-                    data = encoder.encode(text) + end
+                for text in part.column(2).to_pylist():
+                    data = encode(text) + end
                     full = len(data) // step * step
                     counts.append(len(data) // 4)
                     blocks.append([zlib.crc32(data[i : i + step]) for i in range(0, full, step)])

@@ -260,6 +260,18 @@ def test_equal_rows_are_dealt_evenly(spark):
     assert len(groups) == 10 and sum(groups) == 10_000 and max(groups) < 1200
 
 
+def test_packing_of_long_runs_and_specials(spark):
+    """A million spaces, a long word and special tokens, as the tokenizers library gives them."""
+    machine = Tokenizer.from_file(TOKENIZER)
+    texts = [" " * 1_000_000 + "y", "ab" * 50_000, "one<|endoftext|>two <|endoftext|>", "日本" * 30_000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    coded = [[*machine.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    for r in packing.pack(docs, TOKENIZER).collect():
+        ids = coded[r["doc_id"]]
+        assert r["doc_tokens"] == len(ids)
+        assert r["ids_crc32"] == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[r["start"] : r["start"] + r["length"]]))
+
+
 def test_bpe_of_a_long_text_without_spaces(spark):
     rng = random.Random(6)
     text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=1_000_000)) + "日本語" * 50_000
