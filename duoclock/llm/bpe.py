@@ -22,7 +22,7 @@ import json
 import re
 from array import array
 from bisect import bisect_right
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import cache
 from itertools import chain
 
@@ -68,6 +68,11 @@ class Memo(dict):
             self.held += 200 + 4 * len(key) + 8 * len(value or ())
             self[key] = value
 
+    def keep_all(self, keys: Iterable[str], values: list) -> None:
+        """As keep, for keys of at most LONGEST_KEPT characters."""
+        self.update(zip(keys, values, strict=True))
+        self.held += 200 * len(values) + 4 * sum(map(len, keys)) + 8 * sum(map(len, values))
+
     def trim(self) -> None:
         if self.held > self.limit:
             self.clear()
@@ -105,12 +110,13 @@ class TextEncoder:
         self.words.trim()
         self.chunks.trim()
         new = set().union(*(t.split(" ")[1:] for t in texts)) - self.chunks.keys()
-        split = {c: split_words(" " + c) for c in new if c and len(c) <= LONGEST_KEPT and not (c[0].isspace() or c[-1].isspace())}
+        one = [c for c in new if c.isalpha() and len(c) <= LONGEST_KEPT]  # letters alone are one word
+        self.chunks.keep_all(one, self.entries([" " + c for c in one]))
+        split = {c: split_words(" " + c) for c in new.difference(one) if c and len(c) <= LONGEST_KEPT and not (c[0].isspace() or c[-1].isspace())}
         missing = list(set(chain.from_iterable(split.values())) - self.words.keys())
-        for word, entry in zip(missing, self.entries(missing), strict=True):
-            self.words.keep(word, entry)
-        for chunk, words in split.items():
-            self.chunks.keep(chunk, self.words[words[0]] if len(words) == 1 else self.join(map(self.words.__getitem__, words)))
+        self.words.keep_all(missing, self.entries(missing))
+        find, join = self.words.__getitem__, self.join
+        self.chunks.keep_all(split, [find(w[0]) if len(w) == 1 else join(map(find, w)) for w in split.values()])
 
     def _plain(self, text: str):
         first, *rest = text.split(" ")
