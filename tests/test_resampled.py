@@ -8,7 +8,6 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from duoclock.functions import tables
 from duoclock.operators import intervals
