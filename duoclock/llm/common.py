@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import gc
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import new_folder
 
+
 def staged(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage is cut and a lost executor costs nothing.
 
@@ -27,6 +31,17 @@ def tasks_for(rows: int, each: int) -> int:
     return max(12, -(-rows // each))
 
 
+def by_bytes(batch: pa.RecordBatch, *columns: int, most: int = 4 << 20, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose strings in these columns take so many bytes together, or of one row, if that takes more."""
+    taken = np.cumsum(sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns))
+    at = 0
+    while at < batch.num_rows:
+        before = int(taken[at - 1]) if at else 0
+        end = max(at + 1, min(at + rows, int(np.searchsorted(taken, before + most, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def crc_remainder(key: str, modulus: int) -> Column:
     """crc32 of the key as text, modulo; null for a null key."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % modulus

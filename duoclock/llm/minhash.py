@@ -9,11 +9,12 @@ Documents with equal sets are one class, and only its least id goes on. Each buc
 has a pivot, the member that shares most keys with others; members are compared with their pivots by full sets, and
 what is linked becomes one component. Where that leaves many members outside, their groups get a further pivot.
 
-What then shares a pivot across components is found exactly by an inverted index, not pair by pair. Let D be what a
-member's set and the pivot's don't share. For two members x and y, |x ^ y| = |Dx ^ Dy|, so x and y can be similar
-enough only if Dx and Dy have so many elements in common, and then two prefixes of them, rarest elements first, share
-one. Members are joined on those, and pairs that sizes, places in the prefixes and bitmaps of D leave possible are
-compared by full sets. No link that a key has shown is lost.
+What then shares a pivot across components is found exactly by an inverted index, not pair by pair. Let R be the
+elements that most of a pivot's members have, and D what a member's set and R don't share. For two members x and y,
+|x ^ y| = |Dx ^ Dy|, so either both are so near to R that they are similar for certain, or Dx and Dy have so many
+elements in common, and then two prefixes of them, rarest elements first, share one. Members are joined on those, and
+pairs that sizes, places in the prefixes and bitmaps of D leave possible are compared by full sets. What most members
+have, such as a site's template, is in R and so in few differences. No link that a key has shown is lost.
 
 A-Z count as a-z; words are runs of other characters than ASCII white space; fewer than k words make one shingle;
 no words (or null text) an empty set, which links with nothing. A null id links with nothing; its component is
@@ -24,19 +25,21 @@ from __future__ import annotations
 
 import hashlib
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Runs, mix, release, staged, tasks_for, words_of
+from .common import Runs, by_bytes, mix, release, staged, tasks_for, words_of
 from .components import connected_components
 
 WORDS, PER_CENT, BANDS, ROWS, SEED = 5, 80, 40, 6, 11
 #: Further pivots that a group gets at most, bits of a bitmap, and documents to a task for tables of about a row a document.
 MORE_PIVOTS, BITS, EACH = 2, 512, 20_000
+#: Bytes of sets that a task keeps for further comparisons.
+MEMO_BYTES = 32 << 20
 
 
 def shingles(texts: list[str], k: int) -> Iterator[np.ndarray]:
@@ -100,8 +103,7 @@ def _sign(k: int, bands: int, rows: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minmax = MinMax(bands, rows, seed)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in by_bytes(batch, 1):
                 sizes, prints, keys = [], [], []
                 for found in shingles([t or "" for t in part.column(1).to_pylist()], k):
                     sizes.append(found.shape[1])
@@ -125,19 +127,22 @@ def _compare(k: int, per_cent: int, with_items: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: OrderedDict[str, np.ndarray] = OrderedDict()
+        held = 0
 
         def of(text: str) -> np.ndarray:
+            nonlocal held
             if text in known:
                 known.move_to_end(text)
                 return known[text]
             known[text] = found = next(shingles([text], k))
-            if len(known) > 64:
-                known.popitem(last=False)
+            held += found.nbytes + len(text)
+            while held > MEMO_BYTES:
+                text, gone = known.popitem(last=False)
+                held -= gone.nbytes + len(text)
             return found
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in by_bytes(batch, 1, 2):
                 sizes_x, sizes_y, linked, counts, bits, items = [], [], [], [], [], []
                 for x, y in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     p, q = of(x or ""), of(y or "")
@@ -176,6 +181,11 @@ def _pivot_pairs(reps: DataFrame, tasks: int) -> DataFrame:
     # what a join is with stands in a table of its own, so that Spark can split the partition of a hot key
     sizes = staged(listed.groupBy("key").count().where("count > 1"), "sizes", tasks)
     members = staged(listed.join(sizes, "key").groupBy("id", "n").agg(F.sum("count").alias("weight"), F.collect_list("key").alias("keys")), "members", tasks)
+    return to_pivots(members, tasks)
+
+
+def to_pivots(members: DataFrame, tasks: int) -> DataFrame:
+    """(x, weight, y): members (id, weight, keys) and, for each key, the one of its members with the most weight."""
     each = members.select(F.col("id").alias("x"), "weight", F.explode("keys").alias("key"))
     pivots = staged(each.groupBy("key").agg(F.max(F.struct("weight", (-F.col("x")).alias("neg"))).alias("p")).select("key", (-F.col("p.neg")).alias("y")), "pivots", tasks)
     return staged(each.join(pivots, "key").where("x <> y").select("x", "weight", "y").distinct(), "pairs", tasks)
@@ -208,56 +218,99 @@ def _further_links(compared: DataFrame, labels: DataFrame, texts: DataFrame, k:
         links = new if links is None else links.union(new)
         labels = connected_components(labels.select(F.col("node").alias("x"), F.col("component").alias("y")).union(new), "x", "y", tasks)
         release(placed.sparkSession)
-    pairs = _index_pairs(placed, texts, k, per_cent, tasks).join(tested, ["x", "y"], "left_anti")
-    new = _compared(staged(pairs, "pairs", tasks), texts, k, per_cent).where("linked").select("x", "y")
+    possible, sure = _index_pairs(placed, texts, k, per_cent, tasks)
+    new = _compared(staged(possible.join(tested, ["x", "y"], "left_anti"), "pairs", tasks), texts, k, per_cent).where("linked").select("x", "y").union(sure)
     return new if links is None else links.union(new)
 
 
-def _index_pairs(placed: DataFrame, texts: DataFrame, k: int, per_cent: int, tasks: int) -> DataFrame:
-    """(x, y): pairs of one pivot and different components that may be similar enough, by an index of rare differences."""
+def _nearer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Differences from a pivot and what most of its members differ by: differences from the majority's set."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            counts, bits, items = [], [], []
+            for own, most in zip(part.column(1), part.column(2), strict=True):
+                own = own.values.to_numpy()
+                if most.is_valid:
+                    own = np.setxor1d(own, most.values.to_numpy())
+                counts.append(len(own))
+                bits.append(_bits(own.view(np.uint64)))
+                items.append(own)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in (bits, items))], names=["row", "apart", "bits", "items"])
+
+
+def _index_pairs(placed: DataFrame, texts: DataFrame, k: int, per_cent: int, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """(x, y): pairs of one pivot and different components that may be similar enough, by an index of rare differences; and links that are certain.
+
+    With w = (100 + p) |D| - (100 - p) n, two members are linked if and only if their w sum up to 2 (100 + p) |Dx & Dy| at most.
+    """
     open_ = staged(placed.where("cx <> cy").select("y").distinct(), "open", tasks)
-    rows = _compared(placed.join(open_, "y").select("x", "y", "cx"), texts, k, per_cent, with_items=True)
-    rows = rows.withColumn("tag", F.xxhash64("items"))
-    # the least that D has in common with that of a similar document of another component; partners of what is linked to the pivot are not
-    side = F.when(F.col("linked"), F.col("n") - F.col("m")).otherwise(F.col("n") + F.col("m"))
-    need = F.greatest(F.lit(1), F.ceil(((100 + per_cent) * F.col("apart") - (100 - per_cent) * side) / F.lit(2 * (100 + per_cent)) - 1e-9)).cast("int")
-    wanted = rows.withColumn("upto", F.greatest(F.lit(0), F.col("apart").cast("int") - need + 1)).drop("m", "linked")
+    rows = _compared(placed.join(open_, "y").select("x", "y", "cx"), texts, k, per_cent, with_items=True).select("x", "y", "cx", "n", "items")
+    members = staged(rows.groupBy("y").agg(F.count(F.lit(1)).alias("members")), "members", tasks)
+    counts = rows.select("y", F.explode("items").alias("item")).groupBy("y", "item").count()
+    most = staged(counts.join(members, "y").where("2 * count > members").groupBy("y").agg(F.collect_list("item").alias("most")), "most", tasks)
+    moved = rows.join(most, "y", "left").select(F.struct("x", "y", "cx", "n").alias("row"), "items", "most")
+    rows = staged(moved.mapInArrow(_nearer, "row struct<x: bigint, y: bigint, cx: bigint, n: bigint>, apart bigint, bits array<bigint>, items array<bigint>").select("row.*", "apart", "bits", "items"), "nearer")
+    rows = rows.withColumn("w", (100 + per_cent) * F.col("apart") - (100 - per_cent) * F.col("n"))
+    least = staged(rows.groupBy("y").agg(F.min(F.struct("w", "x")).alias("l")).select("y", F.col("l.w").alias("least"), F.col("l.x").alias("core")), "least", tasks)
+    rows = rows.join(least, "y").withColumn("sure", F.col("w") + F.col("least") <= 0)
+    sure = rows.where("sure AND x <> core").select(F.least("x", "core").alias("x"), F.greatest("x", "core").alias("y")).distinct()
+    # two members that aren't sure need so many differences in common
+    need = F.greatest(F.lit(1), F.ceil((F.col("w") + F.col("least")) / F.lit(2 * (100 + per_cent)) - 1e-9)).cast("int")
+    wanted = rows.withColumn("tag", F.xxhash64("items")).withColumn("upto", F.greatest(F.lit(0), F.col("apart").cast("int") - need + 1)).drop("w", "least", "core")
     listed = wanted.select("y", "x", "tag", F.explode("items").alias("item"))
     often = staged(listed.groupBy("y", "item").count(), "often")
     order = listed.join(often, ["y", "item"]).groupBy("y", "x", "tag").agg(F.sort_array(F.collect_set(F.struct("count", "item"))).alias("order"))
-    ranked = wanted.drop("items").join(order, ["y", "x", "tag"]).select("y", "x", "cx", "n", "apart", "bits", F.posexplode(F.slice("order", F.lit(1), F.col("upto"))).alias("at", "e"))
-    index = staged(ranked.where("e.count > 1").select("y", "x", "cx", "n", "apart", "bits", "at", F.col("e.item").alias("item")), "index")
-    other = index.select("y", "item", *[F.col(c).alias(f"{c}2") for c in ("x", "cx", "n", "apart", "bits", "at")])
+    ranked = wanted.drop("items").join(order, ["y", "x", "tag"]).select("y", "x", "cx", "n", "apart", "bits", "sure", F.posexplode(F.slice("order", F.lit(1), F.col("upto"))).alias("at", "e"))
+    index = staged(ranked.where("e.count > 1").select("y", "x", "cx", "n", "apart", "bits", "sure", "at", F.col("e.item").alias("item")), "index")
+    other = index.select("y", "item", *[F.col(c).alias(f"{c}2") for c in ("x", "cx", "n", "apart", "bits", "sure", "at")])
     own = lambda a, b: " + ".join(f"bit_count({a}[{i}] & ~{b}[{i}])" for i in range(BITS // 64))
     shared = f"least(apart - at, apart2 - at2, apart - ({own('bits', 'bits2')}), apart2 - ({own('bits2', 'bits')}))"
     possible = f"100 * least(n, n2) >= {per_cent} * greatest(n, n2) AND {100 + per_cent} * (apart + apart2 - 2 * {shared}) <= {100 - per_cent} * (n + n2)"
-    return index.join(other, ["y", "item"]).where(f"x < x2 AND cx <> cx2 AND {possible}").select("x", F.col("x2").alias("y")).distinct()
+    found = index.join(other, ["y", "item"]).where(f"x < x2 AND cx <> cx2 AND NOT (sure AND sure2) AND {possible}").select("x", F.col("x2").alias("y")).distinct()
+    return found, sure
 
 
-def near_duplicates(docs: DataFrame, k: int = WORDS, per_cent: int = PER_CENT, bands: int = BANDS, rows: int = ROWS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: id, n_shingles, component_id (the least id that links lead to), kept (it is that one)."""
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = staged(texts.mapInArrow(_sign(k, bands, rows, seed), "id bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>"), "signatures")
+def grouped(texts: DataFrame, signed: DataFrame, candidates: Callable[[DataFrame, int], DataFrame], k: int, per_cent: int, id_col: str) -> DataFrame:
+    """A row per document: id, n_shingles, component_id (the least id that links lead to), kept (it is that one).
+
+    signed: stored; id, n and f1 and f2, the set's fingerprint, of each text, and what candidates need of it. candidates:
+    from the rows of one document for each different set, and a number of tasks, (x, weight, y), documents and pivots, so
+    that any two linked documents are a pair or have a pivot in common.
+    """
+    spark = texts.sparkSession
     real = signed.where("n > 0 and id is not null")
     tasks = tasks_for(signed.count(), EACH)
     classes = staged(real.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("id").alias("last")), "classes", tasks)
-    reps = staged(real.join(classes.select("f1", "f2", F.col("rep").alias("id")), ["f1", "f2", "id"], "left_semi").select("id", "n", "keys"), "reps", tasks)
-    pairs = _pivot_pairs(reps, tasks)
+    reps = staged(real.join(classes.select("f1", "f2", F.col("rep").alias("id")), ["f1", "f2", "id"], "left_semi").drop("f1", "f2"), "reps", tasks)
+    pairs = candidates(reps, tasks)
     # all texts move once; from here on only those that share a key with another
     sharing = staged(pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct(), "sharing", tasks)
     texts = staged(texts.join(sharing, "id", "left_semi"), "texts")
-    release(docs.sparkSession)
+    release(spark)
     compared = _compared(pairs, texts, k, per_cent)
-    release(docs.sparkSession)
+    release(spark)
 
     labels = connected_components(compared.where("linked"), "x", "y", tasks)
     if not compared.where("not linked").isEmpty():
         more = _further_links(compared, labels, texts, k, per_cent, tasks)
         if more is not None:
             labels = connected_components(labels.select(F.col("node").alias("x"), F.col("component").alias("y")).union(more), "x", "y", tasks)
-    release(docs.sparkSession)
+    release(spark)
 
     several = classes.where("rep < last").select("f1", "f2", "rep")
     out = signed.select("id", "n", "f1", "f2").join(several, ["f1", "f2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     out = out.join(labels, F.col("rep") == F.col("node"), "left").select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text)."""
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
+def near_duplicates(docs: DataFrame, k: int = WORDS, per_cent: int = PER_CENT, bands: int = BANDS, rows: int = ROWS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document: id, n_shingles, component_id (the least id that links lead to), kept (it is that one)."""
+    texts = documents(docs, id_col, text_col)
+    signed = staged(texts.mapInArrow(_sign(k, bands, rows, seed), "id bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>"), "signatures")
+    return grouped(texts, signed, _pivot_pairs, k, per_cent, id_col)
