@@ -28,7 +28,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_bytes, mix, release, staged
@@ -60,8 +60,7 @@ def roles(n: int, per_cent: int) -> Iterator[tuple[int, bool, int, int]]:
     for b in (band, band + 1):
         last, most = begins[b + 1] - 1, 100 * n // per_cent
         if b == band or most >= begins[b]:
-            full = most_apart(last, last, per_cent) + 1
-            m = full + full // 8
+            m = most_apart(last, last, per_cent) + 1
             yield b, b == band, m, m - 1 - most_apart(n, min(last, most), per_cent)
 
 
@@ -122,16 +121,16 @@ def _neighbourhoods(k: int):
     return run
 
 
-def allocate(listed: DataFrame, trade: int = TRADE) -> DataFrame:
-    """From (id, band, m, spare, at, key, count), the keys that others hold too: (id, band, m, keys, kept, passed, asked).
+def allocate(listed: DataFrame, limits: DataFrame, trade: int = TRADE) -> DataFrame:
+    """From (id, band, at, key, count), the keys that others hold too, and limits (id, band, m, spare): (id, band, m, keys, kept, passed, asked).
 
     kept: keys that the set is searched by; passed: those passed over for the segments in asked, whose neighbourhoods are searched instead.
     """
-    slots = listed.groupBy("id", "band", "m", "spare").agg(F.sort_array(F.collect_list(F.struct("count", "at", "key")), asc=False).alias("slots"))
+    slots = listed.groupBy("id", "band").agg(F.sort_array(F.collect_list(F.struct("count", "at", "key")), asc=False).alias("slots")).join(limits, ["id", "band"])
     hot = F.size(F.filter("slots", lambda s: s["count"] > trade))
     trades = F.greatest(F.lit(0), F.least(hot - F.col("spare"), F.col("m") - F.size("slots")))
     slots = slots.withColumn("trades", trades).withColumn("over", F.least(F.size("slots"), F.col("spare") + F.col("trades")))
-    alone = F.array_except(F.sequence(F.lit(0), F.col("m") - 1), F.transform("slots", lambda s: s["at"]))
+    alone = F.array_except(F.sequence(F.lit(0), F.col("m") - 1), F.transform("slots", lambda s: s["at"].cast("int")))
     of = lambda a, b: F.transform(F.slice("slots", a, b), lambda s: s["key"])
     return slots.select(
         "id", "band", "m", F.transform("slots", lambda s: s["key"]).alias("keys"), of(F.col("over") + 1, F.size("slots")).alias("kept"),
@@ -141,18 +140,26 @@ def allocate(listed: DataFrame, trade: int = TRADE) -> DataFrame:
 
 def _candidates(texts: DataFrame, k: int, trade: int):
     def run(reps: DataFrame, tasks: int) -> DataFrame:
-        each = reps.select("id", F.explode("roles").alias("r")).select("id", "r.band", "r.own", "r.m", "r.spare", F.posexplode("r.keys").alias("at", "key"))
+        placed = reps.select("id", F.explode("roles").alias("r"))
+        # segment, band and whether it is the set's own in one number, so that rows stay small; a key is a row of each
+        # set that holds it, of some hundred rows a set, so even one held by a third of all sets is few of them
+        slot = lambda at: F.shiftleft(at.cast("bigint"), 16) + F.col("r.band") * 2 + F.col("r.own").cast("int")
+        each = placed.select("id", F.explode(F.transform("r.keys", lambda key, at: F.struct(key.alias("key"), slot(at).alias("slot")))).alias("e")).select("e.key", "id", "e.slot")
+        same = Window.partitionBy("key")
+        counted = each.withColumn("count", F.count(F.lit(1)).over(same)).withColumn("own", F.max(F.col("slot").bitwiseAND(F.lit(1).cast("bigint"))).over(same))
         # a key of sets that all belong to the band below can't be shared by partners
-        sizes = staged(each.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.bool_or("own").alias("own")).where("count > 1 AND own").select("key", "count"), "sizes")
-        chosen = staged(allocate(each.drop("own").join(sizes, "key"), trade), "chosen", tasks)
+        shared = counted.where("count > 1 AND own = 1").select("id", F.shiftright("slot", 1).bitwiseAND(F.lit((1 << 15) - 1).cast("bigint")).cast("int").alias("band"), F.shiftright("slot", 16).alias("at"), "key", "count")
+        limits = placed.groupBy("id", "r.band").agg(F.max("r.m").alias("m"), F.min("r.spare").alias("spare"))
+        chosen = staged(allocate(shared, limits, trade), "chosen", tasks)
         release(reps.sparkSession)
         searched = staged(chosen.select(F.explode("kept").alias("key")).distinct(), "searched", tasks)
         buckets = chosen.select("id", F.explode("keys").alias("key")).join(searched, "key", "left_semi").select("id", "key")
         if not chosen.where("asked IS NOT NULL").isEmpty():
             buckets = buckets.union(_near_misses(chosen, texts, k, tasks))
-        buckets = staged(buckets.distinct(), "buckets")
-        often = staged(buckets.groupBy("key").count().where("count > 1"), "often")
+        buckets = staged(buckets.distinct(), "buckets", tasks)
+        often = staged(buckets.groupBy("key").count().where("count > 1"), "often", tasks)
         members = buckets.join(often, "key").groupBy("id").agg(F.sum("count").alias("weight"), F.collect_list("key").alias("keys"))
+        release(reps.sparkSession)
         return to_pivots(staged(members, "members", tasks), tasks)
 
     return run
