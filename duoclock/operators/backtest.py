@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DelayConfig
-from .chainladder import fit, nowcast, one_step
+from .chainladder import fit_windows, nowcast, one_step, span
 from .triangle import STREAM
 
 METHODS = ("naive", "one_step", "nowcast")
@@ -17,10 +17,12 @@ def replay(cum: DataFrame, cfg: DelayConfig, by: tuple[str, ...] = STREAM) -> Da
 
     stale: how far the short window's curve is from the long one's, in logs.
     """
-    long, short, step = fit(cum, cfg, None, by), fit(cum, cfg, cfg.short_window, by), one_step(cum, cfg, None, by)
-    curves = long.select(*by, "cutoff", "d", "F").join(short.select(*by, "cutoff", "d", F.col("F").alias("F_short")), [*by, "cutoff", "d"]).join(step, [*by, "cutoff", "d"], "left")
-    curves = curves.withColumn("F1", F.coalesce("F1", F.lit(1.0)))
-    rows = nowcast(cum, curves, cfg, F.col("cutoff").between(cfg.first_origin, cfg.last_origin), cfg.max_lag, by, ("F", "F_short", "F1"))
+    cutoffs = span(cfg.first_origin, cfg.last_origin)
+    fits = fit_windows(cum, cfg, {"long": cfg.window, "short": cfg.short_window}, by, cutoffs)
+    of = lambda window: F.max(F.when(F.col("window") == window, F.col("F")))
+    curves = fits.groupBy(*by, "cutoff", "d").agg(of("long").alias("F"), of("short").alias("F_short"))
+    curves = curves.join(one_step(cum, cfg, None, by, cutoffs), [*by, "cutoff", "d"], "left").withColumn("F1", F.coalesce("F1", F.lit(1.0)))
+    rows = nowcast(cum, curves, cfg, cfg.max_lag, by, ("F", "F_short", "F1"))
     realized = cum.where(F.col("d") == cfg.max_delay).select(*by, "t", F.col("c").alias("realized"))
     floor = lambda c: F.greatest(F.col(c), F.lit(1e-12))
     return rows.join(realized, [*by, "t"]).select(

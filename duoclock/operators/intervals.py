@@ -5,19 +5,19 @@ Scales have a row for each stream, or each age of one; they are joined without h
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DelayConfig
+from ..functions.draws import negative_binomial_draw, normal_quantile, uniforms
 from ..shared import stored
 from .backtest import replay
 from .bootstrap import prediction_draws
-from .chainladder import fit
+from .chainladder import fit, span
 
 POISSON = 1e6
 QUANTILES = ("lo90", "lo50", "sim_median", "hi50", "hi90")
@@ -75,16 +75,8 @@ def phi_net(rows: DataFrame) -> DataFrame:
     return used.select("stream", _moment(F.col("a"), F.col("b")).alias("phi"))
 
 
-def negative_binomial(mean: np.ndarray, phi: float, rng: np.random.Generator) -> np.ndarray:
-    """Counts of this mean and variance mean + mean^2 / phi; 0 where the mean is."""
-    out = np.zeros(len(mean))
-    on = mean > 1e-12
-    out[on] = rng.negative_binomial(phi, np.clip(phi / (phi + mean[on]), 1e-12, 1 - 1e-12))
-    return out
-
-
 def negative_binomial_quantile(q: np.ndarray, mean: np.ndarray, phi: np.ndarray) -> np.ndarray:
-    """The least count whose distribution function is q or more, for counts as drawn above; by summing probabilities up."""
+    """The least count whose distribution function is q or more, for counts with this mean and variance mean + mean^2 / phi; by summing probabilities up."""
     p = phi / (phi + np.maximum(mean, 1e-12))
     term = np.exp(phi * np.log(p))
     total, count, out = term.copy(), np.zeros(len(mean)), np.zeros(len(mean))
@@ -99,24 +91,24 @@ def negative_binomial_quantile(q: np.ndarray, mean: np.ndarray, phi: np.ndarray)
 
 
 def simulate(rows: DataFrame, phi: DataFrame, cfg: DelayConfig) -> DataFrame:
-    """Rows (with draws, sigma, c_obs) and the 5, 25, 50, 75 and 95 % points of what will have come in, one generator for each row."""
-    seed = cfg.seed
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            came = []
-            for r in pdf.itertuples():
-                rng = np.random.default_rng([seed, 1, zlib.crc32(r.stream.encode()), int(r.cutoff), int(r.t)])
-                n = np.asarray(r.draws, float)
-                if r.sigma > 0:
-                    n = n * np.exp(r.sigma * rng.standard_normal(len(n)) - r.sigma**2 / 2)
-                came.append(r.c_obs + negative_binomial(np.maximum(n - r.c_obs, 0), r.phi, rng))
-            found = np.percentile(np.array(came), [5, 25, 50, 75, 95], axis=1) if came else np.empty((5, 0))
-            yield pdf[["stream", "cutoff", "t"]].assign(**dict(zip(QUANTILES, found, strict=True)))
-
-    ready = rows.join(phi, "stream").select("stream", "cutoff", "t", "c_obs", "sigma", "phi", "draws")
-    bands = ready.mapInPandas(run, "stream string, cutoff int, t int, " + ", ".join(f"{q} double" for q in QUANTILES))
-    return rows.drop("draws").join(bands, ["stream", "cutoff", "t"])
+    """Rows (with draws, sigma, c_obs) and the 5, 25, 50, 75 and 95 % points of what will have come in, from one draw for each of theirs."""
+    seed, kept = cfg.seed + 1, [c for c in rows.columns if c != "draws"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):
+                stream, cutoff, t, c_obs, sigma, phi = (batch.column(c)[i].as_py() for c in range(1, 7))
+                n = batch.column(7)[i].values.to_numpy()
+                keys = [f"{seed}|{stream}|{cutoff}|{t}|{b}" for b in range(1, len(n) + 1)]
+                if sigma > 0:
+                    n = n * np.exp(sigma * normal_quantile(uniforms([f"{k}|z" for k in keys])[0]) - sigma * sigma / 2)
+                found.append(np.percentile(c_obs + negative_binomial_draw(np.maximum(n - c_obs, 0), phi, keys), (5, 25, 50, 75, 95)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in np.reshape(found, (-1, 5)).T)], names=["row", *QUANTILES])
+
+    ready = rows.join(phi, "stream").select(F.struct(*kept).alias("row"), "stream", "cutoff", "t", "c_obs", "sigma", "phi", "draws")
+    fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in rows.schema if f.name in kept)
+    return ready.mapInArrow(run, f"row struct<{fields}>, " + ", ".join(f"{q} double" for q in QUANTILES)).select("row.*", *QUANTILES)
 
 
 def with_coverage(intervals: DataFrame) -> DataFrame:
@@ -125,7 +117,8 @@ def with_coverage(intervals: DataFrame) -> DataFrame:
 
 def replayed_scales(cum: DataFrame, cfg: DelayConfig, method: str = "multinomial") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Replayed predictions with draws and sigma (draws stored, so that they are made once), drift scales and the net dispersion."""
-    rows = stored(with_spread(replay(cum, cfg), prediction_draws(cum, fit(cum, cfg), cfg, method)), "draws")
+    curves = fit(cum, cfg, cutoffs=span(cfg.first_origin, cfg.last_origin))
+    rows = stored(with_spread(replay(cum, cfg), prediction_draws(cum, curves, cfg, method)), "draws")
     kappa = drift_scale(rows, phi_centred(rows))
     ready = with_sigma(rows, kappa)
     return ready, kappa, phi_net(ready)

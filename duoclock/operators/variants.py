@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DelayConfig
 from ..shared import stored
-from .chainladder import fit, nowcast
+from .chainladder import fit, nowcast, span
 from .intervals import replayed_intervals
 from .triangle import cumulative, triangle, with_streams
 
@@ -78,7 +78,7 @@ def specifications(tri: DataFrame, cfg: DelayConfig, short_delay: int) -> list[t
 def variant_curves(records: DataFrame, cfg: DelayConfig, short_delay: int, floor_year: int) -> DataFrame:
     """(variant, stream, d, F) at the cutoff."""
     parts = specifications(variant_triangle(records, cfg, floor_year), cfg, short_delay)
-    return reduce(DataFrame.unionByName, [fit(cum, c, None, BY).where(F.col("cutoff") == c.cutoff).select(*BY, "d", "F") for cum, c in parts])
+    return reduce(DataFrame.unionByName, [fit(cum, c, None, BY, span(c.cutoff)).select(*BY, "d", "F") for cum, c in parts])
 
 
 def variant_records(records: DataFrame, cfg: DelayConfig, floor_year: int) -> DataFrame:
@@ -93,7 +93,7 @@ def variant_bias(records: DataFrame, cfg: DelayConfig, short_delay: int, floor_y
     """(variant, stream, h, n, rel_bias): nowcasts replayed under each specification, over evaluation origins where anything came in the end."""
     out = []
     for cum, c in specifications(variant_triangle(records, cfg, floor_year), cfg, short_delay):
-        rows = nowcast(cum, fit(cum, c, None, BY), c, F.col("cutoff").between(c.last_training_origin + 1, c.last_origin), c.max_lag, BY)
+        rows = nowcast(cum, fit(cum, c, None, BY, span(c.last_training_origin + 1, c.last_origin)), c, c.max_lag, BY)
         realized = cum.where(F.col("d") == c.max_delay).select(*BY, "t", F.col("c").alias("realized"))
         scored = rows.join(realized, [*BY, "t"]).where((F.col("realized") > 0) & F.col("h").isin(*c.horizons))
         out.append(scored.groupBy(*BY, "h").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("n_hat") - F.col("realized")) / F.col("realized")).alias("rel_bias")))

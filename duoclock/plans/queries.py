@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import ORDERS as C
@@ -20,6 +20,7 @@ from ..shared import new_folder, stored
 from ..shipping import ship
 from ..sources import sinks, tsv
 from ..streaming import replay as stream
+from . import oracle_draws as od
 from . import oracles as o
 from . import reports
 from .adapter import FLOOR_YEAR, order_rows, records
@@ -71,13 +72,13 @@ def _cum(s: SparkSession, d: str) -> DataFrame:
     return cumulative(_tri(s, d), C)
 
 
-def _fit(s: SparkSession, d: str) -> DataFrame:
-    return chainladder.fit(_cum(s, d), C)
+def _fit(s: SparkSession, d: str, cutoffs: Column | None = None) -> DataFrame:
+    return chainladder.fit(_cum(s, d), C, cutoffs=cutoffs)
 
 
 def _now(s: SparkSession, d: str, lag: int = 24) -> DataFrame:
     cum = _cum(s, d)
-    return chainladder.nowcast(cum, chainladder.fit(cum, C), C, F.col("cutoff") == C.cutoff, lag)
+    return chainladder.nowcast(cum, chainladder.fit(cum, C, cutoffs=chainladder.span(C.cutoff)), C, lag)
 
 
 def _points(s: SparkSession, d: str) -> DataFrame:
@@ -104,11 +105,8 @@ def _gains(s: SparkSession, d: str) -> DataFrame:
 
 
 def _undercount(s: SparkSession, d: str) -> DataFrame:
-    cum, out = _cum(s, d), None
-    for name, w in (("24", 24), ("12", 12), ("all-history", C.cutoff - C.t0)):
-        part = chainladder.undercount(chainladder.fit(cum, C, w).where(F.col("cutoff") == C.cutoff)).withColumn("W", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    fits = chainladder.fit_windows(_cum(s, d), C, {"24": 24, "12": 12, "all-history": C.cutoff - C.t0}, cutoffs=chainladder.span(C.cutoff))
+    return chainladder.undercount(fits).withColumnRenamed("window", "W")
 
 
 def _variants(s: SparkSession, d: str) -> DataFrame:
@@ -156,24 +154,22 @@ def _by_method(plan: Callable[[SparkSession, str, str], DataFrame]) -> Run:
 def _live(s: SparkSession, d: str) -> DataFrame:
     """Intervals of the cohorts that still develop at the cutoff, with scales from the replay."""
     _, kappa, phi = _scales(s, d)
-    cum = _cum(s, d)
-    long, short = chainladder.fit(cum, C), chainladder.fit(cum, C, C.short_window)
-    here = F.col("cutoff") == C.cutoff
-    curves = long.join(short.select("stream", "cutoff", "d", F.col("F").alias("F_short")), ["stream", "cutoff", "d"])
-    rows = chainladder.nowcast(cum, curves, C, here, 35, keep=("F", "F_short")).withColumn("stale", F.ln("F") - F.ln("F_short"))
-    draws = bootstrap.prediction_draws(cum, long, replace(C, seed=C.seed + 1), cutoffs=here, lag=35).select("stream", "cutoff", "t", "draws")
+    cum, here = _cum(s, d), chainladder.span(C.cutoff)
+    fits = chainladder.fit_windows(cum, C, {"long": C.window, "short": C.short_window}, cutoffs=here)
+    of = lambda window: F.max(F.when(F.col("window") == window, F.col("F")))
+    curves = fits.groupBy("stream", "cutoff", "d").agg(of("long").alias("F"), of("short").alias("F_short"))
+    rows = chainladder.nowcast(cum, curves, C, 35, keep=("F", "F_short")).withColumn("stale", F.ln("F") - F.ln("F_short"))
+    draws = bootstrap.prediction_draws(cum, curves, replace(C, seed=C.seed + 2), lag=35).select("stream", "cutoff", "t", "draws")
     return intervals.simulate(intervals.with_sigma(rows.join(draws, ["stream", "cutoff", "t"]), kappa), phi, C)
 
 
 def _bands(s: SparkSession, d: str) -> DataFrame:
     """5 and 95 % points of the resampled nowcasts, by both methods, at every origin of the replay and the current cutoff."""
-    cum, out = _cum(s, d), None
-    curves = chainladder.fit(cum, C)
-    for method in bootstrap.METHODS:
-        draws = bootstrap.prediction_draws(cum, curves, C, method, F.col("cutoff").between(C.first_origin, C.last_origin) | (F.col("cutoff") == C.cutoff)).withColumn("method", F.lit(method))
-        out = draws if out is None else out.unionByName(draws)
-    each = out.select("method", "stream", "cutoff", "t", "h", "c_obs", F.explode("draws").alias("x"))
-    return each.groupBy("method", "stream", "cutoff", "t", "h", "c_obs").agg(F.percentile("x", F.lit(0.05)).alias("lo"), F.percentile("x", F.lit(0.95)).alias("hi"))
+    cum, cutoffs = _cum(s, d), F.array_union(chainladder.span(C.first_origin, C.last_origin), chainladder.span(C.cutoff))
+    curves = chainladder.fit(cum, C, cutoffs=cutoffs)
+    parts = [bootstrap.prediction_draws(cum, curves, C, method).withColumn("method", F.lit(method)) for method in bootstrap.METHODS]
+    out = reduce(DataFrame.unionByName, parts)
+    return out.select("method", "stream", "cutoff", "t", "h", "c_obs", bootstrap.band("draws", 0.05).alias("lo"), bootstrap.band("draws", 0.95).alias("hi"))
 
 
 def _metrics(s: SparkSession, d: str) -> DataFrame:
@@ -255,7 +251,7 @@ def _gate_log(s: SparkSession, d: str) -> DataFrame:
 
 
 def _narrative(s: SparkSession, d: str) -> DataFrame:
-    curves = _fit(s, d).where(F.col("cutoff") == C.cutoff)
+    curves = _fit(s, d, chainladder.span(C.cutoff))
     worst = variants.worst_variant(variants.variant_deltas(_variants(s, d), C.horizons))
     return reports.narrative(ingest.row_audit(order_rows(s, d)), curves, worst, backtest.scoreboard(_metrics(s, d), C.horizons))
 
@@ -503,21 +499,30 @@ SELECT variant, n, n - max(n) FILTER (WHERE variant = 'base') OVER () AS delta_v
         "WITH " + o.HC + "\nSELECT (SELECT channel FROM hz GROUP BY channel ORDER BY sum(at_risk) DESC, channel DESC LIMIT 1) AS channel, (SELECT family FROM hz GROUP BY family ORDER BY sum(at_risk) DESC, family DESC LIMIT 1) AS family"),
     "hazard_fit": Query(_hazard_fit, "term:s beta:f se:f hr:f hr_lo95:f hr_hi95:f p:f deviance:f null_deviance:f"),
     "median_difference": Query(lambda s, d: bootstrap.median_difference(_mature(s, d, day_level=True), "delay_days", F.col("severity") == 3, F.col("severity") == 0), "diff:f lo95:f hi95:f"),
-    "bootstrap_bands": Query(_bands, "method:s stream:s cutoff:i t:i h:i c_obs:i lo:f hi:f"),
-    "interval_scale": Query(_interval_scale, "stream:s h:i kappa:f phi:f phi_centred:f phi_net:f"),
-    "replayed_intervals": Query(_intervals, "stream:s cutoff:i t:i h:i c_obs:i n_hat:f realized:i lo90:f lo50:f sim_median:f hi50:f hi90:f cov90:b cov50:b train:b"),
-    "coverage": Query(lambda s, d: backtest.coverage(_intervals(s, d)), "stream:s n:i cov90:f cov50:f"),
-    "interval_scale_by_method": Query(_by_method(_interval_scale), "method:s stream:s h:i kappa:f phi:f phi_centred:f phi_net:f"),
-    "replayed_intervals_by_method": Query(_by_method(_intervals), "method:s stream:s cutoff:i t:i h:i c_obs:i n_hat:f realized:i lo90:f lo50:f sim_median:f hi50:f hi90:f cov90:b cov50:b train:b"),
-    "coverage_by_method": Query(_by_method(lambda s, d, m: backtest.coverage(_intervals(s, d, m))), "method:s stream:s n:i cov90:f cov50:f"),
-    "coverage_gate": Query(lambda s, d: backtest.coverage_gate(backtest.coverage(_intervals(s, d))), "passed:b least:f most:f"),
+    "bootstrap_bands": Query(_bands, "method:s stream:s cutoff:i t:i h:i c_obs:i lo:f hi:f",
+        od.BANDS),
+    "interval_scale": Query(_interval_scale, "stream:s h:i kappa:f phi:f phi_centred:f phi_net:f",
+        od.REPLAYED + od.scales("multinomial") + "\n" + od.SCALES.format(p="")),
+    "replayed_intervals": Query(_intervals, "stream:s cutoff:i t:i h:i c_obs:i n_hat:f realized:i lo90:f lo50:f sim_median:f hi50:f hi90:f cov90:b cov50:b train:b",
+        od.REPLAYED + od.intervals("multinomial") + "\nSELECT * FROM cov"),
+    "coverage": Query(lambda s, d: backtest.coverage(_intervals(s, d)), "stream:s n:i cov90:f cov50:f",
+        od.REPLAYED + od.intervals("multinomial") + "\n" + od.COVERAGE.format(p="")),
+    "interval_scale_by_method": Query(_by_method(_interval_scale), "method:s stream:s h:i kappa:f phi:f phi_centred:f phi_net:f",
+        od.by_method(od.scales, od.SCALES)),
+    "replayed_intervals_by_method": Query(_by_method(_intervals), "method:s stream:s cutoff:i t:i h:i c_obs:i n_hat:f realized:i lo90:f lo50:f sim_median:f hi50:f hi90:f cov90:b cov50:b train:b",
+        od.by_method(od.intervals, "SELECT * FROM {p}cov")),
+    "coverage_by_method": Query(_by_method(lambda s, d, m: backtest.coverage(_intervals(s, d, m))), "method:s stream:s n:i cov90:f cov50:f",
+        od.by_method(od.intervals, od.COVERAGE)),
+    "coverage_gate": Query(lambda s, d: backtest.coverage_gate(backtest.coverage(_intervals(s, d))), "passed:b least:f most:f",
+        od.REPLAYED + od.intervals("multinomial") + ", pool AS (" + od.COVERAGE.format(p="") + ")\nSELECT bool_and(cov90 BETWEEN 0.80 AND 0.97) AS passed, min(cov90) AS least, max(cov90) AS most FROM pool"),
     "coverage_matrix": Query(lambda s, d: reports.coverage_matrix(_intervals(s, d)), "stream:s h:i gap90:f gap50:f"),
-    "live_intervals": Query(_live, "stream:s cutoff:i t:i h:i c_obs:i n_hat:f lo90:f lo50:f sim_median:f hi50:f hi90:f degenerate:b"),
+    "live_intervals": Query(_live, "stream:s cutoff:i t:i h:i c_obs:i n_hat:f lo90:f lo50:f sim_median:f hi50:f hi90:f degenerate:b",
+        od.live()),
     "visibility_milestones": Query(
-        lambda s, d: reports.milestones(_fit(s, d).where(F.col("cutoff") == C.cutoff)), "stream:s d50:i d75:i d90:i d95:i",
+        lambda s, d: reports.milestones(_fit(s, d, chainladder.span(C.cutoff))), "stream:s d50:i d75:i d90:i d95:i",
         "WITH " + o.FIT + f"\nSELECT stream, min(d) FILTER (WHERE F >= 0.5) AS d50, min(d) FILTER (WHERE F >= 0.75) AS d75, min(d) FILTER (WHERE F >= 0.9) AS d90, min(d) FILTER (WHERE F >= 0.95) AS d95 FROM cur WHERE cutoff = {C.cutoff} GROUP BY stream"),
     "visibility_deficit": Query(
-        lambda s, d: reports.visibility_deficit(_fit(s, d).where(F.col("cutoff") == C.cutoff), C.horizons), "stream:s " + " ".join(f"deficit_{h}:f" for h in C.horizons),
+        lambda s, d: reports.visibility_deficit(_fit(s, d, chainladder.span(C.cutoff)), C.horizons), "stream:s " + " ".join(f"deficit_{h}:f" for h in C.horizons),
         "WITH " + o.FIT + "\nSELECT stream, " + ", ".join(f"1 - max(F) FILTER (WHERE d = {h}) AS deficit_{h}" for h in C.horizons) + f" FROM cur WHERE cutoff = {C.cutoff} GROUP BY stream"),
     "delay_profile": Query(
         lambda s, d: reports.delay_profile(descriptive.ecdf(_mature(s, d), "severity", C)), "level:s d:i F:f n:i median_d:i",
@@ -532,7 +537,7 @@ SELECT variant, n, n - max(n) FILTER (WHERE variant = 'base') OVER () AS delta_v
         lambda s, d: reports.atlas(_mature(s, d, day_level=True), descriptive.ecdf(_mature(s, d), "severity", C), C.horizons), f"level:s n:i share:f p25:f p50:f p75:f p90:f {_HCOLS}",
         "WITH " + o.FLG + o.mature() + o.mature(day=True, name="matd") + "\nSELECT *, n / sum(n) OVER () AS share FROM (SELECT severity::VARCHAR AS level, count(*) AS n, quantile_cont(delay_days, 0.25) AS p25, quantile_cont(delay_days, 0.5) AS p50, quantile_cont(delay_days, 0.75) AS p75, quantile_cont(delay_days, 0.9) AS p90 FROM matd GROUP BY severity) JOIN (SELECT severity::VARCHAR AS level, " + ", ".join(f"count(*) FILTER (WHERE delay_m <= {h}) / count(*) AS F{h}" for h in C.horizons) + " FROM mat GROUP BY severity) USING (level)"),
     "maturity_gap": Query(
-        lambda s, d: reports.maturity_gap(_fit(s, d).where(F.col("cutoff") == C.cutoff), C.horizons), "stream:s d:i F:f gap:f",
+        lambda s, d: reports.maturity_gap(_fit(s, d, chainladder.span(C.cutoff)), C.horizons), "stream:s d:i F:f gap:f",
         "WITH " + o.FIT + f"\nSELECT stream, d, F, F - max(F) FILTER (WHERE stream = 'all') OVER (PARTITION BY d) AS gap FROM cur WHERE cutoff = {C.cutoff} AND {_H}"),
     "drift_belts": Query(
         lambda s, d: reports.drift_belts(descriptive.drift(_mature(s, d, day_level=True))), "cohort_year:i severity:i n:i p25:f p50:f p75:f",
