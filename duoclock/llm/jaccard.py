@@ -13,7 +13,8 @@ traded key are indexed by their own deletions, and only in segments that some se
 that no other key has shown shares a traded one.
 
 Candidates share a key; they are compared by full sets through pivots, so a key in a third of all sets costs a
-comparison a set, and what shares a pivot is told exactly (see minhash). Nothing is sampled or capped.
+comparison a set, and what shares a pivot is told exactly (see minhash). Sets whose parities differ in more bits than
+sets of their sizes may differ in elements are not compared. Nothing is sampled or capped.
 
 A-Z count as a-z; words are runs of other characters than ASCII white space; fewer than k words make one shingle;
 no words (or null text) an empty set, which links with nothing. A null id links with nothing; its component is
@@ -28,16 +29,16 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, mix, release, staged
-from .minhash import documents, grouped, shingles, to_pivots
+from .minhash import documents, grouped, parities, shingles, to_pivots
 
 WORDS, PER_CENT = 4, 85
 #: A key of more sets than this is worth a one-deletion neighbourhood.
 TRADE = 64
-_SIGNED = "id bigint, n bigint, f1 bigint, f2 bigint, roles array<struct<band: int, own: boolean, m: int, spare: int, keys: array<bigint>>>"
+_SIGNED = "id bigint, n bigint, f1 bigint, f2 bigint, sketch binary, roles array<struct<band: int, own: boolean, m: int, spare: int, keys: array<bigint>>>"
 
 
 @cache
@@ -91,14 +92,15 @@ def _sign(k: int, per_cent: int):
         kind = pa.list_(pa.struct([("band", pa.int32()), ("own", pa.bool_()), ("m", pa.int32()), ("spare", pa.int32()), ("keys", pa.list_(pa.int64()))]))
         for batch in batches:
             for part in by_bytes(batch, 1):
-                sizes, prints, found_roles = [], [], []
+                sizes, prints, sketches, found_roles = [], [], [], []
                 for found in shingles([t or "" for t in part.column(1).to_pylist()], k):
                     n = found.shape[1]
                     sizes.append(n)
                     prints.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                    sketches.append(parities(found[1], most_apart(n, n, per_cent)))
                     found_roles.append([{"band": b, "own": own, "m": m, "spare": spare, "keys": Segments(found, b, m).keys()} for b, own, m, spare in roles(n, per_cent)] if n else [])
                 halves = np.frombuffer(b"".join(prints), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(found_roles, kind)], names=["id", "n", "f1", "f2", "roles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sketches), pa.array(found_roles, kind)], names=["id", "n", "f1", "f2", "sketch", "roles"])
 
     return run
 
@@ -121,6 +123,26 @@ def _neighbourhoods(k: int):
     return run
 
 
+def _held_by_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows, sorted by key, whose key another row has too; a row waits for the next, and no more are held."""
+    last, again = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if last is not None:
+            batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+        keys = batch.column(0).to_numpy()
+        same = keys[1:] == keys[:-1]
+        found = np.zeros(len(keys), bool)
+        found[1:], found[0] = same, again
+        found[:-1] |= same
+        last, again = batch.slice(len(keys) - 1), bool(found[-1])
+        found[-1] = False
+        yield batch.filter(pa.array(found))
+    if again:
+        yield last
+
+
 def allocate(listed: DataFrame, limits: DataFrame, trade: int = TRADE) -> DataFrame:
     """From (id, band, at, key, count), the keys that others hold too, and limits (id, band, m, spare): (id, band, m, keys, kept, passed, asked).
 
@@ -143,12 +165,14 @@ def _candidates(texts: DataFrame, k: int, trade: int):
         placed = reps.select("id", F.explode("roles").alias("r"))
         # segment, band and whether it is the set's own in one number, so that rows stay small; a key is a row of each
         # set that holds it, of some hundred rows a set, so even one held by a third of all sets is few of them
-        slot = lambda at: F.shiftleft(at.cast("bigint"), 16) + F.col("r.band") * 2 + F.col("r.own").cast("int")
-        each = placed.select("id", F.explode(F.transform("r.keys", lambda key, at: F.struct(key.alias("key"), slot(at).alias("slot")))).alias("e")).select("e.key", "id", "e.slot")
-        same = Window.partitionBy("key")
-        counted = each.withColumn("count", F.count(F.lit(1)).over(same)).withColumn("own", F.max(F.col("slot").bitwiseAND(F.lit(1).cast("bigint"))).over(same))
+        each = placed.select("id", (F.col("r.band") * 2 + F.col("r.own").cast("int")).cast("bigint").alias("role"), F.posexplode("r.keys").alias("at", "key"))
+        each = each.select("key", "id", (F.shiftleft(F.col("at").cast("bigint"), 16) + F.col("role")).alias("slot"))
+        held = staged(each.repartition("key").sortWithinPartitions("key").mapInArrow(_held_by_others, each.schema), "held")
+        counts = held.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.max(F.col("slot").bitwiseAND(F.lit(1).cast("bigint"))).alias("own"))
         # a key of sets that all belong to the band below can't be shared by partners
-        shared = counted.where("count > 1 AND own = 1").select("id", F.shiftright("slot", 1).bitwiseAND(F.lit((1 << 15) - 1).cast("bigint")).cast("int").alias("band"), F.shiftright("slot", 16).alias("at"), "key", "count")
+        counts = staged(counts.where("own = 1").select("key", "count"), "counts", tasks)
+        band = F.shiftright("slot", 1).bitwiseAND(F.lit((1 << 15) - 1).cast("bigint")).cast("int")
+        shared = held.join(counts, "key").select("id", band.alias("band"), F.shiftright("slot", 16).alias("at"), "key", "count")
         limits = placed.groupBy("id", "r.band").agg(F.max("r.m").alias("m"), F.min("r.spare").alias("spare"))
         chosen = staged(allocate(shared, limits, trade), "chosen", tasks)
         release(reps.sparkSession)
@@ -180,4 +204,4 @@ def join(docs: DataFrame, k: int = WORDS, per_cent: int = PER_CENT, trade: int =
     """A row per document: id, n_shingles, component_id (the least id that links lead to), kept (it is that one)."""
     texts = documents(docs, id_col, text_col)
     signed = staged(texts.mapInArrow(_sign(k, per_cent), _SIGNED), "signatures")
-    return grouped(texts, signed, _candidates(texts, k, trade), k, per_cent, id_col)
+    return grouped(texts, signed, _candidates(texts, k, trade), k, per_cent, id_col, with_sketches=True)

@@ -38,6 +38,8 @@ from .components import connected_components
 WORDS, PER_CENT, BANDS, ROWS, SEED = 5, 80, 40, 6, 11
 #: Further pivots that a group gets at most, bits of a bitmap, and documents to a task for tables of about a row a document.
 MORE_PIVOTS, BITS, EACH = 2, 512, 20_000
+#: Members of a pivot that are held against each other by sketches, where there are any; more go through the index.
+FEW = 32
 #: Bytes of sets that a task keeps for further comparisons.
 MEMO_BYTES = 32 << 20
 
@@ -115,6 +117,47 @@ def _sign(k: int, bands: int, rows: int, seed: int):
     return run
 
 
+def parities(items: np.ndarray, apart: int) -> bytes:
+    """A bit for each of some classes of elements, whether their number is odd: as many as four times apart, a power of two.
+
+    Two sets differ in as many elements as bits at least. Longer sketches fold into shorter ones.
+    """
+    size = 1 << max(7, (4 * apart).bit_length())
+    counts = np.bincount((items % np.uint64(size)).astype(np.int64), minlength=size)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def _apart_at_least(a: bytes, b: bytes) -> int:
+    p, q = (np.frombuffer(x, np.uint8) for x in (a, b))
+    size = min(len(p), len(q))
+    folded = [np.bitwise_xor.reduce(x.reshape(-1, size), axis=0) for x in (p, q)]
+    return int(np.bitwise_count(folded[0] ^ folded[1]).sum())
+
+
+def _possible(per_cent: int):
+    """Pairs with n, m and sketches a, b: whether sizes and sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in (1, 2))
+            possible = 100 * np.minimum(n, m) >= per_cent * np.maximum(n, m)
+            for i in np.flatnonzero(possible):
+                possible[i] = (100 + per_cent) * _apart_at_least(batch.column(3)[i].as_py(), batch.column(4)[i].as_py()) <= (100 - per_cent) * int(n[i] + m[i])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(possible)], names=["row", "possible"])
+
+    return run
+
+
+def _marked(pairs: DataFrame, sketches: DataFrame, per_cent: int) -> DataFrame:
+    """The pairs (x, y and other columns) with possible: false where sizes or sketches rule a link out."""
+    first = sketches.select(F.col("id").alias("x"), F.col("n").alias("_n"), F.col("sketch").alias("_a"))
+    second = sketches.select(F.col("id").alias("y"), F.col("n").alias("_m"), F.col("sketch").alias("_b"))
+    rows = pairs.join(first, "x").join(second, "y").select(F.struct(*pairs.columns).alias("row"), "_n", "_m", "_a", "_b")
+    fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in pairs.schema)
+    found = rows.mapInArrow(_possible(per_cent), f"row struct<{fields}>, possible boolean").select("row.*", "possible")
+    return found.groupBy(*pairs.columns).agg(F.bool_or("possible").alias("possible"))  # ids can have several texts
+
+
 def _bits(items: np.ndarray) -> np.ndarray:
     out = np.zeros(BITS // 64, np.uint64)
     place = items % np.uint64(BITS)
@@ -198,9 +241,22 @@ def _with_components(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return found.withColumns({"cx": F.coalesce("cx", "x"), "cy": F.coalesce("cy", "y")})
 
 
-def _further_links(compared: DataFrame, labels: DataFrame, texts: DataFrame, k: int, per_cent: int, tasks: int) -> DataFrame | None:
+def _by_sketches(compared: DataFrame, labels: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, per_cent: int, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """Links among the members of pivots that have few, by their sketches; and the rows of other pivots."""
+    counts = staged(compared.groupBy("y").count(), "counts", tasks)
+    few = staged(_with_components(compared.join(counts.where(F.col("count") <= FEW).select("y"), "y"), labels).select("y", "x", "cx"), "few", tasks)
+    pairs = few.join(few.select("y", F.col("x").alias("x2"), F.col("cx").alias("cx2")), "y").where("x < x2 AND cx <> cx2").select("x", F.col("x2").alias("y")).distinct()
+    possible = staged(_marked(staged(pairs, "pairs", tasks), sketches, per_cent).where("possible").select("x", "y"), "pairs", tasks)
+    links = _compared(possible, texts, k, per_cent).where("linked").select("x", "y")
+    return links, compared.join(counts.where(F.col("count") > FEW).select("y"), "y", "left_semi")
+
+
+def _further_links(compared: DataFrame, labels: DataFrame, texts: DataFrame, k: int, per_cent: int, tasks: int, sketches: DataFrame | None = None) -> DataFrame | None:
     """Links across components among documents that have a pivot in common; None: there can be none."""
     tested, links, round_ = compared.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), None, 0
+    if sketches is not None:
+        links, compared = _by_sketches(compared, labels, sketches, texts, k, per_cent, tasks)
+        labels = connected_components(labels.select(F.col("node").alias("x"), F.col("component").alias("y")).union(links), "x", "y", tasks)
     while True:
         placed = staged(_with_components(compared, labels), "placed")
         rest = placed.where("cx <> cy")
@@ -212,7 +268,10 @@ def _further_links(compared: DataFrame, labels: DataFrame, texts: DataFrame, k:
         round_ += 1
         best = staged(rest.groupBy("y").agg(F.max(F.struct("weight", (-F.col("x")).alias("neg"))).alias("p")).select("y", (-F.col("p.neg")).alias("next")), "pivots", tasks)
         more = rest.join(best, "y").where("x <> next").select(F.least("x", "next").alias("x"), F.greatest("x", "next").alias("y")).distinct()
-        found = _compared(staged(more.join(tested, ["x", "y"], "left_anti"), "pairs", tasks), texts, k, per_cent).select("x", "y", "linked")
+        more = staged(more.join(tested, ["x", "y"], "left_anti"), "pairs", tasks)
+        if sketches is not None:
+            more = staged(_marked(more, sketches, per_cent).where("possible").select("x", "y"), "pairs", tasks)
+        found = _compared(more, texts, k, per_cent).select("x", "y", "linked")
         tested = tested.union(found.select("x", "y"))
         new = found.where("linked").select("x", "y")
         links = new if links is None else links.union(new)
@@ -271,12 +330,12 @@ def _index_pairs(placed: DataFrame, texts: DataFrame, k: int, per_cent: int, tas
     return found, sure
 
 
-def grouped(texts: DataFrame, signed: DataFrame, candidates: Callable[[DataFrame, int], DataFrame], k: int, per_cent: int, id_col: str) -> DataFrame:
+def grouped(texts: DataFrame, signed: DataFrame, candidates: Callable[[DataFrame, int], DataFrame], k: int, per_cent: int, id_col: str, with_sketches: bool = False) -> DataFrame:
     """A row per document: id, n_shingles, component_id (the least id that links lead to), kept (it is that one).
 
     signed: stored; id, n and f1 and f2, the set's fingerprint, of each text, and what candidates need of it. candidates:
     from the rows of one document for each different set, and a number of tasks, (x, weight, y), documents and pivots, so
-    that any two linked documents are a pair or have a pivot in common.
+    that any two linked documents are a pair or have a pivot in common. with_sketches: signed has parities too, as sketch.
     """
     spark = texts.sparkSession
     real = signed.where("n > 0 and id is not null")
@@ -284,16 +343,23 @@ def grouped(texts: DataFrame, signed: DataFrame, candidates: Callable[[DataFrame
     classes = staged(real.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("id").alias("last")), "classes", tasks)
     reps = staged(real.join(classes.select("f1", "f2", F.col("rep").alias("id")), ["f1", "f2", "id"], "left_semi").drop("f1", "f2"), "reps", tasks)
     pairs = candidates(reps, tasks)
+    sketches = reps.select("id", "n", "sketch") if with_sketches else None
+    if sketches is not None:
+        pairs = staged(_marked(pairs, sketches, per_cent), "marked", tasks)
     # all texts move once; from here on only those that share a key with another
     sharing = staged(pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct(), "sharing", tasks)
     texts = staged(texts.join(sharing, "id", "left_semi"), "texts")
     release(spark)
-    compared = _compared(pairs, texts, k, per_cent)
+    if sketches is None:
+        compared = _compared(pairs, texts, k, per_cent)
+    else:
+        looked_at = _compared(pairs.where("possible").drop("possible"), texts, k, per_cent).select("x", "weight", "y", "linked")
+        compared = looked_at.union(pairs.where("NOT possible").select("x", "weight", "y", F.lit(False).alias("linked")))
     release(spark)
 
     labels = connected_components(compared.where("linked"), "x", "y", tasks)
     if not compared.where("not linked").isEmpty():
-        more = _further_links(compared, labels, texts, k, per_cent, tasks)
+        more = _further_links(compared, labels, texts, k, per_cent, tasks, sketches)
         if more is not None:
             labels = connected_components(labels.select(F.col("node").alias("x"), F.col("component").alias("y")).union(more), "x", "y", tasks)
     release(spark)

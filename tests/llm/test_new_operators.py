@@ -205,3 +205,13 @@ def test_slices_by_bytes():
     batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 10, None, "b" * 100, "", "c", "d" * 50])], names=["i", "t"])
     parts = list(common.by_bytes(batch, 1, most=20, rows=3))
     assert [p.column(0).to_pylist() for p in parts] == [[0, 1], [2], [3, 4], [5]]
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(2)
+    for n, lost in ((10, 2), (300, 40), (3000, 900)):
+        one = rng.integers(0, 1 << 63, n, np.uint64)
+        other = np.concatenate((one[lost:], rng.integers(0, 1 << 63, lost, np.uint64)))
+        a, b = minhash.parities(one, jaccard.most_apart(n, n, 85)), minhash.parities(other, 5)
+        assert minhash._apart_at_least(a, b) <= 2 * lost
+        assert minhash._apart_at_least(a, minhash.parities(one, 3)) == 0
