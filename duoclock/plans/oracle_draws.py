@@ -172,3 +172,30 @@ lvrow AS (SELECT x.*, coalesce(kappa, 0) * abs(stale) AS sigma FROM ({rows}) x L
 BANDS = REPLAYED + "".join(drawn(m, p, where=f"(cutoff BETWEEN {ORDERS.first_origin} AND {ORDERS.last_origin} OR cutoff = {ORDERS.cutoff})") for m, p in (("cohort", "co"), ("multinomial", "mu"))) + f""",
 now AS (SELECT u.stream, l.cutoff, u.t, u.d AS h, u.c AS c_obs FROM (SELECT DISTINCT stream, cutoff FROM mucrv) l JOIN cum u ON u.stream = l.stream AND u.d = least(l.cutoff - u.t, {ORDERS.max_delay}) AND u.t BETWEEN l.cutoff - {ORDERS.max_lag} AND l.cutoff),
 bnd AS (""" + " UNION ALL ".join(f"SELECT '{m}' AS method, x.stream, x.cutoff, x.t, x.h, x.c_obs, quantile_cont(c_obs / greatest(v.F, 1e-12), 0.05) AS lo, quantile_cont(c_obs / greatest(v.F, 1e-12), 0.95) AS hi FROM now x JOIN {p}crv v ON v.stream = x.stream AND v.cutoff = x.cutoff AND v.d = x.h GROUP BY ALL" for m, p in (("cohort", "co"), ("multinomial", "mu"))) + ")\nSELECT * FROM bnd"
+
+COVERAGE_MATRIX = REPLAYED + intervals("multinomial") + "\nSELECT stream, h, avg(cov90::INT) - 0.9 AS gap90, avg(cov50::INT) - 0.5 AS gap50 FROM cov WHERE NOT train GROUP BY stream, h"
+METRICS = REPLAYED + intervals("multinomial") + """, shr AS (
+  SELECT stream, h, CASE WHEN train THEN 'training' ELSE 'evaluation' END AS origin_set, 'nowcast' AS method, avg(cov50::INT) AS cov50, avg(cov90::INT) AS cov90 FROM cov WHERE realized > 0 GROUP BY ALL)
+SELECT * FROM met LEFT JOIN shr USING (stream, h, origin_set, method)"""
+
+
+def replay(p: str, cum: str, c: DelayConfig) -> str:
+    """{p}pts: predictions at past cutoffs under other settings, with what the intervals need of them."""
+    return o.curve(c.window, d_max=c.max_delay, p=p, cum=cum) + o.curve(c.short_window, d_max=c.max_delay, p=f"{p}s", cum=cum) + f""",
+{p}pts AS (
+  SELECT stream, l.cutoff, u.t, u.d AS h, u.c AS c_obs, u.c / l.F AS n_hat, ln(greatest(l.F, 1e-12)) - ln(greatest(s.F, 1e-12)) AS stale, r.c AS realized, l.cutoff <= {c.last_training_origin} AS train
+  FROM {p}cur l JOIN {p}scur s USING (stream, cutoff, d) JOIN {cum} u USING (stream, d) JOIN {cum} r USING (stream, t)
+  WHERE l.cutoff BETWEEN {c.first_origin} AND {c.last_origin} AND u.d = least(l.cutoff - u.t, {c.max_delay}) AND u.t BETWEEN l.cutoff - {c.max_lag} AND l.cutoff AND r.d = {c.max_delay})"""
+
+
+def variant_coverage(variants: str, specs: list[tuple[str, str, str, DelayConfig]]) -> str:
+    """specs: a prefix, the cumulative table with streams named variant/stream, how it is made, and the settings."""
+    text = variants.replace("WITH ", "WITH RECURSIVE ", 1)
+    for p, cum, made, c in specs:
+        text += f", {cum} AS MATERIALIZED ({made})" + replay(p, cum, c) + intervals("multinomial", p, c, f"{p}pts", f"{p}cur", cum)
+    rows = " UNION ALL ".join(f"SELECT stream, cov90 FROM {p}cov WHERE NOT train AND realized > 0 AND h IN {c.horizons}" for p, _, _, c in specs)
+    return text + f", every_cov AS ({rows})\nSELECT split_part(stream, '/', 1) AS variant, split_part(stream, '/', 2) AS stream, count(*) AS n, avg(cov90::INT) AS cov90 FROM every_cov GROUP BY ALL"
+
+
+COUNTERS = f"""WITH k AS (SELECT o_orderkey AS id, o_totalprice / 20000 AS mean, floor(o_totalprice / 1000) AS n FROM orders)
+SELECT id, {u("'41'", 'id')} AS u, {normal(u("'41'", 'id'))} AS z, {poisson(u("'41'", 'id'), 'mean')} AS poisson, {binomial(u("'41'", 'id'), 'n', '0.3::DOUBLE')} AS binomial, {negative_binomial('mean', '2.5::DOUBLE', "'41'", 'id')} AS negative_binomial FROM k"""

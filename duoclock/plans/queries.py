@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import ORDERS as C
-from ..functions import tables
+from ..functions import random, tables
 from ..functions.months import month_label, parse_month_label
 from ..functions.records import with_delays
 from ..operators import backtest, bootstrap, chainladder, descriptive, hazard, ingest, intervals, surveillance, variants
@@ -172,6 +172,17 @@ def _bands(s: SparkSession, d: str) -> DataFrame:
     return out.select("method", "stream", "cutoff", "t", "h", "c_obs", bootstrap.band("draws", 0.05).alias("lo"), bootstrap.band("draws", 0.95).alias("hi"))
 
 
+def _counter_draws(s: SparkSession, d: str) -> DataFrame:
+    """Draws as columns, keyed by the order: a uniform, a normal, and counts whose law depends on the order's price."""
+    key, price = (41, F.col("id")), F.col("o_totalprice")
+    rows = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), (price / 20000).alias("mean"), F.floor(price / 1000).cast("double").alias("n"))
+    u = random.uniform(*key)
+    return rows.select(
+        "id", u.alias("u"), random.normal_quantile(u).alias("z"), random.poisson_quantile(u, F.col("mean")).alias("poisson"), random.binomial_quantile(u, F.col("n"), F.lit(0.3)).alias("binomial"),
+        random.negative_binomial_draw(F.col("mean"), F.lit(2.5), *key).alias("negative_binomial"),
+    )
+
+
 def _metrics(s: SparkSession, d: str) -> DataFrame:
     return backtest.metrics(_points(s, d))
 
@@ -325,6 +336,31 @@ mz AS (SELECT make, max(z_naive) AS max_z_naive, max(z_naive_matched) AS max_z_n
 
 _RUN3 = ", ".join(f"CASE WHEN lag(z_{a}, 2) OVER w IS NOT NULL THEN least(z_{a}, lag(z_{a}) OVER w, lag(z_{a}, 2) OVER w) END AS level_{a}" for a in ("naive", "naive_matched", "nowcast"))
 
+
+
+def _variant_coverage_sql() -> str:
+    few = replace(C, draws=VARIANT_DRAWS)
+    base = lambda name, cum="bcum": f"SELECT '{name}/' || stream AS stream, t, d, c FROM {cum}"
+    return od.variant_coverage(_VARIANTS, [
+        ("va", "vacum", "SELECT variant || '/' || stream AS stream, t, d, c FROM cum", few), ("vb", "vbcum", base("short_window"), replace(few, window=C.short_window)),
+        ("vc", "vccum", base("all_history"), replace(few, window=C.cutoff - C.t0)), ("vd", "vdcum", base("short_delay", "sdcum"), replace(few, max_delay=SHORT_DELAY)),
+    ])
+
+
+def _narrative_sql() -> str:
+    """Sentences from the tables of the replay and of the variants, each in a statement of its own."""
+    board = f"SELECT count(*) FILTER (WHERE abs(nowcast) < abs(naive) AND abs(nowcast) < abs(one_step)) AS won, count(*) AS n FROM (SELECT stream, h, max(rel_bias) FILTER (WHERE method = 'naive') AS naive, max(rel_bias) FILTER (WHERE method = 'one_step') AS one_step, max(rel_bias) FILTER (WHERE method = 'nowcast') AS nowcast FROM met WHERE origin_set = 'evaluation' AND h IN {C.horizons} GROUP BY ALL)"
+    worst = _VARIANTS + " SELECT variant, stream, h FROM vdel WHERE variant <> 'base' ORDER BY abs(delta_vs_base) DESC, variant, stream, h LIMIT 1"
+    known = f"SELECT min(d) FILTER (WHERE F >= 0.5) AS half, min(d) FILTER (WHERE F >= 0.9) AS most FROM cur WHERE cutoff = {C.cutoff} AND stream = 'all'"
+    lines = [
+        "SELECT 1 AS place, 'Of ' || count(*) || ' rows of ' || count(DISTINCT id) || ' records, ' || round(100.0::DOUBLE * count(*) FILTER (WHERE receipt IS NOT NULL AND incident IS NOT NULL) / count(*), 1) || ' % have both dates.' AS line FROM raw",
+        f"SELECT 2, 'Half of a cohort has come in after ' || half || ' months, and 90 % after ' || most || '.' FROM ({known})",
+        f"SELECT 3, 'Of the other specifications, ' || variant || ' moves maturity most: stream ' || stream || ' after ' || h || ' months.' FROM ({worst})",
+        f"SELECT 4, 'The nowcast is nearest in ' || won || ' of ' || n || ' streams and ages.' FROM ({board})",
+    ]
+    return "WITH " + o.REPLAY + ", told AS (" + " UNION ALL ".join(lines) + ")\nSELECT * FROM told"
+
+
 QUERIES: dict[str, Query] = {
     "nowcast_current": Query(
         lambda s, d: _now(s, d, C.max_delay).withColumn("cohort", month_label(F.col("t"))), "stream:s cutoff:i t:i cohort:s h:i c_obs:i F:f n_hat:f degenerate:b",
@@ -452,11 +488,14 @@ FROM dn LEFT JOIN alm USING (make) LEFT JOIN mz USING (make)"""),
     "udtf_nowcast": Query(
         _udtf_nowcast, "stream:s cutoff:i t:i h:i n_hat:f missing:f",
         "WITH " + o.FIT + f"\nSELECT stream, cutoff, u.t, d AS h, u.c / F AS n_hat, u.c / F - u.c AS missing FROM cur JOIN cum u USING (stream, d) WHERE cutoff = {C.cutoff} AND u.t = cutoff - d"),
-    "gate_log": Query(_gate_log, "step:s gate:s passed:b detail:s"),
-    "narrative": Query(_narrative, "place:i line:s"),
+    "gate_log": Query(_gate_log, "step:s gate:s passed:b detail:s",
+        "WITH " + o.REPLAY + ", pq AS (SELECT stream, h, max(abs(rel_bias)) FILTER (WHERE method = 'naive') AS naive, max(abs(rel_bias)) FILTER (WHERE method = 'nowcast') AS nowcast FROM met WHERE stream IN ('all', 'severe') AND h <= 12 AND origin_set = 'evaluation' GROUP BY ALL), gates AS (SELECT 'replay' AS step, 'bias' AS gate, bool_and(nowcast < naive) AS passed, count(*) || ' streams and ages' AS detail FROM pq UNION ALL SELECT 'ingest', 'rows', count(*) > 0, count(*) || ' rows' FROM raw)\nSELECT * FROM gates"),
+    "narrative": Query(_narrative, "place:i line:s",
+        _narrative_sql()),
     "hazard_forest": Query(lambda s, d: reports.hazard_forest(_hazard_fit(s, d)), "term:s hr:f hr_lo95:f hr_hi95:f"),
     "backtest_metrics": Query(
-        lambda s, d: backtest.with_interval_coverage(_metrics(s, d), _intervals(s, d)), "stream:s h:i method:s origin_set:s n:i rel_bias:f median_rel_bias:f mape:f rmse:f mean_realized:f cov50:f cov90:f"),
+        lambda s, d: backtest.with_interval_coverage(_metrics(s, d), _intervals(s, d)), "stream:s h:i method:s origin_set:s n:i rel_bias:f median_rel_bias:f mape:f rmse:f mean_realized:f cov50:f cov90:f",
+        od.METRICS),
     "atlas_glyphs": Query(
         lambda s, d: reports.atlas_glyphs(reports.atlas(_mature(s, d, day_level=True), descriptive.ecdf(_mature(s, d), "severity", C), C.horizons)), "level:s x_p25:f x_p50:f x_p75:f x_p90:f",
         "WITH " + o.FLG + o.mature(day=True) + "\nSELECT level, " + ", ".join(f"least(1, log10(1 + greatest({c}, 0)) / log10(1201)) AS x_{c}" for c in ("p25", "p50", "p75", "p90"))
@@ -485,7 +524,8 @@ SELECT variant, n, n - max(n) FILTER (WHERE variant = 'base') OVER () AS delta_v
             f"WHERE l.cutoff BETWEEN {C.last_training_origin + 1} AND {C.last_origin} AND u.d = least(l.cutoff - u.t, {top}) AND u.t BETWEEN l.cutoff - {C.max_lag} AND l.cutoff AND r.d = {top} AND r.c > 0 AND u.d IN {C.horizons} GROUP BY ALL"
             for name, p, cum, keys, top in (("l.variant", "", "cum", "variant, stream", C.max_delay), ("'short_window'", "sw", "bcum", "stream", C.max_delay), ("'all_history'", "ah", "bcum", "stream", C.max_delay), ("'short_delay'", "sd", "sdcum", "stream", SHORT_DELAY))
         ) + ")\nSELECT *, rel_bias - max(rel_bias) FILTER (WHERE variant = 'base') OVER (PARTITION BY stream, h) AS delta_vs_base FROM vb"),
-    "variant_coverage": Query(lambda s, d: variants.variant_coverage(records(s, d), replace(C, draws=VARIANT_DRAWS), SHORT_DELAY, FLOOR_YEAR), "variant:s stream:s n:i cov90:f"),
+    "variant_coverage": Query(lambda s, d: variants.variant_coverage(records(s, d), replace(C, draws=VARIANT_DRAWS), SHORT_DELAY, FLOOR_YEAR), "variant:s stream:s n:i cov90:f",
+        _variant_coverage_sql()),
     "worst_variant": Query(
         lambda s, d: variants.worst_variant(variants.variant_deltas(_variants(s, d), C.horizons)), "variant:s stream:s h:i delta_vs_base:f",
         _VARIANTS + "\nSELECT variant, stream, h, delta_vs_base FROM vdel WHERE variant <> 'base' ORDER BY abs(delta_vs_base) DESC, variant, stream, h LIMIT 1"),
@@ -515,9 +555,11 @@ SELECT variant, n, n - max(n) FILTER (WHERE variant = 'base') OVER () AS delta_v
         od.by_method(od.intervals, od.COVERAGE)),
     "coverage_gate": Query(lambda s, d: backtest.coverage_gate(backtest.coverage(_intervals(s, d))), "passed:b least:f most:f",
         od.REPLAYED + od.intervals("multinomial") + ", pool AS (" + od.COVERAGE.format(p="") + ")\nSELECT bool_and(cov90 BETWEEN 0.80 AND 0.97) AS passed, min(cov90) AS least, max(cov90) AS most FROM pool"),
-    "coverage_matrix": Query(lambda s, d: reports.coverage_matrix(_intervals(s, d)), "stream:s h:i gap90:f gap50:f"),
+    "coverage_matrix": Query(lambda s, d: reports.coverage_matrix(_intervals(s, d)), "stream:s h:i gap90:f gap50:f",
+        od.COVERAGE_MATRIX),
     "live_intervals": Query(_live, "stream:s cutoff:i t:i h:i c_obs:i n_hat:f lo90:f lo50:f sim_median:f hi50:f hi90:f degenerate:b",
         od.live()),
+    "counter_draws": Query(_counter_draws, "id:i u:f z:f poisson:i binomial:i negative_binomial:i", od.COUNTERS),
     "visibility_milestones": Query(
         lambda s, d: reports.milestones(_fit(s, d, chainladder.span(C.cutoff))), "stream:s d50:i d75:i d90:i d95:i",
         "WITH " + o.FIT + f"\nSELECT stream, min(d) FILTER (WHERE F >= 0.5) AS d50, min(d) FILTER (WHERE F >= 0.75) AS d75, min(d) FILTER (WHERE F >= 0.9) AS d90, min(d) FILTER (WHERE F >= 0.95) AS d95 FROM cur WHERE cutoff = {C.cutoff} GROUP BY stream"),
