@@ -26,6 +26,35 @@ def staged(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing planned or kept reads any more."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        if path.getParent().getParent().getName() == "staged":
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def held_by_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by their first column, a bigint, those whose value another row has too; a row waits for the next, and no more are held."""
+    last, again = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if last is not None:
+            batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+        keys = batch.column(0).to_numpy()
+        same = keys[1:] == keys[:-1]
+        found = np.zeros(len(keys), bool)
+        found[1:], found[0] = same, again
+        found[:-1] |= same
+        last, again = batch.slice(len(keys) - 1), bool(found[-1])
+        found[-1] = False
+        yield batch.filter(pa.array(found))
+    if again:
+        yield last
+
+
 def tasks_for(rows: int, each: int) -> int:
     """Tasks for so many rows, `each` to a task; a dozen at least. Beyond the number of shuffle partitions it has no effect."""
     return max(12, -(-rows // each))

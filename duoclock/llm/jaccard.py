@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, mix, release, staged
+from .common import by_bytes, drop_staged, held_by_others, mix, release, staged
 from .minhash import documents, grouped, parities, shingles, to_pivots
 
 WORDS, PER_CENT = 4, 85
@@ -123,26 +123,6 @@ def _neighbourhoods(k: int):
     return run
 
 
-def _held_by_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows, sorted by key, whose key another row has too; a row waits for the next, and no more are held."""
-    last, again = None, False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if last is not None:
-            batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-        keys = batch.column(0).to_numpy()
-        same = keys[1:] == keys[:-1]
-        found = np.zeros(len(keys), bool)
-        found[1:], found[0] = same, again
-        found[:-1] |= same
-        last, again = batch.slice(len(keys) - 1), bool(found[-1])
-        found[-1] = False
-        yield batch.filter(pa.array(found))
-    if again:
-        yield last
-
-
 def allocate(listed: DataFrame, limits: DataFrame, trade: int = TRADE) -> DataFrame:
     """From (id, band, at, key, count), the keys that others hold too, and limits (id, band, m, spare): (id, band, m, keys, kept, passed, asked).
 
@@ -165,15 +145,17 @@ def _candidates(texts: DataFrame, k: int, trade: int):
         placed = reps.select("id", F.explode("roles").alias("r"))
         # segment, band and whether it is the set's own in one number, so that rows stay small; a key is a row of each
         # set that holds it, of some hundred rows a set, so even one held by a third of all sets is few of them
+        limits = staged(placed.groupBy("id", "r.band").agg(F.max("r.m").alias("m"), F.min("r.spare").alias("spare")), "limits", tasks)
         each = placed.select("id", (F.col("r.band") * 2 + F.col("r.own").cast("int")).cast("bigint").alias("role"), F.posexplode("r.keys").alias("at", "key"))
         each = each.select("key", "id", (F.shiftleft(F.col("at").cast("bigint"), 16) + F.col("role")).alias("slot"))
-        held = staged(each.repartition("key").sortWithinPartitions("key").mapInArrow(_held_by_others, each.schema), "held")
+        held = staged(each.repartition("key").sortWithinPartitions("key").mapInArrow(held_by_others, each.schema), "held")
+        drop_staged(reps)  # the keys are by far the largest table
+        release(reps.sparkSession)
         counts = held.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.max(F.col("slot").bitwiseAND(F.lit(1).cast("bigint"))).alias("own"))
         # a key of sets that all belong to the band below can't be shared by partners
         counts = staged(counts.where("own = 1").select("key", "count"), "counts", tasks)
         band = F.shiftright("slot", 1).bitwiseAND(F.lit((1 << 15) - 1).cast("bigint")).cast("int")
         shared = held.join(counts, "key").select("id", band.alias("band"), F.shiftright("slot", 16).alias("at"), "key", "count")
-        limits = placed.groupBy("id", "r.band").agg(F.max("r.m").alias("m"), F.min("r.spare").alias("spare"))
         chosen = staged(allocate(shared, limits, trade), "chosen", tasks)
         release(reps.sparkSession)
         searched = staged(chosen.select(F.explode("kept").alias("key")).distinct(), "searched", tasks)

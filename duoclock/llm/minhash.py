@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Runs, by_bytes, mix, release, staged, tasks_for, words_of
+from .common import Runs, by_bytes, drop_staged, held_by_others, mix, release, staged, tasks_for, words_of
 from .components import connected_components
 
 WORDS, PER_CENT, BANDS, ROWS, SEED = 5, 80, 40, 6, 11
@@ -317,10 +317,14 @@ def _index_pairs(placed: DataFrame, texts: DataFrame, k: int, per_cent: int, tas
     # two members that aren't sure need so many differences in common
     need = F.greatest(F.lit(1), F.ceil((F.col("w") + F.col("least")) / F.lit(2 * (100 + per_cent)) - 1e-9)).cast("int")
     wanted = rows.withColumn("tag", F.xxhash64("items")).withColumn("upto", F.greatest(F.lit(0), F.col("apart").cast("int") - need + 1)).drop("w", "least", "core")
-    listed = wanted.select("y", "x", "tag", F.explode("items").alias("item"))
-    often = staged(listed.groupBy("y", "item").count(), "often")
-    order = listed.join(often, ["y", "item"]).groupBy("y", "x", "tag").agg(F.sort_array(F.collect_set(F.struct("count", "item"))).alias("order"))
-    ranked = wanted.drop("items").join(order, ["y", "x", "tag"]).select("y", "x", "cx", "n", "apart", "bits", "sure", F.posexplode(F.slice("order", F.lit(1), F.col("upto"))).alias("at", "e"))
+    listed = wanted.select(F.explode("items").alias("item"), "y", "x", "tag").select(F.xxhash64("y", "item").alias("key"), "y", "x", "tag", "item")
+    # elements that no other member's difference has come first in every order, and only their number counts
+    held = staged(listed.repartition("key").sortWithinPartitions("key").mapInArrow(held_by_others, listed.schema), "held")
+    often = staged(held.groupBy("y", "item").count(), "often", tasks)
+    order = held.join(often, ["y", "item"]).groupBy("y", "x", "tag").agg(F.sort_array(F.collect_set(F.struct("count", "item"))).alias("order"))
+    left = F.greatest(F.lit(0), F.col("upto") - (F.col("apart").cast("int") - F.size("order")))
+    ranked = wanted.drop("items").join(order, ["y", "x", "tag"]).select("y", "x", "cx", "n", "apart", "bits", "sure", (F.col("apart") - F.size("order")).alias("alone"), F.posexplode(F.slice("order", F.lit(1), left)).alias("place", "e"))
+    ranked = ranked.withColumn("at", F.col("alone") + F.col("place"))
     index = staged(ranked.where("e.count > 1").select("y", "x", "cx", "n", "apart", "bits", "sure", "at", F.col("e.item").alias("item")), "index")
     other = index.select("y", "item", *[F.col(c).alias(f"{c}2") for c in ("x", "cx", "n", "apart", "bits", "sure", "at")])
     own = lambda a, b: " + ".join(f"bit_count({a}[{i}] & ~{b}[{i}])" for i in range(BITS // 64))
@@ -333,7 +337,7 @@ def _index_pairs(placed: DataFrame, texts: DataFrame, k: int, per_cent: int, tas
 def grouped(texts: DataFrame, signed: DataFrame, candidates: Callable[[DataFrame, int], DataFrame], k: int, per_cent: int, id_col: str, with_sketches: bool = False) -> DataFrame:
     """A row per document: id, n_shingles, component_id (the least id that links lead to), kept (it is that one).
 
-    signed: stored; id, n and f1 and f2, the set's fingerprint, of each text, and what candidates need of it. candidates:
+    signed: stored, deleted when read; id, n and f1 and f2, the set's fingerprint, of each text, and what candidates need of it. candidates:
     from the rows of one document for each different set, and a number of tasks, (x, weight, y), documents and pivots, so
     that any two linked documents are a pair or have a pivot in common. with_sketches: signed has parities too, as sketch.
     """
@@ -342,8 +346,10 @@ def grouped(texts: DataFrame, signed: DataFrame, candidates: Callable[[DataFrame
     tasks = tasks_for(signed.count(), EACH)
     classes = staged(real.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("id").alias("last")), "classes", tasks)
     reps = staged(real.join(classes.select("f1", "f2", F.col("rep").alias("id")), ["f1", "f2", "id"], "left_semi").drop("f1", "f2"), "reps", tasks)
+    sketches = staged(reps.select("id", "n", "sketch"), "sketches", tasks) if with_sketches else None
+    sets = staged(signed.select("id", "n", "f1", "f2"), "sets")
+    drop_staged(signed)
     pairs = candidates(reps, tasks)
-    sketches = reps.select("id", "n", "sketch") if with_sketches else None
     if sketches is not None:
         pairs = staged(_marked(pairs, sketches, per_cent), "marked", tasks)
     # all texts move once; from here on only those that share a key with another
@@ -365,7 +371,7 @@ def grouped(texts: DataFrame, signed: DataFrame, candidates: Callable[[DataFrame
     release(spark)
 
     several = classes.where("rep < last").select("f1", "f2", "rep")
-    out = signed.select("id", "n", "f1", "f2").join(several, ["f1", "f2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+    out = sets.join(several, ["f1", "f2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     out = out.join(labels, F.col("rep") == F.col("node"), "left").select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
