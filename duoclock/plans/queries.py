@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..config import ORDERS as C
 from ..functions import random, tables
@@ -200,27 +201,43 @@ def _recent_replay(s: SparkSession, d: str) -> DataFrame:
     return stream.latest(s, cells, ("stream", "t", "d"), new_folder(s, "cells"))
 
 
-def _order_stream(s: SparkSession, d: str) -> DataFrame:
-    """Flagged records from a stream of the driver's order lines."""
-    source = s.readStream.schema(s.read.parquet(f"{d}/lineitem.parquet").schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/lineitem*.parquet")
-    orders = s.read.parquet(f"{d}/orders.parquet")
-    rows = source.join(orders, source["l_orderkey"] == orders["o_orderkey"])
-    typed = rows.select(F.col("o_orderdate").cast("date").alias("incident"), F.col("l_shipdate").cast("date").alias("receipt"), F.col("o_orderpriority").alias("channel"), F.lit(0).alias("severity"))
-    return with_delays(typed, C, FLOOR_YEAR)
+#: Months of receipts that come together in the replays of streams.
+ARRIVAL = 6
+
+
+def _arrived(s: SparkSession, d: str) -> DataFrame:
+    """Flagged records as a stream, a batch for each few months of receipts, in the order of receipt."""
+    rows = stored(records(s, d).where("report_p IS NOT NULL").select("cohort_p", "report_p", "valid_delay"), "received")
+    folder, month = new_folder(s, "landing"), F.col("report_p")
+    stream.arrive(rows, folder, [month.between(m, m + ARRIVAL - 1) for m in range(C.t0, C.cutoff + ARRIVAL, ARRIVAL)])
+    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
 
+def _finished(s: SparkSession, d: str) -> tuple[DataFrame, StreamingQuery]:
+    rows, folder = stream.finished_cohorts(_arrived(s, d), C), new_folder(s, "finished")
+    query = stream.run_available(rows, folder)
+    query.awaitTermination()
+    return s.read.schema(rows.schema).parquet(f"{folder}/rows"), query
 
-def _streamed(s: SparkSession, rows: DataFrame, name: str) -> DataFrame:
-    folder = new_folder(s, name)
-    stream.run_available(rows, folder).awaitTermination()
-    return s.read.schema(rows.schema).parquet(f"{folder}/rows")
+
+def _finished_cohorts(s: SparkSession, d: str) -> DataFrame:
+    return _finished(s, d)[0].select(F.date_format("month", "yyyy-MM").alias("cohort"), "n")
+
+
+def _late_drops(s: SparkSession, d: str) -> DataFrame:
+    """What the watermark left out, by the query's own progress."""
+    return s.createDataFrame([stream.dropped_late(_finished(s, d)[1])], "batches bigint, dropped bigint")
 
 
 def _alarm_runs(s: SparkSession, d: str) -> DataFrame:
-    """The alarm as a stateful operator over a stream of scores."""
-    folder = new_folder(s, "scores")
-    scores = _z(s, d).select(F.concat_ws("|", *PAIR).alias("stream"), F.col("cutoff").cast("int").alias("cutoff"), F.col("z_nowcast").alias("z"))
-    scores.coalesce(1).write.parquet(folder)
-    return _streamed(s, stream.alarm_runs(s.readStream.schema(scores.schema).parquet(folder), C.z_threshold), "alarm-runs")
+    """The alarm as a stateful operator over a stream of scores, a batch for each year of months."""
+    scores = stored(_z(s, d).select(F.concat_ws("|", *PAIR).alias("stream"), F.col("cutoff").cast("int").alias("cutoff"), F.col("z_nowcast").alias("z")), "z")
+    landing, folder = new_folder(s, "scores"), new_folder(s, "alarm-runs")
+    stream.arrive(scores, landing, [F.col("cutoff").between(m, m + 11) for m in range(C.t0, C.cutoff + 1, 12)])
+    runs = stream.alarm_runs(s.readStream.schema(scores.schema).option("maxFilesPerTrigger", 1).parquet(landing), C.z_threshold)
+    with stream.rocksdb(s):
+        stream.run_available(runs, folder).awaitTermination()
+    return s.read.schema(runs.schema).parquet(f"{folder}/rows")
 
 
 CASES = (
@@ -337,6 +354,11 @@ mz AS (SELECT make, max(z_naive) AS max_z_naive, max(z_naive_matched) AS max_z_n
 _RUN3 = ", ".join(f"CASE WHEN lag(z_{a}, 2) OVER w IS NOT NULL THEN least(z_{a}, lag(z_{a}) OVER w, lag(z_{a}, 2) OVER w) END AS level_{a}" for a in ("naive", "naive_matched", "nowcast"))
 
 
+#: Records by batch of receipt; `before` is the watermark that a batch's late records are held against, two batches back.
+_STREAMED = o.FLG + f""",
+arr AS (SELECT (report_p - {C.t0}) // {ARRIVAL} AS b, make_timestamp(cohort_p // 12, cohort_p % 12 + 1, 1, 0, 0, 0) AS m FROM flg WHERE valid_delay AND report_p >= {C.t0} AND (report_p - {C.t0}) // {ARRIVAL} <= {(C.cutoff + ARRIVAL - 1 - C.t0) // ARRIVAL}),
+wm AS (SELECT b, seen, lag(seen, 2) OVER (ORDER BY b) AS before FROM (SELECT b, max(max(m)) OVER (ORDER BY b) - INTERVAL {31 * (C.max_delay + 1)} DAY AS seen FROM arr GROUP BY b))"""
+
 
 def _variant_coverage_sql() -> str:
     few = replace(C, draws=VARIANT_DRAWS)
@@ -482,9 +504,8 @@ FROM dn LEFT JOIN alm USING (make) LEFT JOIN mz USING (make)"""),
     "late_records": Query(
         lambda s, d: stream.late_records(records(s, d), C).groupBy("cohort_p").agg(F.count(F.lit(1)).alias("n")), "cohort_p:i n:i",
         "WITH " + o.FLG + "\nSELECT cohort_p, count(*) AS n FROM flg WHERE beyond_cap GROUP BY cohort_p"),
-    "finished_cohorts": Query(
-        lambda s, d: _streamed(s, stream.finished_cohorts(_order_stream(s, d), C), "finished").select(F.date_format("month", "yyyy-MM").alias("cohort"), "n"), "cohort:s n:i",
-        "WITH " + o.FLG + f", mo AS (SELECT make_timestamp(cohort_p // 12, cohort_p % 12 + 1, 1, 0, 0, 0) AS m, count(*) AS n FROM flg WHERE valid_delay GROUP BY ALL)\nSELECT strftime(m, '%Y-%m') AS cohort, n FROM mo WHERE m <= (SELECT max(m) FROM mo) - INTERVAL {31 * (C.max_delay + 1)} DAY"),
+    "finished_cohorts": Query(_finished_cohorts, "cohort:s n:i", "WITH " + _STREAMED + "\nSELECT strftime(m, '%Y-%m') AS cohort, count(*) AS n FROM arr JOIN wm USING (b) WHERE (before IS NULL OR m > before) AND m <= (SELECT max(seen) FROM wm) GROUP BY m"),
+    "late_drops": Query(_late_drops, "batches:i dropped:i", "WITH " + _STREAMED + "\nSELECT count(DISTINCT b) AS batches, count(DISTINCT (b, m)) FILTER (WHERE m <= before) AS dropped FROM arr JOIN wm USING (b)"),
     "udtf_nowcast": Query(
         _udtf_nowcast, "stream:s cutoff:i t:i h:i n_hat:f missing:f",
         "WITH " + o.FIT + f"\nSELECT stream, cutoff, u.t, d AS h, u.c / F AS n_hat, u.c / F - u.c AS missing FROM cur JOIN cum u USING (stream, d) WHERE cutoff = {C.cutoff} AND u.t = cutoff - d"),

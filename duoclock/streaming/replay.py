@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..config import DelayConfig
@@ -23,17 +25,33 @@ def late_records(records: DataFrame, cfg: DelayConfig) -> DataFrame:
     return records.where(F.col("beyond_cap"))
 
 
+def month_start(month: Column) -> Column:
+    """The first moment of a month index."""
+    return F.make_timestamp((month / 12).cast("int"), month % 12 + 1, F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+
+
 def finished_cohorts(records: DataFrame, cfg: DelayConfig) -> DataFrame:
     """(month, n): a cohort's records once no more are waited for.
 
     The incident month is the event time, and the delay cap the lateness that is allowed: a record of a month that the
     watermark has passed is late and is left out, and a month is given out, once, when the watermark passes it.
     """
-    month = F.make_timestamp((F.col("cohort_p") / 12).cast("int"), F.col("cohort_p") % 12 + 1, F.lit(1), F.lit(0), F.lit(0), F.lit(0))
-    timed = records.where("valid_delay").withColumn("month", month).withWatermark("month", f"{31 * (cfg.max_delay + 1)} days")
+    timed = records.where("valid_delay").withColumn("month", month_start(F.col("cohort_p"))).withWatermark("month", f"{31 * (cfg.max_delay + 1)} days")
     return timed.groupBy("month").agg(F.count(F.lit(1)).alias("n"))
 
 
+def arrive(rows: DataFrame, folder: str, parts: list[Column]) -> None:
+    """Write each part, in this order, as the next file of a landing folder; a stream of one file a batch then has them as its batches."""
+    for part in parts:
+        rows.where(part).repartition(1).write.mode("append").parquet(folder)
+
+
+def dropped_late(query: StreamingQuery) -> tuple[int, int]:
+    """Batches with data, and the (batch, group) pairs that the watermark kept from a finished query's state."""
+    progress = query.recentProgress
+    return sum(p["numInputRows"] > 0 for p in progress), sum(o["numRowsDroppedByWatermark"] for p in progress for o in p["stateOperators"])
+
+
 def run_available(rows: DataFrame, folder: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Process what is there and stop. each: gets every batch's rows; without it they are appended to Parquet files in folder/rows."""
     writer = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
@@ -52,20 +70,64 @@ def latest(spark: SparkSession, cells: DataFrame, keys: tuple[str, ...], folder:
     return changes.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in values])
 
 
-def alarm_runs(scores: DataFrame, threshold: float, consecutive: int = 2) -> DataFrame:
-    """(stream, cutoff): months at which a stream's z has been over the threshold so many times in a row, from a stream of (stream, cutoff, z) in order."""
-    import pandas as pd
-
-    def step(key, frames, state):
-        run, last = state.get if state.exists else (0, -1)
-        found = []
-        for row in pd.concat(list(frames)).sort_values("cutoff").itertuples():
-            # a missing month ends a run
-            run = (run + 1 if row.cutoff == last + 1 else 1) if row.z > threshold else 0
-            last = row.cutoff
-            if run >= consecutive:
-                found.append((key[0], row.cutoff, run))
-        state.update((run, int(last)))
-        yield pd.DataFrame(found, columns=["stream", "cutoff", "run"])
-
-    return scores.groupBy("stream").applyInPandasWithState(step, "stream string, cutoff int, run int", "run int, last int", "append", "NoTimeout")
+def _runs(threshold: float, consecutive: int) -> StatefulProcessor:
+    """A class of this function's own, so that it travels whole to processes that don't know this package."""
+
+    class Runs(StatefulProcessor):
+        """Scores wait in a map until the watermark passes their month, and are then taken in the order of months, however they came."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.waiting = handle.getMapState("waiting", "month int", "z double")
+            self.run = handle.getValueState("run", "run int, last int")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            for frame in rows:
+                for row in frame.itertuples():
+                    self.waiting.updateValue((int(row.cutoff),), (None if pd.isna(row.z) else float(row.z),))
+                    self.handle.registerTimer(int(row.month.timestamp() * 1000) - 1)
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            passed = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs() + 1, unit="ms")
+            upto = passed.year * 12 + passed.month - 1
+            run, last = self.run.get() if self.run.exists() else (0, -1)
+            found = []
+            for month, z in sorted((k[0], v[0]) for k, v in self.waiting.iterator()):
+                if month > upto:
+                    break
+                # a missing month ends a run
+                run = (run + 1 if month == last + 1 else 1) if z is not None and z > threshold else 0
+                last = month
+                if run >= consecutive:
+                    found.append((key[0], month, run))
+                self.waiting.removeKey((month,))
+            self.run.update((run, last))
+            yield pd.DataFrame(found, columns=["stream", "cutoff", "run"]).astype({"cutoff": "int32", "run": "int32"})
+
+        def close(self) -> None:
+            pass
+
+    return Runs()
+
+
+def alarm_runs(scores: DataFrame, threshold: float, consecutive: int = 2, lateness: str = "0 seconds") -> DataFrame:
+    """(stream, cutoff, run): months at which a stream's z has been over the threshold so many times in a row, from a stream of (stream, cutoff, z).
+
+    Scores may come in any order and in any batches; those of a month that is over, and past the lateness, are left out.
+    What waits for a stream is at most the months of its lateness and of a batch. Needs the RocksDB state store.
+    """
+    timed = scores.withColumn("month", month_start(F.col("cutoff"))).withWatermark("month", lateness)
+    return timed.groupBy("stream").transformWithStateInPandas(_runs(threshold, consecutive), "stream string, cutoff int, run int", "Append", "EventTime")
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which timers and maps need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
