@@ -88,7 +88,7 @@ def multinomial_sums(arrays: DataFrame, fitted: DataFrame, cfg: DelayConfig) ->
                     den[:, d] += have
                 have, whole = np.zeros(draws), 0.0
                 for d in range(top):
-                    new = has.get(d + 1 + window, 0.0)
+                    new = has.get(d + 1 + window, 0.0) if d else 0.0
                     whole += new
                     now = have + binomial_quantile(chance("e", d), np.full(draws, new), law[d])
                     above = law[d + 1] if d + 1 < top else 1.0

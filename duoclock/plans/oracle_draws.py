@@ -98,7 +98,7 @@ def multinomial_sums(p: str, cur: str, cum: str, c: DelayConfig, seed: int, wher
   {thin(f"SELECT q.stream, q.cutoff, b, {top - 1} AS d, above, l.F / l.up AS p FROM {p}beg q {laws} AND l.d = {top - 1}")}
   UNION ALL {thin(f"SELECT q.stream, q.cutoff, q.b, q.d - 1 AS d, q.n + {has('q.d')} AS above, l.F / l.up AS p FROM {p}dn q {laws} AND l.d = q.d - 1 WHERE q.d > 0")}),
 {p}up AS (
-  {late(f"SELECT q.stream, q.cutoff, b, 0 AS d, 0::DOUBLE AS before, {has(1 + w)} AS fresh, {has(1 + w)} AS whole, l.F AS law, {rise} AS p FROM {p}beg q {laws} AND l.d = 0")}
+  {late(f"SELECT q.stream, q.cutoff, b, 0 AS d, 0::DOUBLE AS before, 0::DOUBLE AS fresh, 0::DOUBLE AS whole, l.F AS law, {rise} AS p FROM {p}beg q {laws} AND l.d = 0")}
   UNION ALL {late(f"SELECT q.stream, q.cutoff, q.b, q.d + 1 AS d, q.later AS before, {has(f'q.d + {2 + w}')} AS fresh, q.whole + {has(f'q.d + {2 + w}')} AS whole, l.F AS law, {rise} AS p FROM {p}up q {laws} AND l.d = q.d + 1 WHERE q.d < {top - 1}")}),
 {p}sum AS (SELECT stream, cutoff, b, d, x.above + y.later AS num, x.n + y.now AS den FROM {p}dn x JOIN {p}up y USING (stream, cutoff, b, d))"""
 

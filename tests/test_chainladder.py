@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from duoclock.config import DelayConfig
+from duoclock.functions import draws, random
 from duoclock.operators import backtest, bootstrap, chainladder, descriptive, hazard, intervals, surveillance, variants
 from duoclock.operators.triangle import as_known_at, cumulative, dense, triangle, with_streams
 
@@ -73,12 +75,12 @@ def test_recovery_of_a_known_law(spark):
     counts = np.array([rng.multinomial(n, law) for n in sizes])
     cfg = DelayConfig(t0=0, cutoff=179, max_delay=8, window=400)
     cum = cumulative(long_form(spark, counts), cfg).cache()
-    curves = chainladder.fit(cum, cfg).where("cutoff = 179").cache()
+    curves = chainladder.fit(cum, cfg, cutoffs=chainladder.span(179)).cache()
     # a share of n records is off by sqrt(p (1 - p) / n), at most 1 / (2 sqrt(n))
     spread = 0.5 / np.sqrt(sizes.sum())
     for r in curves.collect():
         assert abs(r["F"] - law[: r["d"] + 1].sum()) < 6 * spread
-    points = {r["t"]: r for r in chainladder.nowcast(cum, curves, cfg, F.col("cutoff") == 179, 12).collect()}
+    points = {r["t"]: r for r in chainladder.nowcast(cum, curves, cfg, 12).collect()}
     assert sorted(points) == list(range(167, 180))
     for t, r in points.items():
         seen = law[: 180 - t].sum()
@@ -113,11 +115,11 @@ def test_degenerate_cohort(spark):
     counts[29] = 0
     cfg = DelayConfig(t0=0, cutoff=29, max_delay=3, window=5)
     cum = cumulative(long_form(spark, counts), cfg)
-    rows = {r["t"]: r for r in chainladder.nowcast(cum, chainladder.fit(cum, cfg), cfg, F.col("cutoff") == 29, 2).collect()}
+    rows = {r["t"]: r for r in chainladder.nowcast(cum, chainladder.fit(cum, cfg, cutoffs=chainladder.span(29)), cfg, 2).collect()}
     assert rows[29]["degenerate"] and rows[29]["n_hat"] == 0 and not rows[28]["degenerate"]
 
 
-def replayed(spark, draws=200):
+def replayed(spark, n_draws=200):
     rng = np.random.default_rng(11)
     law = np.array([0.4, 0.25, 0.15, 0.1, 0.06, 0.04])
     frames = None
@@ -125,7 +127,7 @@ def replayed(spark, draws=200):
         counts = np.array([rng.multinomial(rng.poisson(level), law) for _ in range(121)])
         part = long_form(spark, counts, stream)
         frames = part if frames is None else frames.union(part)
-    cfg = DelayConfig(t0=0, cutoff=120, max_delay=5, window=24, short_window=12, max_lag=5, first_origin=50, last_origin=115, last_training_origin=80, draws=draws)
+    cfg = DelayConfig(t0=0, cutoff=120, max_delay=5, window=24, short_window=12, max_lag=5, first_origin=50, last_origin=115, last_training_origin=80, draws=n_draws)
     return cumulative(frames, cfg).cache(), cfg
 
 
@@ -133,8 +135,8 @@ def replayed(spark, draws=200):
 def test_intervals_cover(spark, method):
     cum, cfg = replayed(spark)
     points = backtest.replay(cum, cfg)
-    draws = bootstrap.prediction_draws(cum, chainladder.fit(cum, cfg), cfg, method)
-    rows = intervals.with_spread(points, draws).cache()
+    resampled = bootstrap.prediction_draws(cum, chainladder.fit(cum, cfg, cutoffs=chainladder.span(cfg.first_origin, cfg.last_origin)), cfg, method)
+    rows = intervals.with_spread(points, resampled).cache()
     assert rows.count() == points.count() == 2 * 66 * 6
     kappa = intervals.drift_scale(rows, intervals.phi_centred(rows))
     ready = intervals.with_sigma(rows, kappa)
@@ -150,11 +152,53 @@ def test_intervals_cover(spark, method):
     assert backtest.coverage_gate(backtest.coverage(bands), 0.5, 1.0).first()["passed"]
 
 
-def test_negative_binomial():
-    for mean, phi in ((5, 3), (200, 10), (1000, 50)):
-        x = intervals.negative_binomial(np.full(400_000, float(mean)), phi, np.random.default_rng(5))
-        assert abs(x.mean() / mean - 1) < 0.02 and abs(x.var() / (mean + mean**2 / phi) - 1) < 0.05
-    assert intervals.negative_binomial(np.zeros(3), 2.0, np.random.default_rng(0)).tolist() == [0, 0, 0]
+def test_draws_follow_their_laws(spark):
+    keys = [f"k|{i}" for i in range(60_000)]
+    u = draws.uniforms(keys)[0]
+    assert abs(u.mean() - 0.5) < 0.006 and abs(np.corrcoef(*draws.uniforms(keys))[0, 1]) < 0.02
+    z = draws.normal_quantile(u)
+    assert abs(z.mean()) < 0.02 and abs(z.std() - 1) < 0.02 and draws.normal_quantile(np.array([0.975]))[0] == pytest.approx(1.959964, abs=1e-6)
+    for mean, phi in ((3, 0.4), (40, 2.0), (900, 60.0), (5, 1e6)):
+        x = draws.negative_binomial_draw(np.full(len(keys), float(mean)), phi, keys)
+        sd = (mean + mean**2 / phi) ** 0.5
+        assert abs(x.mean() - mean) < 5 * sd / len(keys) ** 0.5 and abs(x.std() / sd - 1) < 0.05
+    for n, p in ((12, 0.3), (12, 0.9), (4000, 0.35), (100_000, 0.00003)):
+        x = draws.binomial_quantile(u, np.full(len(u), float(n)), p)
+        sd = (n * p * (1 - p)) ** 0.5
+        assert abs(x.mean() - n * p) < 5 * sd / len(u) ** 0.5 and abs(x.std() / sd - 1) < 0.02 and x.min() >= 0 and x.max() <= n
+    small = np.arange(1, 2000) / 2000
+    assert draws.poisson_quantile(small, np.full(1999, 2.0)).tolist() == [next(k for k in range(60) if sum(np.exp(-2.0) * 2.0**j / math.factorial(j) for j in range(k + 1)) >= q) for q in small]
+    assert draws.negative_binomial_draw(np.zeros(3), 2.0, keys[:3]).tolist() == [0, 0, 0]
+    # columns give the same as arrays
+    frame = spark.range(300).select(F.col("id"), (F.col("id") / 10).alias("m"))
+    got = frame.select("id", "m", random.negative_binomial_draw(F.col("m"), F.lit(0.7), 9, F.col("id")).alias("x"), random.binomial_quantile(random.uniform("b", F.col("id")), F.col("id").cast("double"), F.lit(0.6)).alias("b")).collect()
+    for r in got:
+        assert r["x"] == draws.negative_binomial_draw(np.array([r["m"]]), 0.7, [f"9|{r['id']}"])[0]
+        assert r["b"] == draws.binomial_quantile(draws.uniforms([f"b|{r['id']}"])[0], np.array([float(r["id"])]), 0.6)[0]
+
+
+def test_dealing_sums_is_dealing_records(spark):
+    """Factors from sums drawn as sums have the law of those from cohorts dealt one by one."""
+    rng = np.random.default_rng(8)
+    law = np.array([0.3, 0.25, 0.2, 0.15, 0.1])
+    counts = np.array([rng.multinomial(rng.poisson(25), law) for _ in range(30)])
+    cfg = DelayConfig(t0=0, cutoff=29, max_delay=4, window=6, draws=3000)
+    cum = cumulative(long_form(spark, counts), cfg)
+    curves = chainladder.fit(cum, cfg, cutoffs=chainladder.span(29))
+    f = np.array([r["F"] for r in curves.orderBy("d").collect()])
+    got = bootstrap.resampled_curves(cum, curves, cfg, "multinomial").first()["drawn"]
+    c, out = np.cumsum(counts, axis=1), []
+    for _ in range(3000):
+        dealt = {}
+        for age in range(cfg.window + cfg.max_delay + 2):
+            h = min(age, 4)
+            p = np.diff(f, prepend=0)[: h + 1]
+            dealt[age] = np.cumsum(rng.multinomial(c[29 - age, h], p / p.sum()))
+        lam = [max(1.0, sum(dealt[a][d + 1] for a in range(d + 1, d + 2 + cfg.window)) / sum(dealt[a][d] for a in range(d + 1, d + 2 + cfg.window))) for d in range(4)]
+        out.append([1 / np.prod(lam[h:]) for h in range(5)])
+    got, want = np.array(got), np.array(out)
+    assert np.allclose(got.mean(axis=0), want.mean(axis=0), atol=4 * want.std() / 3000**0.5) and np.allclose(got.std(axis=0), want.std(axis=0), rtol=0.08, atol=1e-12)
+    assert np.allclose(np.corrcoef(got[:, :4].T), np.corrcoef(want[:, :4].T), atol=0.08)
 
 
 def test_phi_sentinel(spark):

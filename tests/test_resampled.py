@@ -159,10 +159,40 @@ def test_source_rules():
         assert not [word for word in ("localCheckpoint", ".rdd", "print(", "mapPartitions(") if word in text], path
 
 
-def test_alarm_run_ends_at_a_missing_month(spark, tmp_path):
+@pytest.mark.parametrize("batches", [1, 3])
+def test_alarm_runs_in_any_order(spark, tmp_path, batches):
+    """Runs end at a missing month and don't depend on batches or on the order of rows in them."""
+    from pyspark.sql import functions as F
+
+    from duoclock.streaming import replay
+
+    z = {"s": {100: 0.0, 101: 3.5, 102: 1.0, 103: 3.1, 104: 3.2, 105: 5.0, 106: 0.0}, "gap": {101: 9.0, 102: 9.0, 104: 9.0, 105: 9.0, 106: 9.0}, "none": {101: None, 102: 9.0}}
+    rows = spark.createDataFrame([(s, m, v) for s, of in z.items() for m, v in sorted(of.items(), reverse=True)], "stream string, cutoff int, z double")
+    edges = [100, 107] if batches == 1 else [100, 102, 105, 107]
+    replay.arrive(rows, f"{tmp_path}/z", [F.col("cutoff").between(a, b - 1) for a, b in zip(edges, edges[1:], strict=False)])
+    runs = replay.alarm_runs(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/z"), 3.0)
+    with replay.rocksdb(spark):
+        replay.run_available(runs, str(tmp_path)).awaitTermination()
+    got = spark.read.schema(runs.schema).parquet(f"{tmp_path}/rows").collect()
+    assert sorted(map(tuple, got)) == [("gap", 102, 2), ("gap", 105, 2), ("gap", 106, 3), ("s", 104, 2), ("s", 105, 3)]
+
+
+def test_late_records_change_nothing_given_out(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from duoclock.config import DelayConfig
     from duoclock.streaming import replay
 
-    rows = spark.createDataFrame([("s", m, 9.0) for m in (1, 2, 4, 5, 6)], "stream string, cutoff int, z double")
-    rows.coalesce(1).write.parquet(f"{tmp_path}/z")
-    replay.run_available(replay.alarm_runs(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/z"), 3.0), str(tmp_path)).awaitTermination()
-    assert sorted((r["cutoff"], r["run"]) for r in spark.read.parquet(f"{tmp_path}/rows").collect()) == [(2, 2), (5, 2), (6, 3)]
+    cfg = DelayConfig(max_delay=2)
+    on_time = [(24000 + i, i, True) for i in range(12) for _ in range(3)]
+    late = [(24001, 9, True), (24000, 11, True)]
+    given = []
+    for name, rows in (("plain", on_time), ("late", on_time + late)):
+        frame = spark.createDataFrame(rows, "cohort_p int, report_p int, valid_delay boolean")
+        replay.arrive(frame, f"{tmp_path}/{name}/in", [F.col("report_p").between(b, b + 2) for b in (0, 3, 6, 9)])
+        out = replay.finished_cohorts(spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}/in"), cfg)
+        query = replay.run_available(out, f"{tmp_path}/{name}")
+        query.awaitTermination()
+        given.append((sorted(map(tuple, spark.read.schema(out.schema).parquet(f"{tmp_path}/{name}/rows").collect())), replay.dropped_late(query)))
+    (plain, none), (again, some) = given
+    assert plain == again and plain and all(n == 3 for _, n in plain) and (none, some) == ((4, 0), (4, 2))

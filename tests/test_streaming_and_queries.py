@@ -39,16 +39,6 @@ def test_stream_follows_the_batch(spark, tmp_path):
         assert seen == {(r["stream"], r["t"], r["d"]): r["n"] for r in as_known_at(whole, month).collect()}
 
 
-def test_alarm_runs(spark, tmp_path):
-    z = [0, 3.5, 1, 3.1, 3.2, 5, 0]
-    df = spark.createDataFrame([("s", 100 + i, float(x)) for i, x in enumerate(z)], "stream string, cutoff int, z double")
-    df.coalesce(1).write.parquet(f"{tmp_path}/z")
-    source = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/z")
-    query = replay.alarm_runs(source, 3.0).writeStream.format("memory").queryName("runs").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert [(r["cutoff"], r["run"]) for r in spark.table("runs").orderBy("cutoff").collect()] == [(104, 2), (105, 3)]
-
-
 def test_entry(spark):
     out = entry.entry(spark)
     assert out.count() > 0 and "n_hat" in out.columns
@@ -84,9 +74,9 @@ def test_query(spark, name):
     assert rows == sorted(str([plain(dict(zip(names, r, strict=True))[c]) for c in sorted(names)]) for r in cur.fetchall())
 
 
-def test_coverage_query(spark):
-    rows = QUERIES["coverage"].spark(spark, SF).collect()
-    assert len(rows) == 7 and all(0 <= r["cov90"] <= 1 for r in rows)
+@pytest.mark.parametrize("name", ["interval_scale_by_method", "live_intervals", "coverage_by_method"])
+def test_draws_against_sql(spark, name):
+    test_query(spark, name)
 
 
 def test_views(spark):
