@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DelayConfig
 from ..functions.months import month_year
+from ..shared import stored
 
 PERCENTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
 QUARTILES = {k: PERCENTILES[k] for k in ("p25", "p50", "p75")}
@@ -81,13 +82,19 @@ def spec_grid(records: DataFrame, cfg: DelayConfig, floor_year: int) -> DataFram
 def ks_two_sample(df: DataFrame, value: str, first: Column, second: Column) -> DataFrame:
     """(n1, n2, D, p): the largest distance of two empirical distributions, and its asymptotic p from Kolmogorov's series.
 
-    Works on counts of distinct values; running sums are taken by one window over those.
+    Works on counts of distinct values, laid out by ranges of values: running sums are taken inside each range, and the
+    ranges' totals, a row for each partition, are carried over from range to range.
     """
     counts = df.groupBy(F.col(value).alias("v")).agg(F.count_if(first).alias("a"), F.count_if(second).alias("b"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    gap = F.abs(F.sum("a").over(w) / F.sum("a").over(whole) - F.sum("b").over(w) / F.sum("b").over(whole))
-    d = counts.select("a", "b", gap.alias("gap")).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.max("gap").alias("D"))
+    ranges = stored(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "ranges")
+    totals = ranges.groupBy("part").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    listed = totals.agg(F.array_sort(F.collect_list(F.struct("part", "a", "b"))).alias("parts"), F.sum("a").alias("n1"), F.sum("b").alias("n2"))
+    before = lambda side: F.aggregate(F.filter("parts", lambda p: p["part"] < F.col("part")), F.lit(0).cast("bigint"), lambda s, p: s + p[side])
+    w = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    # the list is one row, as long as there are partitions
+    placed = ranges.withColumns({"ra": F.sum("a").over(w), "rb": F.sum("b").over(w)}).crossJoin(F.broadcast(listed))
+    gap = F.abs((F.col("ra") + before("a")) / F.col("n1") - (F.col("rb") + before("b")) / F.col("n2"))
+    d = placed.select("n1", "n2", gap.alias("gap")).agg(F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.max("gap").alias("D"))
     x = F.sqrt(F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2"))) * F.col("D")
     series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.pow(F.lit(-1.0), k - 1) * F.exp(-2.0 * k * k * F.col("x") * F.col("x")))
     return d.withColumn("x", x).withColumn("p", F.when(F.col("x") < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * series)))).drop("x")

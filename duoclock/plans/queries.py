@@ -264,9 +264,9 @@ def _matched_gains(s: SparkSession, d: str) -> DataFrame:
 
 
 def _udtf_nowcast(s: SparkSession, d: str) -> DataFrame:
-    tables.register(s)
-    _now(s, d, C.max_delay).select("stream", "cutoff", "t", "h", "c_obs", "F").createOrReplaceTempView("to_nowcast")
-    return s.sql("SELECT * FROM nowcast(TABLE(to_nowcast))")
+    tables.register(s, C)
+    _cum(s, d).select("stream", F.col("t").cast("int").alias("t"), F.col("d").cast("int").alias("d"), "c").createOrReplaceTempView("to_nowcast")
+    return s.sql("SELECT * FROM nowcast(TABLE(to_nowcast) PARTITION BY stream)")
 
 
 def _gate_log(s: SparkSession, d: str) -> DataFrame:

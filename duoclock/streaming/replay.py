@@ -114,7 +114,7 @@ def _runs(threshold: float, consecutive: int) -> StatefulProcessor:
 def alarm_runs(scores: DataFrame, threshold: float, consecutive: int = 2, lateness: str = "0 seconds") -> DataFrame:
     """(stream, cutoff, run): months at which a stream's z has been over the threshold so many times in a row, from a stream of (stream, cutoff, z).
 
-    Scores may come in any order and in any batches; those of a month that is over, and past the lateness, are left out.
+    Scores may come in any order and in any batches; those of a month that is over, and past the lateness, are left out, as are months before 1970.
     What waits for a stream is at most the months of its lateness and of a batch. Needs the RocksDB state store.
     """
     timed = scores.withColumn("month", month_start(F.col("cutoff"))).withWatermark("month", lateness)
