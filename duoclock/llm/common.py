@@ -60,7 +60,7 @@ def tasks_for(rows: int, each: int) -> int:
     return max(12, -(-rows // each))
 
 
-def by_bytes(batch: pa.RecordBatch, *columns: int, most: int = 4 << 20, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+def by_bytes(batch: pa.RecordBatch, *columns: int, most: int = 1 << 20, rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose strings in these columns take so many bytes together, or of one row, if that takes more."""
     taken = np.cumsum(sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns))
     at = 0

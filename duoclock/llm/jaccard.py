@@ -8,7 +8,7 @@ a whole segment; a set's part in each segment is one key, in its own band's and
 Which keys a set is searched by is chosen by their cost, the number of sets that hold them. A segment counts 0 if it
 is passed over, 1 if it must be alike, 2 if it may differ by one element, and H + 1 must come together. So the
 most frequent keys are passed over as far as a set's own H leaves room, and beyond that those held by more than
-`TRADE` sets are traded for the one-deletion neighbourhood of a segment that no other set shares. Only sets with such a
+one in `TRADE_SHARE` sets are traded for the one-deletion neighbourhood of a segment that no other set shares. Only sets with such a
 traded key are indexed by their own deletions, and only in segments that some set is searched by in this way: a pair
 that no other key has shown shares a traded one.
 
@@ -36,8 +36,8 @@ from .common import by_bytes, drop_staged, held_by_others, mix, release, staged
 from .minhash import documents, grouped, parities, shingles, to_pivots
 
 WORDS, PER_CENT = 4, 85
-#: A key of more sets than this is worth a one-deletion neighbourhood.
-TRADE = 64
+#: A key of more sets than one in so many of all, and than the least, is worth a one-deletion neighbourhood: the same share at every size.
+TRADE_SHARE, LEAST_TRADE = 1000, 64
 _SIGNED = "id bigint, n bigint, f1 bigint, f2 bigint, sketch binary, roles array<struct<band: int, own: boolean, m: int, spare: int, keys: array<bigint>>>"
 
 
@@ -123,7 +123,7 @@ def _neighbourhoods(k: int):
     return run
 
 
-def allocate(listed: DataFrame, limits: DataFrame, trade: int = TRADE) -> DataFrame:
+def allocate(listed: DataFrame, limits: DataFrame, trade: int = LEAST_TRADE) -> DataFrame:
     """From (id, band, at, key, count), the keys that others hold too, and limits (id, band, m, spare): (id, band, m, keys, kept, passed, asked).
 
     kept: keys that the set is searched by; passed: those passed over for the segments in asked, whose neighbourhoods are searched instead.
@@ -140,7 +140,7 @@ def allocate(listed: DataFrame, limits: DataFrame, trade: int = TRADE) -> DataFr
     )
 
 
-def _candidates(texts: DataFrame, k: int, trade: int):
+def _candidates(texts: DataFrame, k: int, trade: int | None):
     def run(reps: DataFrame, tasks: int) -> DataFrame:
         placed = reps.select("id", F.explode("roles").alias("r"))
         # segment, band and whether it is the set's own in one number, so that rows stay small; a key is a row of each
@@ -156,7 +156,8 @@ def _candidates(texts: DataFrame, k: int, trade: int):
         counts = staged(counts.where("own = 1").select("key", "count"), "counts", tasks)
         band = F.shiftright("slot", 1).bitwiseAND(F.lit((1 << 15) - 1).cast("bigint")).cast("int")
         shared = held.join(counts, "key").select("id", band.alias("band"), F.shiftright("slot", 16).alias("at"), "key", "count")
-        chosen = staged(allocate(shared, limits, trade), "chosen", tasks)
+        least = max(LEAST_TRADE, limits.count() // (2 * TRADE_SHARE)) if trade is None else trade  # most sets have two bands
+        chosen = staged(allocate(shared, limits, least), "chosen", tasks)
         release(reps.sparkSession)
         searched = staged(chosen.select(F.explode("kept").alias("key")).distinct(), "searched", tasks)
         buckets = chosen.select("id", F.explode("keys").alias("key")).join(searched, "key", "left_semi").select("id", "key")
@@ -182,7 +183,7 @@ def _near_misses(chosen: DataFrame, texts: DataFrame, k: int, tasks: int) -> Dat
     return found.join(asked, "key", "left_semi").select("id", "key")
 
 
-def join(docs: DataFrame, k: int = WORDS, per_cent: int = PER_CENT, trade: int = TRADE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, k: int = WORDS, per_cent: int = PER_CENT, trade: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, n_shingles, component_id (the least id that links lead to), kept (it is that one)."""
     texts = documents(docs, id_col, text_col)
     signed = staged(texts.mapInArrow(_sign(k, per_cent), _SIGNED), "signatures")
