@@ -9,7 +9,7 @@ width.
 Both cuts, whether a text is transformed and which form it takes come from the SHA-256 of seed and id, so a retried
 task gives the same. Null or empty text stays an empty plain one, and so do texts that hold a mark as they are. A null
 id counts as an empty one; rows that share an id share the draws, each on its own text. Texts are worked on whole,
-XX
+about a megabyte at a time. No rows: no rows.
 """
 
 from __future__ import annotations
