@@ -12,7 +12,12 @@ true inner products, those beyond are passed over (the reach only shrinks), and
 it. It begins in its own cell and takes its k-th best score to the cells that its reach touches. Queries that are at one
 leaf are worked on together.
 
-Scores are inner products of the original vectors in double precision. Zero vectors take no part.
+Candidates are indexed in ranges of length, each half as long as the one before, scaled by powers of two to one range: a vector that
+dwarfs the others stands in a range of its own and leaves their distances as they are. Queries are scaled alike, and begin in
+the longest range that fills a block (else in the fullest).
+
+Scores are inner products of the original vectors in double precision. Those that overflow upwards are infinite and rank first;
+those that are minus infinity or not a number aren't found. Zero vectors take no part.
 """
 
 from __future__ import annotations
@@ -26,9 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-from .vectors import CELLS, LOWEST, clean, extent, matrix, packed, search, top_of
+from .vectors import CELLS, LOWEST, clean, extent, matrix, packed, raised, search, top_of
 
 K, M, P, LEAF, BLOCK_ROWS, SAMPLE, SEED = 20, 16, 0.95, 256, 4096, 16_384, 5
+#: Of a product of scaled vectors (their lengths are under 2), for rounding.
+SLACK = 1e-11
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -43,6 +50,12 @@ def chi_square_quantile(p: float, m: int) -> float:
     return hi
 
 
+def _log_length(v: np.ndarray) -> np.ndarray:
+    """Binary logarithms of the lengths of rows that aren't zero, without overflow."""
+    _, power = np.frexp(np.abs(v).max(axis=1))
+    return power + np.log2(np.linalg.norm(np.ldexp(v, -power[:, None]), axis=1))
+
+
 def kd_leaves(points: np.ndarray, size: int) -> list[np.ndarray]:
     """The leaves of a kd-tree that halves its widest side."""
     todo, leaves = [np.arange(len(points))], []
@@ -96,9 +109,19 @@ class Splits:
 
 
 class Projection:
-    def __init__(self, dim: int, longest: float, m: int, p: float, seed: int):
+    """Of scaled vectors. top: the binary logarithm of the greatest length."""
+
+    def __init__(self, dim: int, top: float, m: int, p: float, seed: int):
         self.plane = np.random.default_rng(seed).standard_normal((dim + 1, m))
-        self.dim, self.longest, self.m, self.limit = dim, longest, m, chi_square_quantile(p, m)
+        self.dim, self.top, self.m, self.limit = dim, top, m, chi_square_quantile(p, m)
+        self.longest = 2.0 ** (top - math.floor(top))
+
+    def exponents(self, v: np.ndarray) -> np.ndarray:
+        """The powers of two by which vectors are scaled: lengths come to longest / 2 up to longest."""
+        return math.floor(self.top) - np.floor(self.top - _log_length(v)).astype(np.int64)
+
+    def scaled(self, v: np.ndarray) -> np.ndarray:
+        return np.ldexp(v, -self.exponents(v)[:, None])
 
     def candidates(self, c: np.ndarray) -> np.ndarray:
         lift = np.sqrt(np.maximum(self.longest**2 - (c * c).sum(axis=1), 0))
@@ -108,8 +131,8 @@ class Projection:
         return q @ self.plane[: self.dim]
 
     def reach(self, q: np.ndarray, floors: np.ndarray) -> np.ndarray:
-        """The squared projected distance within which better scores are looked for."""
-        base = (q * q).sum(axis=1) + self.longest**2
+        """The squared projected distance within which better scores are looked for; floors: one for each query, or a row."""
+        base = ((q * q).sum(axis=1) + self.longest**2).reshape(-1, *[1] * (floors.ndim - 1))
         return self.limit * np.maximum(0.0, base - 2 * floors)
 
 
@@ -127,13 +150,13 @@ def _finish(projection: Projection, leaf: int):
     """A block's leaves: the order of its vectors, their projections, where leaves start and their boxes."""
 
     def run(ids: np.ndarray, vecs: np.ndarray) -> dict[str, np.ndarray]:
-        points = projection.candidates(vecs)
+        points = projection.candidates(projection.scaled(vecs))
         leaves = kd_leaves(points, leaf)
         order = np.concatenate(leaves)
         starts = np.cumsum([0, *map(len, leaves)])
         points = points[order]
         boxes = np.array([[points[a:b].min(axis=0), points[a:b].max(axis=0)] for a, b in zip(starts, starts[1:], strict=False)])
-        return {"ids": ids[order], "floors": np.empty(0), "vecs": vecs[order], "points": points, "starts": starts.astype(np.int64), "boxes": boxes}
+        return {"ids": ids[order], "floors": np.empty(0), "vecs": vecs[order], "points": points, "starts": starts.astype(np.int64), "boxes": boxes, "power": projection.exponents(vecs[:1])}
 
     return run
 
@@ -141,19 +164,21 @@ def _finish(projection: Projection, leaf: int):
 def _kernel(projection: Projection, k: int):
     m = projection.m
 
-    def run(own: np.ndarray, q: np.ndarray, floors: np.ndarray, ids: np.ndarray, c: np.ndarray, points: np.ndarray, starts: np.ndarray, boxes: np.ndarray):
-        points, starts, boxes = points.reshape(-1, m), starts.view(np.int64), boxes.reshape(-1, 2, m)
-        at = projection.queries(q)
+    def run(own: np.ndarray, q: np.ndarray, floors: np.ndarray, ids: np.ndarray, c: np.ndarray, points: np.ndarray, starts: np.ndarray, boxes: np.ndarray, power: np.ndarray):
+        points, starts, boxes, power = points.reshape(-1, m), starts.view(np.int64), boxes.reshape(-1, 2, m), int(power.view(np.int64)[0])
+        powers = projection.exponents(q) + power
+        unit = np.ldexp(q, power - powers[:, None])
+        reach = lambda asks: projection.reach(unit[asks], np.ldexp(floors[asks], -powers[asks]))
+        at = projection.queries(unit)
         far = _distance(at, boxes[:, 0], boxes[:, 1])
         visit = np.argsort(far, axis=1, kind="stable")
-        slack = 1e-12 * (1 + projection.longest * np.linalg.norm(q, axis=1).max(initial=0))
         size_at, size_points = (at * at).sum(axis=1), (points * points).sum(axis=1)
         floors = floors.copy()
         best, who = np.full((len(q), k), LOWEST), np.full((len(q), k), np.iinfo(np.int64).max)
         going = np.arange(len(q))
         for step in range(len(boxes)):
             leaf = visit[going, step]
-            on = far[going, leaf] <= projection.reach(q[going], floors[going])
+            on = far[going, leaf] <= reach(going)
             going, leaf = going[on], leaf[on]
             if not len(going):
                 break
@@ -163,13 +188,15 @@ def _kernel(projection: Projection, k: int):
                 who_asks, l = going[by_leaf[lo:hi]], leaf[by_leaf[lo]]  # noqa: E741
                 rows = slice(starts[l], starts[l + 1])
                 gap = size_at[who_asks, None] + size_points[rows] - 2 * (at[who_asks] @ points[rows].T)
-                product = q[who_asks] @ c[rows].T
-                good = (gap <= projection.reach(q[who_asks], floors[who_asks])[:, None] * (1 + 1e-9)) & (product >= (floors[who_asks] - slack)[:, None]) & (ids[rows] != own[who_asks, None])
+                product = unit[who_asks] @ np.ldexp(c[rows], -power).T
+                least = np.ldexp(floors[who_asks], -powers[who_asks])[:, None] - SLACK
+                good = (gap <= reach(who_asks)[:, None] * (1 + 1e-9)) & (product >= least) & (ids[rows] != own[who_asks, None])
                 i, j = np.nonzero(good)
                 if not len(i):
                     continue
                 # the same sum for the same vectors, wherever they stand
                 exact = np.einsum("ij,ij->i", q[who_asks[i]], c[rows][j])
+                exact[np.isnan(exact)] = LOWEST
                 asks, place = np.unique(i, return_inverse=True)
                 turn = np.arange(len(i)) - np.searchsorted(i, i, side="left")
                 width = int(turn.max()) + 1
@@ -178,10 +205,14 @@ def _kernel(projection: Projection, k: int):
                 asks = who_asks[asks]
                 scores, names = top_of(np.concatenate((best[asks], scores), axis=1), np.concatenate((who[asks], names), axis=1), k)
                 best[asks], who[asks] = scores, names
-                floors[asks] = np.maximum(floors[asks], scores[:, -1])
+                floors[asks] = raised(floors[asks], scores, LOWEST)
         return best, who
 
-    return run
+    def quietly(*args):
+        with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+            return run(*args)
+
+    return quietly
 
 
 def _assign(dim: int, cell_of):
@@ -194,6 +225,43 @@ def _assign(dim: int, cell_of):
     return run
 
 
+def _levels(dim: int):
+    """The logarithm of each vector's length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                yield pa.RecordBatch.from_arrays([pa.array(_log_length(matrix(batch.column(0).slice(at, 4096), dim)))], names=["level"])
+
+    return run
+
+
+class Cells:
+    """Numbers of the cells: those of each range of lengths in turn, longest first."""
+
+    def __init__(self, projection: Projection, sizes: dict[int, int], sample: np.ndarray):
+        self.projection, total = projection, sum(sizes.values())
+        self.powers, self.first, self.splits, at = sorted(sizes, reverse=True), [], [], 0
+        powers = projection.exponents(sample) if len(sample) else np.empty(0, np.int64)
+        for power in self.powers:
+            cells = max(1, min(-(-sizes[power] // BLOCK_ROWS), CELLS * sizes[power] // total))
+            points = projection.candidates(np.ldexp(sample[powers == power], -power)) if cells > 1 else np.empty((0, projection.m))
+            self.splits.append(Splits(points, cells))
+            self.first.append(at)
+            at += self.splits[-1].cells
+
+    def of(self, v: np.ndarray) -> np.ndarray:
+        powers, out = self.projection.exponents(v), np.empty(len(v), np.int64)
+        for power, first, splits in zip(self.powers, self.first, self.splits, strict=True):
+            on = powers == power
+            if on.any():
+                out[on] = first + splits.cell(self.projection.candidates(np.ldexp(v[on], -power)))
+        return out
+
+    def power(self, cells: np.ndarray) -> np.ndarray:
+        return np.array(self.powers)[np.searchsorted(self.first, cells, side="right") - 1]
+
+
 def _boxes(m: int):
     """Each block's own box, a row for each side of it."""
 
@@ -210,15 +278,20 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = K, m: int = M, p: float
     """(query_id, rank, vec_id, score) of about k largest inner products of each query, among df's other ids."""
     used = lambda d: clean(d, id_col, vec_col).where(F.exists("vec", lambda x: x != 0))
     vectors = used(df)
-    dim, n, longest = extent(vectors)
-    projection = Projection(dim, longest, m, p, seed)
-    cells = min(CELLS, max(1, -(-n // BLOCK_ROWS)))
-    some = vectors.orderBy(F.xxhash64("id"), "id", "vec").limit(SAMPLE).select("vec").toArrow().column("vec").combine_chunks() if cells > 1 else None
-    splits = Splits(projection.candidates(matrix(some, dim)) if some is not None else np.empty((0, m)), cells)
-
-    placed = vectors.mapInArrow(_assign(dim, lambda v: splits.cell(projection.candidates(v))), "cell bigint, id bigint, vec array<double>")
+    dim, n = extent(vectors)
+    if not n:
+        return df.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    levels = staged(vectors.select("vec").mapInArrow(_levels(dim), "level double"), "levels")
+    top = levels.agg(F.max("level")).first()[0]
+    projection = Projection(dim, top, m, p, seed)
+    # at most as many ranges as doubles have exponents
+    sizes = dict(map(tuple, levels.groupBy((math.floor(top) - F.floor(F.lit(top) - F.col("level"))).alias("power")).count().collect()))
+    some = vectors.orderBy(F.xxhash64("id"), "id", "vec").limit(SAMPLE).select("vec").toArrow().column("vec").combine_chunks() if n > BLOCK_ROWS else None
+    known_cells = Cells(projection, sizes, matrix(some, dim) if some is not None else np.empty((0, dim)))
+
+    placed = vectors.mapInArrow(_assign(dim, known_cells.of), "cell bigint, id bigint, vec array<double>")
     together = placed.repartitionByRange(max(1, -(-n // (4 * BLOCK_ROWS))), "cell", "id").sortWithinPartitions("cell", "id")
-    more = ("points", "starts", "boxes")
+    more = ("points", "starts", "boxes", "power")
     index = staged(packed(together, dim, BLOCK_ROWS, _finish(projection, LEAF), more), "index")
 
     sides = index.select("cell", "boxes").mapInArrow(_boxes(m), "cell bigint, side bigint, low double, high double").groupBy("cell", "side").agg(F.min("low"), F.max("high")).collect()
@@ -227,18 +300,22 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = K, m: int = M, p: float
     for cell, side, lo, hi in sides:
         at = np.searchsorted(names, cell)
         low[at, side], high[at, side] = lo, hi
+    powers = known_cells.power(names)
+    begin = max(sizes, key=lambda power: (min(sizes[power], BLOCK_ROWS), power))
+    homes = powers == begin
 
     def home(asked: DataFrame) -> DataFrame:
-        if not len(names):
-            return asked.select(F.lit(0).cast("bigint").alias("cell"), "id", "vec").limit(0)
-        return asked.mapInArrow(_assign(dim, lambda v: names[_distance(projection.queries(v), low, high).argmin(axis=1)]), "cell bigint, id bigint, vec array<double>")
+        return asked.mapInArrow(_assign(dim, lambda v: names[homes][_distance(projection.queries(projection.scaled(v)), low[homes], high[homes]).argmin(axis=1)]), "cell bigint, id bigint, vec array<double>")
 
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 q, own, floors = matrix(part.column("vec"), dim), part.column("cell").to_numpy(), part.column("floor").to_numpy()
-                near = (_distance(projection.queries(q), low, high) <= projection.reach(q, floors)[:, None]) & (names[None, :] != own[:, None])
+                unit = projection.scaled(q)
+                with np.errstate(over="ignore", under="ignore"):
+                    reach = projection.reach(unit, np.ldexp(floors[:, None], -(projection.exponents(q)[:, None] + powers)))
+                near = (_distance(projection.queries(unit), low, high) <= reach) & (names[None, :] != own[:, None])
                 row, cell = np.nonzero(near)
                 row_index = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(names[cell]), part.column("id").take(row_index), part.column("vec").take(row_index), part.column("floor").take(row_index)], names=["cell", "id", "vec", "floor"])

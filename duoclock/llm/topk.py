@@ -7,24 +7,32 @@ the bound is looked at after half and after three quarters of the axes, and only
 query's k-th score are worked out in full. Every query begins with the longest vectors, takes its k-th score from
 there to the other cells, and leaves out all cells and blocks whose longest vector times its own length is under it.
 
-Products are exact: whole numbers under 2**53 in double precision; larger ones are an error. Ties go to smaller ids.
+Products are exact. Where the lengths of two vectors allow no product of 2**53 or more it is worked out in double precision,
+under 2**62 in 64-bit whole numbers, and beyond in Python's integers; each pair of vectors takes its own way, so a few
+huge vectors cost the others nothing. Products beyond a bigint count as its ends, the least but one at the low end; 64 * x
+beyond all doubles counts as the greatest. Ties go to smaller ids.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-from .vectors import CELLS, LOWEST, clean, extent, matrix, packed, search, squares, top_of
+from .vectors import CELLS, NO_SCORE, clean, extent, matrix, packed, raised, search, squares, top_of
 
 SCALE, K, BLOCK_ROWS, CHUNK = 64, 20, 8192, 1024
 #: Shares of the axes after which a product's bound is looked at.
 PARTS = (0.5, 0.75)
+#: Vectors with a larger component are shortened to it where the axes are found, and there only.
+STEEP = 2.0**26
+#: Pairs whose exact product is worked out at once.
+PAIRS = 16_384
 
 
 def _moments(dim: int):
@@ -34,6 +42,7 @@ def _moments(dim: int):
         total = np.zeros((dim, dim))
         for batch in batches:
             x = matrix(batch.column(0), dim)
+            x = x / np.maximum(1, np.abs(x).max(axis=1, initial=0, keepdims=True) / STEEP)
             total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["part"])
 
@@ -65,25 +74,55 @@ def _longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.frombuffer(x).max() for x in batch.column(1).to_pylist()], pa.float64())], names=["cell", "length"])
 
 
+def _whole(q: np.ndarray, c: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Exact products of the rows of q with those of c, whatever their size; bound: the lengths' products."""
+    out, small = np.empty(len(q), np.int64), bound < 2.0**62
+    for at in range(0, len(q), PAIRS):
+        part = slice(at, at + PAIRS)
+        on = np.flatnonzero(small[part]) + at
+        out[on] = np.einsum("ij,ij->i", q[on].astype(np.int64), c[on].astype(np.int64))
+    for i in np.flatnonzero(~small):
+        product = sum(int(x) * int(y) for x, y in zip(q[i].tolist(), c[i].tolist(), strict=True))
+        out[i] = min(max(product, NO_SCORE + 1), 2**63 - 1)
+    return out
+
+
+def _products(q: np.ndarray, c: np.ndarray, size_q: np.ndarray, size_c: np.ndarray, hopeful: np.ndarray) -> np.ndarray:
+    """The products of the hopeful pairs as whole numbers, NO_SCORE elsewhere."""
+    bound = size_q[:, None] * size_c
+    plain = hopeful & (bound < 2.0**53)
+    out = np.full(hopeful.shape, NO_SCORE)
+    if plain.mean() > 0.25:  # a product of matrices is quicker than that many single ones
+        out[plain] = (q @ c.T)[plain]
+    else:
+        i, j = np.nonzero(plain)
+        out[i, j] = np.einsum("ij,ij->i", q[i], c[j])
+    i, j = np.nonzero(hopeful & ~plain)
+    for at in range(0, len(i), PAIRS):
+        a, b = i[at : at + PAIRS], j[at : at + PAIRS]
+        out[a, b] = _whole(q[a], c[b], bound[a, b])
+    return out
+
+
 def _kernel(axes: np.ndarray, heads: list[int], k: int):
+    """Bounds of huge vectors may overflow; what isn't known to be under a floor is worked out."""
+
     def run(own: np.ndarray, q: np.ndarray, floors: np.ndarray, ids: np.ndarray, c: np.ndarray, turned_c: np.ndarray, rests_c: np.ndarray, size_c: np.ndarray):
         size_q = np.linalg.norm(q, axis=1)
-        if len(q) and len(c) and size_q.max() * size_c.max() >= 2.0**53:
-            raise ArithmeticError("inner products of 2**53 and more are not exact")
-        slack = 1e-9 * (1 + size_q.max(initial=0) * size_c.max(initial=0))
         turned_q, turned_c, rests_c = q @ axes, turned_c.reshape(len(c), heads[-1]), rests_c.reshape(len(heads), len(c))
         rests_q = [np.linalg.norm(turned_q[:, h:], axis=1) for h in heads]
         floors = floors.copy()
-        scores, found = np.full((len(q), k), LOWEST), np.full((len(q), k), np.iinfo(np.int64).max)
+        scores, found = np.full((len(q), k), NO_SCORE), np.full((len(q), k), np.iinfo(np.int64).max)
         for at in range(0, len(c), CHUNK):
-            part = slice(at, at + CHUNK)
-            live = np.flatnonzero(size_q * size_c[at] + slack >= floors)  # candidates only get shorter
+            reach = size_q * size_c[at]  # candidates only get shorter
+            slack = 1e-9 * (1 + reach)
+            live = np.flatnonzero(~(reach + slack < floors))
             if not len(live):
                 break
             partial, columns, before, hopeful = 0.0, np.arange(at, min(len(c), at + CHUNK)), 0, None
             for h, rest_q, rest_c in zip(heads, rests_q, rests_c, strict=True):
                 partial = partial + turned_q[live, before:h] @ turned_c[columns, before:h].T
-                hopeful = partial + rest_q[live, None] * rest_c[None, columns] + slack >= floors[live, None]
+                hopeful = ~(partial + rest_q[live, None] * rest_c[None, columns] + slack[live, None] < floors[live, None])
                 rows, cols = np.flatnonzero(hopeful.any(axis=1)), np.flatnonzero(hopeful.any(axis=0))
                 if len(rows) < len(live) or len(cols) < len(columns):
                     live, columns = live[rows], columns[cols]
@@ -93,28 +132,33 @@ def _kernel(axes: np.ndarray, heads: list[int], k: int):
                     break
             if not len(live):
                 continue
-            if hopeful.mean() > 0.25:  # a product of matrices is quicker than that many single ones
-                product = np.where(hopeful, q[live] @ c[columns].T, LOWEST)
-            else:
-                product = np.full(hopeful.shape, LOWEST)
-                i, j = np.nonzero(hopeful)
-                product[i, j] = np.einsum("ij,ij->i", q[live[i]], c[columns[j]])
+            product = _products(q[live], c[columns], size_q[live], size_c[columns], hopeful)
             names = ids[columns]
-            product[(names[None, :] == own[live, None]) | (product < floors[live, None])] = LOWEST
+            product[(names[None, :] == own[live, None]) | (product < floors[live, None])] = NO_SCORE
             best, who = top_of(product, names, k)
             best, who = top_of(np.concatenate((scores[live], best), axis=1), np.concatenate((found[live], who), axis=1), k)
             scores[live], found[live] = best[:, :k], who[:, :k]
-            floors[live] = np.maximum(floors[live], scores[live, -1])
+            floors[live] = raised(floors[live], scores[live], NO_SCORE)
         return scores, found
 
-    return run
+    def quietly(*args):
+        with np.errstate(over="ignore", invalid="ignore"):
+            return run(*args)
+
+    return quietly
+
+
+def _scaled(x: Column, scale: int) -> Column:
+    """floor(scale * x) as a double; from 2**53 on doubles are whole already."""
+    times = F.greatest(F.least(x * scale, F.lit(sys.float_info.max)), F.lit(-sys.float_info.max))
+    return F.when(F.abs(times) < 2.0**53, F.floor(times).cast("double")).otherwise(times)
 
 
 def top_products(df: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k largest inner products of floor(scale * x), among df's other ids."""
-    whole = lambda d: clean(d, id_col, vec_col).select("id", F.transform("vec", lambda x: F.floor(x * scale).cast("double")).alias("vec"))
+    whole = lambda d: clean(d, id_col, vec_col).select("id", F.transform("vec", lambda x: _scaled(x, scale)).alias("vec"))
     vectors = whole(df).withColumn("size", squares("vec"))
-    dim, n, _ = extent(vectors)
+    dim, n = extent(vectors)
     heads = sorted({max(1, int(dim * x)) for x in PARTS})
     axes = principal_axes(vectors, dim)
     cells = min(CELLS, max(1, -(-n // BLOCK_ROWS)))

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import staged
 
 CELLS, BATCH_ROWS, HELD, LOWEST = 1024, 1024, 64, -np.inf
+#: What stands for no score where scores are whole numbers.
+NO_SCORE = -(2**63 - 1)
 
 
 def clean(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -96,10 +98,10 @@ def _by_cell(vectors: DataFrame, rows: int) -> DataFrame:
 def _meet(asked: DataFrame, index: DataFrame, dim: int, kernel: Callable, more: tuple[str, ...], score_type: str, k: int) -> DataFrame:
     """(query_id, vec_id, score): the best that each query (cell, id, vec, floor) finds in the blocks of its cell."""
     names = ["ids", "vecs", *more]
-    arrow_type = pa.int64() if score_type == "bigint" else pa.float64()
+    arrow_type, lowest = (pa.int64(), NO_SCORE) if score_type == "bigint" else (pa.float64(), LOWEST)
 
     def found(own: np.ndarray, _, __, scores: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-        number, place = np.nonzero(scores > LOWEST)
+        number, place = np.nonzero(scores > lowest)
         return pa.RecordBatch.from_arrays([pa.array(own[number]), pa.array(ids[number, place], pa.int64()), pa.array(scores[number, place]).cast(arrow_type)], names=["query_id", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,13 +113,13 @@ def _meet(asked: DataFrame, index: DataFrame, dim: int, kernel: Callable, more:
                 key = hashlib.blake2b(q_ids + q_vecs, digest_size=16).digest()
                 if key not in held:
                     own = np.frombuffer(q_ids, np.int64)
-                    held[key] = [own, np.frombuffer(q_vecs).reshape(len(own), dim), np.frombuffer(q_floors), np.full((len(own), k), LOWEST), np.full((len(own), k), np.iinfo(np.int64).max)]
+                    held[key] = [own, np.frombuffer(q_vecs).reshape(len(own), dim), np.frombuffer(q_floors), np.full((len(own), k), lowest), np.full((len(own), k), np.iinfo(np.int64).max)]
                     if len(held) > HELD:
                         yield found(*held.popitem(last=False)[1])
                 own, q, floors, scores, ids = held[key]
                 new, names_of = kernel(own, q, floors, np.frombuffer(c_ids, np.int64), np.frombuffer(c_vecs).reshape(-1, dim), *map(np.frombuffer, rest))
                 scores, ids = top_of(np.concatenate((scores, new), axis=1), np.concatenate((ids, names_of), axis=1), k)
-                held[key][2:] = np.maximum(floors, scores[:, -1]), scores, ids
+                held[key][2:] = raised(floors, scores, lowest), scores, ids
         for batch_found in held.values():
             yield found(*batch_found)
 
@@ -136,7 +138,7 @@ def search(queries: DataFrame, index: DataFrame, dim: int, kernel: Callable, k:
 
     index: stored, packed. home(queries) adds the column cell; others(queries with home and floor) gives
     (cell, id, vec, floor) for the further cells. kernel(query ids, queries, floors, candidate ids, candidates, more...) gives
-    the k best scores of each query that aren't under its floor, and their ids, as matrices filled up with LOWEST.
+    the k best scores of each query that aren't under its floor, and their ids, as matrices filled up with LOWEST (whole numbers: NO_SCORE).
     """
     asked = staged(home(queries.dropDuplicates(["id", "vec"])), "asked")
     first = staged(_meet(_by_cell(asked, BATCH_ROWS), index, dim, kernel, more, score_type, k), "first").select("query_id", "vec_id", "score")
@@ -147,6 +149,11 @@ def search(queries: DataFrame, index: DataFrame, dim: int, kernel: Callable, k:
     return _best(first.union(second), k).select("query_id", "rank", "vec_id", "score")
 
 
+def raised(floors: np.ndarray, scores: np.ndarray, lowest: float) -> np.ndarray:
+    """Floors after what was found: the k-th score where there are k."""
+    return np.where(scores[:, -1] > lowest, np.maximum(floors, scores[:, -1]), floors)
+
+
 def top_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best columns of each row, ties to smaller ids, best first. ids: a row for all or one for each."""
     ids = np.broadcast_to(ids, scores.shape)
@@ -167,7 +174,7 @@ def top_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def extent(vectors: DataFrame) -> tuple[int, int, float]:
-    """The longest list's size (1 at least), the number of vectors, the greatest length."""
-    d, n, s = vectors.agg(F.max(F.size("vec")), F.count(F.lit(1)), F.max(squares("vec"))).first()
-    return max(1, d or 0), n, (s or 0.0) ** 0.5
+def extent(vectors: DataFrame) -> tuple[int, int]:
+    """The longest list's size (1 at least), the number of vectors."""
+    d, n = vectors.agg(F.max(F.size("vec")), F.count(F.lit(1))).first()
+    return max(1, d or 0), n

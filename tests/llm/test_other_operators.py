@@ -117,6 +117,42 @@ def test_nearest(spark, embeddings):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+#: Finite rows that dwarf the others, or are dwarfed by them.
+HUGE = [[(2000, [1e160] + [0.0] * 15)], [(2000, [3e6] * 16), (2001, [-3e6] * 15 + [1.0])], [(2000, [1e160, -1e160] + [1.0] * 14), (2020, [1e-200] * 16), (2040, [1e150] * 16)], [(2000 + i, [10.0 ** (i - 20)] * 8 + [0.5] * 8) for i in range(40)]]
+
+
+def with_huge(spark, embeddings, huge):
+    rows = embeddings[1] + huge
+    return spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3), rows
+
+
+@pytest.mark.parametrize("huge", HUGE)
+def test_exact_top_k_of_huge_vectors(spark, embeddings, huge, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 200)
+    df, rows = with_huge(spark, embeddings, huge)
+    whole = lambda v: [math.floor(64 * x) for x in v]
+    product = lambda a, b: min(max(sum(x * y for x, y in zip(a, b, strict=True)), 2 - 2**63), 2**63 - 1)
+    got = topk.top_products(df, df.where("vec_id % 20 = 0"))
+    assert sorted(map(tuple, got.collect())) == brute(rows, 20, 20, whole, product)
+
+
+@pytest.mark.parametrize("block_rows", [4096, 150])
+@pytest.mark.parametrize("huge", HUGE)
+def test_nearest_of_huge_vectors(spark, embeddings, huge, block_rows, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", block_rows)
+    df, rows = with_huge(spark, embeddings, huge)
+    rows = [(i, v) for i, v in rows if any(v)]
+    want = brute(rows, 20, 20, np.array, lambda a, b: float(a @ b))
+    got = ann.nearest(df, df.where("vec_id % 20 = 0")).collect()
+    assert len(got) == len(want)
+    for lo, hi in ((0, 2000), (2000, 3000)):
+        truth = {(q, c) for q, _, c, _ in want if lo <= q < hi}
+        assert len(truth & {(r["query_id"], r["vec_id"]) for r in got}) >= 0.9 * len(truth)
+    by = dict(rows)
+    for r in got:
+        assert r["score"] == pytest.approx(float(np.array(by[r["query_id"]]) @ np.array(by[r["vec_id"]])), rel=1e-9, abs=1e-12)
+
+
 def test_chi_square_quantile():
     assert ann.chi_square_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3)
     assert ann.chi_square_quantile(0.5, 2) == pytest.approx(2 * math.log(2), abs=1e-9)
