@@ -205,9 +205,9 @@ def _recent_replay(s: SparkSession, d: str) -> DataFrame:
 ARRIVAL = 6
 
 
-def _arrived(s: SparkSession, d: str) -> DataFrame:
+def _arrived(s: SparkSession, d: str, more: tuple[str, ...] = ()) -> DataFrame:
     """Flagged records as a stream, a batch for each few months of receipts, in the order of receipt."""
-    rows = stored(records(s, d).where("report_p IS NOT NULL").select("cohort_p", "report_p", "valid_delay"), "received")
+    rows = stored(records(s, d).where("report_p IS NOT NULL").select("cohort_p", "report_p", "valid_delay", *more), "received")
     folder, month = new_folder(s, "landing"), F.col("report_p")
     stream.arrive(rows, folder, [month.between(m, m + ARRIVAL - 1) for m in range(C.t0, C.cutoff + ARRIVAL, ARRIVAL)])
     return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
@@ -229,6 +229,15 @@ def _late_drops(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([stream.dropped_late(_finished(s, d)[1])], "batches bigint, dropped bigint")
 
 
+def _streaming_nowcast(s: SparkSession, d: str) -> DataFrame:
+    """Nowcasts at every origin of the replay, given out by the stream as its months end."""
+    arrived = _arrived(s, d, ("delay_m", "severity", "consumer")).where("consumer")
+    rows, folder = stream.streaming_nowcast(arrived, C, C.max_lag, C.first_origin, C.last_origin), new_folder(s, "nowcasts")
+    with stream.rocksdb(s):
+        stream.run_available(rows, folder).awaitTermination()
+    return s.read.schema(rows.schema).parquet(f"{folder}/rows")
+
+
 def _alarm_runs(s: SparkSession, d: str) -> DataFrame:
     """The alarm as a stateful operator over a stream of scores, a batch for each year of months."""
     scores = stored(_z(s, d).select(F.concat_ws("|", *PAIR).alias("stream"), F.col("cutoff").cast("int").alias("cutoff"), F.col("z_nowcast").alias("z")), "z")
@@ -506,6 +515,9 @@ FROM dn LEFT JOIN alm USING (make) LEFT JOIN mz USING (make)"""),
         "WITH " + o.FLG + "\nSELECT cohort_p, count(*) AS n FROM flg WHERE beyond_cap GROUP BY cohort_p"),
     "finished_cohorts": Query(_finished_cohorts, "cohort:s n:i", "WITH " + _STREAMED + "\nSELECT strftime(m, '%Y-%m') AS cohort, count(*) AS n FROM arr JOIN wm USING (b) WHERE (before IS NULL OR m > before) AND m <= (SELECT max(seen) FROM wm) GROUP BY m"),
     "late_drops": Query(_late_drops, "batches:i dropped:i", "WITH " + _STREAMED + "\nSELECT count(DISTINCT b) AS batches, count(DISTINCT (b, m)) FILTER (WHERE m <= before) AS dropped FROM arr JOIN wm USING (b)"),
+    "streaming_nowcast": Query(
+        _streaming_nowcast, "stream:s cutoff:i t:i h:i c_obs:i n_hat:f",
+        "WITH " + o.FIT + f"\nSELECT stream, cutoff, t, d AS h, u.c AS c_obs, u.c / F AS n_hat FROM cum u JOIN cur USING (stream, d) WHERE cutoff BETWEEN {C.first_origin} AND {C.last_origin} AND t BETWEEN cutoff - {C.max_lag} AND cutoff AND d = least(cutoff - t, {C.max_delay})"),
     "udtf_nowcast": Query(
         _udtf_nowcast, "stream:s cutoff:i t:i h:i n_hat:f missing:f",
         "WITH " + o.FIT + f"\nSELECT stream, cutoff, u.t, d AS h, u.c / F AS n_hat, u.c / F - u.c AS missing FROM cur JOIN cum u USING (stream, d) WHERE cutoff = {C.cutoff} AND u.t = cutoff - d"),

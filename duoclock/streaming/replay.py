@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..config import DelayConfig
+from ..operators.chainladder import widths
 from ..operators.triangle import STREAM, triangle, with_streams
 
 
@@ -121,6 +122,103 @@ def alarm_runs(scores: DataFrame, threshold: float, consecutive: int = 2, latene
     return timed.groupBy("stream").transformWithStateInPandas(_runs(threshold, consecutive), "stream string, cutoff int, run int", "Append", "EventTime")
 
 
+def _development(cfg: DelayConfig, lag: int, first: int, last: int) -> StatefulProcessor:
+    """A class of this function's own, as in _runs. first, last: the cutoffs that are given out."""
+    t0, depth, held, sizes = cfg.t0, cfg.max_delay, max(cfg.max_delay, lag) + 1, widths(cfg.window, cfg.cutoff - cfg.t0)
+
+    class Development(StatefulProcessor):
+        """A key's triangle, taken on a month at a time.
+
+        Cells wait in a map until the watermark passes their month. State: the counts of the youngest cohorts, and for each
+        delay the running sums along cohorts of counts within d and d + 1 months. A month adds one place to each of
+        them, and a factor is the difference of two places, however long the history is.
+        """
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.waiting = handle.getMapState("waiting", "month int, t int", "n bigint")
+            self.sums = handle.getMapState("sums", "d int", "c0 array<bigint>, c1 array<bigint>")
+            self.counts = handle.getValueState("counts", "last int, counts array<bigint>")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            months = {}
+            for frame in rows:
+                for row in frame.itertuples():
+                    self.waiting.updateValue((int(row.t + row.d), int(row.t)), (int(row.n),))
+                    months[int(row.t + row.d)] = row.month
+            for month in months.values():
+                self.handle.registerTimer(int(month.timestamp() * 1000))
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            passed = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
+            upto = min(passed.year * 12 + passed.month - 1, last)
+            done, counts = self.counts.get() if self.counts.exists() else (t0 - 1, [])
+            if upto <= done:
+                return
+            counts = list(counts)
+            arrived = {k: v[0] for k, v in self.waiting.iterator() if k[0] <= upto}
+            sums = {d: tuple(map(list, self.sums.getValue((d,)))) if self.sums.containsKey((d,)) else ([0], [0]) for d in range(depth)}
+            found = []
+            for month in range(done + 1, upto + 1):
+                before = counts
+                counts = [*before, 0][-held:]  # the youngest cohort stands last
+                for age in range(min(depth + 1, len(counts))):
+                    counts[-1 - age] += arrived.get((month, month - age), 0)
+                for d in range(min(depth, len(counts) - 1)):
+                    c0, c1 = sums[d]
+                    c0.append(c0[-1] + before[-1 - d])
+                    c1.append(c1[-1] + counts[-2 - d])
+                if month >= first:
+                    shares = self.shares(sums)
+                    for age in range(min(lag + 1, len(counts))):
+                        h = min(age, depth)
+                        found.append((key[0], month, month - age, h, counts[-1 - age], counts[-1 - age] / shares[h]))
+            for k in arrived:
+                self.waiting.removeKey(k)
+            for d, pair in sums.items():
+                self.sums.updateValue((d,), pair)
+            self.counts.update((upto, counts))
+            if upto < last:  # a month without cells is an origin too
+                self.handle.registerTimer(int(pd.Timestamp((upto + 1) // 12, (upto + 1) % 12 + 1, 1).timestamp() * 1000))
+            yield pd.DataFrame(found, columns=["stream", "cutoff", "t", "h", "c_obs", "n_hat"]).astype({"cutoff": "int32", "t": "int32", "h": "int32", "c_obs": "int64", "n_hat": "float64"})
+
+        def shares(self, sums: dict) -> list[float]:
+            """The share received within 0 to depth months, from the newest place of the sums."""
+            out = [1.0]
+            for d in reversed(range(depth)):
+                c0, c1 = sums[d]
+                lam = 1.0
+                for size in sizes:
+                    low = max(0, len(c0) - 2 - size)
+                    if c0[-1] > c0[low]:
+                        lam = max(1.0, (c1[-1] - c1[low]) / (c0[-1] - c0[low]))
+                        break
+                out.append(out[-1] / lam)
+            return out[::-1]
+
+        def close(self) -> None:
+            pass
+
+    return Development()
+
+
+def streaming_nowcast(records: DataFrame, cfg: DelayConfig, lag: int, first: int, last: int, lateness: str = "1 day") -> DataFrame:
+    """(stream, cutoff, t, h, c_obs, n_hat): at each month from first to last that the watermark has passed, the nowcast of its last lag + 1 cohorts.
+
+    Receipt months are the event time. A month is over once the watermark is past its first day, which with the least lateness is as soon as
+    a record of the next month has come; records of a month that is over are left out. Records are counted by cell before they
+    meet a stream's state, so a stream's task gets a row a cell, and its state holds cohorts x delays numbers. Months before 1970 can't
+    be told. Needs the RocksDB state store.
+    """
+    t, d = F.col("cohort_p"), F.col("delay_m")
+    admitted = records.where(F.col("valid_delay") & t.between(cfg.t0, cfg.cutoff) & d.between(0, cfg.max_delay) & (F.col("report_p") <= cfg.cutoff))
+    timed = admitted.withColumn("month", month_start(F.col("report_p"))).withWatermark("month", lateness)
+    cells = with_streams(timed).groupBy("month", "stream", t.cast("int").alias("t"), d.cast("int").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    shape = "stream string, cutoff int, t int, h int, c_obs bigint, n_hat double"
+    return cells.groupBy("stream").transformWithStateInPandas(_development(cfg, lag, first, last), shape, "Append", "EventTime")
+
+
 @contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
     """Queries started inside keep their state in RocksDB, which timers and maps need."""
