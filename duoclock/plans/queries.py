@@ -15,7 +15,7 @@ from ..config import ORDERS as C
 from ..functions import random, tables
 from ..functions.months import month_label, parse_month_label
 from ..functions.records import with_delays
-from ..operators import backtest, bootstrap, chainladder, descriptive, hazard, ingest, intervals, surveillance, variants
+from ..operators import audit, backtest, bootstrap, chainladder, descriptive, hazard, ingest, intervals, surveillance, variants
 from ..operators.triangle import as_known_at, cumulative, dense, triangle, with_streams
 from ..shared import new_folder, stored
 from ..shipping import ship
@@ -287,6 +287,15 @@ def _gate_log(s: SparkSession, d: str) -> DataFrame:
     return sinks.read_gates(s, folder)
 
 
+def _audit_log(s: SparkSession, d: str) -> DataFrame:
+    """Audits of different columns appended to one log, read back and extracted."""
+    folder, flagged = new_folder(s, "audits"), _collapsed(s, d)
+    sinks.append_audit(ingest.row_audit(order_rows(s, d)), folder, "rows")
+    sinks.append_audit(ingest.record_audit(flagged), folder, "records")
+    sinks.append_audit(ingest.beyond_cap_by_severity(records(s, d)), folder, "beyond_cap", "severity")
+    return sinks.read_audit(s, folder)
+
+
 def _narrative(s: SparkSession, d: str) -> DataFrame:
     curves = _fit(s, d, chainladder.span(C.cutoff))
     worst = variants.worst_variant(variants.variant_deltas(_variants(s, d), C.horizons))
@@ -378,6 +387,35 @@ def _variant_coverage_sql() -> str:
     ])
 
 
+def _self_audit_sql() -> str:
+    """The checks' cases and differences; factors and leakage by curves over all cutoffs and over what was known."""
+    at, gap = C.last_origin, "coalesce(max({0}), 0)"
+    checks = {
+        "delays": ("date_diff('month', date_trunc('month', incident), date_trunc('month', receipt)) - delay_m", "flg WHERE has_both_dates"),
+        "cells": ("n - m", "(SELECT sum(n) AS n FROM tri WHERE stream = 'all'), (SELECT count(*) AS m FROM flg WHERE consumer AND in_triangle)"),
+        "factors": ("lam - plain", f"(SELECT * FROM fac WHERE cutoff = {at}) JOIN plain USING (stream, d)"),
+        "maturity": ("greatest(0, F - coalesce(later, 1))", f"(SELECT F, lead(F) OVER (PARTITION BY stream ORDER BY d) AS later FROM cur WHERE cutoff = {at})"),
+        "leakage": ("f.lam - k.lam", f"fac f JOIN kfac k USING (stream, cutoff, d) WHERE cutoff = {at}"),
+        "nowcasts": ("c / F * F - c", f"cum JOIN cur USING (stream, d) WHERE cutoff = {at} AND t BETWEEN cutoff - {C.max_lag} AND cutoff AND d = least(cutoff - t, {C.max_delay})"),
+    }
+    plain = f"""plain AS (SELECT stream, a.d, greatest(1, sum(b.c) / sum(a.c)) AS plain FROM cum a JOIN cum b USING (stream, t) WHERE b.d = a.d + 1 AND a.t BETWEEN {at} - a.d - 1 - {C.window} AND {at} - a.d - 1 GROUP BY stream, a.d HAVING sum(a.c) > 0)"""
+    known = o.cells(f"(SELECT * FROM str WHERE report_p <= {at})", p="k") + o.curve(p="k", cum="kcum")
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS \"check\", count(*) AS cases, {gap.format(f'abs({x})')} AS worst FROM {source}" for name, (x, source) in checks.items())
+    return "WITH " + o.FIT + known + ", " + plain + f", checks AS ({rows})\nSELECT *, worst <= {audit.TOLERANCE} AS passed FROM checks"
+
+
+def _audit_sql() -> str:
+    """The audits' own texts, unpivoted."""
+    parts, sources = [], {"rows": ("row_audit", None), "records": ("record_audit", None), "beyond_cap": ("beyond_cap_by_severity", "severity")}
+    for step, (name, key) in sources.items():
+        fields = [c.split(":") for c in QUERIES[name].shape.split()]
+        for field, kind in fields:
+            if field != key:
+                value, text = (f'"{field}"::DOUBLE', "NULL::VARCHAR") if kind != "d" else ("NULL::DOUBLE", f'"{field}"::VARCHAR')
+                parts.append(f"SELECT '{step}' AS step, {f'{key}::VARCHAR' if key else 'NULL::VARCHAR'} AS key, '{field}' AS field, {value} AS value, {text} AS text FROM {name}_rows")
+    return "WITH " + ", ".join(f"{name}_rows AS ({QUERIES[name].sql})" for name, _ in sources.values()) + ", fields AS (" + " UNION ALL ".join(parts) + ")\nSELECT * FROM fields"
+
+
 def _narrative_sql() -> str:
     """Sentences from the tables of the replay and of the variants, each in a statement of its own."""
     board = f"SELECT count(*) FILTER (WHERE abs(nowcast) < abs(naive) AND abs(nowcast) < abs(one_step)) AS won, count(*) AS n FROM (SELECT stream, h, max(rel_bias) FILTER (WHERE method = 'naive') AS naive, max(rel_bias) FILTER (WHERE method = 'one_step') AS one_step, max(rel_bias) FILTER (WHERE method = 'nowcast') AS nowcast FROM met WHERE origin_set = 'evaluation' AND h IN {C.horizons} GROUP BY ALL)"
@@ -523,6 +561,8 @@ FROM dn LEFT JOIN alm USING (make) LEFT JOIN mz USING (make)"""),
         "WITH " + o.FIT + f"\nSELECT stream, cutoff, u.t, d AS h, u.c / F AS n_hat, u.c / F - u.c AS missing FROM cur JOIN cum u USING (stream, d) WHERE cutoff = {C.cutoff} AND u.t = cutoff - d"),
     "gate_log": Query(_gate_log, "step:s gate:s passed:b detail:s",
         "WITH " + o.REPLAY + ", pq AS (SELECT stream, h, max(abs(rel_bias)) FILTER (WHERE method = 'naive') AS naive, max(abs(rel_bias)) FILTER (WHERE method = 'nowcast') AS nowcast FROM met WHERE stream IN ('all', 'severe') AND h <= 12 AND origin_set = 'evaluation' GROUP BY ALL), gates AS (SELECT 'replay' AS step, 'bias' AS gate, bool_and(nowcast < naive) AS passed, count(*) || ' streams and ages' AS detail FROM pq UNION ALL SELECT 'ingest', 'rows', count(*) > 0, count(*) || ' rows' FROM raw)\nSELECT * FROM gates"),
+    "self_audit": Query(
+        lambda s, d: audit.self_audit(records(s, d), _tri(s, d), C, C.last_origin), "check:s cases:i worst:f passed:b", _self_audit_sql()),
     "narrative": Query(_narrative, "place:i line:s",
         _narrative_sql()),
     "hazard_forest": Query(lambda s, d: reports.hazard_forest(_hazard_fit(s, d)), "term:s hr:f hr_lo95:f hr_hi95:f"),
@@ -621,5 +661,8 @@ SELECT variant, n, n - max(n) FILTER (WHERE variant = 'base') OVER () AS delta_v
 }
 
 
+QUERIES["audit_log"] = Query(lambda s, d: sinks.audit_fields(_audit_log(s, d)), "step:s key:s field:s value:f text:s", _audit_sql())
+
+
 def _collapsed(s: SparkSession, d: str) -> DataFrame:
     return with_delays(ingest.collapse(order_rows(s, d)), C, FLOOR_YEAR)

@@ -6,7 +6,7 @@ import json
 import math
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -58,6 +58,33 @@ def read_gates(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(GATES + ", at timestamp").parquet(path).orderBy("at", "step", "gate")
 
 
+def append_audit(audit: DataFrame, path: str, step: str, key: str | None = None) -> None:
+    """Add an audit's rows to a log as VARIANT documents, so that audits with different columns share one table.
+
+    key: a column that tells the rows apart; it isn't in the document. A null value is a null field; an audit without rows adds none.
+    """
+    fields = [c for c in audit.columns if c != key]
+    document = F.parse_json(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
+    audit.select(F.lit(step).alias("step"), (F.col(key).cast("string") if key else F.lit(None).cast("string")).alias("key"), document.alias("doc")).write.mode("append").parquet(path)
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("step string, key string, doc variant").parquet(path)
+
+
+def audit_value(path: str, kind: str) -> Column:
+    """A typed value of a document, such as $.rows or $.range.first; null where it isn't there or isn't of that type."""
+    return F.try_variant_get("doc", path, kind)
+
+
+def audit_fields(audits: DataFrame) -> DataFrame:
+    """(step, key, field, value, text): a row for each field of the documents; value where it is a number, text where it is a text."""
+    named = audits.withColumnRenamed("key", "audit_key")
+    each = named.lateralJoin(named.sparkSession.tvf.variant_explode(F.col("doc").outer())).select("step", "audit_key", F.col("key").alias("field"), "value")
+    text = F.schema_of_variant("value") == "STRING"
+    return each.select("step", F.col("audit_key").alias("key"), "field", F.when(~text, F.try_variant_get("value", "$", "double")).alias("value"), F.when(text, F.try_variant_get("value", "$", "string")).alias("text"))
+
+
 # Characters that LaTeX reads as commands.
 _LATEX = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "_": r"\_", "#": r"\#", "$": r"\$", "{": r"\{", "}": r"\}"}
 

@@ -39,6 +39,67 @@ def test_stream_follows_the_batch(spark, tmp_path):
         assert seen == {(r["stream"], r["t"], r["d"]): r["n"] for r in as_known_at(whole, month).collect()}
 
 
+def test_streaming_nowcast_is_of_any_batches(spark, tmp_path):
+    """However records are dealt to batches, every origin's nowcast is the batch plan's; a record of a month that is over changes nothing."""
+    from pyspark.sql import functions as F
+
+    from duoclock.operators import chainladder
+    from duoclock.operators.triangle import cumulative, triangle, with_streams
+
+    t0, first, last, lag = 24000, 24010, 24018, 8  # lag is over the largest delay
+    cfg = DelayConfig(t0=t0, cutoff=last + 1, max_delay=4, window=2)
+    # months without records, and a severity that comes late, so that windows double
+    rows = [(t, t + d, d, (t * 7 + d) % 4 if t > 24008 else 0, True) for t in range(t0, last + 2) for d in range(5) for _ in range((t * 5 + d) % 4) if (t + d) % 6 and t + d <= last + 1]
+    schema = "cohort_p int, report_p int, delay_m int, severity int, valid_delay boolean"
+    frame = spark.createDataFrame(rows, schema)
+    cum = cumulative(triangle(with_streams(frame), cfg), cfg)
+    want = chainladder.nowcast(cum, chainladder.fit(cum, cfg, cutoffs=chainladder.span(first, last)), cfg, lag)
+    want = sorted((r["stream"], r["cutoff"], r["t"], r["h"], r["c_obs"], round(r["n_hat"], 9)) for r in want.collect())
+    assert len(want) > 100
+    month, late = F.col("report_p"), [(24001, 24003, 2, 0, True)] * 50
+    for number, parts in enumerate(([month > 0], [month <= 24006, month.between(24007, 24012), month > 24012])):
+        landing, folder = f"{tmp_path}/in{number}", f"{tmp_path}/out{number}"
+        replay.arrive(frame, landing, parts)
+        if number:  # after its month is over
+            replay.arrive(spark.createDataFrame(late, schema), landing, [month > 0])
+        nowcasts = replay.streaming_nowcast(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing), cfg, lag, first, last)
+        with replay.rocksdb(spark):
+            replay.run_available(nowcasts, folder).awaitTermination()
+        got = spark.read.schema(nowcasts.schema).parquet(f"{folder}/rows").collect()
+        assert sorted((r["stream"], r["cutoff"], r["t"], r["h"], r["c_obs"], round(r["n_hat"], 9)) for r in got) == want
+
+
+def test_audits_share_a_log(spark, tmp_path):
+    from duoclock.sources import sinks
+
+    path = str(tmp_path / "log")
+    sinks.append_audit(spark.sql("SELECT 3L AS n, CAST(NULL AS double) AS share, named_struct('first', DATE'2001-02-03') AS range"), path, "a")
+    sinks.append_audit(spark.sql("SELECT * FROM VALUES ('x', 'text'), (NULL, '') AS v(key, note)"), path, "b", "key")
+    sinks.append_audit(spark.sql("SELECT 1 AS n").limit(0), path, "c")
+    log = sinks.read_audit(spark, path)
+    typed = log.select("step", sinks.audit_value("$.n", "bigint").alias("n"), sinks.audit_value("$.range.first", "date").alias("first"), sinks.audit_value("$.note", "bigint").alias("note"))
+    assert sorted((r["step"], r["n"], str(r["first"]), r["note"]) for r in typed.collect()) == [("a", 3, "2001-02-03", None), ("b", None, "None", None), ("b", None, "None", None)]
+    fields = {(r["step"], r["key"], r["field"]): (r["value"], r["text"]) for r in sinks.audit_fields(log).collect()}
+    assert fields[("a", None, "n")] == (3.0, None) and fields[("a", None, "share")] == (None, None) and fields[("b", "x", "note")] == (None, "text") and fields[("b", None, "note")] == (None, "")
+
+
+def test_self_audit_finds_what_is_wrong(spark):
+    """A record that the triangle lacks, and delays that aren't the dates', fail their checks and no others."""
+    from pyspark.sql import functions as F
+
+    from duoclock.config import ORDERS
+    from duoclock.operators import audit
+    from duoclock.operators.triangle import triangle, with_streams
+    from duoclock.plans.adapter import records
+
+    rows = records(spark, SF)
+    tri = triangle(with_streams(rows.where("consumer")), ORDERS)
+    less = tri.withColumn("n", F.when((F.col("stream") == "all") & (F.col("d") == 0), F.col("n") - 1).otherwise(F.col("n")))
+    shifted = rows.withColumn("delay_m", F.col("delay_m") + 1)
+    assert {r["check"] for r in audit.self_audit(rows, less, ORDERS, ORDERS.last_origin).collect() if not r["passed"]} == {"cells"}
+    assert {r["check"] for r in audit.self_audit(shifted, tri, ORDERS, ORDERS.last_origin).collect() if not r["passed"]} == {"delays"}
+
+
 def test_entry(spark):
     out = entry.entry(spark)
     assert out.count() > 0 and "n_hat" in out.columns
