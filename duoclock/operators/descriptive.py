@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,29 @@ def named(names: dict[str, float] = PERCENTILES) -> dict[str, Column]:
     return {k: F.col("quantiles")[i] for i, k in enumerate(names)}
 
 
+def selected_quantiles(df: DataFrame, value: str, by: tuple[str, ...] = (), names: dict[str, float] = PERCENTILES) -> DataFrame:
+    """(by..., n, a column for each quantile): exact quantiles of a column with any number of values, interpolated between neighbours.
+
+    No group's values meet in one task: equal values are counted first, distinct ones are laid out by ranges of (by, value), counts
+    are summed inside each range, and the totals of what comes before, a row for each range and group, are carried over. Only the values that
+    stand at a wanted place, two a quantile, are kept then. Null values don't count; null keys are a group; no rows give none.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    ranges = stored(counts.repartitionByRange(*by, "v").withColumn("part", F.spark_partition_id()), "ranges")
+    group = Window.partitionBy(*by)
+    totals = ranges.groupBy(*by, "part").agg(F.sum("c").alias("here"))
+    totals = totals.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("part").alias("_part"), F.sum("here").over(group).alias("n"), (F.sum("here").over(group.orderBy("part")) - F.col("here")).alias("before"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], F.col("part") == F.col("_part"))
+    upto = F.sum("c").over(Window.partitionBy("part", *by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranges.withColumn("upto", upto).join(totals, same).withColumn("end", F.col("before") + F.col("upto")).withColumn("start", F.col("end") - F.col("c"))
+    place = {k: q * (F.col("n") - 1) for k, q in names.items()}
+    holds = lambda at: (F.col("start") <= at) & (at < F.col("end"))
+    wanted = placed.where(reduce(Column.__or__, [holds(f(x)) for x in place.values() for f in (F.floor, F.ceil)]))
+    ends = [F.max(F.when(holds(f(x)), F.col("v"))).alias(f"{k}_{side}") for k, x in place.items() for side, f in (("low", F.floor), ("high", F.ceil))]
+    found = wanted.groupBy(*by).agg(F.max("n").alias("n"), *ends)
+    return found.where(F.col("n").isNotNull()).select(*by, "n", *[(F.col(f"{k}_low") + (F.col(f"{k}_high") - F.col(f"{k}_low")) * (x - F.floor(x))).alias(k) for k, x in place.items()])
+
+
 def quantile_table(mature: DataFrame, cfg: DelayConfig, column: str = "delay_days") -> DataFrame:
     """Exact quantiles overall and by severity, channel and era; channels and eras of at least min_group rows. One expanded pass."""
     sets = [[], [F.col("severity")], [F.col("channel")], [F.col("era")]]

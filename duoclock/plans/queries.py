@@ -461,6 +461,9 @@ QUERIES: dict[str, Query] = {
         lambda s, d: descriptive.quantile_table(_mature(s, d, day_level=True), C), f"group:s level:s n:i {_P} mean:f",
         "WITH " + o.FLG + o.mature(day=True) + f"""\nSELECT * FROM (SELECT 'overall' AS "group", 'all' AS level, count(*) AS n, {_DU_P}, avg(delay_days) AS mean FROM mat UNION ALL SELECT 'severity', severity::VARCHAR, count(*), {_DU_P}, avg(delay_days) FROM mat GROUP BY severity
   UNION ALL SELECT 'channel', channel, count(*), {_DU_P}, avg(delay_days) FROM mat GROUP BY channel HAVING count(*) >= {C.min_group} UNION ALL SELECT 'era', coalesce(era, 'all'), count(*), {_DU_P}, avg(delay_days) FROM mat GROUP BY era HAVING count(*) >= {C.min_group})"""),
+    "price_quantiles": Query(
+        lambda s, d: descriptive.selected_quantiles(s.read.parquet(f"{d}/lineitem.parquet"), "l_extendedprice", ("l_returnflag", "l_linestatus")), f"l_returnflag:s l_linestatus:s n:i {_P}",
+        "\nSELECT l_returnflag, l_linestatus, count(*) AS n, " + ", ".join(f"quantile_cont(l_extendedprice::DOUBLE, {q}) AS {k}" for k, q in descriptive.PERCENTILES.items()) + " FROM lineitem GROUP BY ALL"),
     **{f"ecdf_{n}": Query(lambda s, d, by=by: descriptive.ecdf(_mature(s, d), by, C), "level:s d:i F:f n:i", _ecdf_sql(by)) for n, by in (("severity", "severity"), ("channel", "channel"), ("era", "era"))},
     "F_at_horizons": Query(
         lambda s, d: descriptive.at_horizons(descriptive.ecdf(_mature(s, d), "severity", C), C.horizons), f"level:s {_HCOLS}",

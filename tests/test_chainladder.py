@@ -282,3 +282,24 @@ def test_person_periods(spark):
     rows = [(0, "e", "c", "top", d) for d in (0, 0, 1, 3)] + [(0, "e", "c", "rare", 2)]
     got = hazard.person_periods(spark.createDataFrame(rows, "severity int, era string, channel string, family string, delay_m int"), cfg).collect()
     assert sorted((r["family"], r["d"], r["events"], r["at_risk"]) for r in got) == [("OTHER", 0, 0, 1), ("OTHER", 1, 0, 1), ("OTHER", 2, 1, 1), ("top", 0, 2, 4), ("top", 1, 1, 2), ("top", 2, 0, 1), ("top", 3, 1, 1)]
+
+
+def test_selected_quantiles(spark):
+    """Against numpy: one value alone, ties that fill most of a group, null keys and values, no rows."""
+    import numpy as np
+
+    from duoclock.operators.descriptive import PERCENTILES, selected_quantiles
+
+    rng = np.random.default_rng(3)
+    rows = [("a", float(x)) for x in rng.normal(0, 9, 3000)] + [("b", 5.0)] * 700 + [("b", float(x)) for x in rng.normal(5, 1, 300)] + [("c", -1.5), (None, 2.0), (None, 4.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    got = {r["g"]: r for r in selected_quantiles(df, "x", ("g",)).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for g, r in got.items():
+        values = [x for k, x in rows if k == g and x is not None]
+        assert r["n"] == len(values)
+        for name, q in PERCENTILES.items():
+            assert abs(r[name] - np.quantile(values, q)) < 1e-9
+    whole = selected_quantiles(df, "x").first()
+    assert whole["n"] == 4003 and abs(whole["p90"] - np.quantile([x for _, x in rows if x is not None], 0.9)) < 1e-9
+    assert selected_quantiles(df.limit(0), "x").count() == 0
