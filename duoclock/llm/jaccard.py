@@ -7,10 +7,13 @@ a whole segment; a set's part in each segment is one key, in its own band's and
 
 Which keys a set is searched by is chosen by their cost, the number of sets that hold them. A segment counts 0 if it
 is passed over, 1 if it must be alike, 2 if it may differ by one element, and H + 1 must come together. So the
-most frequent keys are passed over as far as a set's own H leaves room, and beyond that those held by more than
-`TRADE` sets are traded for the one-deletion neighbourhood of a segment that no other set shares. Only sets with such a
-traded key are indexed by their own deletions, and only in segments that some set is searched by in this way: a pair
-that no other key has shown shares a traded one.
+most frequent keys are passed over as far as a set's own H leaves room. There are more segments than H + 1, by `extra`,
+so that there is room for those that happen to be empty, or to hold one frequent element, and are alike in unrelated
+sets; their number grows with the documents. Frequent keys beyond that are those of near copies and of pages that
+are mostly template, whose pivot shows the links at a comparison a set. With `trade`, those held by more sets than
+that are traded for the one-deletion neighbourhood of a segment that no other set shares. Only sets with such a
+traded key are then indexed by their own deletions, and only in segments that some set is searched by in this way: a
+pair that no other key has shown shares a traded one. That costs a row an element of each of these sets, so it is off by default.
 
 Candidates share a key; they are compared by full sets through pivots, so a key in a third of all sets costs a
 comparison a set, and what shares a pivot is told exactly (see minhash). Sets whose parities differ in more bits than
@@ -36,8 +39,8 @@ from .common import by_bytes, drop_staged, held_by_others, mix, release, staged
 from .minhash import documents, grouped, parities, shingles, to_pivots
 
 WORDS, PER_CENT = 4, 85
-#: A key of more sets than this is worth a one-deletion neighbourhood.
-TRADE = 64
+#: A key of more sets than this is traded for a one-deletion neighbourhood; None: none is.
+TRADE: int | None = None
 _SIGNED = "id bigint, n bigint, f1 bigint, f2 bigint, sketch binary, roles array<struct<band: int, own: boolean, m: int, spare: int, keys: array<bigint>>>"
 
 
@@ -54,6 +57,11 @@ def most_apart(n: int, m: int, per_cent: int) -> int:
     return (100 - per_cent) * (n + m) // (100 + per_cent)
 
 
+def extra(most: int) -> int:
+    """Segments beyond most + 1: as many as are empty in hardly any set, at some six elements a segment."""
+    return min(most, 3 + most // 16)
+
+
 def roles(n: int, per_cent: int) -> Iterator[tuple[int, bool, int, int]]:
     """(band, whether it is the size's own, segments, segments that may be passed over) for the bands where a set of this size can have partners."""
     begins = _bands(per_cent, 1 << n.bit_length() + 1)
@@ -62,6 +70,7 @@ def roles(n: int, per_cent: int) -> Iterator[tuple[int, bool, int, int]]:
         last, most = begins[b + 1] - 1, 100 * n // per_cent
         if b == band or most >= begins[b]:
             m = most_apart(last, last, per_cent) + 1
+            m += extra(m - 1)
             yield b, b == band, m, m - 1 - most_apart(n, min(last, most), per_cent)
 
 
@@ -123,13 +132,13 @@ def _neighbourhoods(k: int):
     return run
 
 
-def allocate(listed: DataFrame, limits: DataFrame, trade: int = TRADE) -> DataFrame:
+def allocate(listed: DataFrame, limits: DataFrame, trade: int | None = TRADE) -> DataFrame:
     """From (id, band, at, key, count), the keys that others hold too, and limits (id, band, m, spare): (id, band, m, keys, kept, passed, asked).
 
     kept: keys that the set is searched by; passed: those passed over for the segments in asked, whose neighbourhoods are searched instead.
     """
     slots = listed.groupBy("id", "band").agg(F.sort_array(F.collect_list(F.struct("count", "at", "key")), asc=False).alias("slots")).join(limits, ["id", "band"])
-    hot = F.size(F.filter("slots", lambda s: s["count"] > trade))
+    hot = F.lit(0) if trade is None else F.size(F.filter("slots", lambda s: s["count"] > trade))
     trades = F.greatest(F.lit(0), F.least(hot - F.col("spare"), F.col("m") - F.size("slots")))
     slots = slots.withColumn("trades", trades).withColumn("over", F.least(F.size("slots"), F.col("spare") + F.col("trades")))
     alone = F.array_except(F.sequence(F.lit(0), F.col("m") - 1), F.transform("slots", lambda s: s["at"].cast("int")))
@@ -140,7 +149,7 @@ def allocate(listed: DataFrame, limits: DataFrame, trade: int = TRADE) -> DataFr
     )
 
 
-def _candidates(texts: DataFrame, k: int, trade: int):
+def _candidates(texts: DataFrame, k: int, trade: int | None):
     def run(reps: DataFrame, tasks: int) -> DataFrame:
         placed = reps.select("id", F.explode("roles").alias("r"))
         # segment, band and whether it is the set's own in one number, so that rows stay small; a key is a row of each
@@ -160,7 +169,7 @@ def _candidates(texts: DataFrame, k: int, trade: int):
         release(reps.sparkSession)
         searched = staged(chosen.select(F.explode("kept").alias("key")).distinct(), "searched", tasks)
         buckets = chosen.select("id", F.explode("keys").alias("key")).join(searched, "key", "left_semi").select("id", "key")
-        if not chosen.where("asked IS NOT NULL").isEmpty():
+        if trade is not None and not chosen.where("asked IS NOT NULL").isEmpty():
             buckets = buckets.union(_near_misses(chosen, texts, k, tasks))
         buckets = staged(buckets.distinct(), "buckets", tasks)
         often = staged(buckets.groupBy("key").count().where("count > 1"), "often", tasks)
@@ -182,7 +191,7 @@ def _near_misses(chosen: DataFrame, texts: DataFrame, k: int, tasks: int) -> Dat
     return found.join(asked, "key", "left_semi").select("id", "key")
 
 
-def join(docs: DataFrame, k: int = WORDS, per_cent: int = PER_CENT, trade: int = TRADE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, k: int = WORDS, per_cent: int = PER_CENT, trade: int | None = TRADE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, n_shingles, component_id (the least id that links lead to), kept (it is that one)."""
     texts = documents(docs, id_col, text_col)
     signed = staged(texts.mapInArrow(_sign(k, per_cent), _SIGNED), "signatures")

@@ -77,6 +77,19 @@ def test_segments_keep_every_link():
     assert less.keys(1)[0] in whole.less_one(np.array([0]), 1)
 
 
+def test_near_copies_make_no_near_misses(spark, monkeypatch):
+    """A group of near copies is found by its pivot alone, and segments that are empty by chance can be passed over."""
+    monkeypatch.setattr(jaccard, "_near_misses", None)
+    common_words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*common_words[: i % 97], f"own{i}", *common_words[i % 97 :]])) for i in range(100)]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows, 4, 85)
+    for n in (8, 40, 232, 1000, 5000):
+        for _, _, m, spare in jaccard.roles(n, 85):
+            expected = m * (1 - 1 / m) ** n  # empty segments
+            assert spare >= 1 and (n < 40 or spare >= 10 * expected)
+
+
 def test_join_on_nothing(empty):  # noqa: F811
     assert jaccard.join(empty).count() == 0
 
