@@ -206,16 +206,21 @@ ARRIVAL = 6
 
 
 def _arrived(s: SparkSession, d: str, more: tuple[str, ...] = ()) -> DataFrame:
-    """Flagged records as a stream, a batch for each few months of receipts, in the order of receipt."""
-    rows = stored(records(s, d).where("report_p IS NOT NULL").select("cohort_p", "report_p", "valid_delay", *more), "received")
+    """Flagged records as a stream of cells with their number n, a batch for each few months of receipts, in the order of receipt.
+
+    All records are read and counted once, in parallel; what lands has a row a cell, so each batch is one small file however many records there are.
+    """
+    counted = records(s, d).where("report_p IS NOT NULL").groupBy("cohort_p", "report_p", "valid_delay", *more).agg(F.count(F.lit(1)).alias("n"))
+    rows = stored(counted, "received")
     folder, month = new_folder(s, "landing"), F.col("report_p")
     stream.arrive(rows, folder, [month.between(m, m + ARRIVAL - 1) for m in range(C.t0, C.cutoff + ARRIVAL, ARRIVAL)])
     return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def _finished(s: SparkSession, d: str) -> tuple[DataFrame, StreamingQuery]:
-    rows, folder = stream.finished_cohorts(_arrived(s, d), C), new_folder(s, "finished")
-    query = stream.run_available(rows, folder)
+    rows, folder = stream.finished_cohorts(_arrived(s, d), C, "n"), new_folder(s, "finished")
+    with stream.small_state(s):
+        query = stream.run_available(rows, folder)
     query.awaitTermination()
     return s.read.schema(rows.schema).parquet(f"{folder}/rows"), query
 
@@ -232,8 +237,8 @@ def _late_drops(s: SparkSession, d: str) -> DataFrame:
 def _streaming_nowcast(s: SparkSession, d: str) -> DataFrame:
     """Nowcasts at every origin of the replay, given out by the stream as its months end."""
     arrived = _arrived(s, d, ("delay_m", "severity", "consumer")).where("consumer")
-    rows, folder = stream.streaming_nowcast(arrived, C, C.max_lag, C.first_origin, C.last_origin), new_folder(s, "nowcasts")
-    with stream.rocksdb(s):
+    rows, folder = stream.streaming_nowcast(arrived, C, C.max_lag, C.first_origin, C.last_origin, weight="n"), new_folder(s, "nowcasts")
+    with stream.rocksdb(s), stream.small_state(s):
         stream.run_available(rows, folder).awaitTermination()
     return s.read.schema(rows.schema).parquet(f"{folder}/rows")
 

@@ -31,14 +31,19 @@ def month_start(month: Column) -> Column:
     return F.make_timestamp((month / 12).cast("int"), month % 12 + 1, F.lit(1), F.lit(0), F.lit(0), F.lit(0))
 
 
-def finished_cohorts(records: DataFrame, cfg: DelayConfig) -> DataFrame:
-    """(month, n): a cohort's records once no more are waited for.
+def _counted(weight: str | None) -> Column:
+    """Records of a group; weight: a column of how many records a row stands for."""
+    return (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n")
+
+
+def finished_cohorts(records: DataFrame, cfg: DelayConfig, weight: str | None = None) -> DataFrame:
+    """(month, n): a cohort's records once no more are waited for. weight: a column of how many records a row stands for.
 
     The incident month is the event time, and the delay cap the lateness that is allowed: a record of a month that the
     watermark has passed is late and is left out, and a month is given out, once, when the watermark passes it.
     """
     timed = records.where("valid_delay").withColumn("month", month_start(F.col("cohort_p"))).withWatermark("month", f"{31 * (cfg.max_delay + 1)} days")
-    return timed.groupBy("month").agg(F.count(F.lit(1)).alias("n"))
+    return timed.groupBy("month").agg(_counted(weight))
 
 
 def arrive(rows: DataFrame, folder: str, parts: list[Column]) -> None:
@@ -203,29 +208,42 @@ def _development(cfg: DelayConfig, lag: int, first: int, last: int) -> StatefulP
     return Development()
 
 
-def streaming_nowcast(records: DataFrame, cfg: DelayConfig, lag: int, first: int, last: int, lateness: str = "1 day") -> DataFrame:
+def streaming_nowcast(records: DataFrame, cfg: DelayConfig, lag: int, first: int, last: int, lateness: str = "1 day", weight: str | None = None) -> DataFrame:
     """(stream, cutoff, t, h, c_obs, n_hat): at each month from first to last that the watermark has passed, the nowcast of its last lag + 1 cohorts.
 
     Receipt months are the event time. A month is over once the watermark is past its first day, which with the least lateness is as soon as
     a record of the next month has come; records of a month that is over are left out. Records are counted by cell before they
     meet a stream's state, so a stream's task gets a row a cell, and its state holds cohorts x delays numbers. Months before 1970 can't
-    be told. Needs the RocksDB state store.
+    be told. weight: a column of how many records a row stands for. Needs the RocksDB state store.
     """
     t, d = F.col("cohort_p"), F.col("delay_m")
     admitted = records.where(F.col("valid_delay") & t.between(cfg.t0, cfg.cutoff) & d.between(0, cfg.max_delay) & (F.col("report_p") <= cfg.cutoff))
     timed = admitted.withColumn("month", month_start(F.col("report_p"))).withWatermark("month", lateness)
-    cells = with_streams(timed).groupBy("month", "stream", t.cast("int").alias("t"), d.cast("int").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    cells = with_streams(timed).groupBy("month", "stream", t.cast("int").alias("t"), d.cast("int").alias("d")).agg(_counted(weight))
     shape = "stream string, cutoff int, t int, h int, c_obs bigint, n_hat double"
     return cells.groupBy("stream").transformWithStateInPandas(_development(cfg, lag, first, last), shape, "Append", "EventTime")
 
 
 @contextmanager
-def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Queries started inside keep their state in RocksDB, which timers and maps need."""
-    name = "spark.sql.streaming.stateStore.providerClass"
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which timers and maps need."""
+    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
+        yield
+
+
+@contextmanager
+def small_state(spark: SparkSession, partitions: int = 12) -> Iterator[None]:
+    """Queries started inside have so many state partitions at most: for state of a bounded number of rows, as each partition costs a commit a batch."""
+    name = "spark.sql.shuffle.partitions"
+    with _setting(spark, name, str(min(partitions, int(spark.conf.get(name))))):
+        yield

@@ -149,3 +149,17 @@ def test_views(spark):
     assert "v_maturity" in names
     top = spark.sql("SELECT m.stream, c.c / m.F AS n_hat FROM v_maturity m JOIN v_cumulative_triangle c ON c.stream = m.stream AND c.d = m.d AND c.t = m.cutoff - m.d WHERE m.cutoff = 24019 AND m.stream = 'all'")
     assert top.count() == ORDERS.max_delay + 1
+
+
+def test_streams_land_as_counted_cells(spark, monkeypatch):
+    """What lands has a row a cell, and every record is in one."""
+    from pyspark.sql import functions as F
+
+    from duoclock.plans import queries
+    from duoclock.plans.adapter import records
+
+    landed = []
+    monkeypatch.setattr(queries.stream, "arrive", lambda rows, folder, parts: (landed.append(rows), rows.limit(0).write.parquet(folder)))
+    queries._arrived(spark, SF)
+    cells = landed[0].agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("cohort_p", "report_p", "valid_delay").alias("cells"), F.sum("n").alias("n")).first()
+    assert cells["rows"] == cells["cells"] and cells["n"] == records(spark, SF).where("report_p IS NOT NULL").count() > cells["rows"]
