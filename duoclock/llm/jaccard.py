@@ -9,7 +9,9 @@ Which keys a set is searched by is chosen by their cost, the number of sets that
 is passed over, 1 if it must be alike, 2 if it may differ by one element, and H + 1 must come together. So the
 most frequent keys are passed over as far as a set's own H leaves room. There are more segments than H + 1, by `extra`,
 so that there is room for those that happen to be empty, or to hold one frequent element, and are alike in unrelated
-sets; their number grows with the documents. Frequent keys beyond that are those of near copies and of pages that
+sets; their number grows with the documents. Both of two similar sets keep the rarest key that they share, so a key is
+one of the sets that keep it, not of those that pass it over: a cluster that keeps frequent keys doesn't draw all
+their other holders in. Frequent keys beyond that are those of near copies and of pages that
 are mostly template, whose pivot shows the links at a comparison a set. With `trade`, those held by more sets than
 that are traded for the one-deletion neighbourhood of a segment that no other set shares. Only sets with such a
 traded key are then indexed by their own deletions, and only in segments that some set is searched by in this way: a
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, drop_staged, held_by_others, mix, release, staged
-from .minhash import documents, grouped, parities, shingles, to_pivots
+from .minhash import FEW, documents, grouped, parities, shingles, to_pivots
 
 WORDS, PER_CENT = 4, 85
 #: A key of more sets than this is traded for a one-deletion neighbourhood; None: none is.
@@ -149,6 +151,18 @@ def allocate(listed: DataFrame, limits: DataFrame, trade: int | None = TRADE) ->
     )
 
 
+def searched_by(chosen: DataFrame, trade: int | None, tasks: int) -> DataFrame:
+    """(id, key): the sets that meet under a key. chosen: from allocate.
+
+    What two similar sets share is more than either may pass over, and keys have one order for both, so the last of those
+    that they share is kept by both. Only where keys are traded, one may have passed over what the other keeps.
+    """
+    if trade is None:
+        return chosen.select("id", F.explode("kept").alias("key"))
+    searched = staged(chosen.select(F.explode("kept").alias("key")).distinct(), "searched", tasks)
+    return chosen.select("id", F.explode("keys").alias("key")).join(searched, "key", "left_semi").select("id", "key")
+
+
 def _candidates(texts: DataFrame, k: int, trade: int | None):
     def run(reps: DataFrame, tasks: int) -> DataFrame:
         placed = reps.select("id", F.explode("roles").alias("r"))
@@ -167,15 +181,14 @@ def _candidates(texts: DataFrame, k: int, trade: int | None):
         shared = held.join(counts, "key").select("id", band.alias("band"), F.shiftright("slot", 16).alias("at"), "key", "count")
         chosen = staged(allocate(shared, limits, trade), "chosen", tasks)
         release(reps.sparkSession)
-        searched = staged(chosen.select(F.explode("kept").alias("key")).distinct(), "searched", tasks)
-        buckets = chosen.select("id", F.explode("keys").alias("key")).join(searched, "key", "left_semi").select("id", "key")
+        buckets = searched_by(chosen, trade, tasks)
         if trade is not None and not chosen.where("asked IS NOT NULL").isEmpty():
             buckets = buckets.union(_near_misses(chosen, texts, k, tasks))
         buckets = staged(buckets.distinct(), "buckets", tasks)
         often = staged(buckets.groupBy("key").count().where("count > 1"), "often", tasks)
         members = buckets.join(often, "key").groupBy("id").agg(F.sum("count").alias("weight"), F.collect_list("key").alias("keys"))
         release(reps.sparkSession)
-        return to_pivots(staged(members, "members", tasks), tasks)
+        return to_pivots(staged(members, "members", tasks), tasks, merge=FEW)
 
     return run
 

@@ -227,10 +227,23 @@ def _pivot_pairs(reps: DataFrame, tasks: int) -> DataFrame:
     return to_pivots(members, tasks)
 
 
-def to_pivots(members: DataFrame, tasks: int) -> DataFrame:
-    """(x, weight, y): members (id, weight, keys) and, for each key, the one of its members with the most weight."""
+def to_pivots(members: DataFrame, tasks: int, merge: int | None = None) -> DataFrame:
+    """(x, weight, y): members (id, weight, keys) and, for each key, the one of its members with the most weight.
+
+    merge: keys of more members than this take the pivot with the most weight that any of their members has under such a
+    key, so that a cluster whose keys overlap has few pivots, and each of its members is a row of few groups.
+    """
     each = members.select(F.col("id").alias("x"), "weight", F.explode("keys").alias("key"))
-    pivots = staged(each.groupBy("key").agg(F.max(F.struct("weight", (-F.col("x")).alias("neg"))).alias("p")).select("key", (-F.col("p.neg")).alias("y")), "pivots", tasks)
+    heaviest = F.max(F.struct("weight", (-F.col("x")).alias("neg"))).alias("p")
+    if merge is None:
+        pivots = each.groupBy("key").agg(heaviest)
+    else:
+        own = staged(each.groupBy("key").agg(heaviest, F.count(F.lit(1)).alias("count")), "own-pivots", tasks)
+        large = each.join(own.where(F.col("count") > merge).select("key", "p"), "key").select("x", "key", "p")
+        best = staged(large.groupBy("x").agg(F.max("p").alias("best")), "best-pivots", tasks)
+        merged = large.join(best, "x").groupBy("key").agg(F.max("best").alias("p"))
+        pivots = own.where(F.col("count") <= merge).select("key", "p").union(merged)
+    pivots = staged(pivots.select("key", (-F.col("p.neg")).alias("y")), "pivots", tasks)
     return staged(each.join(pivots, "key").where("x <> y").select("x", "weight", "y").distinct(), "pairs", tasks)
 
 

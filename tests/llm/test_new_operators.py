@@ -90,6 +90,35 @@ def test_near_copies_make_no_near_misses(spark, monkeypatch):
             assert spare >= 1 and (n < 40 or spare >= 10 * expected)
 
 
+@pytest.mark.parametrize(("k", "per_cent"), [(4, 85), (1, 60), (2, 100)])
+def test_join_by_kept_keys(docs, texts, k, per_cent):  # noqa: F811
+    got = jaccard.join(docs, k, per_cent).collect()
+    plain = lambda x: -1 if x is None else x
+    assert sorted((plain(r["doc_id"]), r["n_shingles"], plain(r["component_id"])) for r in got) == brute_components(texts, k, per_cent)
+
+
+def test_keys_passed_over_draw_no_set_in(spark):
+    """A key that two sets of a cluster keep, and many others pass over, is a key of those two only."""
+    hot = [(i, 0, 0, 7, 40) for i in range(40)]
+    cluster = [(i, 0, at, 10 + at, 50 + at) for i in (0, 1) for at in (1, 2)]
+    listed = spark.createDataFrame(hot + cluster, "id bigint, band int, at bigint, key bigint, count bigint")
+    limits = spark.createDataFrame([(i, 0, 9, 1) for i in range(40)], "id bigint, band int, m int, spare int")
+    got = jaccard.searched_by(jaccard.allocate(listed, limits), None, 2).collect()
+    assert sorted((r["id"], r["key"]) for r in got) == [(0, 7), (0, 11), (1, 7), (1, 11)]
+
+
+def test_large_keys_of_a_cluster_share_a_pivot(spark):
+    """Ten keys of a cluster, each with its own heaviest member, lead to one pivot if its members share a key; small keys keep theirs."""
+    rows = [(i, 100 - i, [i % 10, 50]) for i in range(60)] + [(100, 5, [99]), (101, 4, [99])]
+    members = spark.createDataFrame(rows, "id bigint, weight bigint, keys array<bigint>")
+    plain, merged = (minhash.to_pivots(members, 2, merge).collect() for merge in (None, 4))
+    assert len(plain) == 59 + 45 + 1
+    assert sorted((r["x"], r["y"]) for r in merged) == [*((i, 0) for i in range(1, 60)), (101, 100)]
+    # members of one key still are a pair or have a pivot in common
+    of = lambda x: {x} | {r["y"] for r in merged if r["x"] == x}
+    assert all(of(i) & of(j) for i, _, a in rows for j, _, b in rows if set(a) & set(b))
+
+
 def test_join_on_nothing(empty):  # noqa: F811
     assert jaccard.join(empty).count() == 0
 
